@@ -125,9 +125,7 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, width: int = 5) -> Itera
             x = np.sort(acc[a : z - width + 1])
             yield x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
         elif z > a:
-            short = np.uint64(z - a)
-            for k in range(z - a):
-                short = short + words[a + k] * keys[k]
-            yield mix64(np.array([short ^ np.uint64(0xA5A5A5A5A5A5A5A5)], np.uint64))
+            short = (words[a:z] * np.array(keys[: z - a], np.uint64)).sum(keepdims=True) + np.uint64(z - a)
+            yield mix64(short ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         else:
             yield np.empty(0, np.uint64)

@@ -62,7 +62,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ep
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_range: int = 65536) -> DataFrame:
+        weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_range: int = 1024) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), mix_key.
 
     Null text counts as empty; a null source is a source of its own; rows repeated exactly are taken like

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk
+from . import chat, graphann, mixing, packing, sstable, topk, warc
 from ._spark import table
 
 
+def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -37,10 +43,30 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(table(spark, sf_dir, "documents"), _vocabulary(), end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary(), size=1024, end_id=2)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op9_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op4_chat": op4_chat,
+    "op5_sstable": op5_sstable,
     "op6_mix": op6_mix,
+    "op7_pack": op7_pack,
+    "op8_warc": op8_warc,
+    "op9_graph_ann": op9_graph_ann,
 }
 
 ORACLES: dict[str, str] = {}
@@ -105,3 +131,19 @@ SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken
 FROM e
 """
+
+ORACLES["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex, strlen(payload)) AS first FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right(bin(strpos('0123456789abcdef', substr(hex, i, 1)) - 1 + 16), 4)), '') AS bits FROM f
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(bits, 5 * i + j, 1) = '1' THEN 1 << (5 - j)::INTEGER ELSE 0 END))::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM b
+"""
