@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, graphann, jaccard, mixing, packing, sstable, topk, toxicity, warc
+from . import chat, graphann, gru, jaccard, mixing, packing, sstable, topk, toxicity, warc
 from ._spark import table
 
 
@@ -70,6 +70,12 @@ def op9_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    scored = gru.scored(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_jaccard": op2_jaccard,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pack": op7_pack,
     "op8_warc": op8_warc,
     "op9_graph_ann": op9_graph_ann,
+    "op10_gru_lm": op10_gru_lm,
 }
 
 ORACLES: dict[str, str] = {}
