@@ -20,10 +20,9 @@ from ._spark import prepare, release, save
 from ._text import chunks, mix64, shingle_hashes, string_buffers, word_hashes
 
 #: Windows of one bucket, about; at least LEAST_BUCKETS buckets.
-BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 32
+BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 1_500_000, 32, 1 << 24
 #: Windows gathered before a map task hands blobs on.
-FLUSH_TOKENS = 2_000_000
-_LOW48 = np.uint64((1 << 48) - 1)
+FLUSH_TOKENS = 500_000
 _ENTRY = np.dtype([("t", "<u8"), ("d", "<u4")])
 
 
@@ -56,7 +55,10 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Windows dealt to buckets by hash, packed: per bucket the set names, sizes, counts and 48 bits of each window."""
+    """Windows dealt to buckets by the first 24 bits of their hash, packed: set names, runs, and the other 40 bits.
+
+    A run is up to 255 windows of one set; a set's windows of one bucket all lie in one row.
+    """
 
     def run(batches):
         seen: set[int] = set()  # each set once per partition, however many copies it has there
@@ -66,23 +68,26 @@ def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
         def flush():
             tok = np.concatenate(sets)
-            size = np.array([len(s) for s in sets])
-            doc = np.repeat(np.arange(len(sets)), size)
-            bucket = ((tok >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+            doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+            bucket = ((tok >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             tok, doc, bucket = tok[order], doc[order], bucket[order]
             fp = np.array(fps, np.int64)
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(5)]
             for a, z in zip(edge.tolist(), edge[1:].tolist()):
-                run_at = np.flatnonzero(np.concatenate(([True], doc[a + 1 : z] != doc[a : z - 1])))
-                own, count = doc[a:z][run_at], np.diff(np.append(run_at, z - a))
-                t = tok[a:z] & _LOW48
-                values = (int(bucket[a]), fp[own].tobytes(), size[own].astype("<u4").tobytes(), count.astype("<u4").tobytes(), t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes())
+                first = np.flatnonzero(np.concatenate(([True], doc[a + 1 : z] != doc[a : z - 1])))
+                count = np.diff(np.append(first, z - a))
+                parts = (count + 254) // 255
+                last = np.cumsum(parts) - 1
+                sizes = np.full(int(parts.sum()), 255, np.uint8)
+                sizes[last] = count - (parts - 1) * 255
+                t = tok[a:z]
+                values = (int(bucket[a]), fp[np.repeat(doc[a:z][first], parts)].tobytes(), sizes.tobytes(), t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype(np.uint8).tobytes())
                 for r, v in zip(rows, values):
                     r.append(v)
-            kinds = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "fps", "sizes", "counts", "low", "high"])
+            kinds = [pa.int32()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "fps", "counts", "low", "high"])
 
         for batch in batches:
             for _, s in _sets(batch, width):
@@ -97,37 +102,36 @@ def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if sets:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, fps binary, sizes binary, counts binary, low binary, high binary")
+    return docs.mapInArrow(run, "bucket int, fps binary, counts binary, low binary, high binary")
 
 
 def _shared_windows(table: pa.Table) -> pa.Table:
     """One bucket: for every set its windows that some other set holds too, with the number of sets that hold them."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
     bucket = np.uint64(table.column("bucket")[0].as_py())
-    fp, size, count = join("fps", "<i8"), join("sizes", "<u4"), join("counts", "<u4")
-    tok = join("low", "<u4").astype(np.uint64) | join("high", "<u2").astype(np.uint64) << np.uint64(32)
-    _, first = np.unique(fp, return_index=True)  # copies in other partitions bring the same windows again
-    whole = np.zeros(len(fp), bool)
-    whole[first] = True
-    owner = np.repeat(np.arange(len(fp), dtype=np.int32), count)
-    keep = whole[owner]
-    tok, owner = tok[keep], owner[keep]
+    fp, count = join("fps", "<i8"), join("counts", np.uint8)
+    row = np.repeat(np.arange(table.num_rows), [x.as_buffer().size for c in table.column("counts").chunks for x in c])
+    tok = join("low", "<u4").astype(np.uint64) | join("high", np.uint8).astype(np.uint64) << np.uint64(32)
+    name, first, back = np.unique(fp, return_index=True, return_inverse=True)
+    keep = np.repeat(row == row[first][back], count)  # copies in other rows bring the same windows again
+    owner = np.repeat(back.astype(np.int32), count)[keep]
+    tok = tok[keep]
     order = np.argsort(tok)
     tok, owner = tok[order], owner[order]
+    del order, keep
     edge = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
-    df = np.repeat(np.diff(edge), np.diff(edge))
-    many = df > 1
-    tok, owner, df = tok[many], owner[many], df[many]
+    df = np.diff(edge).astype(np.uint32)
+    many = np.repeat(df > 1, df)
+    tok, owner, df = tok[many], owner[many], np.repeat(df, df)[many]
     order = np.argsort(owner, kind="stable")
     entry = np.empty(len(tok), _ENTRY)
-    entry["t"], entry["d"], owner = (tok | bucket << np.uint64(48))[order], df[order], owner[order]
+    entry["t"], entry["d"], owner = (tok | bucket << np.uint64(40))[order], df[order], owner[order]
     edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, np.int64)
-    own = owner[edge[:-1]] if len(owner) else owner
-    data = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer((edge * _ENTRY.itemsize).astype(np.int64)), pa.py_buffer(entry.tobytes())])
-    return pa.table([pa.array(fp[own]), pa.array(size[own].astype(np.int64)), data.cast(pa.binary())], names=["fp", "n", "entries"])
+    data = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer((edge * _ENTRY.itemsize).astype(np.int64)), pa.py_buffer(entry.tobytes())])
+    return pa.table([pa.array(name[owner[edge[:-1]]] if len(owner) else name[:0]), data.cast(pa.binary())], names=["fp", "entries"])
 
 
-def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
+def _candidates(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Sets that can have a partner: fp, n, own (windows no other set holds), prefix, seed, tokens."""
 
     def run(batches):
@@ -146,8 +150,8 @@ def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["fp", "n", "own", "prefix", "seed", "tokens"])
 
-    grouped = shared.groupBy("fp", "n").agg(F.collect_list("entries").alias("parts"))
-    return grouped.mapInArrow(run, "fp long, n long, own long, prefix array<long>, seed long, tokens binary")
+    grouped = shared.groupBy("fp").agg(F.collect_list("entries").alias("parts")).join(sizes, "fp")
+    return grouped.select("fp", "n", "parts").mapInArrow(run, "fp long, n long, own long, prefix array<long>, seed long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,9 +211,10 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     own = save(document_sets(d, width), "jaccard-documents")
     named = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = min(65536, max(LEAST_BUCKETS, -(-total // BUCKET_TOKENS)))
-    shared = _blobs(d.where("doc_id IS NOT NULL"), width, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_windows, "fp long, n long, entries binary")
-    sets = save(_candidates(shared, num, den), "jaccard-candidates")
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_TOKENS)))
+    shared = _blobs(d.where("doc_id IS NOT NULL"), width, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_windows, "fp long, entries binary")
+    sizes = named.groupBy("fp").agg(F.first("n_shingles").alias("n"))
+    sets = save(_candidates(shared, sizes, num, den), "jaccard-candidates")
     del shared
     release(spark)
 
