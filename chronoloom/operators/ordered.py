@@ -15,36 +15,41 @@ CHUNK = 65536
 _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
-def _joined(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(summary, [*keys, "__chunk"])
+def running_all(df: DataFrame, specs: dict[str, tuple[str, Column, bool]], *, order: list[str], keys: list[str] = (), chunk: int = CHUNK, chunk_by: Column | None = None) -> DataFrame:
+    """Adds a column for each name: (what, value, before) in specs, all in one pass over chunks.
 
-
-def running(df: DataFrame, what: str, value: Column, name: str, *, order: list[str], keys: list[str] = (), before: bool = False, chunk: int = CHUNK, chunk_by: Column | None = None) -> DataFrame:
-    """Adds `name`: the running max, min, sum, or last non-null of `value` over `order`.
-
-    before: up to the row before instead of the row itself. order[0] must be an integer key that the chunks
-    can be cut by, unless chunk_by gives another non-decreasing one; ties are broken by the rest of `order`.
+    what: the running max, min, sum, or last non-null of value over `order`; before: up to the row before
+    instead of the row itself. order[0] must be an integer key that chunks can be cut by, unless chunk_by gives
+    another non-decreasing one; the rest of `order` breaks ties.
     """
-    keys = list(keys)
-    df = df.withColumns({"__value": value, "__chunk": F.floor((F.col(order[0]) if chunk_by is None else chunk_by) / chunk)})
-    own = W.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    keys, names = list(keys), list(specs)
+    df = df.withColumns({f"__v{i}": specs[n][1] for i, n in enumerate(names)} | {"__chunk": F.floor((F.col(order[0]) if chunk_by is None else chunk_by) / chunk)})
     prior = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    if what == "last":
-        per = df.groupBy(*keys, "__chunk").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order))).alias("__sum"))
-        per = per.select(*keys, "__chunk", F.last("__sum", ignorenulls=True).over(prior).alias("__carry"))
-        local = F.last("__value", ignorenulls=True).over(own)
-        both = F.coalesce(F.col("__local"), F.col("__carry"))
-    else:
-        per = df.groupBy(*keys, "__chunk").agg(_AGG[what]("__value").alias("__sum"))
-        per = per.select(*keys, "__chunk", _AGG[what]("__sum").over(prior).alias("__carry"))
-        local = _AGG[what]("__value").over(own)
-        if what == "sum":
-            both = F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0))
+    sums, carries, local, both = [], [], {}, {}
+    for i, name in enumerate(names):
+        what, _, before = specs[name]
+        own = W.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+        v, s, c, here = f"__v{i}", f"__s{i}", f"__c{i}", f"__l{i}"
+        if what == "last":
+            sums.append(F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(s))
+            carries.append(F.last(s, ignorenulls=True).over(prior).alias(c))
+            local[here] = F.last(v, ignorenulls=True).over(own)
+            both[name] = F.coalesce(F.col(here), F.col(c))
         else:
-            both = (F.greatest if what == "max" else F.least)(F.col("__local"), F.col("__carry"))
-    return _joined(df.withColumn("__local", local), per, keys).withColumn(name, both).drop("__value", "__chunk", "__local", "__carry")
+            sums.append(_AGG[what](v).alias(s))
+            carries.append(_AGG[what](s).over(prior).alias(c))
+            local[here] = _AGG[what](v).over(own)
+            both[name] = F.coalesce(F.col(here), F.lit(0)) + F.coalesce(F.col(c), F.lit(0)) if what == "sum" else (F.greatest if what == "max" else F.least)(F.col(here), F.col(c))
+    summary = df.groupBy(*keys, "__chunk").agg(*sums).select(*keys, "__chunk", *carries)
+    out = df.withColumns(local).join(summary, [*keys, "__chunk"]).withColumns(both)
+    return out.drop("__chunk", *[f"__{k}{i}" for k in "vcl" for i in range(len(names))])
+
+
+def running(df: DataFrame, what: str, value: Column, name: str, *, before: bool = False, **where) -> DataFrame:
+    """Adds `name`: one running aggregate; see running_all."""
+    return running_all(df, {name: (what, value, before)}, **where)
 
 
 def previous(df: DataFrame, value: Column, name: str, **where) -> DataFrame:
-    """Adds `name`: the non-null value of the row before."""
+    """Adds `name`: the last non-null value before the row."""
     return running(df, "last", value, name, before=True, **where)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, previous, running
+from .ordered import CHUNK, previous, running, running_all
 
 
 def expected_next(blocks: DataFrame, frames_per_block: int | Column, *, keys=(), order=("block_index",), chunk: int = CHUNK) -> DataFrame:
@@ -17,11 +17,13 @@ def expected_next(blocks: DataFrame, frames_per_block: int | Column, *, keys=(),
     """
     order = list(order)
     per = F.lit(frames_per_block) if isinstance(frames_per_block, int) else frames_per_block
-    b = running(blocks, "sum", F.when(F.col("ok"), F.lit(0)).otherwise(per).cast("long"), "__s", order=order, keys=keys, chunk=chunk)
-    b = running(b, "max", F.when(F.col("ok"), F.col("start_frame") + F.col("frame_count") - F.col("__s")), "__m", order=order, keys=keys, chunk=chunk)
-    b = b.withColumn("after", F.col("__s") + F.greatest(F.lit(0), F.coalesce("__m", F.lit(0))))
-    b = previous(b, F.col("after"), "expected", order=order, keys=keys, chunk=chunk)
-    return b.withColumn("expected", F.coalesce("expected", F.lit(0)).cast("long")).drop("__s", "__m")
+    where = {"order": order, "keys": keys, "chunk": chunk}
+    nominal = F.when(F.col("ok"), F.lit(0)).otherwise(per).cast("long")
+    b = running_all(blocks, {"__s": ("sum", nominal, False), "__s0": ("sum", nominal, True)}, **where)
+    end = F.when(F.col("ok"), F.col("start_frame") + F.col("frame_count") - F.col("__s"))
+    b = running_all(b, {"__m": ("max", end, False), "__m0": ("max", end, True)}, **where)
+    e = lambda s, m: (F.col(s) + F.greatest(F.lit(0), F.coalesce(m, F.lit(0)))).cast("long")
+    return b.withColumns({"after": e("__s", "__m"), "expected": e("__s0", "__m0")}).drop("__s", "__s0", "__m", "__m0")
 
 
 def classified(blocks: DataFrame) -> DataFrame:
@@ -72,8 +74,7 @@ def segments(frames: DataFrame, frame: str = "frame", *, keys=(), chunk: int = C
     keys = list(keys)
     f = previous(frames, F.col(frame), "__prev", order=[frame], keys=keys, chunk=chunk)
     begins = F.col("__prev").isNull() | (F.col(frame) > F.col("__prev") + 1)
-    f = running(f.withColumn("__new", begins), "sum", F.col("__new").cast("long"), "segment", order=[frame], keys=keys, chunk=chunk)
-    f = running(f, "last", F.when(F.col("__new"), F.col(frame)), "segment_start", order=[frame], keys=keys, chunk=chunk)
+    f = running_all(f.withColumn("__new", begins), {"segment": ("sum", F.col("__new").cast("long"), False), "segment_start": ("last", F.when(F.col("__new"), F.col(frame)), False)}, order=[frame], keys=keys, chunk=chunk)
     return f.withColumn("segment", F.col("segment") - 1).drop("__prev", "__new")
 
 
@@ -87,8 +88,7 @@ def reblocked(frames: DataFrame, frames_per_block: int, frame: str = "frame", *,
     s = s.withColumn("__part", F.floor((F.col(frame) - F.col("segment_start")) / frames_per_block))
     b = s.groupBy(*keys, "segment", "segment_start", "__part").agg(F.min(frame).alias("start_frame"), F.count("*").alias("frame_count"))
     b = b.withColumn("end_frame", F.col("start_frame") + F.col("frame_count"))
-    b = previous(b, F.col("end_frame"), "__end", order=["start_frame"], keys=keys, chunk=chunk)
-    b = running(b, "sum", F.lit(1).cast("long"), "__nth", order=["start_frame"], keys=keys, chunk=chunk)
+    b = running_all(b, {"__end": ("last", F.col("end_frame"), True), "__nth": ("sum", F.lit(1).cast("long"), False)}, order=["start_frame"], keys=keys, chunk=chunk)
     gap = F.when(F.col("__part") == 0, F.col("start_frame") - F.coalesce("__end", F.lit(0))).otherwise(F.lit(0))
     return b.select(*keys, (F.col("__nth") - 1).alias("block_index"), "start_frame", "frame_count", gap.cast("long").alias("preceding_gap"), (F.col("frame_count") < frames_per_block).alias("short"))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 from ..functions import text
+from ..functions.signal import SIGNAL_NAME
 from ..operators import envelope as env
 from ..operators import ledger as led
 from ..operators import validate as val
@@ -28,6 +33,7 @@ class OpenRecording:
         self.source = rec.Recording(path)
         self.header, self.extent = self.source.header, self.source.extent
         self.rate = self.header["sample_rate_exact_hz"]
+        self._kept: dict[bool, DataFrame] = {}
 
     def table(self, name: str, **options) -> DataFrame:
         return rec.read(self.spark, self.path, name, **options)
@@ -71,14 +77,14 @@ class OpenRecording:
         first, last = self.frames(start, stop)
         s = self.samples(first, last, text.channels_of(channels, self.header["channel_count"]))
         runs = s.groupBy("block_index", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("values"))
-        return runs.select("block_index", "channel", _packed("values").alias("data"))
+        return runs.select("block_index", "channel", _pack(F.col("values")).alias("data"))
 
     def raw_interleaved(self, start=None, stop=None, channels=None) -> DataFrame:
         """frame, data: little-endian floats of one frame, NaN where nothing was recorded."""
         first, last = self.frames(start, stop, "end_frame")
         cs = text.channels_of(channels, self.header["channel_count"])
         dense = env.dense_frames(self.samples(first, last, cs), first, last, cs)
-        return dense.select("frame", _packed("values").alias("data"))
+        return dense.select("frame", _pack(F.col("values")).alias("data"))
 
     def csv_download(self, from_seconds: float, seconds: float, channels: list[int]) -> DataFrame:
         """line, value: 1-based channel names, nine significant digits, at most CSV_SECONDS."""
@@ -133,11 +139,12 @@ class OpenRecording:
         return env.on_spine(env.grid_envelope(self.samples(begin, last, cs), begin, per), cs, min(grid["columns"], max(1, -(-(last - begin) // per))))
 
     def findings(self, check_crc: bool = True) -> DataFrame:
-        if self.header["signal_id"] != signal_name():
+        if self.header["signal_id"] != SIGNAL_NAME:
             raise layout.Unreadable(f"unknown signal {self.header['signal_id']!r}")
         if self.header["dtype_code"] != 1:
             raise layout.Unreadable("only float32 recordings can be verified")
-        raw = self.table("findings", checkcrc=check_crc)
+        # A row per block: kept, so that the file is read once however often the rows are used.
+        raw = self._kept.get(check_crc) or self._kept.setdefault(check_crc, self.table("findings", checkcrc=check_crc).persist())
         return val.block_findings(raw, frames_per_block=self.header["frames_per_block"], channels=self.header["channel_count"])
 
     def validate(self, check_crc: bool = True) -> DataFrame:
@@ -163,24 +170,10 @@ class OpenRecording:
         return layout.hexdump(self.source.file.read_at(layout.FILE_HEADER, 0))
 
 
-def signal_name() -> str:
-    from ..functions.signal import SIGNAL_NAME
-
-    return SIGNAL_NAME
-
-
-def _packed(column: str):
-    import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
-    from pyspark.sql.types import BinaryType
-
-    @arrow_udf(BinaryType())
-    def pack(v: pa.Array) -> pa.Array:
-        import numpy as np
-
-        return pa.array([np.array(x, "<f4").tobytes() for x in v.to_pylist()], pa.binary())
-
-    return pack(F.col(column))
+@arrow_udf(BinaryType())
+def _pack(values: pa.Array) -> pa.Array:
+    """Little-endian single-precision bytes of each array."""
+    return pa.array([np.array(x, "<f4").tobytes() for x in values.to_pylist()], pa.binary())
 
 
 def open_recording(spark: SparkSession, path: str) -> OpenRecording:
