@@ -21,12 +21,16 @@ _FAR = np.float32(3e38)
 
 class Graph:
     def __init__(self, ids: np.ndarray, points: np.ndarray, *, degree: int = 32, beam: int = 64, alpha: float = 1.2, batch: int = 512):
-        self.ids, self.exact = ids, points
+        # Equal vectors are one node: pruning would leave them nothing but each other.
+        points, node = np.unique(points, axis=0, return_inverse=True)
+        order = np.lexsort((ids, node))
+        self.owners, self.exact = ids[order], points
+        self.first = np.concatenate((np.searchsorted(node[order], np.arange(len(points))), [len(ids)]))
         # Scaled by the largest component, so that squares stay within single precision.
         self.scale = float(np.abs(points).max()) or 1.0
         self.x = (points / self.scale).astype(np.float32)
         self.norm = np.einsum("ij,ij->i", self.x, self.x)
-        n = len(ids)
+        n = len(points)
         self.degree, self.alpha = degree, np.float32(alpha * alpha)
         self.slots = degree + degree // 2
         self.edges = np.full((n, self.slots), -1, np.int32)
@@ -51,7 +55,7 @@ class Graph:
         ids = np.full((b, width), -1, np.int32)
         dist = np.full((b, width), _FAR, np.float32)
         open_ = np.zeros((b, width), bool)
-        seen = np.zeros((b, len(self.ids)), bool)
+        seen = np.zeros((b, len(self.exact)), bool)
         ids[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, True, True
         dist[:, 0] = self._distances(np.full((b, 1), self.entry), q)[:, 0]
         live = np.arange(b)
@@ -148,10 +152,14 @@ class Graph:
             ids, _ = self.beam((q[a : a + 256] / self.scale).astype(np.float32), max(width, k + 1))
             for i, row in enumerate(ids):
                 row = row[row >= 0]
-                row = row[self.ids[row] != own[a + i]]
                 d = np.sqrt(((self.exact[row] - q[a + i]) ** 2).sum(1))
-                best = np.lexsort((self.ids[row], d))[:k]
-                out.append((self.ids[row[best]].tolist(), d[best].tolist()))
+                # Of equal vectors the k + 1 smallest ids suffice for k places beside the query's own.
+                have = [self.owners[self.first[r] : min(self.first[r + 1], self.first[r] + k + 1)] for r in row.tolist()]
+                d, have = np.repeat(d, [len(h) for h in have]), np.concatenate(have)
+                other = have != own[a + i]
+                d, have = d[other], have[other]
+                best = np.lexsort((have, d))[:k]
+                out.append((have[best].tolist(), d[best].tolist()))
         return out
 
 
