@@ -174,6 +174,19 @@ class Vocabulary:
         return np.where(self.names[at] == words, self.symbols[at], rare)
 
 
+def unigram_weights(vocabulary: Vocabulary, ends: int) -> dict[str, np.ndarray]:
+    """Weights to start from: the output biases alone give every symbol its share of the counts."""
+    w = new_weights()
+    w["out"] *= np.float32(0.1)
+    w["word"] *= np.float32(0.1)
+    counts = np.full(WORDS, 1e-6)
+    counts[: len(vocabulary.log_count)] = 10**vocabulary.log_count
+    per = counts.reshape(-1, CLASS)
+    w["word0"] = np.log(per).astype(np.float32)
+    w["out0"] = np.log(np.concatenate((per.sum(1), 10**vocabulary.log_rest, [ends + 0.5]))).astype(np.float32)
+    return w
+
+
 def _class_of(y: np.ndarray) -> np.ndarray:
     return np.where(y < WORDS, y // CLASS, y - WORDS + WORDS // CLASS)
 
@@ -419,7 +432,8 @@ def scored(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     `learn` says which rows train. Null text is empty: its end alone. Rows that repeat id and text count
-    each time in training and score alike. Without training rows the network stays as it began.
+    each time in training and score alike. Without training rows the network stays as it began,
+    which is close to the unigram counts.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -438,7 +452,7 @@ def scored(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col:
     total, kinds = int(tokens.sum()) + ends, int(distinct.sum()) + (ends > 0)
     vocabulary = Vocabulary([(r["name"], r["a"]) for r in frequent], tokens, distinct)
 
-    start = _packed(new_weights())
+    start = _packed(unigram_weights(vocabulary, ends))
     training = d.where("learn")
     warm = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_docs).select("text").coalesce(1)
     trained = _averaged(_trained(warm, vocabulary, start, 0.01, 3))
