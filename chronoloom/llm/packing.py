@@ -1,8 +1,9 @@
 """Best-fit packing of documents into sequences, in a hierarchy.
 
 Every input partition tokenizes its documents, cuts the long ones and packs the pieces best-fit
-decreasing into bins. Bins that are nearly full are finished; the others go, as items of their fill, into
-fewer and fewer partitions that pack them again. A bin's place in its parent adds up to a piece's offset.
+decreasing into bins. Bins that are nearly full are finished. What lies in the others goes on as items
+into fewer and fewer partitions, each of which packs again and finishes what it can fill; the last round
+finishes all. Items leave their partition alone, not as half-full bins that fit nowhere.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ._spark import prepare, save
 from ._text import string_buffers
 
 #: A bin with at most this much room left is finished.
-SLACK = 2
+SLACK = 4
 #: Items that one task of a later round packs at most, on average.
 TASK_ITEMS = 250_000
 FAN_IN = 8
@@ -77,7 +78,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, size: int, end_id: int,
                         data = own[s : s + n].tobytes()
                         for c, v in zip(columns, (ids[i], k, s, n, zlib.crc32(data), data if keep_ids else None)):
                             c.append(v)
-        bins, places = best_fit(np.array(columns[3], np.int64), size)
+        lengths = np.array(columns[3], np.int64)
+        bins, places = best_fit(lengths, size)
+        room = size - np.bincount(bins, lengths, len(bins)).astype(np.int64)
+        apart = room[bins] > SLACK if len(bins) else np.zeros(0, bool)
+        bins[apart], places[apart] = len(bins) + np.flatnonzero(apart), 0
         bins += TaskContext.get().partitionId() << 40
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for a in range(0, len(bins), 8192):
@@ -88,8 +93,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, size: int, end_id: int,
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _merge_round(bins: DataFrame, parts: int, size: int, level: int) -> DataFrame:
-    """bins(bin, fill) packed again within `parts` partitions: bin, parent, shift, fill."""
+def _round(items: DataFrame, parts: int, size: int, level: int, last: bool) -> DataFrame:
+    """items(bin, fill) packed within `parts` partitions: bin, fill, and parent and shift where the parent is finished."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -103,12 +108,14 @@ def _merge_round(bins: DataFrame, parts: int, size: int, level: int) -> DataFram
             order = np.argsort(name)  # the same packing whatever order the rows come in
             name, fill = name[order], fill[order]
             parent, shift = best_fit(fill, size)
+            room = size - np.bincount(parent, fill, len(parent)).astype(np.int64)
+            open_ = np.zeros(len(name), bool) if last else room[parent] > SLACK
             parent += (level << 58) + (TaskContext.get().partitionId() << 34)
             for a in range(0, len(name), 65536):
                 s = slice(a, a + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(name[s]), pa.array(parent[s]), pa.array(shift[s]), pa.array(fill[s])], ["bin", "parent", "shift", "fill"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[s]), pa.array(fill[s]), pa.array(parent[s], mask=open_[s]), pa.array(shift[s], mask=open_[s])], ["bin", "fill", "parent", "shift"])
 
-    return bins.repartition(parts, "bin").mapInArrow(run, "bin long, parent long, shift long, fill long")
+    return items.repartition(parts, "bin").mapInArrow(run, "bin long, fill long, parent long, shift long")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -119,20 +126,22 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 2,
     """
     prepare(docs.sparkSession)
     pieces = save(tokenized_pieces(docs, tokenizer, size=size, end_id=end_id, id_col=id_col, text_col=text_col, keep_ids=keep_ids), "pack-pieces")
-    bins = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < size - SLACK)
-    bins = save(bins, "pack-open-0")
-    left, parts, steps = bins.count(), pieces.select(F.shiftright("bin", 40).alias("p")).distinct().count(), []
-    for level in (1, 2, 3, 4, 5, 6, 7):
+    # An item outside a finished bin is a bin of its own.
+    items = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < size - SLACK)
+    items = save(items, "pack-items-0")
+    left, parts, steps = items.count(), pieces.select(F.shiftright("bin", 40).alias("p")).distinct().count(), []
+    for level in range(1, 16):
+        if not left:
+            break
         least = max(1, -(-left // TASK_ITEMS))
         parts = max(least, parts // FAN_IN)
-        if left < 2:
-            break
-        step = save(_merge_round(bins, parts, size, level), f"pack-merge-{level}")
-        steps.append(step.select("bin", "parent", "shift"))
-        bins = save(step.groupBy(F.col("parent").alias("bin")).agg(F.sum("fill").alias("fill")).where(F.col("fill") < size - SLACK), f"pack-open-{level}")
-        before, left = left, bins.count()
-        if parts == 1 or parts == least and left > 0.999 * before:
+        last = parts == least
+        step = save(_round(items, parts, size, level, last), f"pack-round-{level}")
+        steps.append(step.where("parent IS NOT NULL").select("bin", "parent", "shift"))
+        if last:
             break
+        items = step.where("parent IS NULL").select("bin", "fill")
+        left = items.count()
     out = pieces
     for step in steps:
         out = out.join(step, "bin", "left").withColumns({"place": F.col("place") + F.coalesce("shift", F.lit(0)), "bin": F.coalesce("parent", "bin")}).drop("parent", "shift")
