@@ -116,7 +116,7 @@ def duration(seconds: Column) -> Column:
 
 def iso_time(nanos: Column) -> Column:
     """UTC time to the millisecond, from nanoseconds since 1970 (session time zone UTC)."""
-    return F.date_format(F.timestamp_millis(F.floor(nanos / 1_000_000)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(F.timestamp_millis(F.call_function("div", nanos, F.lit(1_000_000))), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def fixed(x: Column, digits: int) -> Column:

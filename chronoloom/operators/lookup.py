@@ -58,7 +58,7 @@ def transport_positions(clock: DataFrame, commands: DataFrame, *, rate: float, e
     u = running(c.unionByName(t), "last", F.col("command"), "held", order=["at_us", "side"], chunk=chunk).where("side = 1")
     moved = F.floor((F.col("at_us") - F.col("held.at_us")) / F.lit(1e6) * F.lit(float(rate)) * F.col("held.speed"))
     at = F.when(F.col("held.playing"), F.greatest(F.lit(0), F.least(F.col("held.anchor") + moved, F.lit(end_frame)))).otherwise(F.least(F.col("held.anchor"), F.lit(end_frame)))
-    return u.select("at_us", F.coalesce(at, F.lit(0)).cast("long").alias("position"))
+    return u.select("at_us", F.when(F.col("held").isNull(), 0).otherwise(at).cast("long").alias("position"))
 
 
 def speed(x: Column) -> Column:
