@@ -29,6 +29,11 @@ def _byte_table() -> np.ndarray:
 _BYTE = _byte_table()
 
 
+#: The same for two bytes at once.
+_PAIR = _BYTE[np.arange(65536) & 0xFF]
+_PAIR = _BYTE[(_PAIR ^ (np.arange(65536, dtype=np.uint32) >> np.uint32(8))) & 0xFF] ^ (_PAIR >> np.uint32(8))
+
+
 def _advance(state: np.ndarray) -> np.ndarray:
     """One zero byte appended."""
     return _BYTE[state & 0xFF] ^ (state >> np.uint32(8))
@@ -68,14 +73,18 @@ def crc32c(data: bytes | memoryview | np.ndarray) -> int:
     lanes = 1
     while lanes < 4096 and n // (2 * lanes) >= 64:
         lanes *= 2
-    width = -(-n // lanes) if n else 0
+    width = -(-n // lanes)
+    width += width & 1
     padded = np.zeros(lanes * width, np.uint8)
     if n:
         padded[-n:] = b
-    column = np.ascontiguousarray(padded.reshape(lanes, width).T)
+    column = np.ascontiguousarray(padded.view("<u2").reshape(lanes, width // 2).T).astype(np.uint32)
     state = np.zeros(lanes, np.uint32)
     for row in column:
-        state = _BYTE[(state ^ row) & 0xFF] ^ (state >> np.uint32(8))
+        row ^= state
+        row &= 0xFFFF
+        state >>= np.uint32(16)
+        state ^= _PAIR.take(row)
     while len(state) > 1:
         op = np.frombuffer(_zeros(width), np.uint32)
         state = _apply(op, state[0::2]) ^ state[1::2]

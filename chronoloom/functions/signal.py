@@ -58,19 +58,33 @@ def value(channel: Column, frame: Column, dither: bool = True) -> Column:
 
 def values(channels: np.ndarray, start: int, count: int, dither: bool = True) -> np.ndarray:
     """float32 (len(channels), count): the same values from numpy, for block kernels."""
-    c = np.asarray(channels, np.int64)[:, None]
-    n = np.arange(start, start + count, dtype=np.int64)[None, :]
-    a = (n * (2 * c + 1) % PERIOD) / PERIOD
-    b = ((n * (((7 * c) & 31) * 2 + 3) + c * 512) % PERIOD) / PERIOD
-    out = (0.5 + c / 64) * (4 * np.abs(a - 0.5) - 1) + 0.25 * (2 * b - 1)
+    c = np.asarray(channels, np.int64)
+    n = np.arange(start, start + count, dtype=np.int64)
+    step = (n & (PERIOD - 1)).astype(np.int32)[None, :]
+    one = lambda x, kind: x.astype(kind)[:, None]
+    # Scaling by powers of two is exact, so the order of the real operations is that of value().
+    out = (step * one(2 * c + 1, np.int32) & (PERIOD - 1)) * (1.0 / PERIOD)
+    out -= 0.5
+    np.abs(out, out=out)
+    out *= 4.0
+    out -= 1.0
+    out *= one(0.5 + c / 64, np.float64)
+    part = (step * one(((7 * c) & 31) * 2 + 3, np.int32) + one(c * 512, np.int32) & (PERIOD - 1)) * (2.0 / PERIOD)
+    part -= 1.0
+    part *= 0.25
+    out += part
     if dither:
-        u = np.uint64(_U32)
-        x = (n.astype(np.uint64) & u) * np.uint64(FRAME_FACTOR) & u ^ (c.astype(np.uint64) + np.uint64(1)) * np.uint64(CHANNEL_FACTOR) & u
-        x ^= x >> np.uint64(15)
-        x = x * np.uint64(MIX_FACTOR) & u
-        x ^= x >> np.uint64(13)
-        out = out + DITHER_SCALE * (x / 4294967296.0 - 0.5)
-    return (out + c / CHANNEL_STEP).astype(np.float32)
+        with np.errstate(over="ignore"):
+            x = (n.astype(np.uint32) * np.uint32(FRAME_FACTOR))[None, :] ^ one((c + 1).astype(np.uint32) * np.uint32(CHANNEL_FACTOR), np.uint32)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(MIX_FACTOR)
+            x ^= x >> np.uint32(13)
+        np.multiply(x, 1.0 / 4294967296.0, out=part)
+        part -= 0.5
+        part *= DITHER_SCALE
+        out += part
+    out += one(c / CHANNEL_STEP, np.float64)
+    return out.astype(np.float32)
 
 
 def samples(spark: SparkSession, channels: int, frames: int, start: int = 0, dither: bool = True) -> DataFrame:

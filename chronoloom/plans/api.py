@@ -151,13 +151,14 @@ class OpenRecording:
         """One row: counters and verdict. Blocks are checked in parallel; only their rows meet."""
         h, C = self.header, self.header["channel_count"]
         trusted = h["finalised"] and not self.extent["recovered"]
-        found = self.findings(check_crc)
+        names = ("recorded", "missing", "duplicated", "incorrect", "corrupt")
+        sums = self.findings(check_crc).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.count("*").alias("n"), F.max("after").alias("after")).first()
         trailing = 0
-        whole = found.agg(F.count("*").alias("n"), F.max("after").alias("after")).first()
         if trusted:
-            late = self.ledger().where(F.col("start_frame") >= (whole["after"] or 0)).agg(F.sum("frame_count")).first()[0]
-            trailing = (late or 0) * C
-        return val.report(found, trailing_missing=trailing, declared=h["dropped_frames_total"] * C if trusted else None, expected_values=(h if trusted else self.extent)["total_values"], trusted=trusted, truncated=whole["n"] < self.extent["block_count"])
+            entries, _ = self.source.ledger()  # at most 65,536
+            trailing = int(entries["frame_count"][entries["start_frame"] >= (sums["after"] or 0)].sum()) * C
+        one = self.spark.createDataFrame([tuple(sums[c] for c in names)], ", ".join(f"{c} long" for c in names))
+        return val.report(one, trailing_missing=trailing, declared=h["dropped_frames_total"] * C if trusted else None, expected_values=(h if trusted else self.extent)["total_values"], trusted=trusted, truncated=sums["n"] < self.extent["block_count"])
 
     def first_discrepancies(self, check_crc: bool = True) -> DataFrame:
         C = self.header["channel_count"]
