@@ -12,6 +12,8 @@ state through windows, so a document counts as a whole.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,7 @@ from ._text import chunks, mix64, string_buffers, word_hashes
 
 #: Frequent words, their class size, spelling classes, width of the state.
 WORDS, CLASS, SPELLINGS, STATE = 1024, 32, 64, 16
-LANES, WINDOW = 256, 32
+LANES, WINDOW = 512, 32
 #: Documents of the first training, at most.
 WARM_DOCS = 1500
 BUCKET_ENTRIES, LEAST_BUCKETS = 3_000_000, 24
@@ -299,13 +301,12 @@ class Network:
         return h, float(lp.sum())
 
 
-def lanes(docs: list[np.ndarray], width: int = LANES):
-    """Documents (symbols without ends) laid end to end into lanes of about equal length, longest lane first.
+def _windows(docs: list[np.ndarray], width: int = LANES):
+    """Documents (symbols without ends) laid end to end into lanes of about equal length, cut into windows.
 
-    Returns x, y, fresh, owner: (T, lanes) inputs, targets, document starts, document numbers (-1: nothing).
+    Yields x, y, fresh, owner, each (steps, lanes): inputs, targets, document starts, document numbers (-1: nothing).
+    Lanes are ordered by length, longest first, so that lanes still running are always the first ones.
     """
-    import heapq
-
     width = max(1, min(width, len(docs)))
     heap = [(0, k) for k in range(width)]
     held: list[list[int]] = [[] for _ in range(width)]
@@ -313,33 +314,32 @@ def lanes(docs: list[np.ndarray], width: int = LANES):
         n, k = heapq.heappop(heap)
         held[k].append(i)
         heapq.heappush(heap, (n + len(docs[i]) + 1, k))
-    size = [sum(len(docs[i]) + 1 for i in lane) for lane in held]
-    order = sorted(range(width), key=lambda k: -size[k])
-    T = max(size)
-    x, y = np.full((T, width), _END, np.int32), np.full((T, width), _END, np.int32)
-    fresh, owner = np.zeros((T, width), bool), np.full((T, width), -1, np.int32)
-    for col, k in enumerate(order):
-        t = 0
-        for i in held[k]:
-            n = len(docs[i])
-            x[t + 1 : t + 1 + n, col], y[t : t + n, col] = docs[i], docs[i]
-            fresh[t, col] = True
-            owner[t : t + n + 1, col] = i
-            t += n + 1
-    return x, y, fresh, owner
-
-
-def _windows(docs):
-    x, y, fresh, owner = lanes(docs)
-    for t in range(0, len(x), WINDOW):
-        s = slice(t, t + WINDOW)
-        use = max(1, int((owner[t] >= 0).sum()))
-        yield t, x[s, :use], y[s, :use], fresh[s, :use], owner[s, :use]
+    size = np.array([sum(len(docs[i]) + 1 for i in lane) for lane in held])
+    order = np.argsort(-size, kind="stable")
+    flat = [i for k in order.tolist() for i in held[k]]
+    lengths = np.array([len(docs[i]) + 1 for i in flat])
+    ends = np.cumsum(lengths) - 1
+    y = np.full(int(ends[-1]) + 1, _END, np.int32)
+    inside = np.ones(len(y), bool)
+    inside[ends] = False
+    y[inside] = np.concatenate([docs[i] for i in flat])
+    fresh = np.zeros(len(y), bool)
+    fresh[ends - lengths + 1] = True
+    x = np.concatenate(([_END], y[:-1])).astype(np.int32)  # after an end comes the next document's start
+    owner = np.repeat(np.array(flat, np.int32), lengths)
+    size = size[order]
+    begin = np.cumsum(size) - size
+    for t in range(0, int(size[0]), WINDOW):
+        use = int((size > t).sum())
+        step = np.arange(t, min(t + WINDOW, int(size[0])))[:, None]
+        there = step < size[:use]
+        at = np.where(there, begin[:use] + step, 0)
+        yield x[at], y[at], fresh[at] & there, np.where(there, owner[at], -1)
 
 
 def fit(net: Network, docs: list[np.ndarray], rate: float) -> float:
     h, total = None, 0.0
-    for t, x, y, fresh, owner in _windows(docs):
+    for x, y, fresh, owner in _windows(docs):
         h = np.zeros((x.shape[1], STATE), np.float32) if h is None else h[: x.shape[1]]
         h, lp = net.train(x, y, fresh, owner >= 0, h, rate)
         total += lp
@@ -349,7 +349,7 @@ def fit(net: Network, docs: list[np.ndarray], rate: float) -> float:
 def likelihoods(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document's symbols and end."""
     out, h = np.zeros(len(docs)), None
-    for t, x, y, fresh, owner in _windows(docs):
+    for x, y, fresh, owner in _windows(docs):
         h = np.zeros((x.shape[1], STATE), np.float32) if h is None else h[: x.shape[1]]
         states, h, _ = net._forward(x, fresh, h, False)
         at = np.flatnonzero(owner.ravel() >= 0)
@@ -359,15 +359,15 @@ def likelihoods(net: Network, docs: list[np.ndarray]) -> np.ndarray:
 
 
 #: Words that a task lays into lanes at once, about.
-LANE_WORDS = 400_000
+LANE_WORDS = 1_500_000
 
 
 def _gathered(batches, column: int, vocabulary: Vocabulary):
-    """Lists of (rows, symbols) of about LANE_WORDS words; rows as (batch, row)."""
+    """Lists of (rows, symbols) of about LANE_WORDS words; rows as (batch, row, words)."""
     rows, docs, held = [], [], 0
     for batch in batches:
         for i, w in _rows(batch, column):
-            rows.append((batch, i, w))
+            rows.append((batch, i, len(w)))
             docs.append(vocabulary.encode(w))
             held += len(w) + 1
             if held >= LANE_WORDS:
@@ -465,12 +465,12 @@ def scored(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col:
         for rows, symbols in _gathered(batches, 2, vocabulary):
             lp = likelihoods(net, symbols) / np.log(10)
             ids, keys, n, score = [], [], [], []
-            for (batch, i, w), s, p in zip(rows, symbols, lp):
+            for (batch, i, words), s, p in zip(rows, symbols, lp):
                 own = s[s < WORDS]
                 rest = s[s >= WORDS] - WORDS
                 ids.append(batch.column(0)[i].as_py())
                 keys.append(batch.column(1)[i].as_py())
-                n.append(len(w) + 1)
+                n.append(words + 1)
                 # The share of rare words in their class: the bucket's sum brings the counts of all words, so those of frequent ones go.
                 score.append(float(p - vocabulary.log_count[own].sum() - vocabulary.log_rest[rest].sum()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "key", "n_tokens", "net"])
