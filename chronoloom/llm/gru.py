@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import prepare, release, save
-from ._text import chunks, mix64, string_buffers, word_hashes
+from ._text import _SPACE, chunks, mix64, string_buffers, word_hashes
 
 #: Frequent words, their class size, spelling classes, width of the state.
 WORDS, CLASS, SPELLINGS, STATE = 1024, 32, 64, 16
@@ -40,19 +40,17 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(h):
         return h, rows
     b = raw[base : int(offsets[-1])]
-    solid = ~np.isin(b, np.array([0x20, *range(9, 14)], np.uint8))
-    inner = np.zeros(len(b) + 1, bool)
-    inner[:-1] = solid
-    starts = np.zeros(len(b) + 1, bool)
-    starts[(offsets - base)] = True
-    last = np.flatnonzero(solid & (~inner[1:] | starts[1:]))
+    solid = ~_SPACE[b]
+    ends = np.append(~solid[1:], True)
+    ends[(offsets[1:] - base)[offsets[1:] > base] - 1] = True
+    last = np.flatnonzero(solid & ends)
+    before = np.concatenate(([-1], last[:-1]))
     spelling = np.zeros(len(last), np.uint64)
-    first = np.concatenate(([0], last[:-1] + 1))
-    lower = b.astype(np.uint64) + ((b >= 65) & (b <= 90)) * np.uint64(32)
     for k in range(3):
-        at = last - k
-        use = (at >= first) & solid[np.maximum(at, 0)]
-        spelling = spelling * np.uint64(257) + np.where(use, lower[np.maximum(at, 0)], np.uint64(0))
+        at = np.maximum(last - k, 0)
+        c = b[at]
+        use = (last - k > before) & solid[at]
+        spelling = spelling * np.uint64(257) + np.where(use, c + ((c >= 65) & (c <= 90)) * np.uint8(32), 0).astype(np.uint64)
     cls = mix64(spelling) & np.uint64(SPELLINGS - 1)
     return (h >> np.uint64(24) << np.uint64(6) | cls) & np.uint64((1 << 46) - 1), rows
 
@@ -215,8 +213,10 @@ class Network:
         H, w = STATE, self.w
         inputs = w["gates"][x]
         states, saved = np.empty((*x.shape, H), np.float32), []
+        begins = fresh.any(1)
         for t in range(len(x)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            if begins[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             u = h @ w["turn"]
             zr = _sigmoid(inputs[t, :, : 2 * H] + u[:, : 2 * H])
             z, r = zr[:, :H], zr[:, H:]
@@ -258,6 +258,7 @@ class Network:
         H, w = STATE, self.w
         states, h, saved = self._forward(x, fresh, h, True)
         T, B = x.shape
+        begins = fresh.any(1)
         at = np.flatnonzero(live.ravel())
         s, target = states.reshape(-1, H)[at], y.ravel()[at]
         lp, p, c, inner = self._logits(s, target)
@@ -286,7 +287,9 @@ class Network:
             dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dz, dr, dn
             du = np.concatenate((dz, dr, dn * r), 1)
             g["turn"] += before.T @ du
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + du @ w["turn"].T)
+            dh = dh * z + du @ w["turn"].T
+            if begins[t]:
+                dh[fresh[t]] = 0
         flat, dflat = x.ravel(), dx.reshape(-1, 3 * H)
         order = np.argsort(flat, kind="stable")
         sym, first = np.unique(flat[order], return_index=True)
