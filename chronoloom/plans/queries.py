@@ -203,9 +203,22 @@ SELECT target, CASE WHEN b.start_frame + b.frame_count > target THEN b.block_ind
        WHEN coalesce(i + 1, 0) <= (SELECT max(block_index) FROM b) THEN 'after-gap' ELSE 'not found' END AS method
 FROM h LEFT JOIN b ON b.block_index = h.i""")
 def find_blocks(spark, sf_dir):
+    return _found(spark, sf_dir, events(spark, sf_dir).where("event_id % 10 = 0"))
+
+
+# Every event is a target; the SQL of find_blocks takes every tenth.
+@query("find_blocks_whole", f"""WITH {_REBLOCK}, t AS (SELECT event_id * 3 AS target FROM events), z AS (SELECT max(block_index) AS last_block FROM b),
+h AS (SELECT target, b.block_index AS i, b.start_frame + b.frame_count > target AS inside, coalesce(b.block_index + 1, 0) AS after FROM t ASOF LEFT JOIN b ON t.target >= b.start_frame)
+SELECT target, CASE WHEN inside THEN i WHEN after <= last_block THEN after END AS block_index,
+  CASE WHEN inside THEN CASE WHEN i = target // 5 THEN 'closed-form' ELSE 'binary-search' END WHEN after <= last_block THEN 'after-gap' ELSE 'not found' END AS method
+FROM h, z""")
+def find_blocks_whole(spark, sf_dir):
+    return _found(spark, sf_dir, events(spark, sf_dir))
+
+
+def _found(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
     blocks = sequence.reblocked(recorded(spark, sf_dir), 5)
-    targets = events(spark, sf_dir).where("event_id % 10 = 0").select((F.col("event_id") * 3).alias("frame"))
-    return lookup.find_blocks(targets, blocks, 5)
+    return lookup.find_blocks(targets.select((F.col("event_id") * 3).alias("frame")), blocks, 5)
 
 
 @query("read_cost", "SELECT event_id, (1 + event_id % 60) * 64 + (1 + user_id % 32) * (event_id + 1) * 4 AS bytes, (1 + event_id % 60) * (2 + user_id % 32) AS calls FROM events")
@@ -441,10 +454,21 @@ def running_peak(spark, sf_dir):
 @query("transport_position", f"""WITH {_EVENTS}, t0 AS (SELECT min(us) AS z FROM e), c AS (SELECT us - z AS at_us, event_id % 100 <> 0 AS playing, event_id * 3 AS anchor, 0.5 + user_id % 4 AS speed FROM e, t0 WHERE event_id % 50 = 0), t AS (SELECT us - z AS at_us FROM e, t0 WHERE event_id % 3 = 1)
 SELECT t.at_us, (CASE WHEN c.playing THEN greatest(0, least(anchor + floor((t.at_us - c.at_us) / 1e6::DOUBLE * 2::DOUBLE * speed::DOUBLE)::BIGINT, 25000)) WHEN NOT c.playing THEN least(anchor, 25000) ELSE 0 END)::BIGINT AS position FROM t ASOF LEFT JOIN c ON t.at_us >= c.at_us""")
 def transport_position(spark, sf_dir):
+    return _positions(spark, sf_dir, "event_id % 3 = 1")
+
+
+# Every event is a clock row; the SQL of transport_position takes every third.
+@query("transport_position_whole", f"""WITH {_EVENTS}, t0 AS (SELECT min(us) AS z FROM e), c AS (SELECT us - z AS at_us, event_id % 100 <> 0 AS playing, event_id * 3 AS anchor, 0.5 + user_id % 4 AS speed FROM e, t0 WHERE event_id % 50 = 0), t AS (SELECT us - z AS at_us FROM e, t0)
+SELECT t.at_us, (CASE WHEN c.playing THEN greatest(0, least(anchor + floor((t.at_us - c.at_us) / 1e6::DOUBLE * 2::DOUBLE * speed::DOUBLE)::BIGINT, 25000)) WHEN NOT c.playing THEN least(anchor, 25000) ELSE 0 END)::BIGINT AS position FROM t ASOF LEFT JOIN c ON t.at_us >= c.at_us""")
+def transport_position_whole(spark, sf_dir):
+    return _positions(spark, sf_dir, "true")
+
+
+def _positions(spark: SparkSession, sf_dir: str, clock: str) -> DataFrame:
     e = events(spark, sf_dir)
     e = e.crossJoin(e.agg(F.min("us").alias("z"))).withColumn("at_us", F.col("us") - F.col("z"))  # one row
     commands = e.where("event_id % 50 = 0").select("at_us", (F.col("event_id") % 100 != 0).alias("playing"), (F.col("event_id") * 3).alias("anchor"), (0.5 + F.col("user_id") % 4).cast("double").alias("speed"))
-    return lookup.transport_positions(e.where("event_id % 3 = 1").select("at_us"), commands, rate=2.0, end_frame=25000, chunk=3_600_000_000)
+    return lookup.transport_positions(e.where(clock).select("at_us"), commands, rate=2.0, end_frame=25000, chunk=3_600_000_000)
 
 
 @query("playback_segments", f"""WITH {_EVENTS}, c AS (SELECT us AS at_us, event_id % 100 <> 0 AS playing, 0.5::DOUBLE + user_id % 4 AS speed FROM e WHERE event_id % 50 = 0), s AS (SELECT *, lead(at_us) OVER (ORDER BY at_us) AS until_us FROM c)

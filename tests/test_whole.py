@@ -30,3 +30,12 @@ def test_throttled_log_whole(spark):
             fold.append((event, at))
     assert got == want == sorted(fold, key=repr)
     assert len(got) > QUERIES["throttled_log"](spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["find_blocks", "transport_position"])
+def test_every_event_has_its_row(spark, name):
+    got, want = both(spark, name + "_whole", "events")
+    some, _ = both(spark, name, "events")
+    assert got == want
+    assert len(got) == 10_000 > len(some)
+    assert set(some) < set(got)
