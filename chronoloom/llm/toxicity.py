@@ -27,10 +27,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 STEMS = range(3, 9)
 #: A word that is no known unit moves a segment by this much.
 DRIFT = -0.25
-#: Units must differ from the base rate by so many standard deviations, and at most so many are kept.
+#: Units must differ from the base rate by so many standard deviations, and at most so many are kept, positive ones first.
 LEAST_Z, MAX_UNITS = 3.3, 50_000
 PRIOR = 1.0
-#: Toxic occurrences that one word adds to the count of its beginnings, at most.
+#: Toxic occurrences that one word adds to the count of its beginnings, at most; its clean ones in proportion.
 STEM_SHARE = 5
 #: Labelled rows that training uses at most.
 MAX_LABELLED = 100_000
@@ -159,9 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sums = [(F.sum if c in _COUNTS[:2] else F.bit_or)(c).alias(c) for c in _COUNTS]
     words = save(words.groupBy("unit").agg(*sums), "toxic-words")
     # A single word, however frequent, must not speak for the other words that begin like it.
-    stems = words.withColumn("toxic", F.least("toxic", F.lit(STEM_SHARE)))
+    # Its clean occurrences shrink as its toxic ones do, so a neutral word leaves its beginnings neutral; sums of
+    # decimals do not depend on their order.
+    share = F.when(F.col("toxic") > STEM_SHARE, STEM_SHARE / F.col("toxic")).otherwise(1.0)
+    stems = words.withColumns({"toxic": F.least("toxic", F.lit(STEM_SHARE)), "clean": (F.col("clean") * share).cast("decimal(20,3)")})
     stems = stems.withColumn("k", F.explode(F.array(*[F.lit(k) for k in STEMS]))).where(F.col("k") < F.char_length("unit"))
     stems = stems.select(F.concat(F.substring("unit", F.lit(1), F.col("k")), F.lit("*")).alias("unit"), *_COUNTS).groupBy("unit").agg(*sums)
+    stems = stems.withColumn("clean", F.col("clean").cast("double"))
     totals = words.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).first()
     clean, toxic = float(totals["c"] or 0), float(totals["t"] or 0)
     if not clean or not toxic:
@@ -176,14 +180,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     units = words.unionByName(stems).withColumns({"nt": distinct + a1, "nc": F.col("clean") + a0})
     units = units.withColumns({"odds": F.log(F.col("nt") / F.col("nc")) - math.log(a1 / a0), "sd": F.sqrt(1 / F.col("nt") + 1 / F.col("nc"))})
     units = units.withColumn("z", F.abs("odds") / F.col("sd")).where((F.col("z") >= LEAST_Z) & (F.col("toxic") + F.col("clean") >= 4))
-    kept = units.orderBy(F.col("z").desc(), "unit").limit(MAX_UNITS).collect()
+    s = F.when(F.col("odds") > 0, F.least(F.lit(12.0), F.col("odds") - 2 * F.col("sd"))).otherwise(F.col("odds") + 2 * F.col("sd"))
+    units = units.withColumn("s", s).where((F.col("s") > 1) | (F.col("s") < DRIFT))
+    # Negative units only lower scores: they take what room the positive ones leave.
+    kept = units.orderBy((F.col("s") > 0).desc(), F.col("z").desc(), "unit").limit(MAX_UNITS).select("unit", "s", "clean").collect()
     scores, hits = {}, {}
     for r in kept:
-        s = min(12.0, r["odds"] - 2 * r["sd"]) if r["odds"] > 0 else r["odds"] + 2 * r["sd"]
-        if s > 1 or s < DRIFT:
-            scores[r["unit"]] = s
-            if s > 0 and not r["unit"].endswith("*"):
-                hits[round(s, 1)] = hits.get(round(s, 1), 0.0) + r["clean"]
+        scores[r["unit"]] = r["s"]
+        if r["s"] > 0 and not r["unit"].endswith("*"):
+            hits[round(r["s"], 1)] = hits.get(round(r["s"], 1), 0.0) + r["clean"]
     return Model(scores, documents, *_decay(hits, clean))
 
 
