@@ -554,7 +554,16 @@ def clamped_speeds(spark, sf_dir):
 
 @query("widened_values", f"WITH {_DENSE} SELECT frame, channel, value::DOUBLE AS widened FROM d WHERE channel < 2")
 def widened_values(spark, sf_dir):
-    d = dense(spark, sf_dir).where("channel < 2")
+    return _widened(dense(spark, sf_dir).where("channel < 2"))
+
+
+# Every channel; the SQL of widened_values takes two.
+@query("widened_values_whole", f"WITH {_DENSE} SELECT frame, channel, value::DOUBLE AS widened FROM d")
+def widened_values_whole(spark, sf_dir):
+    return _widened(dense(spark, sf_dir))
+
+
+def _widened(d: DataFrame) -> DataFrame:
     return d.select("frame", "channel", text.widened(F.col("value")).cast("double").alias("widened"))
 
 
@@ -621,9 +630,18 @@ def _written(spark: SparkSession, frames: DataFrame, frames_per_block: int, rate
 
 @query("recording_round_trip", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame % 50 <> 7 AND frame >= 30 AND frame < 400 AND channel IN (1, 5, 63)")
 def recording_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir).where("frame >= 30 AND frame < 400 AND channel IN (1, 5, 63)").select("frame", "channel", "value")
+
+
+# Every value written is read back; recording_round_trip reads a pruned part.
+@query("recording_round_trip_whole", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame % 50 <> 7")
+def recording_round_trip_whole(spark, sf_dir):
+    return _round_trip(spark, sf_dir).select("frame", "channel", "value")
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 7").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("values"))
-    s = recording.read(spark, _written(spark, e, 40, 100.0))
-    return s.where("frame >= 30 AND frame < 400 AND channel IN (1, 5, 63)").select("frame", "channel", "value")
+    return recording.read(spark, _written(spark, e, 40, 100.0))
 
 
 @query("recording_ledger", "SELECT start_frame, frame_count, 4 AS cause_code, 'header' AS source FROM (SELECT vec_id AS start_frame, 1::BIGINT AS frame_count FROM embeddings WHERE vec_id % 50 = 7)")

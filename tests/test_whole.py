@@ -39,3 +39,12 @@ def test_every_event_has_its_row(spark, name):
     assert got == want
     assert len(got) == 10_000 > len(some)
     assert set(some) < set(got)
+
+
+@pytest.mark.parametrize("name, rows", [("widened_values", 500 * 64), ("recording_round_trip", 490 * 64)])
+def test_every_value_has_its_row(spark, name, rows):
+    got, want = both(spark, name + "_whole", "embeddings")
+    some, _ = both(spark, name, "embeddings")
+    assert got == want
+    assert len(got) == rows
+    assert set(some) < set(got)
