@@ -41,7 +41,8 @@ def _fingerprint(s: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, fp: the size and name of each document's window set."""
+    """doc_id, n_shingles, fp: the size and name of each document's window set; and what docs has after id and text."""
+    more = docs.schema.fields[2:]
 
     def run(batches):
         for batch in batches:
@@ -49,9 +50,10 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
             for _, s in _sets(batch, width):
                 n.append(len(s))
                 fp.append(_fingerprint(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "n_shingles", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), *batch.columns[2:]], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long")
+    names = ["doc_id", "n_shingles", "fp", *[f.name for f in more]]
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
 
 
 def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -204,11 +206,19 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     Null or empty text, or text without words, has no windows and links with nothing. Rows that repeat a
     doc_id are documents of their own; a row without doc_id has no component. An empty table gives no rows.
     """
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own, labels = _labelled(d, width, threshold)
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return own.join(labels, "fp", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The document_sets of docs(doc_id, text, ...), and fp, comp, component_id of those with windows; comp names one component only."""
     num, den = threshold
     spark = docs.sparkSession
     prepare(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = save(document_sets(d, width), "jaccard-documents")
+    d = docs.select("doc_id", "text")
+    own = save(document_sets(docs, width), "jaccard-documents")
     named = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_TOKENS)))
@@ -271,10 +281,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     classes = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp"))
     classes = save(classes.select("fp", "comp", "first"), "jaccard-classes")
     least = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
-    labels = save(classes.join(least, "comp").select("fp", "component_id"), "jaccard-components")
-    out = own.join(labels, "fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return own, save(classes.join(least, "comp").select("fp", "comp", "component_id"), "jaccard-components")
 
 
 def _expanded(tested: DataFrame, reach: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -298,8 +305,18 @@ def _expanded(tested: DataFrame, reach: DataFrame, comps: DataFrame, sets: DataF
     return _verified(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets).where(_linked(num, den)).select("a", "b")
 
 
-def first_of_each_component(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, once per id; rows without id stay."""
-    found = jaccard_components(docs, id_col=id_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(save(found, "jaccard-kept"), id_col, "left_semi").dropDuplicates([id_col])
+def first_of_each_component(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of docs the row with the smallest id, of several texts of that id one; rows without id stay.
+
+    Rows that repeat an id with texts that nothing links are components of their own, so each stays; rows that
+    repeat id and text stay once.
+    """
+    named = F.xxhash64(F.col(text_col).cast("string"))
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), named.alias("row"))
+    own, labels = _labelled(d, width, threshold)
+    own = own.where("doc_id IS NOT NULL")
+    least = own.where("n_shingles > 0").join(labels, "fp").groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("k")).select("k.*")
+    found = save(least.unionByName(own.where("n_shingles = 0").select("doc_id", "row").distinct()), "jaccard-kept").select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"))
+    rows = docs.where(F.col(id_col).isNotNull()).withColumns({"__doc": F.col(id_col).cast("long"), "__row": named})
+    kept = rows.join(found, ["__doc", "__row"], "left_semi").dropDuplicates(["__doc", "__row"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
