@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -50,6 +51,9 @@ class OpenRecording:
         return first, last
 
     def samples(self, first: int, last: int, channels: list[int]) -> DataFrame:
+        """frame, channel, value and more of first..last - 1; a channel that the recording lacks raises ValueError."""
+        if bad := [c for c in channels if not 0 <= c < self.header["channel_count"]]:
+            raise ValueError(f"channels {bad} are outside 0..{self.header['channel_count'] - 1}")
         return self.table("samples").where((F.col("frame") >= first) & (F.col("frame") < last) & F.col("channel").isin(channels))
 
     def read(self, start: str | None = None, stop: str | None = None, channels=None) -> DataFrame:
@@ -173,8 +177,14 @@ class OpenRecording:
 
 @arrow_udf(BinaryType())
 def _pack(values: pa.Array) -> pa.Array:
-    """Little-endian single-precision bytes of each array."""
-    return pa.array([np.array(x, "<f4").tobytes() for x in values.to_pylist()], pa.binary())
+    """Little-endian single-precision bytes of each array: its own memory, with four bytes a value."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    flat = values.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4", copy=False)
+    ends = np.concatenate(([0], np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64) * 4
+    valid = values.is_valid()
+    out = pa.Array.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+    return out if not values.null_count else pa.compute.if_else(valid, out, pa.scalar(None, pa.binary()))
 
 
 def open_recording(spark: SparkSession, path: str) -> OpenRecording:

@@ -6,7 +6,6 @@ one (frame = event_id; errors are lost frames) and as a log.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import signal, text
 from ..functions.crc import crc32c_udf
 from ..operators import envelope, ledger, lookup, ordered, pacing, sequence, validate
+from ..shared import scratch
 from ..sources import recording, side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,29 +196,14 @@ b AS (SELECT row_number() OVER (ORDER BY start_frame) - 1 AS block_index, start_
   CASE WHEN part = 0 THEN start_frame - lag(start_frame + frame_count, 1, 0::BIGINT) OVER (ORDER BY start_frame) ELSE 0 END AS preceding_gap, frame_count < 5 AS short FROM c)"""
 
 
-@query("find_blocks", f"""WITH {_REBLOCK}, t AS (SELECT event_id * 3 AS target FROM events WHERE event_id % 10 = 0),
-h AS (SELECT target, (SELECT max(block_index) FROM b WHERE start_frame <= target) AS i FROM t)
-SELECT target, CASE WHEN b.start_frame + b.frame_count > target THEN b.block_index WHEN coalesce(i + 1, 0) <= (SELECT max(block_index) FROM b) THEN coalesce(i + 1, 0) END AS block_index,
-  CASE WHEN b.start_frame + b.frame_count > target THEN CASE WHEN b.block_index = target // 5 THEN 'closed-form' ELSE 'binary-search' END
-       WHEN coalesce(i + 1, 0) <= (SELECT max(block_index) FROM b) THEN 'after-gap' ELSE 'not found' END AS method
-FROM h LEFT JOIN b ON b.block_index = h.i""")
-def find_blocks(spark, sf_dir):
-    return _found(spark, sf_dir, events(spark, sf_dir).where("event_id % 10 = 0"))
-
-
-# Every event is a target; the SQL of find_blocks takes every tenth.
-@query("find_blocks_whole", f"""WITH {_REBLOCK}, t AS (SELECT event_id * 3 AS target FROM events), z AS (SELECT max(block_index) AS last_block FROM b),
+@query("find_blocks", f"""WITH {_REBLOCK}, t AS (SELECT event_id * 3 AS target FROM events), z AS (SELECT max(block_index) AS last_block FROM b),
 h AS (SELECT target, b.block_index AS i, b.start_frame + b.frame_count > target AS inside, coalesce(b.block_index + 1, 0) AS after FROM t ASOF LEFT JOIN b ON t.target >= b.start_frame)
 SELECT target, CASE WHEN inside THEN i WHEN after <= last_block THEN after END AS block_index,
   CASE WHEN inside THEN CASE WHEN i = target // 5 THEN 'closed-form' ELSE 'binary-search' END WHEN after <= last_block THEN 'after-gap' ELSE 'not found' END AS method
 FROM h, z""")
-def find_blocks_whole(spark, sf_dir):
-    return _found(spark, sf_dir, events(spark, sf_dir))
-
-
-def _found(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
+def find_blocks(spark, sf_dir):
     blocks = sequence.reblocked(recorded(spark, sf_dir), 5)
-    return lookup.find_blocks(targets.select((F.col("event_id") * 3).alias("frame")), blocks, 5)
+    return lookup.find_blocks(events(spark, sf_dir).select((F.col("event_id") * 3).alias("frame")), blocks, 5)
 
 
 @query("read_cost", "SELECT event_id, (1 + event_id % 60) * 64 + (1 + user_id % 32) * (event_id + 1) * 4 AS bytes, (1 + event_id % 60) * (2 + user_id % 32) AS calls FROM events")
@@ -451,24 +436,14 @@ def running_peak(spark, sf_dir):
     return ordered.running(events(spark, sf_dir), "max", F.col("value"), "peak", order=["event_id"]).select("event_id", "peak")
 
 
-@query("transport_position", f"""WITH {_EVENTS}, t0 AS (SELECT min(us) AS z FROM e), c AS (SELECT us - z AS at_us, event_id % 100 <> 0 AS playing, event_id * 3 AS anchor, 0.5 + user_id % 4 AS speed FROM e, t0 WHERE event_id % 50 = 0), t AS (SELECT us - z AS at_us FROM e, t0 WHERE event_id % 3 = 1)
+@query("transport_position", f"""WITH {_EVENTS}, t0 AS (SELECT min(us) AS z FROM e), c AS (SELECT us - z AS at_us, event_id % 100 <> 0 AS playing, event_id * 3 AS anchor, 0.5 + user_id % 4 AS speed FROM e, t0 WHERE event_id % 50 = 0), t AS (SELECT us - z AS at_us FROM e, t0)
 SELECT t.at_us, (CASE WHEN c.playing THEN greatest(0, least(anchor + floor((t.at_us - c.at_us) / 1e6::DOUBLE * 2::DOUBLE * speed::DOUBLE)::BIGINT, 25000)) WHEN NOT c.playing THEN least(anchor, 25000) ELSE 0 END)::BIGINT AS position FROM t ASOF LEFT JOIN c ON t.at_us >= c.at_us""")
 def transport_position(spark, sf_dir):
-    return _positions(spark, sf_dir, "event_id % 3 = 1")
-
-
-# Every event is a clock row; the SQL of transport_position takes every third.
-@query("transport_position_whole", f"""WITH {_EVENTS}, t0 AS (SELECT min(us) AS z FROM e), c AS (SELECT us - z AS at_us, event_id % 100 <> 0 AS playing, event_id * 3 AS anchor, 0.5 + user_id % 4 AS speed FROM e, t0 WHERE event_id % 50 = 0), t AS (SELECT us - z AS at_us FROM e, t0)
-SELECT t.at_us, (CASE WHEN c.playing THEN greatest(0, least(anchor + floor((t.at_us - c.at_us) / 1e6::DOUBLE * 2::DOUBLE * speed::DOUBLE)::BIGINT, 25000)) WHEN NOT c.playing THEN least(anchor, 25000) ELSE 0 END)::BIGINT AS position FROM t ASOF LEFT JOIN c ON t.at_us >= c.at_us""")
-def transport_position_whole(spark, sf_dir):
-    return _positions(spark, sf_dir, "true")
-
-
-def _positions(spark: SparkSession, sf_dir: str, clock: str) -> DataFrame:
+    """Every event is a row of the clock; every fiftieth also is a command."""
     e = events(spark, sf_dir)
     e = e.crossJoin(e.agg(F.min("us").alias("z"))).withColumn("at_us", F.col("us") - F.col("z"))  # one row
     commands = e.where("event_id % 50 = 0").select("at_us", (F.col("event_id") % 100 != 0).alias("playing"), (F.col("event_id") * 3).alias("anchor"), (0.5 + F.col("user_id") % 4).cast("double").alias("speed"))
-    return lookup.transport_positions(e.where(clock).select("at_us"), commands, rate=2.0, end_frame=25000, chunk=3_600_000_000)
+    return lookup.transport_positions(e.select("at_us"), commands, rate=2.0, end_frame=25000, chunk=3_600_000_000)
 
 
 @query("playback_segments", f"""WITH {_EVENTS}, c AS (SELECT us AS at_us, event_id % 100 <> 0 AS playing, 0.5::DOUBLE + user_id % 4 AS speed FROM e WHERE event_id % 50 = 0), s AS (SELECT *, lead(at_us) OVER (ORDER BY at_us) AS until_us FROM c)
@@ -484,24 +459,12 @@ def emit_schedule(spark, sf_dir):
     return pacing.emit_schedule(recorded(spark, sf_dir).where("frame >= 100"), 100, 4000, 2.0)
 
 
-@query("throttled_log", """WITH RECURSIVE e AS (SELECT event_type AS event, epoch_us(ts) // 1000 AS at_ms, event_id FROM events WHERE event_id < 2000),
-r AS (SELECT event, min(at_ms) AS at_ms FROM e GROUP BY event UNION ALL SELECT r.event, (SELECT min(e.at_ms) FROM e WHERE e.event = r.event AND e.at_ms >= r.at_ms + 600000) FROM r WHERE EXISTS (SELECT 1 FROM e WHERE e.event = r.event AND e.at_ms >= r.at_ms + 600000))
-SELECT event, at_ms FROM r""")
-def throttled_log(spark, sf_dir):
-    return _throttled(events(spark, sf_dir).where("event_id < 2000"))
-
-
-# The whole log; throttled_log is held to the first 2,000 events by its SQL.
-@query("throttled_log_whole", """WITH RECURSIVE e AS (SELECT DISTINCT event_type AS event, epoch_us(ts) // 1000 AS at_ms FROM events),
+@query("throttled_log", """WITH RECURSIVE e AS (SELECT DISTINCT event_type AS event, epoch_us(ts) // 1000 AS at_ms FROM events),
 n AS MATERIALIZED (SELECT a.event, a.at_ms, b.at_ms AS next_ms FROM (SELECT event, at_ms, at_ms + 600000 AS due FROM e) a ASOF JOIN e b ON a.event = b.event AND a.due <= b.at_ms),
 r AS (SELECT event, min(at_ms) AS at_ms FROM e GROUP BY event UNION ALL SELECT n.event, n.next_ms FROM r JOIN n ON n.event = r.event AND n.at_ms = r.at_ms)
 SELECT event, at_ms FROM r""")
-def throttled_log_whole(spark, sf_dir):
-    return _throttled(events(spark, sf_dir))
-
-
-def _throttled(log: DataFrame) -> DataFrame:
-    return pacing.throttled(log.select(F.col("event_type").alias("event"), F.floor(F.col("us") / 1000).alias("at_ms")), 600_000)
+def throttled_log(spark, sf_dir):
+    return pacing.throttled(events(spark, sf_dir).select(F.col("event_type").alias("event"), F.floor(F.col("us") / 1000).alias("at_ms")), 600_000)
 
 
 @query("tumbling_events", f"WITH {_EVENTS} SELECT us // 3600000000 AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL")
@@ -552,19 +515,9 @@ def clamped_speeds(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", lookup.speed(F.col("value") / 10).alias("speed"), text.csv_size_estimate(F.col("value"), F.lit(4000.0), F.col("user_id") % 32).alias("csv_bytes"))
 
 
-@query("widened_values", f"WITH {_DENSE} SELECT frame, channel, value::DOUBLE AS widened FROM d WHERE channel < 2")
+@query("widened_values", f"WITH {_DENSE} SELECT frame, channel, value::DOUBLE AS widened FROM d")
 def widened_values(spark, sf_dir):
-    return _widened(dense(spark, sf_dir).where("channel < 2"))
-
-
-# Every channel; the SQL of widened_values takes two.
-@query("widened_values_whole", f"WITH {_DENSE} SELECT frame, channel, value::DOUBLE AS widened FROM d")
-def widened_values_whole(spark, sf_dir):
-    return _widened(dense(spark, sf_dir))
-
-
-def _widened(d: DataFrame) -> DataFrame:
-    return d.select("frame", "channel", text.widened(F.col("value")).cast("double").alias("widened"))
+    return dense(spark, sf_dir).select("frame", "channel", text.widened(F.col("value")).cast("double").alias("widened"))
 
 
 @query("crc32c_documents")
@@ -615,39 +568,31 @@ def first_rows_per_type(spark, sf_dir):
 
 # The file format, written and read back.
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="chronoloom-", dir=None if not shared else shared.removeprefix("file://"))
-
-
-def _written(spark: SparkSession, frames: DataFrame, frames_per_block: int, rate: float) -> str:
-    recording.register(spark)
-    folder = _folder(spark)
-    one = frames.select("frame", "values").coalesce(1).sortWithinPartitions("frame")
-    one.write.format("recording").option("rate", rate).option("framesperblock", frames_per_block).mode("append").save(folder)
+def _written(spark: SparkSession, frames: DataFrame, frames_per_block: int, rate: float, range_frames: int) -> str:
+    """A folder of recordings, one per range of frames."""
+    folder = scratch(spark, "recording")
+    recording.write_ranges(frames, folder, rate=rate, frames_per_block=frames_per_block, range_frames=range_frames).collect()  # a row per file
     return folder
 
 
-@query("recording_round_trip", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame % 50 <> 7 AND frame >= 30 AND frame < 400 AND channel IN (1, 5, 63)")
-def recording_round_trip(spark, sf_dir):
-    return _round_trip(spark, sf_dir).where("frame >= 30 AND frame < 400 AND channel IN (1, 5, 63)").select("frame", "channel", "value")
+def _recorded_embeddings(spark: SparkSession, sf_dir: str) -> str:
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 7").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("values"))
+    return _written(spark, e, 40, 100.0, range_frames=200)
 
 
-# Every value written is read back; recording_round_trip reads a pruned part.
-@query("recording_round_trip_whole", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame % 50 <> 7")
-def recording_round_trip_whole(spark, sf_dir):
-    return _round_trip(spark, sf_dir).select("frame", "channel", "value")
+@query("recording_round_trip", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame % 50 <> 7")
+def recording_round_trip(spark, sf_dir):
+    return recording.read(spark, _recorded_embeddings(spark, sf_dir)).select("frame", "channel", "value")
 
 
-def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 7").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("values"))
-    return recording.read(spark, _written(spark, e, 40, 100.0))
+@query("recording_range", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame % 50 <> 7 AND frame >= 130 AND frame < 417 AND channel IN (1, 5, 63)")
+def recording_range(spark, sf_dir):
+    return recording.read(spark, _recorded_embeddings(spark, sf_dir)).where("frame >= 130 AND frame < 417 AND channel IN (1, 5, 63)").select("frame", "channel", "value")
 
 
 @query("recording_ledger", "SELECT start_frame, frame_count, 4 AS cause_code, 'header' AS source FROM (SELECT vec_id AS start_frame, 1::BIGINT AS frame_count FROM embeddings WHERE vec_id % 50 = 7)")
 def recording_ledger(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 7").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("values"))
-    return recording.read(spark, _written(spark, e, 40, 100.0), "ledger").select("start_frame", "frame_count", "cause_code", "source")
+    return recording.read(spark, _recorded_embeddings(spark, sf_dir), "ledger").select("start_frame", "frame_count", "cause_code", "source")
 
 
 @query("recording_validation", "SELECT 3 * 3997::BIGINT AS recorded, 9::BIGINT AS missing, 0::BIGINT AS duplicated, 1::BIGINT AS incorrect, 0::BIGINT AS corrupt, true AS ledger_agrees, 3 * 3997::BIGINT AS expected, 1 AS exit_code, 'FAIL' AS result")
@@ -656,4 +601,4 @@ def recording_validation(spark, sf_dir):
 
     f = signal.interleaved(spark, 3, 4000).where("frame NOT BETWEEN 2500 AND 2502")
     f = f.withColumn("values", F.when(F.col("frame") == 1234, F.transform("values", lambda v, i: F.when(i == 2, v + F.lit(1).cast("float")).otherwise(v))).otherwise(F.col("values")))
-    return open_recording(spark, _written(spark, f, 500, 1000.0) + "/part-000000.sigb").validate()
+    return open_recording(spark, _written(spark, f, 500, 1000.0, range_frames=4000) + "/part-000000.sigb").validate()

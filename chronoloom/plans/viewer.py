@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import struct
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import envelope as env
@@ -21,8 +23,10 @@ SLOWEST, FASTEST = 0.05, 16.0
 def frame_bytes(r: OpenRecording, first: int, span: int, columns: int, channels: list[int], per_column: int, **extra) -> bytes:
     """A packed window: JSON length, JSON padded to four bytes, then min and max per channel and column as floats.
 
-    Channels keep their order; a column without data is NaN. The grid starts at `first`, which the caller aligns.
+    Channels keep their order, those that the recording lacks are left out; a column without data is NaN. The grid
+    starts at `first`, which the caller aligns.
     """
+    channels = [c for c in channels if 0 <= c < r.header["channel_count"]]
     end = r.extent["end_frame"]
     a = max(0, min(first, end))
     z = min(a + span, end)
@@ -94,19 +98,33 @@ class Transport:
         self.anchor, self.since = at, self.now()
 
 
-def playback(r: OpenRecording, first: int, last: int, channels: list[int], *, frames: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
-    """(start, values) of consecutive ranges, frame by channel, NaN for lost frames; one range at a time on the driver."""
-    for a in range(first, last, frames):
-        z = min(last, a + frames)
-        out = np.full((z - a, len(channels)), np.nan, "<f4")
-        slot = {c: k for k, c in enumerate(channels)}
-        hit = r.source.find(a)
-        for b in range(hit[0] if hit else r.extent["block_count"], r.extent["block_count"]):
-            head = r.source.sound(b)
-            if head is None or head["start_frame"] >= z:
-                break
-            lo, hi = max(a, head["start_frame"]), min(z, head["start_frame"] + head["frame_count"])
-            if hi > lo:
-                for c, k in slot.items():
-                    out[lo - a : hi - a, k] = r.source.run(b, head, c, lo - head["start_frame"], hi - lo)
-        yield a, out
+def playback(r: OpenRecording, first: int, last: int, channels: list[int], *, frames: int = 4096) -> DataFrame:
+    """start, frames, values, present: consecutive packets of a range, frame by channel as little-endian floats, NaN for
+    lost frames; present: frames that were recorded. Packets are built by the tasks; a client takes them in order of start.
+    """
+    return packets(r.samples(first, last, sorted(set(channels))), first, last, channels, frames)
+
+
+def packets(samples: DataFrame, first: int, last: int, channels: list[int], frames: int) -> DataFrame:
+    """playback() over samples(frame, channel, value); a row for every packet, also for one that was lost as a whole."""
+    spark = samples.sparkSession
+    start = (F.col("frame") - first) - F.pmod(F.col("frame") - first, F.lit(frames)) + first
+    held = samples.groupBy(start.alias("start"), "channel").agg(F.collect_list(F.struct("frame", "value")).alias("run"), F.count("*").alias("n"))
+    held = held.groupBy("start").agg(F.collect_list(F.struct("channel", "run")).alias("runs"), F.max("n").alias("present"))
+    spine = spark.range(first, max(first, last), frames).withColumnRenamed("id", "start")
+    rows = spine.join(held, "start", "left").select("start", F.least(F.lit(frames), F.lit(last) - F.col("start")).alias("frames"), "runs", F.coalesce("present", F.lit(0)).alias("present"))
+    slots = {c: [k for k, x in enumerate(channels) if x == c] for c in set(channels)}
+
+    def run(batches):
+        for batch in batches:
+            data = []
+            for at, n, runs in zip(batch.column("start").to_pylist(), batch.column("frames").to_pylist(), batch.column("runs")):
+                out = np.full((n, len(channels)), np.nan, "<f4")
+                for i in range(len(runs.values) if runs.is_valid else 0):
+                    one = runs.values[i]
+                    frame, value = (one["run"].values.field(k).to_numpy(zero_copy_only=False) for k in ("frame", "value"))
+                    out[(frame - at)[:, None], slots[one["channel"].as_py()]] = value[:, None]
+                data.append(out.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("start"), batch.column("frames"), pa.array(data, pa.binary()), batch.column("present")], ["start", "frames", "values", "present"])
+
+    return rows.mapInArrow(run, "start long, frames long, values binary, present long")

@@ -18,3 +18,12 @@ def listed(uri: str, suffix: str) -> list[str]:
         scheme = uri[: uri.index("://") + 3] if "://" in uri else ""
         return [scheme + p if scheme else p for p in found]
     return [uri]
+
+
+def sized(uris: list[str]) -> list[int]:
+    """Bytes of each file."""
+    out = []
+    for uri in uris:
+        fs, path = locate(uri)
+        out.append(fs.get_file_info(path).size)
+    return out

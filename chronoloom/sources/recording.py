@@ -1,8 +1,12 @@
 """Recordings as a Spark data source: spark.read.format("recording").option("table", ...).load(path).
 
 Tables: header, blocks, samples, planar, ledger, findings. Filters on frame and channel reach the source:
-a frame range becomes a range of blocks, found on the driver by closed form or binary search, and a list
-of channels becomes one contiguous read per block and channel. A task holds one block at a time.
+a frame range becomes the list of blocks whose sound headers overlap it, and a list of channels becomes
+one contiguous read per block and channel. A task holds one block at a time.
+
+On damage, samples and planar give the values of every sound block: a block whose header can't be read is
+left out and reading goes on behind it; a block that the file has twice gives its values twice. A pushed
+filter never changes which rows there are.
 """
 
 from __future__ import annotations
@@ -12,17 +16,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import signal
 from ..functions.crc import crc32c
+from ..shared import ship
 from . import layout
-from .files import listed, locate
+from .files import listed, locate, sized
 
-#: Payload bytes that one task reads, about.
-TASK_BYTES = 64 << 20
+#: Payload bytes that one task reads: at most, and at least where there is work for more tasks.
+TASK_BYTES, LEAST_TASK_BYTES = 64 << 20, 2 << 20
+#: The driver reads block headers to prune a range up to so many; beyond that the tasks skip blocks themselves.
+MOST_HEADERS, MOST_FILES = 65_536, 64
 LEDGER_WINDOW = 2 << 20
 SUFFIX = ".sigb"
 
@@ -46,58 +54,76 @@ class Recording:
         self.file = fs.open_input_file(path)
         self.size = self.file.size()
         self.header = layout.header_of(self.file.read_at(min(self.size, layout.FILE_HEADER), 0))
+        #: Blocks that fill their stride within the file.
+        self.whole = max(0, self.size - self.header["header_bytes"]) // self.header["block_stride_bytes"]
         self.extent = self._extent()
+        self._index: tuple[np.ndarray, np.ndarray] | None = None
 
     def offset(self, block: int) -> int:
         return self.header["header_bytes"] + block * self.header["block_stride_bytes"]
 
-    def block(self, b: int) -> dict | None:
-        if b < 0 or self.offset(b) >= self.size:
-            return None
-        return layout.block_of(self.file.read_at(layout.BLOCK_HEADER, self.offset(b)))
+    def heads(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The headers of blocks first to last - 1, as far as the file has their bytes, and which of them are sound."""
+        data = [self.file.read_at(layout.BLOCK_HEADER, self.offset(b)) for b in range(first, last) if self.offset(b) + layout.BLOCK_HEADER <= self.size]
+        found = np.frombuffer(b"".join(data), layout.BLOCK)
+        return found, layout.sound_blocks(found)
 
     def sound(self, b: int) -> dict | None:
-        found = self.block(b)
-        return found if found and found["header_ok"] else None
+        found, ok = self.heads(b, b + 1) if b >= 0 else ((), ())
+        return layout.as_dict(found[0]) if len(found) and ok[0] else None
+
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """The headers of all blocks of the extent, read once."""
+        if self._index is None:
+            self._index = self.heads(0, self.extent["block_count"])
+        return self._index
 
     def _extent(self) -> dict:
-        """What of the file can be read: the header's word if it is finalised and the bytes are there, else what the blocks say."""
-        h, stride = self.header, self.header["block_stride_bytes"]
-        whole = max(0, self.size - h["header_bytes"]) // stride
-        claimed = h["block_count"]
-        if h["finalised"]:
-            last = self.sound(claimed - 1) if claimed else None
-            fits = claimed <= whole or claimed == whole + 1 and last is not None and self.offset(claimed - 1) + layout.BLOCK_HEADER + last["payload_bytes"] <= self.size
-            if fits:
+        """What of the file counts. A finalised header is believed if its blocks are there; of these the last may be
+        short of its stride if its own header vouches for it. Otherwise the last sound block that is whole ends the file."""
+        h = self.header
+        stated, C = h["block_count"], h["channel_count"]
+        if h["finalised"] and stated <= self.whole + 1:
+            last = self.sound(stated - 1)
+            if stated <= self.whole or last and self.offset(stated - 1) + h["block_header_bytes"] + last["payload_bytes"] <= self.size:
                 end = last["start_frame"] + last["frame_count"] if last else h["total_frames"]
-                return {"block_count": claimed, "total_frames": h["total_frames"], "total_values": h["total_values"], "end_frame": end, "recovered": False, "truncated_tail_bytes": 0}
-        while whole and not (last := self.sound(whole - 1)):
-            whole -= 1
-        end = last["start_frame"] + last["frame_count"] if whole else 0
-        return {"block_count": whole, "total_frames": end, "total_values": end * h["channel_count"], "end_frame": end, "recovered": True, "truncated_tail_bytes": max(0, self.size - self.offset(whole))}
+                return {"block_count": stated, "total_frames": h["total_frames"], "total_values": h["total_values"], "end_frame": end, "recovered": False, "truncated_tail_bytes": 0}
+        count = end = 0
+        for z in range(self.whole, 0, -1024):
+            found, ok = self.heads(max(0, z - 1024), z)
+            if ok.any():
+                k = int(np.flatnonzero(ok)[-1])
+                count, end = max(0, z - 1024) + k + 1, int(found["start_frame"][k]) + int(found["frame_count"][k])
+                break
+        return {"block_count": count, "total_frames": end, "total_values": end * C, "end_frame": end, "recovered": True, "truncated_tail_bytes": max(0, self.size - self.offset(count))}
+
+    def overlapping(self, low: int | None, high: int | None) -> np.ndarray:
+        """Numbers of all sound blocks that hold a frame of low..high - 1, in whatever order the file has them."""
+        found, ok = self.index()
+        start = found["start_frame"].astype(np.int64)
+        end = start + found["frame_count"]
+        return np.flatnonzero(ok & (end > (low or 0)) & (start < (high if high is not None else 1 << 62)))
 
     def find(self, frame: int) -> tuple[int, str, int] | None:
-        """The block of a frame, how it was found and after how many header reads; None beyond the end."""
-        guess, probes = frame // self.header["frames_per_block"], 0
-        count = self.extent["block_count"]
-        holds = lambda b: b is not None and b["start_frame"] <= frame < b["start_frame"] + b["frame_count"]
-        if 0 <= guess < count:
-            g = self.sound(guess)
-            probes = int(g is not None)
-            if holds(g):
-                return guess, "closed-form", 1
-        low, high = 0, count
-        while low < high:
-            mid = (low + high - 1) // 2
-            m, probes = self.sound(mid), probes + 1
-            if holds(m):
-                return mid, "binary-search", probes
-            if m is not None and m["start_frame"] <= frame:
-                low = mid + 1
-            else:
-                high = mid
-        after = self.sound(low) if low < count else None
-        return (low, "after-gap", probes + 1) if after and after["start_frame"] > frame else None
+        """The block of a frame, how it was found and after how many header reads; None beyond the end.
+
+        If the block of the undamaged file's closed form holds the frame, one read is enough. Otherwise the headers
+        are read, once, and the first sound block in the file that holds the frame is taken, or the one whose start
+        comes next. Unreadable headers are passed over, and blocks may come in any order.
+        """
+        nominal = frame // self.header["frames_per_block"]
+        head = self.sound(nominal) if 0 <= nominal < self.extent["block_count"] else None
+        if head and head["start_frame"] <= frame < head["start_frame"] + head["frame_count"]:
+            return nominal, "closed-form", 1
+        found, ok = self.index()
+        reads = len(found)
+        holding = self.overlapping(frame, frame + 1)
+        if len(holding):
+            return int(holding[0]), "binary-search", reads
+        later = np.flatnonzero(ok & (found["start_frame"].astype(np.int64) > frame))
+        if not len(later):
+            return None
+        return int(later[found["start_frame"][later].argmin()]), "after-gap", reads
 
     def ledger(self) -> tuple[np.ndarray, str]:
         h, entries = self.header, None
@@ -123,31 +149,38 @@ class Recording:
 
 @dataclass
 class Part(ds.InputPartition):
-    uri: str
-    first: int
-    last: int
-    low: int | None
-    high: int | None
-    channels: list[int] | None
-
+    """Blocks first to last - 1 of a file; without numbers, the share `part` of `parts` of all its blocks."""
 
-def _block_row(r: Recording, b: int) -> dict | None:
-    head = r.block(b)
-    if head is None:
-        return None
-    got = max(0, min(r.header["block_stride_bytes"], r.size - r.offset(b)))
-    return {"recording_id": r.header["recording_id"], "byte_offset": r.offset(b), "ok": head["header_ok"], "bytes_available": got} | {k: head[k] for k in ("start_frame", "frame_count", "payload_bytes", "monotonic_nanos", "flags", "preceding_gap_frames", "payload_crc")} | {"block_index": b}
-
-
-def _finding(r: Recording, b: int, check_crc: bool) -> dict | None:
+    uri: str
+    first: int | None = None
+    last: int | None = None
+    low: int | None = None
+    high: int | None = None
+    channels: list[int] | None = None
+    part: int = 0
+    parts: int = 1
+
+    def blocks(self, r: Recording) -> range:
+        if self.first is not None:
+            return range(self.first, self.last)
+        n = r.extent["block_count"]
+        return range(n * self.part // self.parts, n * (self.part + 1) // self.parts)
+
+
+def _block_rows(r: Recording, blocks: range) -> Iterator[dict]:
+    found, ok = r.heads(blocks.start, blocks.stop)
+    for b, record, sound in zip(blocks, found, ok.tolist()):
+        got = max(0, min(r.header["block_stride_bytes"], r.size - r.offset(b)))
+        head = layout.as_dict(record)
+        yield {"recording_id": r.header["recording_id"], "byte_offset": r.offset(b), "ok": sound, "bytes_available": got} | {k: head[k] for k in ("start_frame", "frame_count", "payload_bytes", "monotonic_nanos", "flags", "preceding_gap_frames", "payload_crc")} | {"block_index": b}
+
+
+def _finding(r: Recording, row: dict, check_crc: bool) -> dict | None:
     """A block's row, its checksum, and its values against the signal, bit by bit."""
-    row = _block_row(r, b)
-    if row is None:
-        return None
     row |= {"payload_ok": True, "incorrect": 0, "first_channel": None, "first_frame": None, "expected": None, "actual": None}
     if not row["ok"]:
         return row
-    data = r.file.read_at(row["payload_bytes"], r.offset(b) + r.header["block_header_bytes"])
+    data = r.file.read_at(row["payload_bytes"], row["byte_offset"] + r.header["block_header_bytes"])
     if len(data) < row["payload_bytes"]:
         return None  # the file ends within the block
     row["payload_ok"] = not check_crc or crc32c(data) == row["payload_crc"]
@@ -168,7 +201,8 @@ class RecordingReader(ds.DataSourceReader):
         self.uris = listed(options["path"], SUFFIX)
         self.table, self.schema = table, schema
         self.check_crc = options.get("checkcrc", "true").lower() != "false"
-        self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
+        self.task_bytes = int(options["taskbytes"]) if "taskbytes" in options else None
+        self.parallelism = int(options.get("parallelism", 8))
         self.low: int | None = None
         self.high: int | None = None
         self.channels: list[int] | None = None
@@ -190,22 +224,25 @@ class RecordingReader(ds.DataSourceReader):
 
     def partitions(self):
         if self.table in ("header", "ledger"):
-            return [Part(u, 0, 0, None, None, None) for u in self.uris]
-        parts = []
-        for uri in self.uris:
-            r = Recording(uri)
-            first, last = 0, r.extent["block_count"]
-            if self.low is not None and self.low > 0:
-                hit = r.find(self.low)
-                first = hit[0] if hit else last
-            if self.high is not None and first < last:
-                hit = r.find(max(0, self.high - 1))
-                last = min(last, hit[0] + 1) if hit else last
-            C = r.header["channel_count"]
-            share = (len(self.channels) if self.channels is not None else C) / C
-            step = max(1, int(self.task_bytes / max(1, r.header["block_stride_bytes"] * share)))
-            parts += [Part(uri, b, min(last, b + step), self.low, self.high, self.channels) for b in range(first, last, step)]
-        return parts or [Part("", 0, 0, None, None, None)]
+            return [Part(u) for u in self.uris]
+        ranged = self.low is not None or self.high is not None
+        sizes = sized(self.uris)
+        task = self.task_bytes or min(TASK_BYTES, max(LEAST_TASK_BYTES, sum(sizes) // self.parallelism))
+        parts: list[Part] = []
+        for uri, size in zip(self.uris, sizes):
+            if ranged and len(self.uris) <= MOST_FILES:
+                r = Recording(uri)
+                if r.extent["block_count"] <= MOST_HEADERS:
+                    hits = r.overlapping(self.low, self.high)
+                    C = r.header["channel_count"]
+                    share = (len(self.channels) if self.channels is not None else C) / C
+                    step = max(1, int(task / max(1, r.header["block_stride_bytes"] * share)))
+                    parts += [Part(uri, int(own[0]), int(own[-1]) + 1, self.low, self.high, self.channels) for own in (hits[a : a + step] for a in range(0, len(hits), step))]
+                    continue
+            # By size alone: no file is opened, and a task finds its share of the blocks.
+            n = max(1, -(-size // task))
+            parts += [Part(uri, None, None, self.low, self.high, self.channels, k, n) for k in range(n)]
+        return parts or [Part("")]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
@@ -221,10 +258,8 @@ class RecordingReader(ds.DataSourceReader):
             yield from self._values(r, partition)
             return
         else:
-            find = (lambda b: _finding(r, b, self.check_crc)) if self.table == "findings" else (lambda b: _block_row(r, b))
-            for b in range(partition.first, partition.last):
-                row = find(b)
-                if row is None:
+            for row in _block_rows(r, partition.blocks(r)):
+                if self.table == "findings" and (row := _finding(r, row, self.check_crc)) is None:
                     break
                 rows.append(row)
         yield pa.RecordBatch.from_pylist([{k: x.get(k) for k in self.schema.names} for x in rows], self.schema)
@@ -232,10 +267,11 @@ class RecordingReader(ds.DataSourceReader):
     def _values(self, r: Recording, p: Part) -> Iterator[pa.RecordBatch]:
         rid, C = r.header["recording_id"], r.header["channel_count"]
         channels = range(C) if p.channels is None else [c for c in p.channels if 0 <= c < C]
-        for b in range(p.first, p.last):
-            head = r.sound(b)
-            if head is None:
+        blocks = p.blocks(r)
+        for b, record, ok in zip(blocks, *r.heads(blocks.start, blocks.stop)):
+            if not ok:
                 continue
+            head = {"start_frame": int(record["start_frame"]), "frame_count": int(record["frame_count"])}
             a = max(head["start_frame"], p.low or 0)
             z = min(head["start_frame"] + head["frame_count"], p.high if p.high is not None else 1 << 62)
             if z <= a:
@@ -264,7 +300,7 @@ class RecordingStream(ds.DataSourceStreamReader):
         return {u: Recording(u).extent["block_count"] for u in self.reader.uris}
 
     def partitions(self, start: dict, end: dict):
-        return [Part(u, start.get(u, 0), n, None, None, None) for u, n in end.items() if n > start.get(u, 0)]
+        return [Part(u, start.get(u, 0), n) for u, n in end.items() if n > start.get(u, 0)]
 
     def read(self, partition: Part):
         return self.reader.read(partition)
@@ -273,7 +309,7 @@ class RecordingStream(ds.DataSourceStreamReader):
         pass
 
 
-class RecordingWriter(ds.DataSourceWriter):
+class RecordingWriter(ds.DataSourceArrowWriter):
     """One file per partition, of rows (frame, values) in frame order; a single partition writes a single recording."""
 
     def __init__(self, options: dict):
@@ -282,10 +318,9 @@ class RecordingWriter(ds.DataSourceWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        rows = ((r["frame"], r["values"]) for r in iterator)
-        part = TaskContext.get().partitionId()
-        name = f"{self.options['path'].rstrip('/')}/part-{part:06d}{SUFFIX}"
-        n = write_file(name, rows, rate=float(self.options.get("rate", 4000)), frames_per_block=int(self.options.get("framesperblock", 4000)))
+        task = TaskContext.get()
+        name = f"{self.options['path'].rstrip('/')}/part-{task.partitionId():06d}{SUFFIX}"
+        n = write_batches(name, (_frames_of(b) for b in iterator), rate=float(self.options.get("rate", 4000)), frames_per_block=int(self.options.get("framesperblock", 4000)), attempt=task.taskAttemptId())
         return Written(name, n)
 
     def commit(self, messages) -> None:
@@ -304,50 +339,82 @@ class Written(ds.WriterCommitMessage):
     frames: int
 
 
-def write_file(uri: str, rows, *, rate: float, frames_per_block: int, recording_id: bytes = b"\1" * 16, cause: int = 4, dither: bool = True, finalise: bool = True, signal_id: str = signal.SIGNAL_NAME) -> int:
-    """Writes (frame, values) rows in ascending frame order; one block is held at a time. Returns the frames written.
+def _frames_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Frame numbers and the matrix of their values, a row per frame."""
+    frames, values = batch.column("frame").to_numpy(zero_copy_only=False), batch.column("values")
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype("<f4", copy=False)
+    return frames, flat.reshape(len(frames), -1) if len(frames) else np.empty((0, 0), "<f4")
+
+
+def write_file(uri: str, rows, **options) -> int:
+    """Writes (frame, values) rows in ascending frame order; see write_batches."""
+
+    def batches():
+        frames, values = [], []
+        for f, v in rows:
+            frames.append(f)
+            values.append(v)
+            if len(frames) == 4096:
+                yield np.array(frames, np.int64), np.array(values, "<f4")
+                frames, values = [], []
+        if frames:
+            yield np.array(frames, np.int64), np.array(values, "<f4")
+
+    return write_batches(uri, batches(), **options)
+
+
+def write_batches(uri: str, batches, *, rate: float, frames_per_block: int, first: int = 0, recording_id: bytes = b"\1" * 16, cause: int = 4, dither: bool = True, finalise: bool = True, signal_id: str = signal.SIGNAL_NAME, attempt: int = 0) -> int:
+    """Writes batches of (frames, values) with ascending frames, `first` or later; one block is held at a time. Returns the frames written.
 
     A jump of the frame index ends a block and enters the ledger. Blocks stream into a side file; the header,
-    which states the totals, is written once they are known, and the blocks are copied behind it.
+    which states the totals, is written once they are known, and the blocks are copied behind it. The file gets
+    its name when it is whole, so a task that runs twice does no harm.
     """
     fs, path = locate(uri)
     fs.create_dir(path.rpartition("/")[0] or ".", recursive=True)
-    side = path + ".blocks"
+    side, temp = f"{path}.blocks{attempt}", f"{path}.attempt{attempt}"
     body = fs.open_output_stream(side)
-    held: list = []
+    held: list[np.ndarray] = []
     entries: list[tuple[int, int, int]] = []
-    state = {"blocks": 0, "frames": 0, "next": 0, "gap": 0, "channels": 0, "bytes": 0}
+    state = {"blocks": 0, "frames": 0, "next": first, "gap": 0, "channels": 0, "bytes": 0, "held": 0, "pad": 0}
 
-    def flush(last: bool) -> None:
-        if not held:
+    def flush() -> None:
+        n = state["held"]
+        if not n:
             return
-        start = held[0][0]
-        values = np.array([v for _, v in held], "<f4")
+        values = np.concatenate(held)
         state["channels"] = values.shape[1]
-        payload = np.ascontiguousarray(values.T).tobytes()
-        flags = layout.SHORT_BLOCK * (len(held) < frames_per_block) | layout.PRECEDED_BY_GAP * (state["gap"] > 0)
-        data = layout.block_bytes(payload, start_frame=start, frame_count=len(held), block_index=state["blocks"], flags=flags, preceding_gap_frames=state["gap"])
-        full = layout.BLOCK_HEADER + frames_per_block * state["channels"] * 4
-        data = data if last else data + bytes(full - len(data))
-        body.write(data)
-        state["bytes"] += len(data)
+        flags = layout.SHORT_BLOCK * (n < frames_per_block) | layout.PRECEDED_BY_GAP * (state["gap"] > 0)
+        data = layout.block_bytes(np.ascontiguousarray(values.T).tobytes(), start_frame=state["next"] - n, frame_count=n, block_index=state["blocks"], flags=flags, preceding_gap_frames=state["gap"])
+        # A block fills its stride only if another one follows.
+        body.write(bytes(state["pad"]) + data)
+        state["bytes"] += state["pad"] + len(data)
+        state["pad"] = layout.BLOCK_HEADER + frames_per_block * state["channels"] * 4 - len(data)
         state["blocks"] += 1
-        state["frames"] += len(held)
-        state["gap"] = 0
+        state["frames"] += n
+        state["gap"] = state["held"] = 0
         held.clear()
 
-    for frame, values in rows:
-        if frame < state["next"]:
+    for frames, values in batches:
+        if not len(frames):
+            continue
+        if frames[0] < state["next"] or (np.diff(frames) <= 0).any():
             raise ValueError("frames must ascend")
-        if frame > state["next"]:
-            flush(False)
-            entries.append((state["next"], frame - state["next"], cause))
-            state["gap"] = frame - state["next"]
-        held.append((frame, values))
-        state["next"] = frame + 1
-        if len(held) == frames_per_block:
-            flush(False)
-    flush(True)
+        cuts = np.flatnonzero(np.diff(frames) > 1) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frames)]):
+            if (jump := int(frames[a]) - state["next"]) > 0:
+                flush()
+                entries.append((state["next"], jump, cause))
+                state["next"], state["gap"] = int(frames[a]), jump
+            while a < z:
+                n = min(z - a, frames_per_block - state["held"])
+                held.append(np.asarray(values[a : a + n], "<f4"))
+                state["held"] += n
+                state["next"] += n
+                a += n
+                if state["held"] == frames_per_block:
+                    flush()
+    flush()
     C = state["channels"] or 1
     trailer = layout.ledger_bytes(entries)
     body.close()
@@ -357,16 +424,63 @@ def write_file(uri: str, rows, *, rate: float, frames_per_block: int, recording_
     if finalise:
         flags |= layout.FINALISED | layout.HAS_TRAILER | layout.HAD_DROPS * bool(entries)
         head |= dict(total_frames=state["frames"], total_values=state["frames"] * C, block_count=state["blocks"], duration_seconds=state["frames"] / rate, trailer_offset=layout.FILE_HEADER + state["bytes"], trailer_bytes=len(trailer), dropped_frames_total=dropped, ledger_entry_count=len(entries))
-    with fs.open_output_stream(path) as out, fs.open_input_stream(side) as blocks:
+    with fs.open_output_stream(temp) as out, fs.open_input_stream(side) as blocks:
         out.write(layout.header_bytes(flags=flags, **head))
         while piece := blocks.read(1 << 22):
             out.write(piece)
         if finalise:
             out.write(trailer)
     fs.delete_file(side)
+    fs.move(temp, path)
     return state["frames"]
 
 
+def write_ranges(frames: DataFrame, folder: str, *, rate: float, frames_per_block: int, range_frames: int | None = None) -> DataFrame:
+    """frames(frame, values) as a folder of recordings, one per range of frame numbers, written in parallel: part, path, frames.
+
+    A range knows from the last frame of the ranges before it where it should begin, so a gap across the cut
+    enters the later file's ledger. Within the folder frames are unique only if they are in the input. An empty
+    table writes nothing.
+    """
+    spark = frames.sparkSession
+    ship(spark)
+    step = range_frames or 256 * frames_per_block
+    part = F.floor(F.col("frame") / step).cast("long").alias("part")
+    ends = frames.groupBy(part).agg(F.max("frame").alias("end"))  # a row per range
+    begins = ends.select("part", F.coalesce(F.lag("end").over(W.orderBy("part")) + 1, F.lit(0)).alias("first"))
+    rows = frames.select("frame", F.col("values").cast("array<float>").alias("values"), part).join(begins, "part")
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        attempt, rest = TaskContext.get().taskAttemptId(), None
+
+        def of_part(name):
+            """The batches of one range; what follows them is left for the next."""
+            nonlocal rest
+            while rest is not None:
+                parts = rest.column("part").to_numpy(zero_copy_only=False)
+                n = int(np.searchsorted(parts, name, "right"))
+                if n:
+                    yield _frames_of(rest.slice(0, n))
+                if n < len(parts):
+                    rest = rest.slice(n)
+                    return
+                rest = next(source, None)
+
+        source = (b for b in batches if b.num_rows)
+        rest = next(source, None)
+        while rest is not None:
+            name, first = rest.column("part")[0].as_py(), rest.column("first")[0].as_py()
+            uri = f"{folder}/part-{name:06d}{SUFFIX}"
+            n = write_batches(uri, of_part(name), rate=rate, frames_per_block=frames_per_block, first=first, attempt=attempt)
+            yield pa.RecordBatch.from_pylist([{"part": name, "path": uri, "frames": n}])
+
+    spread = rows.repartitionById(tasks, F.pmod(F.col("part"), F.lit(tasks)).cast("int")).sortWithinPartitions("part", "frame")
+    return spread.mapInArrow(run, "part long, path string, frames long")
+
+
 class RecordingSource(ds.DataSource):
     @classmethod
     def name(cls) -> str:
@@ -399,13 +513,14 @@ class RecordingSource(ds.DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordingSource)
 
 
 def read(spark: SparkSession, path: str, table: str = "samples", **options) -> DataFrame:
     register(spark)
-    r = spark.read.format("recording").option("table", table)
+    r = spark.read.format("recording").option("table", table).option("parallelism", max(1, spark.sparkContext.defaultParallelism))
     for k, v in options.items():
         r = r.option(k, str(v).lower() if isinstance(v, bool) else v)
     return r.load(path)

@@ -101,6 +101,65 @@ def test_filters_reach_the_source(spark, whole):
     assert (parts[0].first, parts[-1].last, len(parts)) == (1, 5, 4) and parts[0].channels == [1, 2]
 
 
+def _unreadable(data):
+    data[at(3) + 20] ^= 1
+
+
+def _doubled(data):
+    data[at(2) : at(3)] = data[at(1) : at(2)]
+
+
+def _spliced(data):
+    return bytes(data[: at(2)] + data[at(3) :])
+
+
+def _swapped(data):
+    data[at(2) : at(3)], data[at(6) : at(7)] = data[at(6) : at(7)], data[at(2) : at(3)]
+
+
+def _torn(data):
+    patched(data, flags=0)
+    return bytes(data[: at(7) + 100])
+
+
+@pytest.mark.parametrize("change", [_unreadable, _doubled, _spliced, _swapped, _torn])
+def test_a_pushed_filter_changes_no_rows(spark, whole, tmp_path, change):
+    path = copied(whole, tmp_path, change)
+    rows_of = lambda df: sorted((r["block_index"], r["frame"], r["channel"], r["bits"]) for r in df.collect())
+    everything = rows_of(recording.read(spark, path))
+    for taskbytes in (1, 1 << 26):
+        for low, high in ((0, 10_000), (150, 420), (300, 301), (250, 700), (333, 10_000), (0, 199), (5_000, 6_000)):
+            df = recording.read(spark, path, taskbytes=taskbytes).where((F.col("frame") >= low) & (F.col("frame") < high) & F.col("channel").isin(1, 3))
+            assert rows_of(df) == [x for x in everything if low <= x[1] < high and x[2] in (1, 3)]
+    r = recording.Recording(path)
+    index, ok = r.index()
+    for frame in range(0, 1100, 7):
+        hit = r.find(frame)
+        holding = [b for b in np.flatnonzero(ok) if index["start_frame"][b] <= frame < index["start_frame"][b] + index["frame_count"][b]]
+        assert (hit is not None and hit[0] in holding) if holding else (hit is None or index["start_frame"][hit[0]] > frame)
+
+
+def test_ranges_are_written_in_parallel(spark, tmp_path):
+    frames = spark.createDataFrame([(f, signal.values(np.arange(C), f, 1)[:, 0].tolist()) for f in [*range(40, 250), *range(300, 640), *range(1200, 1210)]], "frame long, values array<float>").repartition(5)
+    files = recording.write_ranges(frames, str(tmp_path), rate=RATE, frames_per_block=BLOCK, range_frames=300).orderBy("part").collect()
+    assert [(f["part"], f["frames"]) for f in files] == [(0, 210), (1, 300), (2, 40), (4, 10)]
+    got = recording.read(spark, str(tmp_path))
+    assert got.count() == 560 * C and got.select("frame").distinct().count() == 560
+    ledger = sorted((x["start_frame"], x["frame_count"]) for x in recording.read(spark, str(tmp_path), "ledger").collect())
+    assert ledger == [(0, 40), (250, 50), (640, 560)]
+    assert recording.write_ranges(frames.where("frame < 0"), str(tmp_path / "none"), rate=RATE, frames_per_block=BLOCK).count() == 0
+
+
+def test_checksums_of_many_values():
+    from chronoloom.functions.crc import crc32c_many
+
+    r = np.random.default_rng(3)
+    parts = [r.bytes(n) for n in (0, 1, 2, 3, 9, 64, 65, 4095, 8193, 100_000, 0, 7)] + [b"123456789"]
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    assert crc32c_many(np.frombuffer(b"".join(parts), np.uint8), ends).tolist() == [crc32c(p) for p in parts]
+    assert crc32c(parts[-1]) == 0xE3069283
+
+
 def test_seek(spark, whole, gappy):
     r, g = open_recording(spark, whole), open_recording(spark, gappy)
     assert r.seek("#555")[0] | {} == {"frame": 555, "seconds": 0.555, "block": 5, "method": "closed-form", "probes": 1, "bytes": 64}

@@ -33,9 +33,9 @@ def test_information(rec):
 
 
 def test_playback_has_every_frame(rec):
-    got = list(viewer.playback(rec, 0, 400, [1, 2], frames=70))
-    assert [a for a, _ in got] == list(range(0, 400, 70))
-    v = np.concatenate([x for _, x in got])
+    got = viewer.playback(rec, 0, 400, [1, 2], frames=70).orderBy("start").collect()
+    assert [x["start"] for x in got] == list(range(0, 400, 70)) and sum(x["present"] for x in got) == 350
+    v = np.concatenate([np.frombuffer(x["values"], "<f4").reshape(x["frames"], 2) for x in got])
     want = signal.values(np.array([1, 2]), 0, 400).T.copy()
     want[150:200] = np.nan
     assert np.array_equal(v, want, equal_nan=True)
