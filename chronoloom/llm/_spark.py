@@ -1,17 +1,13 @@
-"""Session plumbing shared by the operators: inputs, shared storage, code shipping."""
+"""Session plumbing shared by the operators: inputs, storage between steps, batches."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import scratch, shared_dir, ship
+
+__all__ = ["parallelism", "prepare", "release", "save", "scratch", "shared_dir", "table", "unused"]
+
 #: Rows of one Arrow batch handed to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 1024
 
@@ -22,47 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the session ready for Python stages: bounded batches, package on every executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    _ship(spark)
-
-
-_SHIPPED: dict[str, str] = {}
-
-
-def _ship(spark: SparkSession) -> None:
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="chronoloom-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, f"{package.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, str(f.relative_to(package.parent)))
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED[app] = target
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if not current:
-        folder = tempfile.mkdtemp(prefix="chronoloom-shared-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(f"file://{folder}")
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared one."""
-    return f"{shared_dir(spark)}/chronoloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """Make the session ready for Python stages: the package on every executor, and batches of at most BATCH_ROWS rows.
+
+    The batch size is a setting of the session that Spark reads when a plan runs, so it stays lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    ship(spark)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Column names like those given that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
