@@ -16,11 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ._files import Publishing, locate
-from ._spark import parallelism, prepare, save, scratch
+from ._spark import prepare, save, scratch
 
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,19 +62,22 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip stream of one or more members."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip stream of one or more members; a stream cut before a member's end raises ValueError."""
+    z, begun = zlib.decompressobj(31), False
     for data in pieces:
         while data:
+            begun = True
             out = z.decompress(data, _STREAM)
             if out:
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(31)
-    tail = z.flush()
-    if tail:
-        yield tail
+                data, z, begun = z.unused_data, zlib.decompressobj(31), False
+    while begun and not z.eof:
+        out = z.decompress(b"", _STREAM)
+        if not out:
+            raise ValueError("the gzip stream is cut: its last member has no end")
+        yield out
 
 
 def records(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -130,22 +133,34 @@ def parsed(one: bytes) -> dict:
     return {"page_id": page_of(head["warc-record-id"]), "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": head["warc-type"], "refers_to": page_of(head["warc-refers-to"]) if revisit else None}
 
 
-def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+#: A payload that so many pages share is hot: its reference is broadcast, so that no task gets all its pages.
+HOT_PAGES = 100_000
+
+
+def with_references(pages: DataFrame, least_bytes: int = 0, hot_pages: int = HOT_PAGES) -> DataFrame:
     """page_id, url, payload, first: the smallest page_id of the pages with equal payloads of at least least_bytes.
 
-    Payloads are equal if their SHA-1 and size are. Only shared payloads reach the join's right side.
+    Payloads are equal if their SHA-1 and size are. Only shared payloads reach the join's right side; the hot
+    ones among them are at most one per hot_pages pages of the table, and are broadcast.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.withColumns({"sha": F.sha1("payload"), "bytes": F.octet_length("payload")})
-    shared = p.where(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(save(shared, "warc-shared"), ["sha", "bytes"], "left").select("page_id", "url", "payload", "first")
+    shared = p.where(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = save(shared, "warc-shared")
+    hot = shared.where(F.col("n") >= hot_pages).select("sha", "bytes", F.col("first").alias("hot"), F.lit(True).alias("is_hot"))
+    rest = shared.where(F.col("n") < hot_pages).select("sha", "bytes", "first")
+    # Pages of hot payloads leave the second join's key empty, so they stay spread.
+    found = p.join(F.broadcast(hot), ["sha", "bytes"], "left").withColumn("key", F.when(F.col("is_hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.col("page_id"))))
+    found = found.join(rest.withColumnRenamed("sha", "key"), ["key", "bytes"], "left")
+    return found.select("page_id", "url", "payload", F.coalesce("hot", "first").alias("first"))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Monolithic archives of pages(page_id, url, html), one per partition; returns number, path, records.
 
     Null html is an empty payload; a null page_id is kept (it is a response unless a numbered page shares its
-    payload). Rows that repeat the response's page_id are responses too.
+    payload). Rows that repeat the response's page_id are responses too. An empty table writes no archive and
+    gives no rows.
     """
     prepare(pages.sparkSession)
 
@@ -170,7 +185,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
-    return manifest.repartition(max(parallelism(manifest.sparkSession), manifest.count()), "number")
+    """An archive per task: dense numbers, dealt in turn."""
+    place = F.row_number().over(W.orderBy("number")) - 1  # a row per archive
+    n = max(1, manifest.count())
+    return manifest.withColumn("place", place).repartitionById(n, F.col("place")).drop("place")
 
 
 def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
