@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._spark import save
+from ._spark import save, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key values are below 2^60: fifteen hexadecimal digits of an MD5.
 KEY_BITS = 60
 
 
-def _name(id_col: str):
-    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+def _name(id_):
+    return F.coalesce((F.col(id_) if isinstance(id_, str) else id_).cast("string"), F.lit("null"))
 
 
 def _key(id_col: str, text_col: str):
-    digest = F.md5(F.concat(_name(id_col), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    digest = F.md5(F.concat(_name(F.col(f"`{id_col}`")), F.lit(":"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -62,7 +62,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ep
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_range: int = 1024) -> DataFrame:
+        weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_range: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), mix_key.
 
     Null text counts as empty; a null source is a source of its own; rows repeated exactly are taken like
@@ -70,7 +70,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     rows = save(sized(docs, id_col, text_col, source_col), "mix-sizes")
     per = save(source_targets(rows, weights, max_epochs), "mix-targets")
-    spread = F.ceil(F.col("source_rows") / rows_per_range)
+    # As many ranges as rows in each: the window over the ranges and those inside them grow with the root of a source.
+    rows_of = F.col("source_rows").cast("double")
+    spread = F.ceil(F.sqrt(rows_of) if rows_per_range is None else rows_of / rows_per_range)
     a = rows.alias("a").join(per.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source"))).select("a.*", "source_size", "target", spread.alias("ranges"))
     a = a.withColumn("range", F.floor(F.col("mix_key").cast("double") / float(1 << KEY_BITS) * F.col("ranges")).cast("long"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -94,12 +96,19 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1))
-    plan = mix(docs, **options).groupBy(_name("doc_id").alias("__id"), F.col("mix_key").alias("__key"))
-    plan = plan.agg(F.sum(copies).alias("__copies"), F.count("*").alias("__alike"))
-    keyed = docs.withColumns({"__id": _name(id_col), "__key": _key(id_col, text_col)})
-    keyed = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__key").orderBy(F.lit(1))))
+    id_, key, nth, total, alike, share, copy = unused(columns, "mix_id", "mix_key", "nth", "copies", "alike", "share", "copy")
+    plan = mix(docs, **options).select(_name("doc_id").alias(id_), F.col("mix_key").alias(key), copies.alias(total))
+    plan = plan.groupBy(id_, key).agg(F.sum(total).alias(total), F.count("*").alias(alike))
+    # Rows are alike by their key, whatever further columns say. Only rows that repeat need numbers.
+    keyed = docs.withColumns({id_: _name(F.col(f"`{id_col}`")), key: _key(id_col, text_col)}).join(plan, [id_, key])
+    alone = keyed.where(F.col(alike) == 1).withColumn(share, F.col(total).cast("int"))
+    # Rows that are equal altogether become one with a count, so a row that makes up much of the table is no hot group.
+    many = keyed.where(F.col(alike) > 1).groupBy(*[F.col(f"`{c}`") for c in keyed.columns]).agg(F.count("*").alias(nth))
+    order = W.partitionBy(id_, key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    before = F.coalesce(F.sum(nth).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    many = many.withColumn(copy, before)
     # Rows alike share their copies evenly; the first ones get what is left over.
-    extra = F.when(F.col("__nth") <= F.col("__copies") % F.col("__alike"), F.lit(1)).otherwise(F.lit(0))
-    share = (F.floor(F.col("__copies") / F.col("__alike")) + extra).cast("int")
-    out = keyed.join(plan, ["__id", "__key"]).withColumn("__share", share).where(F.col("__share") > 0)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*[F.col(f"`{c}`") for c in columns])
+    extra = F.greatest(F.lit(0), F.least(F.col(nth), F.col(total) % F.col(alike) - F.col(copy)))
+    many = many.withColumn(share, (F.col(nth) * F.floor(F.col(total) / F.col(alike)) + extra).cast("int")).drop(nth, copy)
+    out = alone.unionByName(many).where(F.col(share) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(share)))).select(*[F.col(f"`{c}`") for c in columns])
