@@ -167,8 +167,9 @@ class Reader:
                 before += len(ids)
 
     def may_contain(self, doc_id: int | None) -> bool:
-        bits = np.unpackbits(np.frombuffer(self._bloom, np.uint8), bitorder="little")
-        return bool(bits[_bloom_bits(np.array([_bloom_key(key_bytes(doc_id))], np.uint64), len(bits)).ravel()].all())
+        """By the filter: the few bits of the key, looked up in its bytes."""
+        at = _bloom_bits(np.array([_bloom_key(key_bytes(doc_id))], np.uint64), 8 * len(self._bloom)).ravel().tolist()
+        return all(self._bloom[k >> 3] >> (k & 7) & 1 for k in at)
 
     def lookup(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every row with this identifier."""
@@ -183,17 +184,19 @@ class Reader:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards below folder; returns their manifest: shard, path, docs, ids, base (ids of all shards before).
+    """Writes the shards below folder; returns their manifest: shard, path, docs, ids, first and last key, base (ids of all shards before).
 
     Null text is an empty document (its end id alone); null ids come first; rows that repeat an id stay,
-    ordered by text; an empty table gives no shards.
+    ordered by a hash of their text, so that an id with very many rows can go on over several shards; an empty
+    table gives no shards.
     """
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(parallelism(spark), -(-total // SHARD_TEXT))
-    ordered = d.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc())
+    ordered = d.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
 
     def run(batches):
         from pyspark import TaskContext
@@ -215,9 +218,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int =
         if out is not None:
             shard.close()
             out.publish()
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": uri, "docs": shard.docs, "ids": shard.ids}])
+            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": uri, "docs": shard.docs, "ids": shard.ids, "first_key": shard.index[0][0], "last_key": shard.last}])
 
-    manifest = save(ordered.mapInArrow(run, "shard long, path string, docs long, ids long"), "sst-manifest")
+    manifest = save(ordered.mapInArrow(run, "shard long, path string, docs long, ids long, first_key binary, last_key binary"), "sst-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -236,10 +239,39 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     crcs.append(zlib.crc32(own.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, sizes, crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark = manifest.sparkSession
-    spread = save(manifest.select("shard", "path", "base"), "sst-places").repartition(max(parallelism(spark), manifest.count()), "shard")
+    places = save(manifest.select("path", "base", (F.row_number().over(W.orderBy("shard")) - 1).alias("place")), "sst-places")
+    spread = places.repartitionById(max(1, places.count()), F.col("place"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup_rows(manifest: DataFrame, keys: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, ids (little-endian, unsigned 32 bits) of every stored document whose identifier is in keys(doc_id).
+
+    A key goes to the shards whose first and last key enclose it; a task opens a shard once, asks its filter, and
+    reads the blocks that binary search finds. A null key finds the documents without identifier; repeated keys
+    ask once; an empty table of keys gives no rows.
+    """
+    prepare(keys.sparkSession)
+    # Big-endian with the sign turned, so that bytes order as numbers do; null sorts first.
+    shifted = F.unhex(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    asked = keys.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    asked = asked.withColumn("key", F.when(F.col("doc_id").isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), shifted)))
+    shards = manifest.select("shard", "path", "first_key", "last_key")
+    # A row per shard: thousands for a terabyte.
+    pairs = asked.join(shards, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("shard", "path", "doc_id")
+
+    def run(batches):
+        path, reader = None, None
+        for batch in batches:
+            found: list[tuple] = []
+            for p, doc_id in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if p != path:
+                    path, reader = p, Reader(p)
+                found += [(doc_id, ids.astype("<u4").tobytes()) for ids in reader.lookup(doc_id)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.binary())], ["doc_id", "ids"])
+
+    return pairs.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, "doc_id long, ids binary")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     return read_shards(write_shards(docs, tokenizer, scratch(docs.sparkSession, "sst"), **options))
