@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import parallelism
-
 #: Rows of a shard at most (on average; hashing spreads them evenly).
 SHARD_ROWS = 65536
-#: Shards are not cut finer than this for the sake of more tasks.
-LEAST_ROWS = 1024
+#: Small tables are cut too, into at most so many shards of at least so many rows, for the sake of more tasks.
+SMALL_SHARDS, LEAST_ROWS = 16, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -23,8 +21,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, bad), F.lit(False))
 
 
-def shard_count(rows: int, spark) -> int:
-    return max(1, -(-rows // SHARD_ROWS), min(parallelism(spark), -(-rows // LEAST_ROWS)))
+def shard_count(rows: int) -> int:
+    """By the rows alone: results don't change with the cluster."""
+    return max(1, -(-rows // SHARD_ROWS), min(SMALL_SHARDS, -(-rows // LEAST_ROWS)))
 
 
 def placed(vectors: DataFrame, shards: int) -> DataFrame:
@@ -32,6 +31,11 @@ def placed(vectors: DataFrame, shards: int) -> DataFrame:
     return vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
 
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """A shard per partition, its vectors before its queries."""
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+
+
 def matrix(column: pa.Array) -> list[np.ndarray]:
     """One float64 vector per row."""
     if isinstance(column, pa.ChunkedArray):

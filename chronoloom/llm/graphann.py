@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._shards import first_of_each, matrix, over_shards, placed, shard_count, usable
+from ._shards import dealt, first_of_each, matrix, over_shards, placed, shard_count, usable
 from ._spark import prepare
 
 _FAR = np.float32(3e38)
@@ -167,13 +167,14 @@ def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, degree: int =
     """query_id, rank, vec_id, score: the k nearest found (Euclidean) of every row whose id is a multiple of `every`.
 
     Null ids and unusable or zero vectors take no part; a repeated id counts once (its smallest vector);
-    vectors meet only vectors of their own length; ties go to the smaller id. Every other row is indexed.
+    vectors meet only vectors of their own length; ties go to the smaller id. Every other row is indexed. An empty
+    table, or a query without candidates, gives no rows; further columns don't matter.
     """
     spark = vectors.sparkSession
     prepare(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     v = v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
-    shards = shard_count(v.count(), spark)
+    shards = shard_count(v.count())
 
     def build(ids, vecs):
         return {d: Graph(i, x, degree=degree, beam=beam, alpha=alpha) for d, (i, x) in first_of_each(ids, vecs).items()}
@@ -198,7 +199,7 @@ def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, degree: int =
     # A repeated id asks once, with the vector that counts.
     asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.size("embedding").alias("n"), "embedding")).alias("m"))
     asked = asked.select("vec_id", F.col("m.embedding").alias("embedding"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"))
-    stream = placed(v, shards).withColumn("kind", F.lit(0)).unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    stream = dealt(placed(v, shards).withColumn("kind", F.lit(0)).unionByName(asked), shards)
     found = stream.mapInArrow(run, "query_id long, q array<double>, hits array<struct<vec_id:long,score:double>>").select("query_id", F.inline("hits"))
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

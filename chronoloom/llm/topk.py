@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._shards import first_of_each, matrix, over_shards, placed, shard_count, usable
+from ._shards import dealt, first_of_each, matrix, over_shards, placed, shard_count, usable
 from ._spark import prepare, save
 
-LEAF = 512
+#: Points of a leaf at most.
+LEAF = 128
 
 
 class KDTree:
@@ -57,25 +58,29 @@ class KDTree:
         Scores beyond 64 bits come back as the nearest 64-bit integer.
         """
         exact = self.largest * (float(np.abs(queries).max()) if len(queries) else 0.0) * max(1, self.points.shape[1]) < 2.0**53
-        pos, neg = np.maximum(queries, 0), np.minimum(queries, 0)
-        bounds = pos @ self.hi.T + neg @ self.lo.T
-        if not exact:
-            bounds = bounds + np.abs(bounds) * 1e-9 + 1.0
-        return [self._one(queries[i], bounds[i], own[i], k, floors[i], exact) for i in range(len(queries))]
-
-    def _one(self, q, bound, own, k, floor, exact):
-        """Best box first. Scores are compared as exact integers; only bounds are rounded, upwards."""
+        return [self._one(queries[i], own[i], k, floors[i], exact) for i in range(len(queries))]
+
+    def _reach(self, pos, neg, nodes, exact):
+        """The largest products that points of these nodes' boxes can have with a query (its positive and negative part)."""
+        out = self.hi[nodes] @ pos + self.lo[nodes] @ neg
+        return out if exact else out + np.abs(out) * 1e-9 + 1.0
+
+    def _one(self, q, own, k, floor, exact):
+        """Best box first; a box's bound is taken when its parent is opened. Scores are compared as exact integers;
+        only bounds are rounded, upwards."""
         best: list[tuple[int, int]] = []  # (-score, id), ascending
         kth = -np.inf if np.isnan(floor) else floor
-        heap = [(-bound[0], 0)]
+        pos, neg = np.maximum(q, 0), np.minimum(q, 0)
+        heap = [(-float(self._reach(pos, neg, [0], exact)[0]), 0)]
         while heap:
             b, node = heapq.heappop(heap)
             if -b < kth:
                 break
             if self.left[node] >= 0:
-                for child in (self.left[node], self.right[node]):
-                    if bound[child] >= kth:
-                        heapq.heappush(heap, (-bound[child], child))
+                children = [self.left[node], self.right[node]]
+                for child, reach in zip(children, self._reach(pos, neg, children, exact).tolist()):
+                    if reach >= kth:
+                        heapq.heappush(heap, (-reach, child))
                 continue
             a, z = self.begin[node], self.end[node]
             ids = self.ids[a:z]
@@ -106,15 +111,16 @@ def _hits(rows: list) -> pa.Array:
 def top_inner_products(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of every row whose id is a multiple of `every`.
 
-    Components become floor(256 * x). Null ids and unusable vectors take no part; a repeated id counts once
+    Components become floor(256 * x). Null ids and unusable vectors, also those with a component beyond 7e305, take no part; a repeated id counts once
     (its smallest vector); vectors meet only vectors of their own length; ties go to the smaller id. An empty
     table, or a query without candidates, gives no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    v = v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    shards = shard_count(v.count(), spark)
+    # Where 256 * x overflows, the component has no finite value.
+    v = v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & ~F.exists("embedding", lambda x: F.abs(x) > 7e305))
+    shards = shard_count(v.count())
     v = placed(v, shards)
 
     def at_home(batches):
@@ -134,7 +140,7 @@ def top_inner_products(vectors: DataFrame, *, k: int = 5, every: int = 50, id_co
         yield from over_shards(batches, _build, rows)
 
     close = spark.range(shards).select(F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), F.col("id").cast("int").alias("shard"), F.lit(1).alias("kind"))
-    stream = v.withColumn("kind", F.lit(0)).unionByName(close).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    stream = dealt(v.withColumn("kind", F.lit(0)).unionByName(close), shards)
     home = save(stream.mapInArrow(at_home, "query_id long, q array<double>, home int, kth long, hits array<struct<vec_id:long,score:long>>"), "topk-home")
 
     def elsewhere(batches):
@@ -154,7 +160,7 @@ def top_inner_products(vectors: DataFrame, *, k: int = 5, every: int = 50, id_co
 
     asked = home.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
     asked = asked.select(F.col("query_id").alias("vec_id"), F.col("q").alias("embedding"), "shard", F.lit(1).alias("kind"), "kth")
-    stream = v.withColumns({"kind": F.lit(0), "kth": F.lit(None).cast("long")}).unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    stream = dealt(v.withColumns({"kind": F.lit(0), "kth": F.lit(None).cast("long")}).unionByName(asked), shards)
     far = stream.mapInArrow(elsewhere, "query_id long, hits array<struct<vec_id:long,score:long>>")
     found = home.select("query_id", "hits").unionByName(far).select("query_id", F.inline("hits"))
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
