@@ -63,9 +63,19 @@ def test_trees_and_branches(spark):
     assert [r["leaf"] for r in chat.format_chats(messages(spark, rows[:5]), branches=1).collect()] == [5]
 
 
-def test_cycle_is_refused(spark):
-    with pytest.raises(ValueError, match="cycle"):
-        chat.format_chats(messages(spark, [(1, 1, 2, "u", "x", 0.0), (1, 2, 1, "u", "y", 0.0)]))
+def test_trees_with_cycles_are_set_aside(spark):
+    # A cycle alone, a cycle with a branch below it, and a sound tree; trees without a name are trees too.
+    rows = [(1, 1, 2, "u", "x", 0.0), (1, 2, 1, "u", "y", 0.0), (2, 1, None, "u", "root", 0.0), (2, 2, 3, "u", "a", 0.0), (2, 3, 2, "u", "b", 0.0), (2, 4, 3, "u", "c", 0.0)]
+    rows += [(3, k, k - 1 if k else None, "u", str(k), 0.0) for k in range(9)] + [(None, 1, None, "u", "p", 0.0), (None, 2, 1, "u", "q", 0.0), (4, 1, 1, "u", "self", 0.0)]
+    got = {(r["tree"], r["leaf"]): r["turns"] for r in chat.read_chats(chat.format_chats(messages(spark, rows))).collect()}
+    assert set(got) == {(1, None), (2, None), (3, 8), (None, 2), (4, None)}
+    assert [t["text"] for t in got[None, 2]] == ["p", "q"] and len(got[3, 8]) == 9 and got[1, None] is None
+
+
+def test_repeated_messages_stay_apart(spark):
+    rows = [(1, 1, None, "u", "root", 0.0), (1, 2, 1, "u", "b", 0.0), (1, 2, 1, "u", "a", 0.0), (1, 3, 2, "u", "reply", 0.0), (1, None, 1, "u", "no node", 0.0), (1, None, None, "u", "alone", 0.0)]
+    got = sorted(" ".join(t["text"] for t in r["turns"]) for r in chat.read_chats(chat.format_chats(messages(spark, rows))).collect())
+    assert got == ["alone", "root a reply", "root b", "root no node"]
 
 
 def test_escapes_are_reversible(spark):
@@ -80,7 +90,7 @@ def test_escapes_are_reversible(spark):
     out = chat.read_chats(chat.format_chats(chat.linear_threads(df))).collect()
     want = defaultdict(list)
     for c, t, role, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")):
-        want[-(2**63) if c is None else c].append((role or "", text or ""))
+        want[c].append((role or "", text or ""))
     assert {r["tree"]: [tuple(t) for t in r["turns"]] for r in out} == want
     for r in out:
         assert "".join(r["loss_texts"]) == "".join(x for role, x in want[r["tree"]] if role == "assistant")
@@ -98,7 +108,8 @@ def test_shards_round_trip(spark, tmp_path):
     manifest = sstable.write_shards(docs(spark, rows), VOCABULARY, str(tmp_path / "sst"), end_id=0).collect()
     m = spark.createDataFrame(manifest)
     ids = [x + [0] for x in library_ids([t or "" for _, t, _ in rows])]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1] or ""))
+    named = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t, _ in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, named[rows[i][1] or ""]))
     at, want = 0, Counter()
     for i in order:
         want[(rows[i][0], at, len(ids[i]), zlib.crc32(np.array(ids[i], "<u4").tobytes()))] += 1
@@ -112,6 +123,21 @@ def test_shards_round_trip(spark, tmp_path):
         assert sum(reader.may_contain(10**6 + k) for k in range(1000)) < 100
     for key in found:
         assert sorted(found[key]) == sorted(ids[i] for i in range(len(rows)) if rows[i][0] == key)
+    keys = spark.createDataFrame([(k,) for k in [3, None, -7, 2**40, 150, 150, 77777, -(2**62)]], "doc_id long")
+    by_key = defaultdict(list)
+    for r in sstable.lookup_rows(m, keys).collect():
+        by_key[r["doc_id"]].append(np.frombuffer(r["ids"], "<u4").tolist())
+    assert {k: sorted(v) for k, v in by_key.items()} == {k: sorted(found[k]) for k in (3, None, -7, 2**40, 150)}
+    assert sstable.lookup_rows(m, keys.where("doc_id = 0")).count() == 0
+
+
+def test_one_id_over_several_shards(spark, tmp_path):
+    rows = [(5, f"text {k}", "s") for k in range(400)] + [(4, "before", "s"), (6, "after", "s")]
+    m = sstable.write_shards(docs(spark, rows), VOCABULARY, str(tmp_path / "sst"))
+    assert m.count() > 2
+    assert sstable.lookup_rows(m, spark.createDataFrame([(5,)], "doc_id long")).count() == 400
+    got = sstable.read_shards(m).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [4] + [5] * 400 + [6]
 
 
 def test_damaged_shard_is_refused(spark, tmp_path):
@@ -177,6 +203,18 @@ def test_mixed_rows(spark):
     assert copies == +want
 
 
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    rows = [(i % 40, "w " * (1 + i % 3), "ab"[i % 2], f"id{i % 40}", i % 7, i % 5) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, `__id` string, share int, copies int")
+    out = mixing.mixed_rows(d.withColumn("mix_key", F.lit(-1)))
+    assert out.columns == [*d.columns, "mix_key"]
+    got = out.drop("mix_key").collect()
+    assert set(map(tuple, got)) <= {tuple(r) for r in rows} and all(r["__id"] == f"id{r['doc_id']}" for r in got)
+    assert len(got) == sum(int(x["taken"] / x["size"] + 0.5) for x in mixing.mix(d).collect())
+    same = spark.createDataFrame([(1, "a b", "x")] * 50 + [(2, "c d", "y")] * 3, "doc_id long, text string, source string")
+    assert mixing.mixed_rows(same).count() == sum(int(x["taken"] / x["size"] + 0.5) for x in mixing.mix(same).collect())
+
+
 # Packing.
 
 def test_best_fit_never_overfills():
@@ -262,6 +300,25 @@ def test_normaliser_reads_any_stream(tmp_path):
     with pytest.raises(ValueError, match="within a record"):
         (tmp_path / "cut.gz").write_bytes(gzip.compress(whole[:-10]))
         warc.normalise(str(tmp_path / "cut.gz"), str(tmp_path / "c.out"), str(tmp_path / "c.idx"))
+    # Cut where a record ends, or anywhere else in the compressed stream.
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    one = [warc.record(i, f"http://{i}", bytes(range(256)) * 40, None, False) for i in range(4)]
+    head = z.compress(one[0] + one[1]) + z.flush(zlib.Z_FULL_FLUSH)
+    data = head + z.compress(one[2] + one[3]) + z.flush()
+    for cut in (len(head), len(data) - 8, len(data) - 1, 5):
+        (tmp_path / "cut.gz").write_bytes(gzip.compress(whole) + data[:cut])
+        with pytest.raises(ValueError, match="cut"):
+            warc.normalise(str(tmp_path / "cut.gz"), str(tmp_path / "c.out"), str(tmp_path / "c.idx"))
+    (tmp_path / "big.gz").write_bytes(gzip.compress(bytes(10_000_000)))
+    with open(tmp_path / "big.gz", "rb") as f:
+        assert sum(len(x) for x in warc.inflated(iter(lambda: f.read(1 << 20), b""))) == 10_000_000
+
+
+def test_hot_payloads(spark):
+    rows = [(k, f"http://{k}", "same" if k % 3 else f"own {k // 6}") for k in range(60, 0, -1)] + [(None, "u", "same")]
+    p = pages(spark, rows)
+    got = [Counter(map(tuple, warc.with_references(p, hot_pages=n).select("page_id", "payload", "first").collect())) for n in (2, 10, 1000)]
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) == 61
 
 
 # The pipeline.

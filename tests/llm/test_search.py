@@ -13,7 +13,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 def brute_topk(rows, k, every):
     best = {}
     for i, v in rows:
-        if i is None or v is None or not len(v) or any(x is None or not np.isfinite(x) for x in v):
+        if i is None or v is None or not len(v) or any(x is None or not np.isfinite(x) or abs(x) > 7e305 for x in v):
             continue
         w = [int(np.floor(256 * float(np.float32(x)))) for x in v]
         if i not in best or (len(w), w) < (len(best[i]), best[i]):
@@ -44,6 +44,12 @@ def test_topk_ties_and_copies(spark):
     assert got == brute_topk(rows, 5, 50)
 
 
+def test_topk_of_huge_doubles(spark):
+    rows = [(0, [1e306, 1.0]), (50, [7e305, 1.0]), (51, [-2.0, 0.5]), (52, [1e-300, 3.0])]
+    got = top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=50).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(50, 52), (50, 51)]
+
+
 def test_tree_beyond_double_precision():
     rng = np.random.default_rng(2)
     x = np.floor(rng.standard_normal((300, 4)) * 1e9)
@@ -83,3 +89,23 @@ def test_graph_of_copies():
     g = Graph(np.arange(500), np.ones((500, 3)))
     ids, d = g.search(np.ones((1, 3)), np.array([0]), 10, 160)[0]
     assert len(ids) == 10 and set(d) == {0.0} and 0 not in ids
+
+
+def test_nearest_with_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4).round(1).tolist()) for i in range(300)]
+    rows += [(None, [1.0] * 4), (300, None), (400, []), (500, [1.0, None, 0.0, 0.0]), (600, [1.0, 2.0]), (601, [1.5, 2.0]), (100, rows[100][1]), (200, [9.0] * 4), (5, rows[6][1])]
+    df = spark.createDataFrame([(i, v, -1.0, 7) for i, v in rows], "vec_id long, embedding array<float>, score double, shard int")
+    best = {}
+    for i, v in rows:
+        if i is not None and v and None not in v and any(v):
+            v = [float(np.float32(x)) for x in v]
+            best[i] = min(best.get(i, v), v, key=lambda x: (len(x), x))
+    want = set()
+    for q, a in best.items():
+        if q % 100 == 0:
+            d = sorted((float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())), i) for i, b in best.items() if i != q and len(b) == len(a))[:10]
+            want |= {(q, k + 1, i) for k, (_, i) in enumerate(d)}
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, k=10, every=100).collect()}
+    assert got == want
+    assert nearest(df.where("vec_id > 9000")).count() == 0 and nearest(df.where("vec_id = 600")).count() == 0
