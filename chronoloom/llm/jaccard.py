@@ -13,16 +13,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._spark import prepare, release, save
+from ._spark import prepare, release, save, unused
 from ._text import chunks, mix64, shingle_hashes, string_buffers, word_hashes
 
 #: Windows of one bucket, about; at least LEAST_BUCKETS buckets.
 BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 1_500_000, 32, 1 << 24
-#: Windows gathered before a map task hands blobs on.
-FLUSH_TOKENS = 500_000
+#: Windows gathered before a map task hands blobs on, and sets of these that a window must be in to be looked at as hot.
+FLUSH_TOKENS, FLUSH_SETS = 500_000, 8
+#: A window is hot if one in so many sets holds it, and LEAST_HOT sets at least; at most MOST_HOT windows are.
+HOT_SHARE, LEAST_HOT, MOST_HOT = 200, 500, 1 << 17
 _ENTRY = np.dtype([("t", "<u8"), ("d", "<u4")])
 
 
@@ -34,32 +37,61 @@ def _sets(batch: pa.RecordBatch, width: int):
         yield from enumerate(shingle_hashes(words, rows, width), a)
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    """A 64-bit name of a set: a sum of scrambled members and its size."""
+def _fingerprint(s: np.ndarray, bits: int) -> tuple[int, int, int]:
+    """A 64-bit name of a set (a sum of scrambled members and its size), a second one to tell whether the first is
+    shared by other sets, and a name for that case. With fewer bits the first takes fewer values, for tests."""
     with np.errstate(over="ignore"):
-        return int(mix64(mix64(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
+        x = mix64(s ^ np.uint64(0x2545F4914F6CDD1D))
+        sums = np.array([x.sum(), mix64(x ^ np.uint64(0x9E6C63D0876A9A47)).sum()], np.uint64) + np.uint64(len(s))
+        name, check = mix64(sums)
+        name = name & np.uint64((1 << bits) - 1) if bits < 64 else name
+        other = mix64(np.array([name * np.uint64(3) ^ check]))[0]
+    return tuple(int(np.uint64(v).astype(np.int64)) for v in (name, check, other))
 
 
-def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, fp: the size and name of each document's window set; and what docs has after id and text."""
+def document_sets(docs: DataFrame, width: int, bits: int = 64) -> DataFrame:
+    """Kind 0: doc_id, n_shingles, fp, check, other: the size and names of each document's window set; and what docs has
+    after id and text. Kind 1: windows (fp) that many sets of one stretch of documents hold (n_shingles)."""
     more = docs.schema.fields[2:]
+    names = ["kind", "doc_id", "n_shingles", "fp", "check", "other", *[f.name for f in more]]
 
     def run(batches):
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size, empty = 0, None
+
+        def common():
+            w, n = np.unique(np.concatenate(held), return_counts=True)
+            w, n = w[n >= FLUSH_SETS].astype(np.int64), n[n >= FLUSH_SETS]
+            void = [pa.nulls(len(w), pa.int64())] * 2 + [pa.nulls(len(w), t) for t in empty]
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(w), np.int32)), pa.nulls(len(w), pa.int64()), pa.array(n, pa.int64()), pa.array(w), *void], names)
+
         for batch in batches:
-            n, fp = [], []
+            empty = [c.type for c in batch.columns[2:]]
+            n, found = [], []
             for _, s in _sets(batch, width):
                 n.append(len(s))
-                fp.append(_fingerprint(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), *batch.columns[2:]], names)
-
-    names = ["doc_id", "n_shingles", "fp", *[f.name for f in more]]
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
-
-
-def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Windows dealt to buckets by the first 24 bits of their hash, packed: set names, runs, and the other 40 bits.
-
-    A run is up to 255 windows of one set; a set's windows of one bucket all lie in one row.
+                found.append(_fingerprint(s, bits))
+                if len(s) and found[-1][0] not in seen:
+                    seen.add(found[-1][0])
+                    held.append(s)
+                    size += len(s)
+            fp = np.array(found, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), *[pa.array(fp[:, k]) for k in range(3)], *batch.columns[2:]], names)
+            if size >= FLUSH_TOKENS:
+                yield common()
+                held, size = [], 0
+        if held:
+            yield common()
+
+    return docs.mapInArrow(run, "kind int, doc_id long, n_shingles long, fp long, check long, other long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
+
+
+def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_names: frozenset, bits: int) -> DataFrame:
+    """Windows dealt to buckets by the first 24 bits of their names, packed: set names, runs, window names.
+
+    A run is up to 255 windows of one set; a set's windows of one bucket all lie in one row. Hot windows are in rows
+    of their own and dealt by the name of the set, so no bucket gets all of one.
     """
 
     def run(batches):
@@ -71,10 +103,14 @@ def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         def flush():
             tok = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-            bucket = ((tok >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+            fp = np.array(fps, np.int64)
+            at = np.searchsorted(hot, tok)
+            at[at == len(hot)] = 0
+            is_hot = hot[at] == tok if len(hot) else np.zeros(len(tok), bool)
+            by = np.where(is_hot, mix64(fp.view(np.uint64))[doc], tok)
+            bucket = ((by >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64) * 2 + is_hot
             order = np.argsort(bucket, kind="stable")
             tok, doc, bucket = tok[order], doc[order], bucket[order]
-            fp = np.array(fps, np.int64)
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             rows: list[list] = [[] for _ in range(5)]
             for a, z in zip(edge.tolist(), edge[1:].tolist()):
@@ -84,16 +120,19 @@ def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 last = np.cumsum(parts) - 1
                 sizes = np.full(int(parts.sum()), 255, np.uint8)
                 sizes[last] = count - (parts - 1) * 255
-                t = tok[a:z]
-                values = (int(bucket[a]), fp[np.repeat(doc[a:z][first], parts)].tobytes(), sizes.tobytes(), t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype(np.uint8).tobytes())
+                values = (int(bucket[a]) // 2, bool(bucket[a] % 2), fp[np.repeat(doc[a:z][first], parts)].tobytes(), sizes.tobytes(), tok[a:z].tobytes())
                 for r, v in zip(rows, values):
                     r.append(v)
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "fps", "counts", "low", "high"])
+            kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "hot", "fps", "counts", "windows"])
 
         for batch in batches:
             for _, s in _sets(batch, width):
-                if len(s) and (fp := _fingerprint(s)) not in seen:
+                if not len(s):
+                    continue
+                fp, _, other = _fingerprint(s, bits)
+                fp = other if fp in shared_names else fp
+                if fp not in seen:
                     seen.add(fp)
                     sets.append(s)
                     fps.append(fp)
@@ -104,33 +143,50 @@ def _blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if sets:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, fps binary, counts binary, low binary, high binary")
+    return docs.mapInArrow(run, "bucket int, hot boolean, fps binary, counts binary, windows binary")
 
 
-def _shared_windows(table: pa.Table) -> pa.Table:
-    """One bucket: for every set its windows that some other set holds too, with the number of sets that hold them."""
+def _entries_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set names, and for each window the number of its set and its own name; a set that several rows hold counts once."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    bucket = np.uint64(table.column("bucket")[0].as_py())
-    fp, count = join("fps", "<i8"), join("counts", np.uint8)
+    fp, count, tok = join("fps", "<i8"), join("counts", np.uint8), join("windows", "<u8")
     row = np.repeat(np.arange(table.num_rows), [x.as_buffer().size for c in table.column("counts").chunks for x in c])
-    tok = join("low", "<u4").astype(np.uint64) | join("high", np.uint8).astype(np.uint64) << np.uint64(32)
     name, first, back = np.unique(fp, return_index=True, return_inverse=True)
     keep = np.repeat(row == row[first][back], count)  # copies in other rows bring the same windows again
-    owner = np.repeat(back.astype(np.int32), count)[keep]
-    tok = tok[keep]
-    order = np.argsort(tok)
-    tok, owner = tok[order], owner[order]
-    del order, keep
-    edge = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
-    df = np.diff(edge).astype(np.uint32)
-    many = np.repeat(df > 1, df)
-    tok, owner, df = tok[many], owner[many], np.repeat(df, df)[many]
-    order = np.argsort(owner, kind="stable")
-    entry = np.empty(len(tok), _ENTRY)
-    entry["t"], entry["d"], owner = (tok | bucket << np.uint64(40))[order], df[order], owner[order]
-    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, np.int64)
-    data = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer((edge * _ENTRY.itemsize).astype(np.int64)), pa.py_buffer(entry.tobytes())])
-    return pa.table([pa.array(name[owner[edge[:-1]]] if len(owner) else name[:0]), data.cast(pa.binary())], names=["fp", "entries"])
+    return name, np.repeat(back.astype(np.int32), count)[keep], tok[keep]
+
+
+def _shared_windows(hot: np.ndarray, sets_of_hot: np.ndarray):
+    """Of one bucket: for every set its windows that some other set holds too, with the number of sets that hold them.
+    Hot windows have the number that was counted before."""
+
+    def packed(name: np.ndarray, owner: np.ndarray, tok: np.ndarray, df: np.ndarray) -> pa.Table:
+        order = np.argsort(owner, kind="stable")
+        entry = np.empty(len(tok), _ENTRY)
+        entry["t"], entry["d"], owner = tok[order], df[order], owner[order]
+        edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, np.int64)
+        data = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer((edge * _ENTRY.itemsize).astype(np.int64)), pa.py_buffer(entry.tobytes())])
+        return pa.table([pa.array(name[owner[edge[:-1]]] if len(owner) else name[:0]), data.cast(pa.binary())], names=["fp", "entries"])
+
+    def run(table: pa.Table) -> pa.Table:
+        flags = table.column("hot")
+        out = []
+        rare = table.filter(pa.compute.invert(flags))
+        if rare.num_rows:
+            name, owner, tok = _entries_of(rare)
+            order = np.argsort(tok)
+            tok, owner = tok[order], owner[order]
+            edge = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
+            df = np.diff(edge).astype(np.uint32)
+            many = np.repeat(df > 1, df)
+            out.append(packed(name, owner[many], tok[many], np.repeat(df, df)[many]))
+        rest = table.filter(flags)
+        if rest.num_rows:
+            name, owner, tok = _entries_of(rest)
+            out.append(packed(name, owner, tok, sets_of_hot[np.searchsorted(hot, tok)]))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _candidates(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -190,6 +246,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after further links: old components are contracted to their labels, and only what the links add to
+    them is searched for components."""
+    if labels is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias(f"c{end}"))
+        ends = ends.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    new = save(ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "link-new")
+    if new.isEmpty():
+        return labels
+    top = components(new)
+    # Every end that had no label is a component of its own so far.
+    alone = top.select("node").join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
+    up = top.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+    return save(labels.unionByName(alone).join(up, "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "link-labels")
+
+
 def _linked(num: int, den: int) -> Column:
     return F.col("common") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("common"))
 
@@ -203,8 +278,10 @@ def _across(rows: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the components of the graph that links documents of Jaccard >= threshold.
 
-    Null or empty text, or text without words, has no windows and links with nothing. Rows that repeat a
-    doc_id are documents of their own; a row without doc_id has no component. An empty table gives no rows.
+    Words and windows are compared by 64-bit hashes: two given sets of A and B windows have a false common one with
+    a chance of A * B / 2^64. Classes of equal sets are told apart by 128 bits. Null or empty text, or text without
+    words, has no windows and links with nothing. Rows that repeat a doc_id are documents of their own; a row
+    without doc_id has no component. An empty table gives no rows. Further columns don't matter.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own, labels = _labelled(d, width, threshold)
@@ -212,17 +289,35 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     return own.join(labels, "fp", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _named(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame, frozenset, np.ndarray, np.ndarray]:
+    """The document_sets of docs with names that no two sets share; the names that did; hot windows and their numbers of sets."""
+    every = save(document_sets(docs, width, bits), "jaccard-documents")
+    own = every.where("kind = 0").drop("kind")
+    # Names of 64 bits: of n sets about n^2 / 2^65 share one, some hundred of a hundred billion.
+    clash = own.where("n_shingles > 0").groupBy("fp").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("fp")
+    shared_names = frozenset(r["fp"] for r in clash.collect())
+    if shared_names:
+        own = own.withColumn("fp", F.when(F.col("n_shingles") > 0, F.when(F.col("fp").isin(*shared_names), F.col("other")).otherwise(F.col("fp"))).otherwise(F.col("fp")))
+    least = max(LEAST_HOT, own.count() // HOT_SHARE)
+    # Any list does, as long as all sets use the same; at most MOST_HOT pairs of numbers.
+    hot = every.where("kind = 1").groupBy("fp").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "fp").limit(MOST_HOT).collect()
+    names = np.array([r["fp"] for r in hot], np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return own.drop("check", "other"), shared_names, names[order], np.minimum(np.array([r["n"] for r in hot], np.int64)[order], 2**32 - 1).astype(np.uint32)
+
+
+def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int], bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """The document_sets of docs(doc_id, text, ...), and fp, comp, component_id of those with windows; comp names one component only."""
     num, den = threshold
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select("doc_id", "text")
-    own = save(document_sets(docs, width), "jaccard-documents")
+    own, shared_names, hot, sets_of_hot = _named(docs, width, bits)
     named = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_TOKENS)))
-    shared = _blobs(d.where("doc_id IS NOT NULL"), width, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_windows, "fp long, entries binary")
+    blobs = _blobs(d.where("doc_id IS NOT NULL"), width, buckets, hot, shared_names, bits)
+    shared = blobs.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_shared_windows(hot, sets_of_hot), "fp long, entries binary")
     sizes = named.groupBy("fp").agg(F.first("n_shingles").alias("n"))
     sets = save(_candidates(shared, sizes, num, den), "jaccard-candidates")
     del shared
@@ -237,7 +332,7 @@ def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[
     by_seed = slim.join(seeds, "seed").where("fp <> a").select("a", F.col("fp").alias("b"))
     tested = save(_verified(in_group.unionByName(by_seed).distinct(), sets), "jaccard-tested-1")
     links = tested.where(_linked(num, den)).select("a", "b")
-    comps = components(links)
+    comps = joined_components(None, links)
 
     # Members that don't link to their head stand for themselves.
     reach = tested.join(slim.select(F.col("fp").alias("b"), F.col("head").alias("a")), ["a", "b"]).where(_linked(num, den))
@@ -260,8 +355,7 @@ def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[
     star = star.select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = save(_verified(star, sets), "jaccard-tested-2")
     tested = tested.unionByName(more)
-    links = tested.where(_linked(num, den)).select("a", "b")
-    comps = components(links)
+    comps = joined_components(comps, more.where(_linked(num, den)).select("a", "b"))
 
     # What still meets across components is compared pair by pair.
     left = save(placed(comps), "jaccard-open")
@@ -270,18 +364,16 @@ def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[
     pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = save(_verified(pairs, sets), "jaccard-tested-3")
     tested = tested.unionByName(more)
-    links = tested.where(_linked(num, den)).select("a", "b")
-    comps = components(links)
+    comps = joined_components(comps, more.where(_linked(num, den)).select("a", "b"))
 
     # Heads that don't link while members of theirs might: the triangle inequality leaves few.
-    links = save(links.unionByName(_expanded(tested, reach, comps, sets, num, den)), "jaccard-links")
-    comps = components(links)
+    comps = joined_components(comps, save(_expanded(tested, reach, comps, sets, num, den), "jaccard-links"))
 
-    classes = named.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp"))
-    classes = save(classes.select("fp", "comp", "first"), "jaccard-classes")
-    least = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
-    return own, save(classes.join(least, "comp").select("fp", "comp", "component_id"), "jaccard-components")
+    classes = named.groupBy("fp").agg(F.min("doc_id").alias("first")).join(comps.withColumnRenamed("node", "fp"), "fp", "left")
+    classes = save(classes.select("fp", "label", F.coalesce("label", "fp").alias("comp"), "first"), "jaccard-classes")
+    # A class that links with no other is its own component; the others meet the least id of theirs.
+    least = classes.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
+    return own, save(classes.join(least, "label", "left").select("fp", "comp", F.coalesce("least", "first").alias("component_id")), "jaccard-components")
 
 
 def _expanded(tested: DataFrame, reach: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -316,7 +408,8 @@ def first_of_each_component(docs: DataFrame, *, width: int = 5, threshold: tuple
     own, labels = _labelled(d, width, threshold)
     own = own.where("doc_id IS NOT NULL")
     least = own.where("n_shingles > 0").join(labels, "fp").groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("k")).select("k.*")
-    found = save(least.unionByName(own.where("n_shingles = 0").select("doc_id", "row").distinct()), "jaccard-kept").select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"))
-    rows = docs.where(F.col(id_col).isNotNull()).withColumns({"__doc": F.col(id_col).cast("long"), "__row": named})
-    kept = rows.join(found, ["__doc", "__row"], "left_semi").dropDuplicates(["__doc", "__row"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    doc, row = unused(docs.columns, "doc", "row")
+    found = save(least.unionByName(own.where("n_shingles = 0").select("doc_id", "row").distinct()), "jaccard-kept").select(F.col("doc_id").alias(doc), F.col("row").alias(row))
+    rows = docs.where(F.col(id_col).isNotNull()).withColumns({doc: F.col(id_col).cast("long"), row: named})
+    kept = rows.join(found, [doc, row], "left_semi").dropDuplicates([doc, row])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -79,6 +79,51 @@ def test_components(spark, seed):
     assert Counter(map(tuple, got.collect())) == brute_components(rows)
 
 
+def labelled_rows(spark, rows, **options):
+    own, labels = jaccard._labelled(frame(spark, rows).select("doc_id", "text").coalesce(1), 5, (75, 100), **options)
+    d = own.join(labels, "fp", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return Counter(map(tuple, d.select("doc_id", "n_shingles", component.alias("component_id")).collect()))
+
+
+@pytest.mark.parametrize("bits", [0, 4])
+def test_sets_that_share_a_name_stay_apart(spark, bits):
+    rows = near_copies(6, groups=5, size=5) + [(800, None), (801, "a b"), (802, "a b"), (None, "x y z")]
+    assert labelled_rows(spark, rows, bits=bits) == brute_components(rows)
+
+
+def test_hot_windows(spark, monkeypatch):
+    """A passage that many sets share, and windows that most sets hold, change no link."""
+    monkeypatch.setattr(jaccard, "LEAST_HOT", 8)
+    line = " ".join(f"line{k}" for k in range(14))
+    rows = [(i, f"{t} {line}" if i % 2 else t) for i, t in near_copies(8, groups=14, size=6)] + [(900 + k, line + " end" * (k % 3)) for k in range(12)]
+    _, _, hot, n = jaccard._named(frame(spark, rows).select("doc_id", "text").coalesce(1), 5, 64)
+    assert len(hot) >= 10 and n.min() >= 8
+    assert labelled_rows(spark, rows) == brute_components(rows)
+
+
+def test_components_grow_by_links(spark):
+    r = random.Random(3)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(70)]
+    labels, seen = None, []
+    for k in range(0, 70, 14):
+        part = [p for p in pairs[k : k + 14] if p[0] != p[1]]
+        seen += part
+        labels = jaccard.joined_components(labels, spark.createDataFrame([(min(p), max(p)) for p in part], "a long, b long"))
+        up = {x: x for p in seen for x in p}
+
+        def root(a, up=up):
+            while up[a] != a:
+                a = up[a]
+            return a
+
+        for a, b in seen:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        assert {r["node"]: r["label"] for r in labels.collect()} == {x: root(x) for x in up}
+    assert jaccard.joined_components(labels, spark.createDataFrame([], "a long, b long")).count() == len(up)
+
+
 def test_no_documents(spark):
     empty = frame(spark, [(1, "x")]).where("doc_id > 1")
     assert jaccard.jaccard_components(empty).count() == 0
