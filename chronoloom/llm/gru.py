@@ -1,13 +1,12 @@
 """Scoring documents by a gated recurrent language model, trained with numpy.
 
-Word counts of the whole training corpus come from a distributed count: map tasks deal (document, word)
-entries to buckets by word hash, a bucket counts its words and hands each document its part of the
-unigram score. The most frequent words get an output of their own, in classes of equal size; every other
-word, seen or not, belongs to a class given by its spelling (the hash of its last bytes), inside which
-it has its share of the counts. A GRU over these symbols predicts the next symbol's class and the word
-within it. Its weights start from a bounded sample, then every partition trains on all its training
-documents by truncated backpropagation, and the partitions' weights are averaged. Scoring carries the
-state through windows, so a document counts as a whole.
+Words are counted once for the whole training corpus. The most frequent ones get an output symbol of their
+own; every other word, seen or not, belongs to a symbol given by its spelling (the hash of its last bytes),
+inside which it has its share of the counts, so that the probabilities of all texts sum to one. A GRU over
+the symbols predicts the next one's class and the symbol within it. Training documents are dealt to fixed
+groups and slices by hash: in each round every group trains on its slice by truncated backpropagation, and
+the groups' weights are averaged, so the result depends on the documents alone. Scoring carries the state
+through windows, so a document counts as a whole.
 """
 
 from __future__ import annotations
@@ -22,23 +21,27 @@ from pyspark.sql import functions as F
 from ._spark import prepare, release, save
 from ._text import _SPACE, chunks, mix64, string_buffers, word_hashes
 
-#: Frequent words, their class size, spelling classes, width of the state.
-WORDS, CLASS, SPELLINGS, STATE = 1024, 32, 64, 16
-LANES, WINDOW = 512, 32
-#: Documents of the first training, at most.
-WARM_DOCS = 1500
-BUCKET_ENTRIES, LEAST_BUCKETS = 3_000_000, 24
-FLUSH_ENTRIES = 500_000
+#: Frequent words and spelling symbols of the network, symbols of a class, width of the state.
+WORDS, SPELLINGS, CLASS, STATE = 1024, 64, 32, 32
+LANES, WINDOW = 128, 32
+#: Learning rates of the rounds; a round takes one slice of every group.
+RATES = (0.04, 0.03, 0.025, 0.02, 0.015, 0.01, 0.005, 0.002)
+#: Words of a group, about; and groups at least and at most.
+GROUP_WORDS, LEAST_GROUPS, MOST_GROUPS = 2_500_000, 8, 4096
+#: Words whose counts every task holds, the most frequent ones; the others' counts come by a join.
+KNOWN_WORDS = 1 << 18
+#: Words that a task counts at once.
+FLUSH_WORDS = 2_000_000
 _END = WORDS + SPELLINGS
-_CLASSES = WORDS // CLASS + SPELLINGS + 1
+_CLASSES = _END // CLASS + 1
 
 
-def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit word names with the spelling class in the last 6 bits, and row offsets."""
+def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit word names, the words' spelling symbols, and row offsets."""
     base = int(offsets[0])
     h, rows = word_hashes(raw, offsets)
     if not len(h):
-        return h, rows
+        return h, np.empty(0, np.uint8), rows
     b = raw[base : int(offsets[-1])]
     solid = ~_SPACE[b]
     ends = np.append(~solid[1:], True)
@@ -51,127 +54,105 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         c = b[at]
         use = (last - k > before) & solid[at]
         spelling = spelling * np.uint64(257) + np.where(use, c + ((c >= 65) & (c <= 90)) * np.uint8(32), 0).astype(np.uint64)
-    cls = mix64(spelling) & np.uint64(SPELLINGS - 1)
-    return (h >> np.uint64(24) << np.uint64(6) | cls) & np.uint64((1 << 46) - 1), rows
+    return h, (mix64(spelling) & np.uint64(SPELLINGS - 1)).astype(np.uint8), rows
 
 
-def _rows(batch: pa.RecordBatch, column: int):
-    raw, off = string_buffers(batch.column(column))
-    for a, z in chunks(off):
-        words, rows = _tokens(raw, off[a : z + 1])
-        bounds = rows.tolist()
-        for i in range(a, z):
-            yield i, words[bounds[i - a] : bounds[i - a + 1]]
-
-
-def _entries(keyed: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket, packed: document keys, runs, learn flags, words (46 bits as 4 + 2 bytes) and their numbers (at most 255 an entry)."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """name, spelling, n of every distinct word of texts(text): counted in the tasks, then summed by name."""
 
     def run(batches):
-        keys: list[int] = []
-        learn: list[bool] = []
-        words: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-        held = 0
-
-        def flush():
-            tok, tf = np.concatenate(words), np.concatenate(times)
-            doc = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
-            bucket = ((mix64(tok) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            tok, tf, doc, bucket = tok[order], tf[order], doc[order], bucket[order]
-            key, flag = np.array(keys, np.int64), np.array(learn, np.uint8)
-            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            rows: list[list] = [[] for _ in range(7)]
-            for a, z in zip(edge.tolist(), edge[1:].tolist()):
-                first = np.flatnonzero(np.concatenate(([True], doc[a + 1 : z] != doc[a : z - 1])))
-                count = np.diff(np.append(first, z - a))
-                own, t = doc[a:z][first], tok[a:z]
-                values = (int(bucket[a]), key[own].tobytes(), flag[own].tobytes(), count.astype("<u2" if count.max() < 65536 else "<u4").tobytes(), t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes(), tf[a:z].tobytes())
-                for r, v in zip(rows, values):
-                    r.append(v)
-            kinds = [pa.int32()] + [pa.binary()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "keys", "learn", "counts", "low", "high", "times"])
+        names, spellings, held = [], [], 0
+
+        def counted():
+            w, s = np.concatenate(names), np.concatenate(spellings)
+            w, first, n = np.unique(w, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(s[first].astype(np.int32)), pa.array(n)], ["name", "spelling", "n"])
 
         for batch in batches:
-            names, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, w in _rows(batch, 2):
-                if not len(w):
-                    continue
-                w, n = np.unique(w, return_counts=True)
-                if n.max() > 255:
-                    reps = (n + 254) // 255
-                    w, part = np.repeat(w, reps), np.full(int(reps.sum()), 255)
-                    part[np.cumsum(reps) - 1] = n - (reps - 1) * 255
-                    n = part
-                keys.append(names[i])
-                learn.append(flags[i])
-                words.append(w)
-                times.append(n.astype(np.uint8))
+            raw, off = string_buffers(batch.column(0))
+            for a, z in chunks(off):
+                w, s, _ = _tokens(raw, off[a : z + 1])
+                names.append(w)
+                spellings.append(s)
                 held += len(w)
-                if held >= FLUSH_ENTRIES:
-                    yield flush()
-                    keys, learn, words, times, held = [], [], [], [], 0
-        if words:
-            yield flush()
-
-    return keyed.mapInArrow(run, "bucket int, keys binary, learn binary, counts binary, low binary, high binary, times binary")
-
-
-def _counted(table: pa.Table) -> pa.Table:
-    """One bucket: kind 0, per document: sum of log10(c + 0.5), words known, words; kind 1, its frequent words: name and
-    count; kind 2, per spelling class: words counted and distinct."""
-    cells = {c: [x.as_buffer() for k in table.column(c).chunks for x in k] for c in table.column_names[1:]}
-    join = lambda name, kind: np.frombuffer(b"".join(cells[name]), kind)
-    key, learn = join("keys", "<i8"), join("learn", np.uint8)
-    count = np.concatenate([np.frombuffer(c, "<u2" if c.size == 2 * (k.size // 8) else "<u4") for c, k in zip(cells["counts"], cells["keys"])]).astype(np.int64)
-    tok = join("low", "<u4").astype(np.uint64) | join("high", "<u2").astype(np.uint64) << np.uint64(32)
-    tf = join("times", np.uint8)
-    name, back = np.unique(tok, return_inverse=True)
-    del tok
-    back = back.astype(np.int32)
-    c = np.bincount(back, tf * np.repeat(learn, count), len(name)).astype(np.int64)
-    edge = np.concatenate(([0], np.cumsum(count)))[:-1]
-    part = np.add.reduceat(np.log10(c + 0.5)[back] * tf, edge)
-    known = np.add.reduceat((c > 0)[back] * tf.astype(np.int64), edge)
-    words = np.add.reduceat(tf.astype(np.int64), edge)
-    top = np.argsort(-c, kind="stable")[:WORDS]
-    top = top[c[top] > 1]
-    cls = (name & np.uint64(SPELLINGS - 1)).astype(np.int64)
-    tokens, distinct = np.bincount(cls, c, SPELLINGS), np.bincount(cls, c > 0, SPELLINGS)
-    n = len(key), len(top), SPELLINGS
-    return pa.table({
-        "kind": pa.array(np.repeat(np.arange(3, dtype=np.int32), n)),
-        "name": pa.array(np.concatenate((key, name[top].astype(np.int64), np.arange(SPELLINGS)))),
-        "part": pa.array(np.concatenate((part, np.zeros(n[1] + n[2])))),
-        "a": pa.array(np.concatenate((known, c[top], tokens.astype(np.int64)))),
-        "b": pa.array(np.concatenate((words, np.zeros(n[1], np.int64), distinct.astype(np.int64)))),
-    })
+                if held >= FLUSH_WORDS:
+                    yield counted()
+                    names, spellings, held = [], [], 0
+        if held:
+            yield counted()
+
+    counts = texts.mapInArrow(run, "name long, spelling int, n long")
+    return counts.groupBy("name").agg(F.min("spelling").alias("spelling"), F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """The frequent words' names in ascending order with their symbols and counts, and per class the log10 share of one count."""
+    """What every task knows of the counts.
+
+    names (ascending) with log10(count + 0.5) of the KNOWN_WORDS most frequent words, and their symbols: of the
+    WORDS first ones their own, of the others that of their spelling; complete: no other word was counted.
+    log_rest: per spelling symbol the logarithm of what its words share.
+    """
 
-    def __init__(self, frequent: list[tuple[int, int]], tokens: np.ndarray, distinct: np.ndarray):
-        ranked = sorted(frequent, key=lambda x: (-x[1], x[0]))[:WORDS]
-        names = np.array([n for n, _ in ranked], np.uint64)
+    def __init__(self, ranked: list[tuple[int, int, int]], tokens: np.ndarray, distinct: np.ndarray):
+        ranked = sorted(ranked, key=lambda x: (-x[2], x[0]))
+        names = np.array([n for n, *_ in ranked], np.int64).view(np.uint64)
         order = np.argsort(names)
-        self.names, self.symbols = names[order], order.astype(np.int32)
-        self.log_count = np.log10(np.array([c for _, c in ranked], np.float64) + 0.5)
+        self.names, self.counts = names[order], np.array([c for *_, c in ranked], np.float64)[order]
+        own = np.arange(len(ranked))
+        self.symbols = np.where(own < WORDS, own, WORDS + np.array([s for _, s, _ in ranked], np.int64))[order].astype(np.uint16)
+        self.logs = np.log10(self.counts + 0.5)
+        self.complete = len(ranked) == int(distinct.sum())
         tokens, distinct = tokens.astype(np.float64), distinct.astype(np.float64)
-        for n, c in ranked:
-            tokens[n & (SPELLINGS - 1)] -= c
-            distinct[n & (SPELLINGS - 1)] -= 1
+        for _, s, c in ranked[:WORDS]:
+            tokens[s] -= c
+            distinct[s] -= 1
         self.log_rest = np.log10(tokens + 0.5 * (distinct + 1))
+        self.frequent = np.array([c for *_, c in ranked[:WORDS]], np.float64)
 
-    def encode(self, words: np.ndarray) -> np.ndarray:
-        """Symbols: a frequent word's own, else that of its spelling class."""
-        rare = (words & np.uint64(SPELLINGS - 1)).astype(np.int32) + WORDS
+    def encode(self, words: np.ndarray, spellings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, logarithms of counts, and which words are known here."""
+        symbols = spellings.astype(np.uint16) + np.uint16(WORDS)
         if not len(self.names):
-            return rare
+            return symbols, np.full(len(words), np.log10(0.5)), np.zeros(len(words), bool)
         at = np.searchsorted(self.names, words)
         at[at == len(self.names)] = 0
-        return np.where(self.names[at] == words, self.symbols[at], rare)
+        known = self.names[at] == words
+        return np.where(known, self.symbols[at], symbols), np.where(known, self.logs[at], np.log10(0.5)), known
+
+
+_ENCODED = "row long, doc_id long, learn boolean, key long, n_tokens long, symbols binary, part double, rest double, known long, names array<long>, times array<long>"
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Of docs(doc_id, learn, key, text): a number for the row, the text's symbols (16 bits each), the sums of
+    log10(count + 0.5) over its words (part) and over those without a symbol of their own (rest), how many of
+    its words were counted, and the words whose counts must be looked up, with their numbers."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().taskAttemptId() << 32  # kept: the rows are saved before they are used
+        for batch in batches:
+            raw, off = string_buffers(batch.column(3))
+            out: list[list] = [[] for _ in range(7)]
+            for a, z in chunks(off):
+                words, spellings, rows = _tokens(raw, off[a : z + 1])
+                symbols, logs, known = vocabulary.encode(words, spellings)
+                local = known | vocabulary.complete
+                own = symbols < WORDS
+                # Sums before each row's begin; the words to look up count nothing here.
+                sums = [np.concatenate(([0.0], np.cumsum(np.where(local, logs, 0.0)))), np.concatenate(([0.0], np.cumsum(np.where(local & ~own, logs, 0.0)))), np.concatenate(([0], np.cumsum(known)))]
+                bounds = rows.tolist()
+                for b, e in zip(bounds, bounds[1:]):
+                    rare, times = np.unique(words[b:e][~local[b:e]], return_counts=True)
+                    for c, v in zip(out, (e - b + 1, symbols[b:e].tobytes(), sums[0][e] - sums[0][b], sums[1][e] - sums[1][b], int(sums[2][e] - sums[2][b]), rare.view(np.int64), times)):
+                        c.append(v)
+            n = batch.num_rows
+            kinds = (pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), *batch.columns[:3], *[pa.array(c, k) for c, k in zip(out, kinds)]], [c.split()[0] for c in _ENCODED.split(", ")])
+            row += n
+
+    return docs.select("doc_id", "learn", "key", "text").mapInArrow(run, _ENCODED)
 
 
 def unigram_weights(vocabulary: Vocabulary, ends: int) -> dict[str, np.ndarray]:
@@ -179,21 +160,18 @@ def unigram_weights(vocabulary: Vocabulary, ends: int) -> dict[str, np.ndarray]:
     w = new_weights()
     w["out"] *= np.float32(0.1)
     w["word"] *= np.float32(0.1)
-    counts = np.full(WORDS, 1e-6)
-    counts[: len(vocabulary.log_count)] = 10**vocabulary.log_count
+    counts = np.full(_END, 1e-6)
+    counts[: len(vocabulary.frequent)] = vocabulary.frequent + 0.5
+    counts[WORDS:] = 10**vocabulary.log_rest
     per = counts.reshape(-1, CLASS)
     w["word0"] = np.log(per).astype(np.float32)
-    w["out0"] = np.log(np.concatenate((per.sum(1), 10**vocabulary.log_rest, [ends + 0.5]))).astype(np.float32)
+    w["out0"] = np.log(np.append(per.sum(1), ends + 0.5)).astype(np.float32)
     return w
 
 
-def _class_of(y: np.ndarray) -> np.ndarray:
-    return np.where(y < WORDS, y // CLASS, y - WORDS + WORDS // CLASS)
-
-
 def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    shape = {"gates": (_END + 1, 3 * STATE), "turn": (STATE, 3 * STATE), "out": (STATE, _CLASSES), "out0": (_CLASSES,), "word": (WORDS // CLASS, STATE, CLASS), "word0": (WORDS // CLASS, CLASS)}
+    shape = {"gates": (_END + 1, 3 * STATE), "turn": (STATE, 3 * STATE), "out": (STATE, _CLASSES), "out0": (_CLASSES,), "word": (_CLASSES - 1, STATE, CLASS), "word0": (_CLASSES - 1, CLASS)}
     return {k: (r.standard_normal(s) * (0.0 if k.endswith("0") else 0.2)).astype(np.float32) for k, s in shape.items()}
 
 
@@ -212,11 +190,11 @@ class Network:
         """x (T, B) symbols, fresh (T, B) true where a document begins. Returns states (T, B, H) and what backpropagation needs."""
         H, w = STATE, self.w
         inputs = w["gates"][x]
-        states, saved = np.empty((*x.shape, H), np.float32), []
+        states, saved = np.empty((*x.shape, H), w["out"].dtype), []
         begins = fresh.any(1)
         for t in range(len(x)):
             if begins[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+                h = np.where(fresh[t][:, None], h.dtype.type(0), h)
             u = h @ w["turn"]
             zr = _sigmoid(inputs[t, :, : 2 * H] + u[:, : 2 * H])
             z, r = zr[:, :H], zr[:, H:]
@@ -234,14 +212,13 @@ class Network:
         out -= out.max(1, keepdims=True)
         p = np.exp(out)
         total = p.sum(1, keepdims=True)
-        c = _class_of(y)
+        c = y // CLASS  # the end is a class of its own
         lp = out[np.arange(len(y)), c] - np.log(total[:, 0])
         p /= total
-        own = np.flatnonzero(y < WORDS)
-        order = own[np.argsort(c[own], kind="stable")]
+        order = np.argsort(c, kind="stable")
         inner = []
-        edge = np.searchsorted(c[order], np.arange(WORDS // CLASS + 1))
-        for k in range(WORDS // CLASS):
+        edge = np.searchsorted(c[order], np.arange(_CLASSES))
+        for k in range(_CLASSES - 1):
             i = order[edge[k] : edge[k + 1]]
             if len(i):
                 q = s[i] @ w["word"][k] + w["word0"][k]
@@ -253,8 +230,9 @@ class Network:
                 inner.append((k, i, j, e / t))
         return lp, p, c, inner
 
-    def train(self, x, y, fresh, live, h, rate):
-        """One window of truncated backpropagation; live (T, B): positions that exist. Returns the state and the summed log probability."""
+    def gradients(self, x, y, fresh, live, h):
+        """Truncated backpropagation through one window; live (T, B): positions that exist. Returns the gradients of the
+        mean loss, the state and the summed log probability."""
         H, w = STATE, self.w
         states, h, saved = self._forward(x, fresh, h, True)
         T, B = x.shape
@@ -264,7 +242,7 @@ class Network:
         lp, p, c, inner = self._logits(s, target)
         g = {k: np.zeros_like(v) for k, v in w.items()}
         p[np.arange(len(at)), c] -= 1
-        scale = np.float32(1 / max(1, len(at)))
+        scale = w["out"].dtype.type(1 / max(1, len(at)))
         p *= scale
         g["out"], g["out0"] = s.T @ p, p.sum(0)
         ds = p @ w["out"].T
@@ -273,11 +251,12 @@ class Network:
             q *= scale
             g["word"][k], g["word0"][k] = s[i].T @ q, q.sum(0)
             ds[i] += q @ w["word"][k].T
-        dstates = np.zeros((T * B, H), np.float32)
+        kind = w["out"].dtype
+        dstates = np.zeros((T * B, H), kind)
         dstates[at] = ds
         dstates = dstates.reshape(T, B, H)
-        dx = np.empty((T, B, 3 * H), np.float32)
-        dh = np.zeros((B, H), np.float32)
+        dx = np.empty((T, B, 3 * H), kind)
+        dh = np.zeros((B, H), kind)
         for t in range(T - 1, -1, -1):
             before, z, r, n, u = saved[t]
             dh = dh + dstates[t]
@@ -294,14 +273,17 @@ class Network:
         order = np.argsort(flat, kind="stable")
         sym, first = np.unique(flat[order], return_index=True)
         g["gates"][sym] = np.add.reduceat(dflat[order], first)
+        return g, h, float(lp.sum())
+
+    def step(self, g, rate):
+        """One update by clipped gradients with running moments."""
         self.steps += 1
         a, b = 1 - 0.9**self.steps, 1 - 0.99**self.steps
-        for k, v in w.items():
+        for k, v in self.w.items():
             d = np.clip(g[k], -0.05, 0.05)
             self.m[k] += 0.1 * (d - self.m[k])
             self.v[k] += 0.01 * (d * d - self.v[k])
             v -= (rate / a) * self.m[k] / (np.sqrt(self.v[k] / b) + 1e-7)
-        return h, float(lp.sum())
 
 
 def _windows(docs: list[np.ndarray], width: int = LANES):
@@ -344,7 +326,8 @@ def fit(net: Network, docs: list[np.ndarray], rate: float) -> float:
     h, total = None, 0.0
     for x, y, fresh, owner in _windows(docs):
         h = np.zeros((x.shape[1], STATE), np.float32) if h is None else h[: x.shape[1]]
-        h, lp = net.train(x, y, fresh, owner >= 0, h, rate)
+        g, h, lp = net.gradients(x, y, fresh, owner >= 0, h)
+        net.step(g, rate)
         total += lp
     return total
 
@@ -365,14 +348,14 @@ def likelihoods(net: Network, docs: list[np.ndarray]) -> np.ndarray:
 LANE_WORDS = 1_500_000
 
 
-def _gathered(batches, column: int, vocabulary: Vocabulary):
-    """Lists of (rows, symbols) of about LANE_WORDS words; rows as (batch, row, words)."""
+def _gathered(batches, column: int):
+    """Lists of (rows, symbols) of about LANE_WORDS words; rows as (batch, row)."""
     rows, docs, held = [], [], 0
     for batch in batches:
-        for i, w in _rows(batch, column):
-            rows.append((batch, i, len(w)))
-            docs.append(vocabulary.encode(w))
-            held += len(w) + 1
+        for i, data in enumerate(batch.column(column)):
+            rows.append((batch, i))
+            docs.append(np.frombuffer(data.as_buffer(), np.uint16))
+            held += len(docs[-1]) + 1
             if held >= LANE_WORDS:
                 yield rows, docs
                 rows, docs, held = [], [], 0
@@ -392,104 +375,100 @@ def _unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-_BLOCK = 8192
+_WEIGHTS = "part int, words long, weights binary"
 
 
-def _trained(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, rate: float, epochs: int) -> DataFrame:
-    """docs(text): each partition's weights after training on all its documents, in blocks with the words they saw."""
+def _trained(slices: DataFrame, groups: int, start: np.ndarray, rate: float) -> DataFrame:
+    """Of slices(group, key, symbols): each group's weights after training on its documents in the order of their keys."""
 
     def run(batches):
-        net, seen = Network(_unpacked(start)), 0
-        for rows, symbols in _gathered(batches, 0, vocabulary):
-            for _ in range(epochs):
-                fit(net, symbols, rate)
+        net, seen, group = Network(_unpacked(start)), 0, None
+        for rows, symbols in _gathered(batches, 2):
+            group = rows[0][0].column(0)[0].as_py()
+            fit(net, symbols, rate)
             seen += sum(len(s) + 1 for s in symbols)
         if seen:
-            flat = _packed(net.w)
-            for b in range(0, len(flat), _BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([b // _BLOCK], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat[b : b + _BLOCK].astype("<f4").tobytes()])], ["block", "words", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([_packed(net.w).astype("<f4").tobytes()])], ["part", "words", "weights"])
 
-    return docs.mapInArrow(run, "block int, words long, weights binary")
+    dealt = slices.repartitionById(groups, F.col("group")).sortWithinPartitions("key", "symbols")
+    return dealt.select("group", "key", "symbols").mapInArrow(run, _WEIGHTS)
 
 
-def _averaged(parts: DataFrame) -> np.ndarray | None:
-    """The word-weighted mean of all partitions' weights; one row per block reaches the driver."""
+def _averaged(parts: DataFrame, groups: int) -> np.ndarray | None:
+    """The word-weighted mean of all groups' weights: by 32 at a time, in the order of their numbers; one row reaches the driver."""
 
     def mean(batches):
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for b, n, w in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                s = sums.setdefault(b, [0, 0.0])
-                s[0] += n
-                s[1] = s[1] + np.frombuffer(w, "<f4").astype(np.float64) * n
-        for b, (n, w) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([(w / n).astype("<f4").tobytes()])], ["block", "words", "weights"])
-
-    schema = "block int, words long, weights binary"
-    first = parts.mapInArrow(mean, schema)
-    rows = sorted(first.repartition(8, "block").mapInArrow(mean, schema).collect(), key=lambda r: r["block"])
-    return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in rows]) if rows else None
-
-
-def scored(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", warm_docs: int = WARM_DOCS) -> DataFrame:
+        own = [row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+        own.sort()
+        for part in sorted({p // 32 for p, *_ in own}):
+            few = [(n, np.frombuffer(w, "<f4").astype(np.float64)) for p, n, w in own if p // 32 == part]
+            total = sum(n for n, _ in few)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64()), pa.array([(sum(n * w for n, w in few) / total).astype("<f4").tobytes()])], ["part", "words", "weights"])
+
+    while True:
+        groups = -(-groups // 32)
+        parts = parts.repartitionById(groups, (F.col("part") / 32).cast("int")).mapInArrow(mean, _WEIGHTS)
+        if groups == 1:
+            rows = parts.collect()
+            return np.frombuffer(rows[0]["weights"], "<f4") if rows else None
+
+
+def scored(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", known_words: int = KNOWN_WORDS, rates: tuple[float, ...] = RATES) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     `learn` says which rows train. Null text is empty: its end alone. Rows that repeat id and text count
     each time in training and score alike. Without training rows the network stays as it began,
-    which is close to the unigram counts.
+    which is close to the unigram counts. An empty table gives no rows; further columns don't matter.
     """
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    keyed = d.select(F.xxhash64("doc_id", "text").alias("key"), "learn", "text")
-    size = d.agg(F.sum(F.octet_length("text")), F.sum(F.col("learn").cast("long"))).first()
-    ends = size[1] or 0
-    buckets = max(LEAST_BUCKETS, -(-(size[0] or 0) // (9 * BUCKET_ENTRIES)))
-    counted = save(_entries(keyed, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_counted, "kind int, name long, part double, a long, b long"), "lm-counts")
-    release(spark)
-    frequent = counted.where("kind = 1").orderBy(F.col("a").desc(), "name").limit(WORDS).select("name", "a").collect()
-    classes = counted.where("kind = 2").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    # Copies of a text have different keys: a text that makes up much of the corpus is spread over the groups.
+    d = d.withColumn("key", F.xxhash64("text", "doc_id"))
+    ends = d.where("learn").count()
+    counts = save(word_counts(d.where("learn").select("text")), "lm-words")
+    frequent = counts.orderBy(F.col("n").desc(), "name").limit(known_words).select("name", "spelling", "n").toPandas()
     tokens, distinct = np.zeros(SPELLINGS, np.int64), np.zeros(SPELLINGS, np.int64)
-    for r in classes:
-        tokens[r["name"]], distinct[r["name"]] = r["a"], r["b"]
+    for r in counts.groupBy("spelling").agg(F.sum("n").alias("a"), F.count("*").alias("b")).collect():
+        tokens[r["spelling"]], distinct[r["spelling"]] = r["a"], r["b"]
     total, kinds = int(tokens.sum()) + ends, int(distinct.sum()) + (ends > 0)
-    vocabulary = Vocabulary([(r["name"], r["a"]) for r in frequent], tokens, distinct)
+    vocabulary = Vocabulary(list(zip(*(frequent[c].tolist() for c in ("name", "spelling", "n")))), tokens, distinct)
+    texts = save(encoded(d, vocabulary), "lm-texts")
+    release(spark)
 
     start = _packed(unigram_weights(vocabulary, ends))
-    training = d.where("learn")
-    warm = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_docs).select("text").coalesce(1)
-    trained = _averaged(_trained(warm, vocabulary, start, 0.01, 3))
-    start = start if trained is None else trained
-    trained = _averaged(save(_trained(training.select("text"), vocabulary, start, 0.002, 1), "lm-weights"))
-    start = start if trained is None else trained
+    groups = max(LEAST_GROUPS, min(MOST_GROUPS, -(-total // GROUP_WORDS)))
+    mixed = F.xxhash64("key")
+    training = texts.where("learn").select(F.pmod(mixed, F.lit(groups)).cast("int").alias("group"), F.pmod(F.shiftrightunsigned(mixed, 32), F.lit(len(rates))).alias("slice"), "key", "symbols")
+    for k, rate in enumerate(rates):
+        trained = _averaged(save(_trained(training.where(F.col("slice") == k), groups, start, rate), "lm-weights"), groups)
+        start = start if trained is None else trained
 
     def run(batches):
         net = Network(_unpacked(start))
-        for rows, symbols in _gathered(batches, 2, vocabulary):
+        for rows, symbols in _gathered(batches, 1):
             lp = likelihoods(net, symbols) / np.log(10)
-            ids, keys, n, score = [], [], [], []
-            for (batch, i, words), s, p in zip(rows, symbols, lp):
-                own = s[s < WORDS]
-                rest = s[s >= WORDS] - WORDS
-                ids.append(batch.column(0)[i].as_py())
-                keys.append(batch.column(1)[i].as_py())
-                n.append(words + 1)
-                # The share of rare words in their class: the bucket's sum brings the counts of all words, so those of frequent ones go.
-                score.append(float(p - vocabulary.log_count[own].sum() - vocabulary.log_rest[rest].sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "key", "n_tokens", "net"])
-
-    network = d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_tokens long, net double")
-    parts = counted.where("kind = 0").groupBy(F.col("name").alias("key")).agg(F.sum("part").alias("part"), F.sum("a").alias("known"), F.sum("b").alias("words"))
-    out = network.join(parts, "key", "left")
-    # Rows alike have summed their parts: the sum of words says how many they are.
-    alike = F.greatest(F.lit(1.0), F.coalesce(F.col("words") / F.greatest(F.col("n_tokens") - 1, F.lit(1)), F.lit(1.0)))
-    part = F.coalesce("part", F.lit(0.0)) / alike
+            # A word without a symbol of its own has its share of what its spelling has.
+            shared = [float(vocabulary.log_rest[s[s >= WORDS] - WORDS].sum()) for s in symbols]
+            names = [batch.column(0)[i].as_py() for batch, i in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([float(p - q) for p, q in zip(lp, shared)], pa.float64())], ["row", "net"])
+
+    network = texts.select("row", "symbols").mapInArrow(run, "row long, net double")
+    out = texts.drop("symbols", "names", "times", "key", "learn").join(network, "row")
+    if not vocabulary.complete:
+        words = texts.where(F.size("names") > 0).select("row", F.explode(F.arrays_zip("names", "times")).alias("w")).select("row", F.col("w.names").alias("name"), F.col("w.times").alias("n"))
+        looked = words.join(counts.select("name", F.col("n").alias("c")), "name", "left")
+        looked = looked.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("found"))
+        out = out.join(looked, "row", "left")
+    else:
+        out = out.withColumns({"more": F.lit(0.0), "found": F.lit(0)})
+    more = F.coalesce("more", F.lit(0.0))
     end = float(np.log10(ends + 0.5))
     norm = float(np.log10(total + 0.5 * (kinds + 1)))
     return out.select(
         "doc_id", "n_tokens",
-        (F.coalesce(F.round(F.col("known") / alike).cast("long"), F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("found", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (part + F.lit(end) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("net") + part).alias("score"),
+        (F.col("part") + more + F.lit(end) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        (F.col("net") + F.col("rest") + more).alias("score"),
     )

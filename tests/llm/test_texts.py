@@ -225,12 +225,22 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
 
 
-def test_language_model(spark):
+def lm_rows():
     r = random.Random(9)
     one, two = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]
     rows = [(i, " ".join(r.choice(one if i % 2 else two) for _ in range(r.choice((3, 30, 120))))) for i in range(500)]
-    rows += [(600, None), (601, ""), (602, "unseen words only"), (603, "rep " * 700), (None, "a1 a2"), (10, rows[10][1])]
-    got = gru.scored(frame(spark, rows), ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)), warm_docs=50).collect()
+    return rows + [(600, None), (601, ""), (602, "unseen words only"), (603, "rep " * 700), (None, "a1 a2"), (10, rows[10][1]), (700, "\xa0 É é")]
+
+
+def learn():
+    return ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+
+
+@pytest.mark.parametrize("known", [1 << 18, 20, 0])
+def test_language_model(spark, known):
+    """Counts and base scores against plain Python, whether the tasks hold all counts, a few or none."""
+    rows = lm_rows()
+    got = gru.scored(frame(spark, rows), learn(), known_words=known, rates=(0.01, 0.003)).collect()
     counts = Counter()
     for i, t in rows:
         if not held(i):
@@ -246,24 +256,79 @@ def test_language_model(spark):
     assert all(x["score"] < 0 for x in got)
 
 
-def test_network_is_a_distribution():
-    """Probabilities of all symbols after any history sum to one, and the gradient is the slope of the loss."""
+def test_language_model_does_not_depend_on_partitions(spark):
+    rows = lm_rows()
+    scores = []
+    for n in (1, 5):
+        got = gru.scored(frame(spark, rows[:: 1 if n == 1 else -1]).repartition(n), learn(), known_words=30, rates=(0.01,)).collect()
+        scores.append(sorted((x["doc_id"] is not None, x["doc_id"] or 0, x["score"]) for x in got))
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in zip(*scores))
+    empty = frame(spark, rows).where("doc_id > 9000")
+    assert gru.scored(empty, learn(), rates=(0.01,)).count() == 0
+    alone = gru.scored(frame(spark, rows[:6]), F.lit(False), rates=(0.01,)).collect()
+    assert len(alone) == 6 and {x["train_tokens"] for x in alone} == {0} and all(np.isfinite(x["score"]) for x in alone)
+
+
+def slow_log_probability(w, symbols):
+    """One text's natural log probability, a symbol at a time, by the network's definition."""
+    h, total, x = np.zeros(gru.STATE), 0.0, gru._END
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for y in [*symbols, gru._END]:
+        H = gru.STATE
+        a, u = w["gates"][x], h @ w["turn"]
+        z, r = sig(a[:H] + u[:H]), sig(a[H : 2 * H] + u[H : 2 * H])
+        n = np.tanh(a[2 * H :] + r * u[2 * H :])
+        h = n + z * (h - n)
+        out = h @ w["out"] + w["out0"]
+        c = y // gru.CLASS
+        total += out[c] - np.log(np.exp(out).sum())
+        if y != gru._END:
+            q = h @ w["word"][c] + w["word0"][c]
+            total += q[y % gru.CLASS] - np.log(np.exp(q).sum())
+        x = y
+    return total
+
+
+def test_network_by_hand():
+    """Likelihoods against a loop over symbols, for texts longer than a window and in any company."""
+    w = {k: v.astype(np.float64) for k, v in gru.new_weights(5).items()}
+    r = np.random.default_rng(6)
+    texts = [r.integers(0, gru._END, n).astype(np.uint16) for n in (0, 1, 5, 31, 32, 33, 100, 64)]
+    got = gru.likelihoods(gru.Network({k: v.astype(np.float32) for k, v in w.items()}), texts)
+    assert np.allclose(got, [slow_log_probability(w, t.tolist()) for t in texts], rtol=1e-4)
+
+
+def test_probabilities_sum_to_one():
+    w = {k: v.astype(np.float64) for k, v in gru.new_weights(3).items()}
+    total = sum(np.exp(gru.Network(w)._logits(np.ones((1, gru.STATE)), np.array([y]))[0][0]) for y in range(gru._END + 1))
+    assert abs(total - 1) < 1e-9
+
+
+def test_gradients_are_slopes():
+    """Backpropagation through a window with a document's start inside it against finite differences."""
+    net = gru.Network({k: v.astype(np.float64) for k, v in gru.new_weights(8).items()})
+    r = np.random.default_rng(7)
+    docs = [np.array([5, 900, 1050, 5, 77], np.uint16), np.array([1087, 3], np.uint16), np.array([], np.uint16)]
+    x, y, fresh, owner = next(gru._windows(docs, 2))
+    h = r.standard_normal((x.shape[1], gru.STATE)) * 0.3
+    live = owner >= 0
+    g, *_ = net.gradients(x, y, fresh, live, h)
+    for name, v in net.w.items():
+        flat, slope = v.reshape(-1), g[name].reshape(-1)
+        for k in [*np.argsort(-np.abs(slope))[:6].tolist(), int(r.integers(len(flat)))]:
+            was, e = flat[k], 1e-5
+            ends = []
+            for d in (e, -e):
+                flat[k] = was + d
+                ends.append(-net.gradients(x, y, fresh, live, h)[2] / live.sum())
+            flat[k] = was
+            assert abs((ends[0] - ends[1]) / (2 * e) - slope[k]) < 1e-7 + 1e-4 * abs(slope[k]), name
+
+
+def test_training_lowers_the_loss():
     net = gru.Network(gru.new_weights(3))
-    s = np.random.default_rng(1).standard_normal((1, gru.STATE)).astype(np.float32)
-    every = np.arange(gru._END + 1)
-    lp, *_ = net._logits(np.repeat(s, len(every), 0), every)
-    assert abs(np.exp(lp.astype(float)).sum() - 1) < 1e-4
-    docs = [np.array([1, 2, 3] * 30, np.int32), np.array([5, 1050], np.int32)] * 20
+    docs = [np.array([1, 2, 3] * 30, np.uint16), np.array([5, 1050], np.uint16)] * 20
     before = gru.likelihoods(net, docs).sum()
     for _ in range(15):
         gru.fit(net, docs, 0.02)
     assert gru.likelihoods(net, docs).sum() > before + 100
-
-
-def test_likelihood_does_not_depend_on_neighbours():
-    net = gru.Network(gru.new_weights(4))
-    r = np.random.default_rng(2)
-    docs = [r.integers(0, gru._END, n).astype(np.int32) for n in (0, 1, 31, 32, 33, 500, 7)]
-    together = gru.likelihoods(net, docs)
-    alone = np.array([gru.likelihoods(net, [d])[0] for d in docs])
-    assert np.allclose(together, alone, rtol=1e-3)
