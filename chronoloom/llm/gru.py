@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from ._spark import prepare, release, save
 from ._text import _SPACE, chunks, mix64, string_buffers, word_hashes
 
-#: Frequent words and spelling symbols of the network, symbols of a class, width of the state.
-WORDS, SPELLINGS, CLASS, STATE = 1024, 64, 32, 32
-LANES, WINDOW = 128, 32
+#: Frequent words and spelling symbols of the network, symbols of a class, widths of a symbol's vector and of the state.
+WORDS, SPELLINGS, CLASS, EMBED, STATE = 1024, 64, 32, 16, 24
+LANES, WINDOW = 256, 32
 #: Learning rates of the rounds; a round takes one slice of every group.
 RATES = (0.04, 0.03, 0.025, 0.02, 0.015, 0.01, 0.005, 0.002)
 #: Words of a group, about; and groups at least and at most.
 GROUP_WORDS, LEAST_GROUPS, MOST_GROUPS = 2_500_000, 8, 4096
 #: Words whose counts every task holds, the most frequent ones; the others' counts come by a join.
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 16
 #: Words that a task counts at once.
 FLUSH_WORDS = 2_000_000
 _END = WORDS + SPELLINGS
@@ -65,8 +65,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def counted():
             w, s = np.concatenate(names), np.concatenate(spellings)
-            w, first, n = np.unique(w, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(s[first].astype(np.int32)), pa.array(n)], ["name", "spelling", "n"])
+            order = np.argsort(w)
+            w = w[order]
+            edge = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1], [True])))
+            return pa.RecordBatch.from_arrays([pa.array(w[edge[:-1]].view(np.int64)), pa.array(s[order[edge[:-1]]].astype(np.int32)), pa.array(np.diff(edge))], ["name", "spelling", "n"])
 
         for batch in batches:
             raw, off = string_buffers(batch.column(0))
@@ -171,14 +173,10 @@ def unigram_weights(vocabulary: Vocabulary, ends: int) -> dict[str, np.ndarray]:
 
 def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    shape = {"gates": (_END + 1, 3 * STATE), "turn": (STATE, 3 * STATE), "out": (STATE, _CLASSES), "out0": (_CLASSES,), "word": (_CLASSES - 1, STATE, CLASS), "word0": (_CLASSES - 1, CLASS)}
+    shape = {"embed": (_END + 1, EMBED), "gates": (EMBED, 3 * STATE), "gates0": (3 * STATE,), "turn": (STATE, 3 * STATE), "out": (STATE, _CLASSES), "out0": (_CLASSES,), "word": (_CLASSES - 1, STATE, CLASS), "word0": (_CLASSES - 1, CLASS)}
     return {k: (r.standard_normal(s) * (0.0 if k.endswith("0") else 0.2)).astype(np.float32) for k, s in shape.items()}
 
 
-def _sigmoid(x):
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 class Network:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -187,92 +185,127 @@ class Network:
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
 
     def _forward(self, x, fresh, h, keep):
-        """x (T, B) symbols, fresh (T, B) true where a document begins. Returns states (T, B, H) and what backpropagation needs."""
+        """x (T, B) symbols, fresh (T, B) true where a document begins. Returns states (T, B, H), the last one, and what
+        backpropagation needs: the states before each step, gates, candidates and their recurrent parts."""
         H, w = STATE, self.w
-        inputs = w["gates"][x]
-        states, saved = np.empty((*x.shape, H), w["out"].dtype), []
+        (T, B), kind = x.shape, w["out"].dtype
+        inputs = (w["embed"][x.ravel()] @ w["gates"] + w["gates0"]).reshape(T, B, 3 * H)
+        states, before, inner = (np.empty((T, B, H), kind) for _ in range(3))
+        gates = inputs[:, :, : 2 * H]
+        candidates = inputs[:, :, 2 * H :]
         begins = fresh.any(1)
-        for t in range(len(x)):
+        for t in range(T):
             if begins[t]:
                 h = np.where(fresh[t][:, None], h.dtype.type(0), h)
+            before[t] = h
             u = h @ w["turn"]
-            zr = _sigmoid(inputs[t, :, : 2 * H] + u[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(inputs[t, :, 2 * H :] + r * u[:, 2 * H :])
-            if keep:
-                saved.append((h, z, r, n, u[:, 2 * H :]))
-            h = n + z * (h - n)
+            zr, n = gates[t], candidates[t]
+            zr += u[:, : 2 * H]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            inner[t] = u[:, 2 * H :]
+            n += zr[:, H:] * inner[t]
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[:, :H]
+            h += n
             states[t] = h
-        return states, h, saved
-
-    def _logits(self, s, y):
-        """For states s (N, H) and targets y: natural log probabilities, and gradients' ingredients."""
-        w = self.w
-        out = s @ w["out"] + w["out0"]
-        out -= out.max(1, keepdims=True)
-        p = np.exp(out)
-        total = p.sum(1, keepdims=True)
-        c = y // CLASS  # the end is a class of its own
-        lp = out[np.arange(len(y)), c] - np.log(total[:, 0])
-        p /= total
+        return states, h, (before, gates, candidates, inner)
+
+    def _logits(self, s, y, ds=None):
+        """For states s (N, H) and targets y: natural log probabilities. With ds, that takes the gradients of the mean
+        loss by the states, also the gradients of the output weights."""
+        w, n = self.w, len(y)
+        c = (y // CLASS).astype(np.uint16)  # the end is a class of its own
         order = np.argsort(c, kind="stable")
-        inner = []
-        edge = np.searchsorted(c[order], np.arange(_CLASSES))
+        s, y, c = s[order], y[order], c[order]
+        edge = np.searchsorted(c, np.arange(_CLASSES + 1))
+        every = np.arange(n)
+        p = s @ w["out"]
+        p += w["out0"]
+        p -= p.max(1, keepdims=True)
+        lp = p[every, c]
+        np.exp(p, out=p)
+        total = p.sum(1, keepdims=True)
+        lp -= np.log(total[:, 0])
+        g = {}
+        if ds is not None:
+            scale = p.dtype.type(1 / max(1, n))
+            p *= scale / total
+            p[every, c] -= scale
+            g = {"out": s.T @ p, "out0": p.sum(0), "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
+            own = p @ w["out"].T
+        j = y % CLASS
         for k in range(_CLASSES - 1):
-            i = order[edge[k] : edge[k + 1]]
-            if len(i):
-                q = s[i] @ w["word"][k] + w["word0"][k]
-                q -= q.max(1, keepdims=True)
-                e = np.exp(q)
-                t = e.sum(1, keepdims=True)
-                j = y[i] % CLASS
-                lp[i] += q[np.arange(len(i)), j] - np.log(t[:, 0])
-                inner.append((k, i, j, e / t))
-        return lp, p, c, inner
+            a, z = edge[k], edge[k + 1]
+            if a == z:
+                continue
+            q = s[a:z] @ w["word"][k]
+            q += w["word0"][k]
+            q -= q.max(1, keepdims=True)
+            at = every[: z - a], j[a:z]
+            lp[a:z] += q[at]
+            np.exp(q, out=q)
+            total = q.sum(1, keepdims=True)
+            lp[a:z] -= np.log(total[:, 0])
+            if ds is not None:
+                q *= scale / total
+                q[at] -= scale
+                g["word"][k], g["word0"][k] = s[a:z].T @ q, q.sum(0)
+                own[a:z] += q @ w["word"][k].T
+        if ds is not None:
+            ds[order] = own
+        out = np.empty_like(lp)
+        out[order] = lp
+        return out, g
 
     def gradients(self, x, y, fresh, live, h):
         """Truncated backpropagation through one window; live (T, B): positions that exist. Returns the gradients of the
         mean loss, the state and the summed log probability."""
         H, w = STATE, self.w
-        states, h, saved = self._forward(x, fresh, h, True)
-        T, B = x.shape
+        (T, B), kind = x.shape, w["out"].dtype
+        states, h, (before, gates, candidates, inner) = self._forward(x, fresh, h, True)
         begins = fresh.any(1)
         at = np.flatnonzero(live.ravel())
-        s, target = states.reshape(-1, H)[at], y.ravel()[at]
-        lp, p, c, inner = self._logits(s, target)
-        g = {k: np.zeros_like(v) for k, v in w.items()}
-        p[np.arange(len(at)), c] -= 1
-        scale = w["out"].dtype.type(1 / max(1, len(at)))
-        p *= scale
-        g["out"], g["out0"] = s.T @ p, p.sum(0)
-        ds = p @ w["out"].T
-        for k, i, j, q in inner:
-            q[np.arange(len(i)), j] -= 1
-            q *= scale
-            g["word"][k], g["word0"][k] = s[i].T @ q, q.sum(0)
-            ds[i] += q @ w["word"][k].T
-        kind = w["out"].dtype
-        dstates = np.zeros((T * B, H), kind)
-        dstates[at] = ds
-        dstates = dstates.reshape(T, B, H)
-        dx = np.empty((T, B, 3 * H), kind)
+        ds = np.zeros((T * B, H), kind)
+        whole = len(at) == T * B
+        part = ds if whole else np.empty((len(at), H), kind)
+        flat = states.reshape(-1, H)
+        lp, g = self._logits(flat if whole else flat[at], y.ravel() if whole else y.ravel()[at], part)
+        if not whole:
+            ds[at] = part
+        ds = ds.reshape(T, B, H)
+        dx, du = np.empty((T, B, 3 * H), kind), np.empty((T, B, 3 * H), kind)
         dh = np.zeros((B, H), kind)
+        turn = np.ascontiguousarray(w["turn"].T)
         for t in range(T - 1, -1, -1):
-            before, z, r, n, u = saved[t]
-            dh = dh + dstates[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dz, dr, dn
-            du = np.concatenate((dz, dr, dn * r), 1)
-            g["turn"] += before.T @ du
-            dh = dh * z + du @ w["turn"].T
+            z, r, n, v = gates[t, :, :H], gates[t, :, H:], candidates[t], inner[t]
+            dh = dh + ds[t]
+            d, e = dx[t], du[t]
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            dz = before[t] - n
+            dz *= dh
+            dz *= z - z * z
+            d[:, :H], d[:, 2 * H :] = dz, dn
+            d[:, H : 2 * H] = dn * v * (r - r * r)
+            e[:, : 2 * H] = d[:, : 2 * H]
+            np.multiply(dn, r, out=e[:, 2 * H :])
+            dh *= z
+            dh += e @ turn
             if begins[t]:
                 dh[fresh[t]] = 0
-        flat, dflat = x.ravel(), dx.reshape(-1, 3 * H)
-        order = np.argsort(flat, kind="stable")
-        sym, first = np.unique(flat[order], return_index=True)
-        g["gates"][sym] = np.add.reduceat(dflat[order], first)
+        g["turn"] = before.reshape(-1, H).T @ du.reshape(-1, 3 * H)
+        symbols, dflat = x.ravel().astype(np.uint16), dx.reshape(-1, 3 * H)
+        g["gates"], g["gates0"] = w["embed"][symbols].T @ dflat, dflat.sum(0)
+        # Each symbol's vector has the sum over the places where it stands.
+        dembed = dflat @ w["gates"].T
+        order = np.argsort(symbols, kind="stable")
+        found, first = np.unique(symbols[order], return_index=True)
+        g["embed"] = np.zeros_like(w["embed"])
+        g["embed"][found] = np.add.reduceat(dembed[order], first)
         return g, h, float(lp.sum())
 
     def step(self, g, rate):
@@ -427,12 +460,12 @@ def scored(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col:
     d = d.withColumn("key", F.xxhash64("text", "doc_id"))
     ends = d.where("learn").count()
     counts = save(word_counts(d.where("learn").select("text")), "lm-words")
-    frequent = counts.orderBy(F.col("n").desc(), "name").limit(known_words).select("name", "spelling", "n").toPandas()
+    frequent = save(counts.orderBy(F.col("n").desc(), "name").limit(known_words).select("name", "spelling", "n"), "lm-known").toArrow().to_pydict()
     tokens, distinct = np.zeros(SPELLINGS, np.int64), np.zeros(SPELLINGS, np.int64)
     for r in counts.groupBy("spelling").agg(F.sum("n").alias("a"), F.count("*").alias("b")).collect():
         tokens[r["spelling"]], distinct[r["spelling"]] = r["a"], r["b"]
     total, kinds = int(tokens.sum()) + ends, int(distinct.sum()) + (ends > 0)
-    vocabulary = Vocabulary(list(zip(*(frequent[c].tolist() for c in ("name", "spelling", "n")))), tokens, distinct)
+    vocabulary = Vocabulary(list(zip(*(frequent[c] for c in ("name", "spelling", "n")))), tokens, distinct)
     texts = save(encoded(d, vocabulary), "lm-texts")
     release(spark)
 

@@ -275,7 +275,7 @@ def slow_log_probability(w, symbols):
     sig = lambda v: 1 / (1 + np.exp(-v))
     for y in [*symbols, gru._END]:
         H = gru.STATE
-        a, u = w["gates"][x], h @ w["turn"]
+        a, u = w["embed"][x] @ w["gates"] + w["gates0"], h @ w["turn"]
         z, r = sig(a[:H] + u[:H]), sig(a[H : 2 * H] + u[H : 2 * H])
         n = np.tanh(a[2 * H :] + r * u[2 * H :])
         h = n + z * (h - n)
