@@ -24,8 +24,10 @@ from ._text import _SPACE, chunks, mix64, string_buffers, word_hashes
 #: Frequent words and spelling symbols of the network, symbols of a class, widths of a symbol's vector and of the state.
 WORDS, SPELLINGS, CLASS, EMBED, STATE = 1024, 64, 32, 16, 24
 LANES, WINDOW = 256, 32
+#: In training, longer documents go in pieces of so many symbols; in scoring the state runs through the whole document.
+STRETCH = 1024
 #: Learning rates of the rounds; a round takes one slice of every group.
-RATES = (0.04, 0.03, 0.025, 0.02, 0.015, 0.01, 0.005, 0.002)
+RATES = (0.04, 0.03, 0.02, 0.01, 0.004)
 #: Words of a group, about; and groups at least and at most.
 GROUP_WORDS, LEAST_GROUPS, MOST_GROUPS = 2_500_000, 8, 4096
 #: Words whose counts every task holds, the most frequent ones; the others' counts come by a join.
@@ -319,32 +321,33 @@ class Network:
             v -= (rate / a) * self.m[k] / (np.sqrt(self.v[k] / b) + 1e-7)
 
 
-def _windows(docs: list[np.ndarray], width: int = LANES):
+def _windows(docs: list[np.ndarray], width: int = LANES, stretch: int | None = None):
     """Documents (symbols without ends) laid end to end into lanes of about equal length, cut into windows.
 
-    Yields x, y, fresh, owner, each (steps, lanes): inputs, targets, document starts, document numbers (-1: nothing).
-    Lanes are ordered by length, longest first, so that lanes still running are always the first ones.
+    Yields x, y, fresh, owner, each (steps, lanes): inputs, targets, where no state comes in, document numbers
+    (-1: nothing). Lanes are ordered by length, longest first, so that lanes still running are always the first
+    ones. With `stretch`, a longer document goes in pieces of so many symbols, each without the state of the one before.
     """
-    width = max(1, min(width, len(docs)))
+    pieces = [(i, a, min(a + stretch, len(d) + 1) if stretch else len(d) + 1) for i, d in enumerate(docs) for a in range(0, len(d) + 1, stretch or len(d) + 1)]
+    width = max(1, min(width, len(pieces)))
     heap = [(0, k) for k in range(width)]
     held: list[list[int]] = [[] for _ in range(width)]
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+    for i in sorted(range(len(pieces)), key=lambda i: pieces[i][1] - pieces[i][2]):
         n, k = heapq.heappop(heap)
         held[k].append(i)
-        heapq.heappush(heap, (n + len(docs[i]) + 1, k))
-    size = np.array([sum(len(docs[i]) + 1 for i in lane) for lane in held])
+        heapq.heappush(heap, (n + pieces[i][2] - pieces[i][1], k))
+    size = np.array([sum(pieces[i][2] - pieces[i][1] for i in lane) for lane in held])
     order = np.argsort(-size, kind="stable")
-    flat = [i for k in order.tolist() for i in held[k]]
-    lengths = np.array([len(docs[i]) + 1 for i in flat])
-    ends = np.cumsum(lengths) - 1
-    y = np.full(int(ends[-1]) + 1, _END, np.int32)
-    inside = np.ones(len(y), bool)
-    inside[ends] = False
-    y[inside] = np.concatenate([docs[i] for i in flat])
+    flat = [pieces[i] for k in order.tolist() for i in held[k]]
+    lengths = np.array([z - a for _, a, z in flat])
+    begins = np.cumsum(lengths) - lengths
+    end = np.array([_END], np.uint16)
+    y = np.concatenate([part for i, a, z in flat for part in ((docs[i][a:z], end) if z > len(docs[i]) else (docs[i][a:z],))]).astype(np.int32)
+    x = np.concatenate(([_END], y[:-1])).astype(np.int32)
+    x[begins] = [docs[i][a - 1] if a else _END for i, a, _ in flat]
     fresh = np.zeros(len(y), bool)
-    fresh[ends - lengths + 1] = True
-    x = np.concatenate(([_END], y[:-1])).astype(np.int32)  # after an end comes the next document's start
-    owner = np.repeat(np.array(flat, np.int32), lengths)
+    fresh[begins] = True
+    owner = np.repeat(np.array([i for i, *_ in flat], np.int32), lengths)
     size = size[order]
     begin = np.cumsum(size) - size
     for t in range(0, int(size[0]), WINDOW):
@@ -357,7 +360,7 @@ def _windows(docs: list[np.ndarray], width: int = LANES):
 
 def fit(net: Network, docs: list[np.ndarray], rate: float) -> float:
     h, total = None, 0.0
-    for x, y, fresh, owner in _windows(docs):
+    for x, y, fresh, owner in _windows(docs, stretch=STRETCH):
         h = np.zeros((x.shape[1], STATE), np.float32) if h is None else h[: x.shape[1]]
         g, h, lp = net.gradients(x, y, fresh, owner >= 0, h)
         net.step(g, rate)
@@ -378,7 +381,7 @@ def likelihoods(net: Network, docs: list[np.ndarray]) -> np.ndarray:
 
 
 #: Words that a task lays into lanes at once, about.
-LANE_WORDS = 1_500_000
+LANE_WORDS = 4_000_000
 
 
 def _gathered(batches, column: int):

@@ -325,6 +325,21 @@ def test_gradients_are_slopes():
             assert abs((ends[0] - ends[1]) / (2 * e) - slope[k]) < 1e-7 + 1e-4 * abs(slope[k]), name
 
 
+def test_windows_hold_every_symbol_once():
+    r = np.random.default_rng(9)
+    docs = [r.integers(0, gru._END, n).astype(np.uint16) for n in (0, 1, 31, 32, 33, 500, 7, 63, 64)]
+    for width, stretch in ((4, None), (4, 16), (100, 32), (1, 1000)):
+        seen = {i: [] for i in range(len(docs))}
+        for x, y, fresh, owner in gru._windows(docs, width, stretch):
+            for lane in range(x.shape[1]):
+                for t in range(len(x)):
+                    if owner[t, lane] >= 0:
+                        seen[owner[t, lane]].append((x[t, lane], y[t, lane]))
+        for i, d in enumerate(docs):
+            whole = [gru._END, *d.tolist(), gru._END]
+            assert sorted(seen[i]) == sorted(zip(whole, whole[1:]))
+
+
 def test_training_lowers_the_loss():
     net = gru.Network(gru.new_weights(3))
     docs = [np.array([1, 2, 3] * 30, np.uint16), np.array([5, 1050], np.uint16)] * 20
