@@ -171,7 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # At most max_labelled short rows are broadcast. An id may have several texts: those with the smallest hashes count.
     found = d.join(F.broadcast(some), "id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min_by("text", "id").alias("text"))
-    once = save(found.orderBy("h").limit(max_labelled).select("text", "toxic"), "toxic-training")
+    once = save(found, "toxic-training")
+    if once.count() > max_labelled:
+        last = once.select("h").orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
+        once = once.where(F.col("h") <= last)
+    once = once.select("text", "toxic")
     schema = "unit string, clean long, toxic long, near array<int>"
 
     def count(batches):
@@ -254,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # numbers come back.
     law = save(once.where("toxic = 0").select("text").mapInArrow(scored, "n double, s double, hit boolean"), "toxic-law")
     hits = {r["s"]: r["n"] for r in law.where("hit").groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    model.decay, model.factor = extreme_value_law(hits, [(r["n"], r["s"]) for r in law.where("NOT hit AND n > 0").select("n", "s").orderBy("n", "s").collect()], [s for s in found.values() if s > 0])
+    model.decay, model.factor = extreme_value_law(hits, sorted((r["n"], r["s"]) for r in law.where("NOT hit AND n > 0").select("n", "s").collect()), [s for s in found.values() if s > 0])
 
     def surprising(batches):
         for batch in batches:
