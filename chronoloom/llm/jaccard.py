@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ._spark import prepare, release, save, unused
 from ._text import chunks, mix64, shingle_hashes, string_buffers, word_hashes
 
-#: Windows of one bucket, about; at least LEAST_BUCKETS buckets.
-BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 1_500_000, 32, 1 << 24
+#: Windows of one bucket, at most on average; buckets are a power of two of at least LEAST_BUCKETS, tasks at least LEAST_TASKS.
+BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 1_500_000, 256, 1 << 24
+LEAST_TASKS = 32
 #: Windows gathered before a map task hands blobs on, and sets of these that a window must be in to be looked at as hot.
 FLUSH_TOKENS, FLUSH_SETS = 500_000, 8
 #: A window is hot if one in so many sets holds it, and LEAST_HOT sets at least; at most MOST_HOT windows are.
@@ -88,11 +89,12 @@ def document_sets(docs: DataFrame, width: int, bits: int = 64) -> DataFrame:
 
 
 def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_names: frozenset, bits: int) -> DataFrame:
-    """Windows dealt to buckets by the first 24 bits of their names, packed: set names, runs, window names.
+    """Windows dealt to buckets by the first bits of their names, packed: set names, runs, and the last 56 bits.
 
     A run is up to 255 windows of one set; a set's windows of one bucket all lie in one row. Hot windows are in rows
-    of their own and dealt by the name of the set, so no bucket gets all of one.
+    of their own, as numbers in the list, and dealt by the name of the set, so no bucket gets all of one.
     """
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
         seen: set[int] = set()  # each set once per partition, however many copies it has there
@@ -108,11 +110,12 @@ def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_na
             at[at == len(hot)] = 0
             is_hot = hot[at] == tok if len(hot) else np.zeros(len(tok), bool)
             by = np.where(is_hot, mix64(fp.view(np.uint64))[doc], tok)
-            bucket = ((by >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64) * 2 + is_hot
+            bucket = (by >> shift).astype(np.int64) * 2 + is_hot
+            tok = np.where(is_hot, at.astype(np.uint64), tok)
             order = np.argsort(bucket, kind="stable")
             tok, doc, bucket = tok[order], doc[order], bucket[order]
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            rows: list[list] = [[] for _ in range(5)]
+            rows: list[list] = [[] for _ in range(6)]
             for a, z in zip(edge.tolist(), edge[1:].tolist()):
                 first = np.flatnonzero(np.concatenate(([True], doc[a + 1 : z] != doc[a : z - 1])))
                 count = np.diff(np.append(first, z - a))
@@ -120,11 +123,13 @@ def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_na
                 last = np.cumsum(parts) - 1
                 sizes = np.full(int(parts.sum()), 255, np.uint8)
                 sizes[last] = count - (parts - 1) * 255
-                values = (int(bucket[a]) // 2, bool(bucket[a] % 2), fp[np.repeat(doc[a:z][first], parts)].tobytes(), sizes.tobytes(), tok[a:z].tobytes())
+                t, is_list = tok[a:z], bool(bucket[a] % 2)
+                high = b"" if is_list else (t >> np.uint64(32)).astype("<u2").tobytes() + (t >> np.uint64(48)).astype(np.uint8).tobytes()
+                values = (int(bucket[a]) // 2, is_list, fp[np.repeat(doc[a:z][first], parts)].tobytes(), sizes.tobytes(), t.astype("<u4").tobytes(), high)
                 for r, v in zip(rows, values):
                     r.append(v)
-            kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "hot", "fps", "counts", "windows"])
+            kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "hot", "fps", "counts", "low", "high"])
 
         for batch in batches:
             for _, s in _sets(batch, width):
@@ -143,20 +148,24 @@ def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_na
         if sets:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, hot boolean, fps binary, counts binary, windows binary")
+    return docs.mapInArrow(run, "bucket int, hot boolean, fps binary, counts binary, low binary, high binary")
 
 
 def _entries_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set names, and for each window the number of its set and its own name; a set that several rows hold counts once."""
+    """Set names, and for each window the number of its set and its own last bits; a set that several rows hold counts once."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    fp, count, tok = join("fps", "<i8"), join("counts", np.uint8), join("windows", "<u8")
+    fp, count, tok = join("fps", "<i8"), join("counts", np.uint8), join("low", "<u4").astype(np.uint64)
+    high = [(np.frombuffer(x, "<u2", n := len(x) // 3), np.frombuffer(x, np.uint8, offset=2 * n)) for x in table.column("high").to_pylist() if x]
+    if high:
+        tok |= np.concatenate([m for m, _ in high]).astype(np.uint64) << np.uint64(32)
+        tok |= np.concatenate([h for _, h in high]).astype(np.uint64) << np.uint64(48)
     row = np.repeat(np.arange(table.num_rows), [x.as_buffer().size for c in table.column("counts").chunks for x in c])
     name, first, back = np.unique(fp, return_index=True, return_inverse=True)
     keep = np.repeat(row == row[first][back], count)  # copies in other rows bring the same windows again
     return name, np.repeat(back.astype(np.int32), count)[keep], tok[keep]
 
 
-def _shared_windows(hot: np.ndarray, sets_of_hot: np.ndarray):
+def _shared_windows(hot: np.ndarray, sets_of_hot: np.ndarray, buckets: int):
     """Of one bucket: for every set its windows that some other set holds too, with the number of sets that hold them.
     Hot windows have the number that was counted before."""
 
@@ -174,6 +183,8 @@ def _shared_windows(hot: np.ndarray, sets_of_hot: np.ndarray):
         rare = table.filter(pa.compute.invert(flags))
         if rare.num_rows:
             name, owner, tok = _entries_of(rare)
+            # The bucket's number begins with the first 8 bits.
+            tok |= np.uint64(table.column("bucket")[0].as_py() >> (buckets.bit_length() - 9)) << np.uint64(56)
             order = np.argsort(tok)
             tok, owner = tok[order], owner[order]
             edge = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
@@ -183,7 +194,7 @@ def _shared_windows(hot: np.ndarray, sets_of_hot: np.ndarray):
         rest = table.filter(flags)
         if rest.num_rows:
             name, owner, tok = _entries_of(rest)
-            out.append(packed(name, owner, tok, sets_of_hot[np.searchsorted(hot, tok)]))
+            out.append(packed(name, owner, hot[tok], sets_of_hot[tok]))
         return pa.concat_tables(out)
 
     return run
@@ -315,9 +326,11 @@ def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int], bits: int
     own, shared_names, hot, sets_of_hot = _named(docs, width, bits)
     named = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_TOKENS)))
+    tasks = min(MOST_BUCKETS, max(LEAST_TASKS, -(-total // BUCKET_TOKENS)))
+    buckets = max(LEAST_BUCKETS, 1 << (tasks - 1).bit_length())
     blobs = _blobs(d.where("doc_id IS NOT NULL"), width, buckets, hot, shared_names, bits)
-    shared = blobs.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_shared_windows(hot, sets_of_hot), "fp long, entries binary")
+    blobs = blobs.withColumn("task", F.floor(F.col("bucket").cast("long") * tasks / buckets).cast("int"))
+    shared = blobs.repartitionById(tasks, F.col("task")).groupBy("task", "bucket").applyInArrow(_shared_windows(hot, sets_of_hot, buckets), "fp long, entries binary")
     sizes = named.groupBy("fp").agg(F.first("n_shingles").alias("n"))
     sets = save(_candidates(shared, sizes, num, den), "jaccard-candidates")
     del shared
