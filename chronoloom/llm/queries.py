@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, graphann, gru, jaccard, mixing, packing, sstable, topk, toxicity, warc
+from . import balltree, chat, decontaminate, graphann, gru, jaccard, mixing, packing, phrases, sstable, topk, toxicity, warc
 from ._spark import table
 
 
@@ -76,6 +76,21 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    c = F.col(found.columns[-1])
+    names = F.array_join(F.array_sort(F.transform(c["items"], lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
+
+
+def op12_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"), most=5, least=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_jaccard": op2_jaccard,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_graph_ann": op9_graph_ann,
     "op10_gru_lm": op10_gru_lm,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_balltree": op12_balltree,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {}
@@ -188,3 +206,86 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.first, s.doc_id)) AS component_id
 FROM s LEFT JOIN (SELECT x, min(y) AS first FROM r GROUP BY x) m ON s.doc_id = m.x
 """
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op11_decontaminate"] = f"""
+WITH i AS (
+  SELECT item_id, ws, least(10, len(ws)) AS w FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+), iw AS (
+  SELECT DISTINCT item_id, w, array_to_string(ws[p:p + w - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS p FROM i)
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws FROM documents
+), dw AS (
+  SELECT row, w, p, array_to_string(ws[p:p + w - 1], ' ') AS gram
+  FROM (SELECT row, ws, w, unnest(range(1, len(ws) - w + 2)) AS p FROM d, (SELECT DISTINCT w FROM i))
+), m AS (
+  SELECT DISTINCT row, w, p, item_id FROM dw JOIN iw USING (w, gram)
+), h AS (
+  SELECT row, count(DISTINCT p + x) AS n_hit FROM (SELECT DISTINCT row, p, unnest(range(0, w)) AS x FROM m) GROUP BY row
+), n AS (
+  SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT row, item_id::VARCHAR AS item_id FROM m WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)
+"""
+
+
+def _rounds(n: int) -> str:
+    """The clustering's rounds, one after the other: every vector to its nearest centroid, then the floor of the means."""
+    out = ""
+    for r in range(n + 1):
+        out += f""", a{r} AS (
+  SELECT row, min(struct_pack(distance := list_sum(list_transform(range(1, 65), lambda j: (q[j] - m[j]) * (q[j] - m[j]))), c := c)) AS best FROM v, c{r} GROUP BY row
+)"""
+        if r < n:
+            out += f""", s{r} AS (
+  SELECT best.c AS c, j, sum(q[j])::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT row, q, unnest(range(1, 65)) AS j FROM v) JOIN a{r} USING (row) GROUP BY ALL
+), m{r} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m FROM s{r} GROUP BY c
+), c{r + 1} AS (
+  SELECT c{r}.c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c
+)"""
+    return out
+
+
+ORACLES["op12_balltree"] = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), vec_id, q) - 1)::INTEGER AS c, q AS m FROM v QUALIFY c < 16
+){_rounds(3)}
+SELECT vec_id, best.c AS cluster, best.distance::BIGINT AS distance, (sum(best.distance) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM v JOIN a3 USING (row) JOIN c3 ON c3.c = best.c
+"""
+
+ORACLES["op13_phrases"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, * FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) AS ks(k)) GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= 100
+), cut AS (
+  SELECT c.lang, c.k, c.phrase, a, x AS after_, array_to_string(ws[1:x], ' ') AS first_, array_to_string(ws[x + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS x FROM c) c
+), s AS (
+  SELECT cut.lang, cut.phrase, a, after_, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cut JOIN g l ON l.lang = cut.lang AND l.phrase = first_ JOIN g r ON r.lang = cut.lang AND r.phrase = rest JOIN n ON n.lang = cut.lang
+), low AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, after_) = 1
+), kept AS (
+  SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = low.lang AND c.a >= low.a AND c.phrase <> low.phrase AND contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
