@@ -1,4 +1,14 @@
-"""Wire streams: framed records in byte chunks, with resynchronisation after damage."""
+"""Wire streams: framed records in byte chunks, found in parallel, with resynchronisation after damage.
+
+A record is sound if its magic, header, length and checksum are right. Reading from the left, the next record
+is always the first sound one that begins at or behind the end of the record before; bytes between are damage.
+So which bytes are records doesn't depend on how a stream is cut.
+
+`decoded` cuts a stream into spans. A task finds all sound records that begin in its span (it also gets the
+bytes that such a record may reach into), without knowing where the span before left off. What a span does to
+the reading position is a small step function; these are composed along the stream, one row per span, and say
+where reading really enters each span. Only records that overlap others need more than a comparison with that.
+"""
 
 from __future__ import annotations
 
@@ -6,62 +16,252 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.crc import crc32c
+from ..operators.ordered import running_all
+from ..shared import scratch, ship
 from . import layout
 
-_MAGIC = np.uint32(layout.WIRE_MAGIC).tobytes()
+_MAGIC = np.frombuffer(np.uint32(layout.WIRE_MAGIC).tobytes(), np.uint8)
 RECORDS = "seq long, start_frame long, frame_count long, channel_count int, flags int, payload binary"
 #: A payload above this is taken for damage.
 MOST_PAYLOAD = 1 << 24
+#: Bytes of a span at least.
+SPAN = 4 << 20
+
+
+class Marks:
+    """All places of a buffer where a record may begin, ascending, and what is there.
+
+    sound: a whole record; ends: where it would end; failed: whole, but with a wrong checksum; open: the buffer ends too
+    early to tell. Other places are damage.
+    """
+
+    def __init__(self, data: bytes, most: int, limit: int | None = None):
+        raw = np.frombuffer(data, np.uint8)
+        n = len(raw)
+        whole = np.flatnonzero((raw[: n - 3] == _MAGIC[0]) & (raw[1 : n - 2] == _MAGIC[1]) & (raw[2 : n - 1] == _MAGIC[2]) & (raw[3:] == _MAGIC[3])) if n > 3 else []
+        begun = [i for i in range(max(0, n - 3), n) if data[i:] == _MAGIC[: n - i].tobytes()]  # cut off by the end of the buffer
+        at = np.concatenate([whole, begun]).astype(np.int64)
+        self.at = at if limit is None else at[at < limit]
+        self.sound, self.failed, self.open = (np.zeros(len(self.at), bool) for _ in range(3))
+        self.ends = np.zeros(len(self.at), np.int64)
+        self.heads: dict[int, dict] = {}
+        for i, a in enumerate(self.at.tolist()):
+            if n - a < layout.WIRE_HEADER:
+                self.open[i] = True
+                continue
+            head = layout.as_dict(np.frombuffer(data, layout.WIRE, 1, a)[0])
+            if head["payload_bytes"] > most or head["header_bytes"] != layout.WIRE_HEADER:
+                continue
+            body = a + layout.WIRE_HEADER
+            self.ends[i] = end = body + head["payload_bytes"]
+            if end > n:
+                self.open[i] = True
+            elif crc32c(data[a : body - 4] + data[body:end]) == head["crc"]:
+                self.sound[i], self.heads[a] = True, head
+            else:
+                self.failed[i] = True
 
 
 class Decoder:
-    """Records of a byte stream. Damaged bytes are skipped up to the next magic and counted."""
+    """Records of one stream, chunk by chunk. A place that may yet become a record waits for more bytes; `finish` ends the
+    stream, and what waits is then damage unless nothing sound follows it: such a rest counts as tail_bytes."""
 
     def __init__(self, most: int = MOST_PAYLOAD):
         self.rest, self.most = b"", most
-        self.corrupt_bytes = self.crc_failures = 0
+        self.corrupt_bytes = self.crc_failures = self.tail_bytes = 0
 
-    def push(self, chunk: bytes) -> Iterator[tuple[dict, bytes]]:
-        data, at = self.rest + chunk, 0
-        while len(data) - at >= layout.WIRE_HEADER:
-            if data[at : at + 4] != _MAGIC:
-                found = data.find(_MAGIC, at + 1)
-                self.corrupt_bytes += (found if found >= 0 else max(at, len(data) - 3)) - at
-                at = found if found >= 0 else len(data)
-                continue
-            head = layout.as_dict(np.frombuffer(data, layout.WIRE, 1, at)[0])
-            if head["payload_bytes"] > self.most or head["header_bytes"] != layout.WIRE_HEADER:
-                self.corrupt_bytes, at = self.corrupt_bytes + 1, at + 1
+    def _read(self, data: bytes, last: bool) -> Iterator[tuple[dict, bytes]]:
+        marks, at = Marks(data, self.most), 0
+        waits = None
+        for i, a in enumerate(marks.at.tolist()):
+            if a < at:
                 continue
-            end = at + layout.WIRE_HEADER + head["payload_bytes"]
-            if end > len(data):
-                break
-            body = data[at + layout.WIRE_HEADER : end]
-            if crc32c(data[at : at + layout.WIRE_HEADER - 4] + body) != head["crc"]:
-                self.crc_failures, self.corrupt_bytes, at = self.crc_failures + 1, self.corrupt_bytes + 1, at + 1
-                continue
-            yield head, body
-            at = end
-        self.rest = data[at:]
+            if marks.open[i]:
+                waits = a if waits is None else waits
+                if not last:
+                    break
+            elif marks.sound[i]:
+                self.corrupt_bytes += a - at
+                yield marks.heads[a], data[a + layout.WIRE_HEADER : int(marks.ends[i])]
+                at, waits = int(marks.ends[i]), None
+            elif marks.failed[i]:
+                self.crc_failures += 1
+        keep = len(data) if waits is None else waits
+        self.corrupt_bytes += keep - at
+        self.rest = data[keep:]
+
+    def push(self, chunk: bytes) -> Iterator[tuple[dict, bytes]]:
+        yield from self._read(self.rest + chunk, False)
+
+    def finish(self) -> Iterator[tuple[dict, bytes]]:
+        yield from self._read(self.rest, True)
+        self.tail_bytes, self.rest = len(self.rest), b""
+
+
+def _steps(ats: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """The span's step function: reading that arrives at or before limits[k] (and behind limits[k - 1]) leaves at exits[k]."""
+    exits = np.empty(len(ats), np.int64)
+    for i in range(len(ats) - 1, -1, -1):
+        j = int(np.searchsorted(ats, ends[i]))
+        exits[i] = exits[j] if j < len(ats) else ends[i]
+    last = np.flatnonzero(np.append(exits[1:] != exits[:-1], True)) if len(ats) else np.empty(0, np.int64)
+    return ats[last].tolist(), exits[last].tolist()
+
+
+_FOUND = "stream string, span long, at long, until long, nth long, start_frame long, frame_count long, channel_count int, flags int, payload binary, limits array<long>, exits array<long>, ats array<long>, ends array<long>, failed array<long>, open array<long>, bytes long"
+
+
+def _spans(chunks: DataFrame, most: int, span: int) -> DataFrame:
+    """stream, span, at, data: the pieces of every span, with what follows it as far as a record of it may reach."""
+    reach = most + layout.WIRE_HEADER
+    c = chunks.select(F.col("stream").cast("string").alias("stream"), F.col("seq").cast("long").alias("seq"), F.coalesce("data", F.lit(b"")).alias("data"))
+    c = running_all(c, {"offset": ("sum", F.octet_length("data").cast("long"), True)}, order=["seq"], keys=["stream"])
+    c = c.withColumn("stop", F.col("offset") + F.octet_length("data")).where("stop > offset")
+    first = F.greatest(F.lit(0), F.floor((F.col("offset") - reach) / span))
+    c = c.withColumn("span", F.explode(F.sequence(first, F.floor((F.col("stop") - 1) / span))))
+    a, z = F.greatest("offset", F.col("span") * span), F.least("stop", (F.col("span") + 1) * span + reach)
+    c = c.withColumns({"at": a, "size": z - a}).where("size > 0")
+    return c.select("stream", "span", "at", F.expr("substring(data, CAST(at - offset + 1 AS INT), CAST(size AS INT))").alias("data"))
+
+
+def _found(pieces: DataFrame, most: int, span: int) -> DataFrame:
+    """The sound records that begin in each span, and a closing row per span (at null) with its summary."""
+
+    def rows_of(stream, number, data):
+        low = number * span
+        marks = Marks(data, most, span)
+        at, ends = marks.at[marks.sound] + low, marks.ends[marks.sound] + low
+        overlaps = bool((ends[:-1] > at[1:]).any())
+        failed = marks.at[marks.failed] + low
+        if len(at) and not overlaps:  # those inside a record don't count
+            k = np.searchsorted(at, failed, "right") - 1
+            failed = failed[(k < 0) | (failed >= ends[np.maximum(k, 0)])]
+        limits, exits = _steps(at, ends)
+        out = []
+        for nth, (a, e) in enumerate(zip(at.tolist(), ends.tolist())):
+            h = marks.heads[a - low]
+            out.append({"stream": stream, "span": number, "at": a, "until": e, "nth": nth, "payload": data[a - low + layout.WIRE_HEADER : e - low]} | {k: h[k] for k in ("start_frame", "frame_count", "channel_count", "flags")})
+        keep = (at.tolist(), ends.tolist()) if overlaps else (None, None)
+        out.append({"stream": stream, "span": number, "limits": limits, "exits": exits, "ats": keep[0], "ends": keep[1], "failed": failed.tolist(), "open": (marks.at[marks.open] + low).tolist(), "bytes": low + len(data)})
+        return out
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for stream, number, data in zip(batch.column("stream").to_pylist(), batch.column("span").to_pylist(), batch.column("data")):
+                if (stream, number) != now:
+                    if held:
+                        yield pa.RecordBatch.from_pylist(rows_of(*now, b"".join(held)), _ARROW)
+                    now, held = (stream, number), []
+                held.append(data.as_py())
+        if held:
+            yield pa.RecordBatch.from_pylist(rows_of(*now, b"".join(held)), _ARROW)
+
+    tasks = max(1, pieces.sparkSession.sparkContext.defaultParallelism)
+    spread = pieces.repartition(tasks, "stream", "span").sortWithinPartitions("stream", "span", "at")
+    return spread.mapInArrow(run, _FOUND)
+
+
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _FOUND.split(", ")])
+
+
+def _chain(ats, ends, entry: int) -> list[int]:
+    """Of overlapping records, those that reading from `entry` takes."""
+    out = []
+    for a, e in zip(ats, ends):
+        if a >= entry:
+            out.append(a)
+            entry = e
+    return out
+
+
+def _entered(summaries: DataFrame) -> DataFrame:
+    """stream, span, entry, chosen, failures, tail: where reading enters each span; of spans whose records overlap, the ones that
+    are taken; checksum failures outside records; and in a stream's last span the bytes of a record that isn't whole."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("span")
+        at, out = 0, []
+        last = int(pdf["bytes"].max()) if len(pdf) else 0
+        for s in pdf.itertuples():
+            entry = at
+            taken = _chain(s.ats, s.ends, entry) if s.ats is not None else None
+            k = int(np.searchsorted(np.asarray(s.limits, np.int64), at)) if len(s.limits) else 0
+            if k < len(s.limits):
+                at = int(s.exits[k])
+            failed = np.asarray(s.failed, np.int64)
+            failed = failed[failed >= entry]
+            if taken is not None and len(failed):
+                until = dict(zip(s.ats, s.ends))
+                failed = np.array([f for f in failed if not any(a <= f < until[a] for a in taken)], np.int64)
+            out.append([s.stream, s.span, entry, taken, len(failed), 0])
+        opens = [q for row in pdf["open"] for q in row if q >= at]
+        if out and opens:
+            out[-1][5] = last - min(opens)
+        return pd.DataFrame(out, columns=["stream", "span", "entry", "chosen", "failures", "tail"])
+
+    return summaries.groupBy("stream").applyInPandas(fold, "stream string, span long, entry long, chosen array<long>, failures long, tail long")
+
+
+class Decoded:
+    """What `decode` found: records (stream, RECORDS) and statistics (stream, records, corrupt_bytes, crc_failures, tail_bytes)."""
+
+    def __init__(self, records: DataFrame, statistics: DataFrame):
+        self.records, self.statistics = records, statistics
+
+
+def decode(chunks: DataFrame, *, most: int = MOST_PAYLOAD, span: int | None = None) -> Decoded:
+    """The records of chunks(stream, seq, data), each stream's chunks in order of seq; see the module's text.
+
+    What is found is written once to the shared folder. A stream's summaries, one row per span, meet in one task; records
+    and bytes never do. Null and empty chunks hold nothing; seq is unique within a stream; streams without records get a row of statistics.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    span = span or max(SPAN, 4 * (most + layout.WIRE_HEADER))
+    path = scratch(spark, "wire")
+    _found(_spans(chunks, most, span), most, span).write.parquet(path)
+    saved = spark.read.schema(_FOUND).parquet(path)
+    summaries = saved.where("at IS NULL")
+    where = scratch(spark, "wire-entries")
+    _entered(summaries.select("stream", "span", "limits", "exits", "ats", "ends", "failed", "open", "bytes")).write.parquet(where)
+    entered = spark.read.parquet(where)
+    found = saved.where("at IS NOT NULL").join(entered.select("stream", "span", "entry", "chosen"), ["stream", "span"])
+    found = found.where((F.col("at") >= F.col("entry")) & (F.col("chosen").isNull() | F.array_contains("chosen", F.col("at"))))
+    per = found.groupBy("stream", "span").agg(F.count("*").alias("n"), F.min("nth").alias("least"), F.sum(F.col("until") - F.col("at")).alias("used"))
+    per = running_all(per, {"base": ("sum", F.col("n"), True)}, order=["span"], keys=["stream"])
+    rank = F.when(F.col("chosen").isNull(), F.col("nth") - F.col("least")).otherwise(F.array_position("chosen", F.col("at")) - 1)
+    records = found.join(per.select("stream", "span", "base", "least"), ["stream", "span"])
+    records = records.select("stream", (F.col("base") + rank).alias("seq"), "start_frame", "frame_count", "channel_count", "flags", "payload")
+    whole = summaries.groupBy("stream").agg(F.max("bytes").alias("bytes"))
+    told = entered.groupBy("stream").agg(F.sum("failures").alias("crc_failures"), F.sum("tail").alias("tail_bytes"))
+    used = per.groupBy("stream").agg(F.sum("n").alias("records"), F.sum("used").alias("used"))
+    statistics = whole.join(told, "stream").join(used, "stream", "left").select(
+        "stream", F.coalesce("records", F.lit(0)).alias("records"), (F.col("bytes") - F.coalesce("used", F.lit(0)) - F.col("tail_bytes")).alias("corrupt_bytes"), "crc_failures", "tail_bytes",
+    )
+    return Decoded(records, statistics)
+
 
+def decoded(chunks: DataFrame, *, most: int = MOST_PAYLOAD, span: int | None = None) -> DataFrame:
+    """The records alone; see decode."""
+    return decode(chunks, most=most, span=span).records
 
-def decoded(chunks: DataFrame) -> DataFrame:
-    """Records of chunks(stream, seq, data): each stream's chunks in order of seq, one stream per group."""
 
-    def run(key, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, n = Decoder(), 0
-        for part in parts:
-            rows = []
-            for data in part["data"]:
-                for head, body in d.push(bytes(data)):
-                    rows.append((key[0], n, head["start_frame"], head["frame_count"], head["channel_count"], head["flags"], body))
-                    n += 1
-            yield pd.DataFrame(rows, columns=["stream", "seq", "start_frame", "frame_count", "channel_count", "flags", "payload"])
+def encoded(records: DataFrame) -> DataFrame:
+    """stream, seq, data: the bytes of records(stream, seq, start_frame, frame_count, channel_count, flags, payload), a record a row."""
+    ship(records.sparkSession)
 
-    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(run(key, iter([pdf.sort_values("seq")]))))
+    def run(batches):
+        for b in batches:
+            fields = [b.column(c).to_pylist() for c in ("start_frame", "frame_count", "channel_count", "flags")]
+            data = [layout.wire_bytes(p or b"", start_frame=s, frame_count=n, channel_count=c, flags=f) for p, s, n, c, f in zip(b.column("payload").to_pylist(), *fields)]
+            yield pa.RecordBatch.from_arrays([b.column("stream"), b.column("seq"), pa.array(data, pa.binary())], ["stream", "seq", "data"])
 
-    return chunks.groupBy("stream").applyInPandas(whole, "stream string, " + RECORDS)
+    picked = records.select(F.col("stream").cast("string").alias("stream"), F.col("seq").cast("long").alias("seq"), "start_frame", "frame_count", "channel_count", "flags", "payload")
+    return picked.mapInArrow(run, "stream string, seq long, data binary")

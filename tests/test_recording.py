@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import signal
 from chronoloom.functions.crc import crc32c
 from chronoloom.plans.api import Refused, open_recording
-from chronoloom.sources import layout, recording, side, wire
+from chronoloom.sources import layout, recording, side
 from chronoloom.streaming import ingest
 
 C, RATE, BLOCK = 4, 1000.0, 100
@@ -277,20 +277,6 @@ def test_writer_source_and_stream(spark, whole, tmp_path):
     assert spark.table("followed").count() == 10
 
 
-def test_wire_decoder(spark):
-    payload = lambda s, n: np.full(n * 2, s, "<f4").tobytes()
-    records = [layout.wire_bytes(payload(s, 20), start_frame=s, frame_count=20, channel_count=2) for s in (0, 20, 60)]
-    bad = bytearray(records[1])
-    bad[40] ^= 1
-    data = b"junk" + records[0] + bytes(bad) + records[1] + b"xx" + records[2]
-    for size in (1, 7, 100, 10_000):
-        d = wire.Decoder()
-        got = [h["start_frame"] for a in range(0, len(data), size) for h, _ in d.push(data[a : a + size])]
-        assert got == [0, 20, 60] and d.crc_failures == 1
-    chunks = spark.createDataFrame([("s", k, bytearray(data[a : a + 50])) for k, a in enumerate(range(0, len(data), 50))], "stream string, seq long, data binary")
-    assert [r["start_frame"] for r in wire.decoded(chunks).orderBy("seq").collect()] == [0, 20, 60]
-
-
 def test_streaming_sequence(spark, tmp_path):
     arrivals = [("a", 0, 20), ("a", 20, 20), ("a", 80, 20), ("a", 90, 20), ("a", 10, 5), ("b", 500, 20), ("b", 520, 20)]
     spark.createDataFrame(arrivals, "stream string, start_frame long, frame_count long").coalesce(1).write.parquet(str(tmp_path / "in"))
