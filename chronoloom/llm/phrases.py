@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ._spans import byte_class, spans
-from ._spark import parallelism, prepare, save
+from ._spark import parallelism, prepare, release, save
 from ._text import mix64, string_buffers
 
 #: Bytes that are part of a word, and bytes that end a piece.
@@ -26,8 +26,8 @@ BREAKS = byte_class((0x0A, 0x0D)) | np.isin(np.arange(256), [ord(c) for c in ".,
 WORD = ~(BREAKS | byte_class((0x09, 0x09), (0x20, 0x20)))
 #: Bits of a sieve's bitmap (16 MiB), and how many words a task gathers before it sums n-grams.
 BITS, GATHER = 1 << 27, 4_000_000
-#: Phrases whose counts a task holds before it sends them on.
-HELD = 400_000
+#: Bits of a name in the sieves' counts.
+NAME = 40
 #: The longest n-grams that have a sieve of their own.
 SIEVED = 3
 _TIMES = np.uint64(0x9FB21C651E98DF25)
@@ -125,7 +125,7 @@ def _sieve(docs: DataFrame, n: int, least: int, sieves: list) -> Sieve:
         held, size = [], 0
 
         def summed():
-            x = np.sort(np.concatenate(held))
+            x = np.sort(np.concatenate(held) >> np.uint64(64 - NAME))  # fewer bits travel: names that then agree only pass too often
             edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
             return pa.RecordBatch.from_arrays([pa.array(x[edge[:-1]].view(np.int64)), pa.array(np.diff(edge).astype(np.int64))], ["name", "n"])
 
@@ -141,7 +141,7 @@ def _sieve(docs: DataFrame, n: int, least: int, sieves: list) -> Sieve:
             yield summed()
 
     counts = docs.mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    at = F.shiftrightunsigned("name", 64 - BITS.bit_length() + 1)
+    at = F.shiftright("name", NAME - BITS.bit_length() + 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
     rows = counts.groupBy(F.shiftright(at, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most BITS / 64 rows
     return Sieve(rows.column("place").to_numpy(), rows.column("bits").to_numpy())
@@ -149,40 +149,22 @@ def _sieve(docs: DataFrame, n: int, least: int, sieves: list) -> Sieve:
 
 def counted(docs: DataFrame, most: int, sieves: list) -> DataFrame:
     """lang, words, phrase, n: the n-grams of 1 to `most` words that pass the sieves, exploded into rows and summed over all
-    documents; and per lang a row of 0 words with the number of all word occurrences. A task sums its own rows first."""
+    documents; and per lang a row of 0 words with the number of all word occurrences. Equal n-grams of a stretch are one row already."""
 
     def run(batches):
         reader, loaded = Reader(most), [s.value for s in sieves]
-        slots: dict[int, int] = {}
-        rows: tuple[list, list, list, list] = ([], [], [], [])  # language, words, phrase, n
         totals = np.zeros(0, np.int64)
-
-        def flushed():
-            out = pa.RecordBatch.from_arrays([pa.array([reader.langs[x] for x in rows[0]], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())], ["lang", "words", "phrase", "n"])
-            slots.clear()
-            for c in rows:
-                c.clear()
-            return out
-
         for batch in batches:
             for raw, words, lang in reader.read(batch):
                 more = np.bincount(lang[words.fresh :], minlength=len(reader.langs))
                 more[: len(totals)] += totals
                 totals = more
                 for n, at, names in words.grams(most, loaded):
-                    name, first, times = np.unique(names, return_index=True, return_counts=True)
-                    for key, i, c in zip(name.tolist(), at[first].tolist(), times.tolist()):
-                        slot = slots.get(key)
-                        if slot is None:
-                            slots[key] = len(slots)
-                            phrase = b" ".join([raw[words.starts[j] : words.ends[j]].tobytes() for j in range(i, i + n)])
-                            for column, v in zip(rows, (lang[i], n, phrase.lower().decode(), c)):  # bytes.lower() changes A-Z alone
-                                column.append(v)
-                        else:
-                            rows[3][slot] += c
-            if len(slots) >= HELD:
-                yield flushed()
-        yield flushed()
+                    _, first, times = np.unique(names, return_index=True, return_counts=True)
+                    at = at[first]
+                    along = [np.stack([x[at + i] for i in range(n)], axis=1).tolist() for x in (words.starts, words.ends)]
+                    text = [b" ".join([raw[a:z].tobytes() for a, z in zip(*w)]).lower().decode() for w in zip(*along)]  # bytes.lower() changes A-Z alone
+                    yield pa.RecordBatch.from_arrays([pa.array(reader.langs).take(pa.array(lang[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(text, pa.string()), pa.array(times.astype(np.int64))], ["lang", "words", "phrase", "n"])
         names = pa.array(reader.langs, pa.string())
         yield pa.RecordBatch.from_arrays([names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names), pa.string()), pa.array(totals.astype(np.int64))], ["lang", "words", "phrase", "n"])
 
@@ -207,6 +189,7 @@ def phrases(docs: DataFrame, *, most: int = 5, least: int = 100, top: int = 2000
     sieves: list = []
     for n in range(1, min(SIEVED, most) + 1):
         sieves.append(spark.sparkContext.broadcast(_sieve(texts, n, least, sieves)))  # 16 MiB each at any size of the input
+        release(spark)
     counts = save(counted(texts, most, sieves).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
     for s in sieves:
         s.unpersist()
