@@ -111,6 +111,19 @@ def planar(spark: SparkSession, channels: int, frames: int, block: int, dither:
     return blocks.select("block_index", "channel", "start_frame", each.alias("values"))
 
 
+def fill_interleaved(frames: DataFrame, dither: bool = True) -> DataFrame:
+    """Adds values, one array over a frame's channels, to frames(frame, channels)."""
+    each = F.transform(F.sequence(F.lit(0), F.col("channels") - 1), lambda c: value(c, F.col("frame"), dither))
+    return frames.withColumn("values", F.when(F.col("channels") > 0, each).otherwise(F.array().cast("array<float>")))
+
+
+def fill_planar(blocks: DataFrame, dither: bool = True) -> DataFrame:
+    """A row per channel of blocks(start_frame, frame_count, channels), with channel and values; empty blocks have none."""
+    rows = blocks.where("channels > 0 AND frame_count > 0").withColumn("channel", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)))
+    each = F.transform(F.sequence(F.col("start_frame"), F.col("start_frame") + F.col("frame_count") - 1), lambda n: value(F.col("channel"), n, dither))
+    return rows.withColumn("values", each)
+
+
 def _positive(channels: int) -> None:
     if int(channels) != channels or channels < 1:
         raise ValueError(f"channel count must be a positive integer, not {channels!r}")

@@ -79,3 +79,9 @@ def unaccounted(offered: DataFrame, written: DataFrame, lost: DataFrame) -> Data
     known = written.select("frame").unionAll(lost.select(F.explode(F.sequence(F.col("start_frame"), F.col("start_frame") + F.col("frame_count") - 1)).alias("frame")))
     o = offered.select("frame")
     return o.exceptAll(known).withColumn("side", F.lit("lost without entry")).unionAll(known.exceptAll(o).withColumn("side", F.lit("never offered")))
+
+
+def totals(records: DataFrame, channels: int) -> DataFrame:
+    """One row: dropped_frames, dropped_values (over all channels) and records of a ledger; zeros for an empty one."""
+    frames = F.coalesce(F.sum("frame_count"), F.lit(0))
+    return records.agg(frames.alias("dropped_frames"), (frames * channels).alias("dropped_values"), F.count("*").alias("records"))

@@ -15,7 +15,8 @@ from ..functions import signal, text
 from ..functions.crc import crc32c_udf
 from ..operators import envelope, ledger, lookup, ordered, pacing, sequence, validate
 from ..shared import scratch
-from ..sources import recording, side
+from ..sources import assembly, index, recording, side, wire
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,7 +85,7 @@ k AS (SELECT block_index, ok, start_frame, frame_count, expected, after::BIGINT
   CASE WHEN ok AND payload_ok THEN incorrect ELSE 0 END AS incorrect FROM x)"""
 _REPORT = _DAMAGED + """, r AS (SELECT sum(recorded)::BIGINT AS recorded, sum(missing_frames * 4)::BIGINT AS missing, sum(duplicated_frames * 4)::BIGINT AS duplicated,
   sum(incorrect)::BIGINT AS incorrect, sum(corrupt)::BIGINT AS corrupt FROM k)"""
-_SIGNAL = """n AS (SELECT c.range AS c, f.range AS n FROM range(32) c, range(3000) f),
+_SIGNAL = """n AS (SELECT unnest(range(len(embedding))) AS c, vec_id AS n FROM embeddings),
 h0 AS (SELECT c, n, xor(((n::HUGEINT * 2654435761) % 4294967296)::BIGINT, (((c + 1)::HUGEINT * 2246822519) % 4294967296)::BIGINT) AS x FROM n),
 h1 AS (SELECT c, n, ((xor(x, x >> 15)::HUGEINT * 625341585) % 4294967296)::BIGINT AS x FROM h0),
 h AS (SELECT c, n, xor(x, x >> 13) AS hash FROM h1),
@@ -142,27 +143,30 @@ def window_grid(spark, sf_dir):
 
 @query("hash32", f"WITH {_SIGNAL} SELECT channel, frame, hash FROM v")
 def hash32(spark, sf_dir):
-    return signal.samples(spark, 32, 3000).select("channel", "frame", signal.hash32(F.col("channel"), F.col("frame")).alias("hash"))
+    return dense(spark, sf_dir).select("channel", "frame", signal.hash32(F.col("channel"), F.col("frame")).alias("hash"))
 
 
 @query("signal_dithered", f"WITH {_SIGNAL} SELECT channel, frame, dithered AS value FROM v")
 def signal_dithered(spark, sf_dir):
-    return signal.samples(spark, 32, 3000)
+    return dense(spark, sf_dir).select("channel", "frame", signal.value(F.col("channel"), F.col("frame")).alias("value"))
 
 
 @query("signal_clean", f"WITH {_SIGNAL} SELECT channel, frame, clean AS value FROM v")
 def signal_clean(spark, sf_dir):
-    return signal.samples(spark, 32, 3000, dither=False)
+    return dense(spark, sf_dir).select("channel", "frame", signal.value(F.col("channel"), F.col("frame"), dither=False).alias("value"))
 
 
 @query("fill_interleaved", f"WITH {_SIGNAL} SELECT frame, list(dithered ORDER BY channel) AS \"values\" FROM v GROUP BY frame")
 def fill_interleaved(spark, sf_dir):
-    return signal.interleaved(spark, 32, 3000)
+    e = table(spark, sf_dir, "embeddings")
+    return signal.fill_interleaved(e.select(F.col("vec_id").alias("frame"), F.size("embedding").alias("channels"))).select("frame", "values")
 
 
 @query("fill_planar", f"WITH {_SIGNAL} SELECT frame // 700 AS block_index, channel, min(frame) AS start_frame, list(dithered ORDER BY frame) AS \"values\" FROM v GROUP BY ALL")
 def fill_planar(spark, sf_dir):
-    return signal.planar(spark, 32, 3000, 700)
+    e = table(spark, sf_dir, "embeddings")
+    blocks = e.groupBy(F.floor(F.col("vec_id") / 700).alias("block_index")).agg(F.min("vec_id").alias("start_frame"), F.count("*").alias("frame_count"), F.max(F.size("embedding")).alias("channels"))
+    return signal.fill_planar(blocks).select("block_index", "channel", "start_frame", "values")
 
 
 # Layouts, ranges and lookups.
@@ -180,7 +184,10 @@ def interleave_frames(spark, sf_dir):
 
 @query("range_read", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame >= 100 AND frame < 300 AND channel IN (3, 17)")
 def range_read(spark, sf_dir):
-    return dense(spark, sf_dir).where("frame >= 100 AND frame < 300 AND channel IN (3, 17)")
+    from .api import open_recording
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("values"))
+    return open_recording(spark, _written(spark, e, 40, 100.0)).samples(100, 300, [3, 17]).select("frame", "channel", "value")
 
 
 @query("block_clip", f"WITH {_GAPS}, b AS (SELECT frame // 100 AS block_index, min(frame) AS start_frame, count(*) AS frame_count FROM f GROUP BY 1) SELECT block_index, greatest(150, start_frame) AS clip_start, least(777, start_frame + frame_count) - greatest(150, start_frame) AS clip_count, greatest(150, start_frame) - start_frame AS skip, 4096 + block_index * 512064 AS byte_offset FROM b WHERE least(777, start_frame + frame_count) > greatest(150, start_frame)")
@@ -287,12 +294,13 @@ def ledger_markers(spark, sf_dir):
 
 @query("ledger_total", f"WITH {_LOST} SELECT sum(frame_count)::BIGINT AS dropped_frames, sum(frame_count)::BIGINT * 32 AS dropped_values, count(*) AS records FROM l")
 def ledger_total(spark, sf_dir):
-    return lost(spark, sf_dir).agg(F.sum("frame_count").alias("dropped_frames"), (F.sum("frame_count") * 32).alias("dropped_values"), F.count("*").alias("records"))
+    return ledger.totals(lost(spark, sf_dir), 32)
 
 
-@query("marker_overlap", f"WITH {_COALESCED}, m AS (SELECT start_frame / 100::DOUBLE AS onset, frame_count / 100::DOUBLE AS duration FROM c), w AS (SELECT range AS window_id, range * 7::DOUBLE AS b, range * 7::DOUBLE + 3 AS e FROM range(12)) SELECT window_id, greatest(onset, b) AS clip_begin, least(onset + duration, e) AS clip_end, onset, duration FROM m, w WHERE onset < e AND onset + duration > b")
+@query("marker_overlap", f"WITH {_COALESCED}, m AS (SELECT start_frame / 100::DOUBLE AS onset, frame_count / 100::DOUBLE AS duration FROM c), w AS (SELECT window_id, window_id * 7::DOUBLE AS b, window_id * 7::DOUBLE + 3 AS e FROM (SELECT DISTINCT start_frame // 700 AS window_id FROM l)) SELECT window_id, greatest(onset, b) AS clip_begin, least(onset + duration, e) AS clip_end, onset, duration FROM m, w WHERE onset < e AND onset + duration > b")
 def marker_overlap(spark, sf_dir):
-    w = spark.range(12).select(F.col("id").alias("window_id"), (F.col("id") * F.lit(7.0)).alias("begin"), (F.col("id") * F.lit(7.0) + 3).alias("end"))
+    w = lost(spark, sf_dir).select(F.floor(F.col("start_frame") / 700).alias("window_id")).distinct()
+    w = w.select("window_id", (F.col("window_id") * F.lit(7.0)).alias("begin"), (F.col("window_id") * F.lit(7.0) + 3).alias("end"))
     return ledger.markers_in(ledger.markers(ledger.coalesced(lost(spark, sf_dir)), 100), w)
 
 
@@ -402,10 +410,10 @@ def due_ticks(spark, sf_dir):
     return pacing.due_ticks(_ticks(spark, sf_dir), 5_000_000)
 
 
-@query("frames_per_tick", "SELECT r AS rate, greatest(1, floor(r * 5000000::DOUBLE / 1e9::DOUBLE + 0.5::DOUBLE))::BIGINT AS frames FROM (VALUES (4000), (1000), (32000), (250), (60)) t(r)")
+@query("frames_per_tick", "SELECT o_orderkey, greatest(1, floor(r * 5000000::DOUBLE / 1e9::DOUBLE + 0.5::DOUBLE))::BIGINT AS frames FROM (SELECT o_orderkey, o_orderkey % 48000 + 1 AS r FROM orders)")
 def frames_per_tick(spark, sf_dir):
-    r = spark.createDataFrame([(4000,), (1000,), (32000,), (250,), (60,)], "rate int")
-    return r.select("rate", pacing.frames_per_tick(F.col("rate"), F.lit(5_000_000)).alias("frames"))
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", pacing.frames_per_tick((F.col("o_orderkey") % 48000 + 1).cast("int"), F.lit(5_000_000)).alias("frames"))
 
 
 @query("pacing_report", f"WITH {_EVENTS}, c AS (SELECT max(us) * 1000 - min(us) * 1000 AS elapsed_ns, count(*) AS emitted FROM e), x AS (SELECT *, ((elapsed_ns::HUGEINT * 1) // 1000000000)::BIGINT AS expected FROM c) SELECT elapsed_ns, emitted, expected, emitted - expected AS deviation, round((emitted - expected) / expected::DOUBLE * 1e6, 3) AS deviation_ppm FROM x")
@@ -480,19 +488,21 @@ def session_events(spark, sf_dir):
 
 # Scalar functions.
 
-_POSITIONS = ["12.5s", "#50000", "1:30", "250ms", "90", "0.0002s", "2m", "1.5h", "-2.5", "", "#-3", " 7s "]
-
-
-@query("parse_position", "SELECT unnest([" + ", ".join(f"'{p}'" for p in _POSITIONS) + "]) AS spec, unnest([50000, 50000, 360000, 1000, 360000, 1, 480000, 21600000, -10000, NULL, -3, 28000])::BIGINT AS frame")
+@query("parse_position", """SELECT event_id, (CASE WHEN user_id % 13 = 0 THEN NULL WHEN k = 0 THEN event_id WHEN k = 1 THEN event_id * 4000 + 1000 WHEN k = 2 THEN event_id * 4
+  WHEN k = 3 THEN event_id * 4000 WHEN k = 4 THEN event_id * 240000 WHEN k = 5 THEN event_id * 14400000 ELSE -event_id * 4000 END)::BIGINT AS frame FROM (SELECT *, event_id % 7 AS k FROM events)""")
 def parse_position(spark, sf_dir):
-    d = spark.createDataFrame([(p,) for p in _POSITIONS], "spec string")
-    return d.select("spec", text.position(F.col("spec"), 4000).alias("frame"))
+    n = F.col("event_id")
+    forms = [F.concat(F.lit("#"), n), F.concat(n, F.lit(".25s")), F.concat(F.lit(" "), n, F.lit(" ms ")), F.concat(F.floor(n / 60), F.lit(":"), n % 60), F.concat(n, F.lit("m")), F.concat(n, F.lit("h")), F.concat(F.lit("-"), n)]
+    spec = F.when(F.col("user_id") % 13 == 0, F.when(n % 2 == 0, F.lit(""))).otherwise(F.element_at(F.array(*forms), (n % 7 + 1).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", text.position(spec, 4000).alias("frame"))
 
 
-@query("parse_channels", "SELECT * FROM (VALUES ('all', [0,1,2,3,4,5,6,7]), ('even', [0,2,4,6]), ('odd', [1,3,5,7]), ('3,1-2,3', [1,2,3]), ('7', [7]), ('0-7', [0,1,2,3,4,5,6,7])) t(spec, channels)")
+@query("parse_channels", """SELECT event_id, CASE WHEN k = 0 THEN range(8) WHEN k = 1 THEN [0, 2, 4, 6] WHEN k = 2 THEN [1, 3, 5, 7] WHEN k = 3 THEN range(8) ELSE list_sort(list_distinct(list_concat([a], range(least(a, b), greatest(a, b) + 1)))) END::INTEGER[] AS channels
+FROM (SELECT event_id, event_id % 5 AS k, user_id % 8 AS a, event_id // 5 % 8 AS b FROM events)""")
 def parse_channels(spark, sf_dir):
-    d = spark.createDataFrame([(s,) for s in ("all", "even", "odd", "3,1-2,3", "7", "0-7")], "spec string")
-    return d.select("spec", text.channel_list(F.col("spec"), 8).alias("channels"))
+    n, a, b = F.col("event_id"), F.col("user_id") % 8, F.floor(F.col("event_id") / 5) % 8
+    spec = F.when(n % 5 == 0, F.lit("all")).when(n % 5 == 1, F.lit("even")).when(n % 5 == 2, F.lit("odd")).when(n % 5 == 4, F.concat(a, F.lit(" ,"), F.least(a, b), F.lit("-"), F.greatest(a, b)))
+    return table(spark, sf_dir, "events").select("event_id", text.channel_list(spec, 8).alias("channels"))
 
 
 @query("format_numbers", """SELECT o_orderkey, format('{:,}', o_orderkey * 98765) AS count_text,
@@ -568,16 +578,16 @@ def first_rows_per_type(spark, sf_dir):
 
 # The file format, written and read back.
 
-def _written(spark: SparkSession, frames: DataFrame, frames_per_block: int, rate: float, range_frames: int) -> str:
-    """A folder of recordings, one per range of frames."""
-    folder = scratch(spark, "recording")
-    recording.write_ranges(frames, folder, rate=rate, frames_per_block=frames_per_block, range_frames=range_frames).collect()  # a row per file
-    return folder
+def _written(spark: SparkSession, frames: DataFrame, frames_per_block: int, rate: float) -> str:
+    """frames(frame, values) as one recording."""
+    uri = f"{scratch(spark, 'recording')}/whole.sigb"
+    assembly.write_recording(frames, uri, rate=rate, frames_per_block=frames_per_block)
+    return uri
 
 
 def _recorded_embeddings(spark: SparkSession, sf_dir: str) -> str:
     e = table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 7").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("values"))
-    return _written(spark, e, 40, 100.0, range_frames=200)
+    return _written(spark, e, 40, 100.0)
 
 
 @query("recording_round_trip", f"WITH {_DENSE} SELECT frame, channel, value FROM d WHERE frame % 50 <> 7")
@@ -595,10 +605,67 @@ def recording_ledger(spark, sf_dir):
     return recording.read(spark, _recorded_embeddings(spark, sf_dir), "ledger").select("start_frame", "frame_count", "cause_code", "source")
 
 
-@query("recording_validation", "SELECT 3 * 3997::BIGINT AS recorded, 9::BIGINT AS missing, 0::BIGINT AS duplicated, 1::BIGINT AS incorrect, 0::BIGINT AS corrupt, true AS ledger_agrees, 3 * 3997::BIGINT AS expected, 1 AS exit_code, 'FAIL' AS result")
+@query("recording_validation", """WITH k AS (SELECT * FROM embeddings WHERE vec_id % 50 <> 7), t AS (SELECT count(*) * 64 AS recorded, ((max(vec_id) + 1) - count(*)) * 64 AS missing, (count(*) FILTER (WHERE label = 3)) AS incorrect FROM k)
+SELECT recorded, missing::BIGINT AS missing, 0::BIGINT AS duplicated, incorrect, 0::BIGINT AS corrupt, true AS ledger_agrees, recorded AS expected, (missing + incorrect > 0)::INTEGER AS exit_code, CASE WHEN missing + incorrect > 0 THEN 'FAIL' ELSE 'PASS' END AS result FROM t""")
 def recording_validation(spark, sf_dir):
     from .api import open_recording
 
-    f = signal.interleaved(spark, 3, 4000).where("frame NOT BETWEEN 2500 AND 2502")
-    f = f.withColumn("values", F.when(F.col("frame") == 1234, F.transform("values", lambda v, i: F.when(i == 2, v + F.lit(1).cast("float")).otherwise(v))).otherwise(F.col("values")))
-    return open_recording(spark, _written(spark, f, 500, 1000.0, range_frames=4000) + "/part-000000.sigb").validate()
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 7")
+    wrong = lambda i: F.when((F.col("label") == 3) & (i == F.col("vec_id") % 64), 1.0).otherwise(0.0)
+    values = F.transform("embedding", lambda _, i: (signal.value(i, F.col("vec_id")) + wrong(i)).cast("float"))
+    return open_recording(spark, _written(spark, e.select(F.col("vec_id").alias("frame"), values.alias("values")), 500, 1000.0)).validate()
+
+
+@query("indexed_ranges", f"WITH {_DENSE}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), r AS (SELECT c_custkey AS range_id, c_custkey * 37 % n AS low, c_custkey * 37 % n + c_custkey % 9 AS high FROM customer, n) SELECT range_id, frame, channel, value FROM r JOIN d ON frame >= low AND frame < high AND channel IN (1, 5) AND frame % 50 <> 7")
+def indexed_ranges(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    headers = index.build(spark, _recorded_embeddings(spark, sf_dir), scratch(spark, "index"))
+    n = e.agg((F.max("vec_id") + 1).alias("n"))
+    low = F.col("c_custkey") * 37 % F.col("n")
+    ranges = table(spark, sf_dir, "customer").join(F.broadcast(n)).select(F.col("c_custkey").alias("range_id"), low.alias("low"), (low + F.col("c_custkey") % 9).alias("high"))
+    return index.samples(headers, ranges, [1, 5]).select("range_id", "frame", "channel", "value")
+
+
+# Wire streams of the events: a stream per type, a record per event, cut within records; some records are damaged.
+
+def _wire_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    records = e.select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), (F.col("event_id") * 10).alias("start_frame"), F.lit(10).alias("frame_count"), F.lit(1).alias("channel_count"), (F.col("user_id") % 2).cast("int").alias("flags"), F.encode(F.col("value").cast("string"), "UTF-8").alias("payload"))
+    sent = wire.encoded(records).join(e.select(F.col("event_id").alias("seq"), "user_id"), "seq")
+    broken = F.concat(F.expr("substring(data, 1, octet_length(data) - 1)"), F.lit(b"#"))  # no value ends so
+    data = F.when(F.col("user_id") % 20 == 7, broken).when(F.col("user_id") % 20 == 9, F.concat(F.lit(b"SGB1junk"), F.col("data"))).otherwise(F.col("data"))
+    cut = sent.select("stream", "seq", data.alias("data")).select("stream", "seq", F.posexplode(F.array(F.expr("substring(data, 1, 21)"), F.expr("substring(data, 22, octet_length(data))"))).alias("k", "data"))
+    return cut.select("stream", (F.col("seq") * 2 + F.col("k")).alias("seq"), "data")
+
+
+@query("wire_records", "SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, event_id * 10 AS start_frame, 10::BIGINT AS frame_count, (user_id % 2)::INTEGER AS flags, value FROM events WHERE user_id % 20 <> 7")
+def wire_records(spark, sf_dir):
+    r = wire.decoded(_wire_chunks(spark, sf_dir), most=1 << 16, span=1 << 19)
+    return r.select("stream", "seq", "start_frame", "frame_count", "flags", F.decode("payload", "UTF-8").cast("double").alias("value"))
+
+
+@query("wire_damage", "SELECT event_type AS stream, count(*) FILTER (WHERE user_id % 20 <> 7) AS records, count(*) FILTER (WHERE user_id % 20 = 7) AS crc_failures, count(*) FILTER (WHERE user_id % 20 IN (7, 9)) > 0 AS damaged FROM events GROUP BY event_type")
+def wire_damage(spark, sf_dir):
+    chunks = _wire_chunks(spark, sf_dir)
+    total = chunks.groupBy("stream").agg(F.sum(F.octet_length("data")).alias("bytes"))
+    found = wire.decode(chunks, most=1 << 16, span=1 << 19)
+    used = found.records.groupBy("stream").agg(F.sum(F.octet_length("payload") + 32).alias("used"))
+    s = found.statistics.join(total, "stream").join(used, "stream")
+    whole = F.col("used") + F.col("corrupt_bytes") + F.col("tail_bytes") == F.col("bytes")  # every byte is a record's or damage
+    return s.select("stream", F.when(whole, F.col("records")).alias("records"), "crc_failures", (F.col("corrupt_bytes") > 0).alias("damaged"))
+
+
+@query("ingest_blocks", """WITH r AS (SELECT event_type AS stream, event_id AS seq, event_id * 4 + CASE WHEN user_id % 10 = 0 THEN user_id % 7 - 3 ELSE 0 END AS s, (CASE WHEN user_id % 5 = 0 THEN 9 ELSE 4 END) AS n FROM events),
+x AS (SELECT *, coalesce(max(s + n) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) AS e FROM r),
+f AS (SELECT stream, unnest(range(greatest(s, e), s + n)) AS frame FROM x WHERE s + n > e),
+p AS (SELECT *, lag(frame) OVER (PARTITION BY stream ORDER BY frame) AS prev FROM f),
+g AS (SELECT *, max(CASE WHEN prev IS NULL OR frame > prev + 1 THEN frame END) OVER (PARTITION BY stream ORDER BY frame) AS b FROM p),
+k AS (SELECT stream, b, (frame - b) // 7 AS part, min(frame) AS start_frame, count(*) AS frame_count FROM g GROUP BY ALL)
+SELECT stream, row_number() OVER w - 1 AS block_index, start_frame, frame_count,
+  CASE WHEN part = 0 THEN start_frame - coalesce(lag(start_frame + frame_count) OVER w, 0) ELSE 0 END AS preceding_gap, frame_count < 7 AS short
+FROM k WINDOW w AS (PARTITION BY stream ORDER BY start_frame)""")
+def ingest_blocks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    start = F.col("event_id") * 4 + F.when(F.col("user_id") % 10 == 0, F.col("user_id") % 7 - 3).otherwise(0)
+    records = e.select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), start.alias("start_frame"), F.when(F.col("user_id") % 5 == 0, 9).otherwise(4).cast("long").alias("frame_count"))
+    return ingest.ingested_batch(records, 7)

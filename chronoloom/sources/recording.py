@@ -16,9 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import signal
@@ -41,6 +40,7 @@ SCHEMAS = {
     "samples": "recording_id string, block_index long, frame long, channel int, value float, bits int",
     "planar": "recording_id string, block_index long, channel int, start_frame long, values array<float>",
     "ledger": "recording_id string, start_frame long, frame_count long, cause_code int, source string",
+    "index": "path string, recording_id string, channel_count int, block_index long, start_frame long, end_frame long, payload_offset long, payload_crc long",
     "findings": _BLOCKS + ", payload_ok boolean, incorrect long, first_channel int, first_frame long, expected float, actual float",
 }
 
@@ -79,23 +79,27 @@ class Recording:
         return self._index
 
     def _extent(self) -> dict:
-        """What of the file counts. A finalised header is believed if its blocks are there; of these the last may be
-        short of its stride if its own header vouches for it. Otherwise the last sound block that is whole ends the file."""
-        h = self.header
-        stated, C = h["block_count"], h["channel_count"]
-        if h["finalised"] and stated <= self.whole + 1:
-            last = self.sound(stated - 1)
-            if stated <= self.whole or last and self.offset(stated - 1) + h["block_header_bytes"] + last["payload_bytes"] <= self.size:
-                end = last["start_frame"] + last["frame_count"] if last else h["total_frames"]
-                return {"block_count": stated, "total_frames": h["total_frames"], "total_values": h["total_values"], "end_frame": end, "recovered": False, "truncated_tail_bytes": 0}
-        count = end = 0
+        """What of the file counts: the last block that is there, by its own header, and what the file header says of it.
+
+        Of the places a block can begin at, the last sound one that is whole ends the file. A finalised header that states
+        just these blocks is right about their frames; it also is when it states fewer or damaged ones, as long as they lie
+        in the file, and when its last block ends the file short of its stride.
+        """
+        h, count, end = self.header, 0, 0
+        tail = self.sound(self.whole)  # begins in the file, but doesn't fill its stride
+        if tail and self.offset(self.whole) + h["block_header_bytes"] + tail["payload_bytes"] > self.size:
+            tail = None
+        if h["finalised"] and h["block_count"] <= self.whole + bool(tail):
+            last = self.sound(h["block_count"] - 1)
+            end = last["start_frame"] + last["frame_count"] if last else h["total_frames"]
+            return {"block_count": h["block_count"], "total_frames": h["total_frames"], "total_values": h["total_values"], "end_frame": end, "recovered": False, "truncated_tail_bytes": 0}
         for z in range(self.whole, 0, -1024):
             found, ok = self.heads(max(0, z - 1024), z)
             if ok.any():
                 k = int(np.flatnonzero(ok)[-1])
                 count, end = max(0, z - 1024) + k + 1, int(found["start_frame"][k]) + int(found["frame_count"][k])
                 break
-        return {"block_count": count, "total_frames": end, "total_values": end * C, "end_frame": end, "recovered": True, "truncated_tail_bytes": max(0, self.size - self.offset(count))}
+        return {"block_count": count, "total_frames": end, "total_values": end * h["channel_count"], "end_frame": end, "recovered": True, "truncated_tail_bytes": max(0, self.size - self.offset(count))}
 
     def overlapping(self, low: int | None, high: int | None) -> np.ndarray:
         """Numbers of all sound blocks that hold a frame of low..high - 1, in whatever order the file has them."""
@@ -126,18 +130,22 @@ class Recording:
         return int(later[found["start_frame"][later].argmin()]), "after-gap", reads
 
     def ledger(self) -> tuple[np.ndarray, str]:
-        h, entries = self.header, None
-        if h["has_trailer"] and 0 < h["trailer_offset"] <= self.size - h["trailer_bytes"]:
-            entries = layout.ledger_of(self.file.read_at(h["trailer_bytes"], h["trailer_offset"]))
-        if entries is None:
-            window = min(self.size, LEDGER_WINDOW)
-            data = self.file.read_at(window, self.size - window)
-            tail = data.rfind(layout.TRAILER_MAGIC)
-            lead = data.rfind(layout.TRAILER_MAGIC, 0, tail + 7) if tail > 8 else -1
-            entries = layout.ledger_of(data[lead:]) if lead >= 0 else None
-        if entries is None:
-            return np.empty(0, layout.LEDGER), "absent"
-        return entries, "header" if h["has_trailer"] else "backward-scan"
+        """The loss ledger and where it was found: where the header says, or else the last whole one in the file's tail."""
+        h = self.header
+        if h["has_trailer"] and h["trailer_offset"] and h["trailer_offset"] + h["trailer_bytes"] <= self.size:
+            stated = layout.ledger_of(self.file.read_at(h["trailer_bytes"], h["trailer_offset"]))
+            if stated is not None:
+                return stated, "header"
+        tail = self.file.read_at(min(self.size, LEDGER_WINDOW), max(0, self.size - LEDGER_WINDOW))
+        places, at = [], tail.find(layout.TRAILER_MAGIC)
+        while at >= 0:
+            places.append(at)
+            at = tail.find(layout.TRAILER_MAGIC, at + 1)
+        for at in reversed(places):
+            entries = layout.ledger_of(tail[at:])
+            if entries is not None:
+                return entries, "header" if h["has_trailer"] else "backward-scan"
+        return np.empty(0, layout.LEDGER), "absent"
 
     def run(self, b: int, head: dict, channel: int, skip: int, count: int) -> np.ndarray:
         """One channel's values of a block: one positional read. Their stride is the block's own frame count."""
@@ -175,6 +183,11 @@ def _block_rows(r: Recording, blocks: range) -> Iterator[dict]:
         yield {"recording_id": r.header["recording_id"], "byte_offset": r.offset(b), "ok": sound, "bytes_available": got} | {k: head[k] for k in ("start_frame", "frame_count", "payload_bytes", "monotonic_nanos", "flags", "preceding_gap_frames", "payload_crc")} | {"block_index": b}
 
 
+def _fits(r: Recording, row: dict) -> bool:
+    """Whether a block's payload is as long as its frames need."""
+    return row["payload_bytes"] == row["frame_count"] * r.header["channel_count"] * r.header["bytes_per_value"]
+
+
 def _finding(r: Recording, row: dict, check_crc: bool) -> dict | None:
     """A block's row, its checksum, and its values against the signal, bit by bit."""
     row |= {"payload_ok": True, "incorrect": 0, "first_channel": None, "first_frame": None, "expected": None, "actual": None}
@@ -183,7 +196,7 @@ def _finding(r: Recording, row: dict, check_crc: bool) -> dict | None:
     data = r.file.read_at(row["payload_bytes"], row["byte_offset"] + r.header["block_header_bytes"])
     if len(data) < row["payload_bytes"]:
         return None  # the file ends within the block
-    row["payload_ok"] = not check_crc or crc32c(data) == row["payload_crc"]
+    row["payload_ok"] = _fits(r, row) and (not check_crc or crc32c(data) == row["payload_crc"])
     if row["payload_ok"]:
         C, n = r.header["channel_count"], row["frame_count"]
         actual = np.frombuffer(data, "<f4").reshape(C, n)
@@ -259,6 +272,10 @@ class RecordingReader(ds.DataSourceReader):
             return
         else:
             for row in _block_rows(r, partition.blocks(r)):
+                if self.table == "index":
+                    if not row["ok"] or not _fits(r, row):
+                        continue
+                    row |= {"path": r.uri, "channel_count": r.header["channel_count"], "end_frame": row["start_frame"] + row["frame_count"], "payload_offset": row["byte_offset"] + r.header["block_header_bytes"]}
                 if self.table == "findings" and (row := _finding(r, row, self.check_crc)) is None:
                     break
                 rows.append(row)
@@ -435,52 +452,6 @@ def write_batches(uri: str, batches, *, rate: float, frames_per_block: int, firs
     return state["frames"]
 
 
-def write_ranges(frames: DataFrame, folder: str, *, rate: float, frames_per_block: int, range_frames: int | None = None) -> DataFrame:
-    """frames(frame, values) as a folder of recordings, one per range of frame numbers, written in parallel: part, path, frames.
-
-    A range knows from the last frame of the ranges before it where it should begin, so a gap across the cut
-    enters the later file's ledger. Within the folder frames are unique only if they are in the input. An empty
-    table writes nothing.
-    """
-    spark = frames.sparkSession
-    ship(spark)
-    step = range_frames or 256 * frames_per_block
-    part = F.floor(F.col("frame") / step).cast("long").alias("part")
-    ends = frames.groupBy(part).agg(F.max("frame").alias("end"))  # a row per range
-    begins = ends.select("part", F.coalesce(F.lag("end").over(W.orderBy("part")) + 1, F.lit(0)).alias("first"))
-    rows = frames.select("frame", F.col("values").cast("array<float>").alias("values"), part).join(begins, "part")
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        attempt, rest = TaskContext.get().taskAttemptId(), None
-
-        def of_part(name):
-            """The batches of one range; what follows them is left for the next."""
-            nonlocal rest
-            while rest is not None:
-                parts = rest.column("part").to_numpy(zero_copy_only=False)
-                n = int(np.searchsorted(parts, name, "right"))
-                if n:
-                    yield _frames_of(rest.slice(0, n))
-                if n < len(parts):
-                    rest = rest.slice(n)
-                    return
-                rest = next(source, None)
-
-        source = (b for b in batches if b.num_rows)
-        rest = next(source, None)
-        while rest is not None:
-            name, first = rest.column("part")[0].as_py(), rest.column("first")[0].as_py()
-            uri = f"{folder}/part-{name:06d}{SUFFIX}"
-            n = write_batches(uri, of_part(name), rate=rate, frames_per_block=frames_per_block, first=first, attempt=attempt)
-            yield pa.RecordBatch.from_pylist([{"part": name, "path": uri, "frames": n}])
-
-    spread = rows.repartitionById(tasks, F.pmod(F.col("part"), F.lit(tasks)).cast("int")).sortWithinPartitions("part", "frame")
-    return spread.mapInArrow(run, "part long, path string, frames long")
-
-
 class RecordingSource(ds.DataSource):
     @classmethod
     def name(cls) -> str:
@@ -511,6 +482,11 @@ class RecordingSource(ds.DataSource):
     def writer(self, schema: StructType, overwrite: bool):
         return RecordingWriter(dict(self.options))
 
+    def streamWriter(self, schema: StructType, overwrite: bool):
+        from .sink import BlockSink
+
+        return BlockSink(self.options["path"])
+
 
 def register(spark: SparkSession) -> None:
     ship(spark)

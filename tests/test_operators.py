@@ -74,20 +74,6 @@ def test_segments_and_blocks(spark):
     assert [tuple(r) for r in got] == [(0, 0, 3, 0, False), (1, 5, 3, 2, False), (2, 8, 3, 0, False), (3, 11, 1, 0, True), (4, 20, 1, 8, True)]
 
 
-def test_every_offered_frame_is_written_or_lost(spark):
-    r = random.Random(3)
-    arrivals = [("a", s, s * 20, 20, r.choice((0, 0, 10, 60))) for s in range(200)] + [("b", s, s * 20, 20, 20) for s in range(50)]
-    df = spark.createDataFrame(arrivals, "stream string, seq long, start_frame long, frame_count long, served long")
-    for drop in ("newest", "oldest"):
-        lost = ingest.queue_losses(df, 100, drop=drop)
-        rows = lost.collect()
-        assert rows and all(x["stream"] == "a" for x in rows)
-        mine = ledger.coalesced(lost.withColumn("seq", F.col("start_frame")))
-        assert mine.agg(F.sum("frame_count")).first()[0] == sum(x["frame_count"] for x in rows)
-    with pytest.raises(ValueError):
-        ingest.queue_losses(df, 100, drop="some")
-
-
 def test_ledger_joins_only_direct_neighbours(spark):
     rows = [(0, 0, 5, 2), (1, 5, 5, 2), (2, 10, 5, 3), (3, 15, 0, 3), (4, 15, 5, 3), (5, 0, 5, 2), (6, 5, 1, 2)]
     df = spark.createDataFrame(rows, "seq long, start_frame long, frame_count long, cause_code int")

@@ -12,7 +12,6 @@ from chronoloom.functions import signal
 from chronoloom.functions.crc import crc32c
 from chronoloom.plans.api import Refused, open_recording
 from chronoloom.sources import layout, recording, side
-from chronoloom.streaming import ingest
 
 C, RATE, BLOCK = 4, 1000.0, 100
 
@@ -139,17 +138,6 @@ def test_a_pushed_filter_changes_no_rows(spark, whole, tmp_path, change):
         assert (hit is not None and hit[0] in holding) if holding else (hit is None or index["start_frame"][hit[0]] > frame)
 
 
-def test_ranges_are_written_in_parallel(spark, tmp_path):
-    frames = spark.createDataFrame([(f, signal.values(np.arange(C), f, 1)[:, 0].tolist()) for f in [*range(40, 250), *range(300, 640), *range(1200, 1210)]], "frame long, values array<float>").repartition(5)
-    files = recording.write_ranges(frames, str(tmp_path), rate=RATE, frames_per_block=BLOCK, range_frames=300).orderBy("part").collect()
-    assert [(f["part"], f["frames"]) for f in files] == [(0, 210), (1, 300), (2, 40), (4, 10)]
-    got = recording.read(spark, str(tmp_path))
-    assert got.count() == 560 * C and got.select("frame").distinct().count() == 560
-    ledger = sorted((x["start_frame"], x["frame_count"]) for x in recording.read(spark, str(tmp_path), "ledger").collect())
-    assert ledger == [(0, 40), (250, 50), (640, 560)]
-    assert recording.write_ranges(frames.where("frame < 0"), str(tmp_path / "none"), rate=RATE, frames_per_block=BLOCK).count() == 0
-
-
 def test_checksums_of_many_values():
     from chronoloom.functions.crc import crc32c_many
 
@@ -277,16 +265,6 @@ def test_writer_source_and_stream(spark, whole, tmp_path):
     assert spark.table("followed").count() == 10
 
 
-def test_streaming_sequence(spark, tmp_path):
-    arrivals = [("a", 0, 20), ("a", 20, 20), ("a", 80, 20), ("a", 90, 20), ("a", 10, 5), ("b", 500, 20), ("b", 520, 20)]
-    spark.createDataFrame(arrivals, "stream string, start_frame long, frame_count long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("stream string, start_frame long, frame_count long").parquet(str(tmp_path / "in"))
-    q = ingest.sequenced(stream).writeStream.format("memory").queryName("sequence").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination()
-    got = {tuple(r) for r in spark.table("sequence").collect()}
-    assert got == {("a", "accepted", 0, 20), ("a", "accepted", 20, 20), ("a", "gap", 40, 40), ("a", "accepted", 80, 20), ("a", "duplicate", 90, 10), ("a", "accepted", 100, 10), ("a", "duplicate", 10, 5), ("b", "accepted", 500, 20), ("b", "accepted", 520, 20)}
-
-
 def test_configuration(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"channel_count": 16, "sample_rate_hz": 1000, "dither": False}))
