@@ -27,7 +27,10 @@ LEAST_TASKS = 32
 FLUSH_TOKENS, FLUSH_SETS = 500_000, 8
 #: A window is hot if one in so many sets holds it, and LEAST_HOT sets at least; at most MOST_HOT windows are.
 HOT_SHARE, LEAST_HOT, MOST_HOT = 200, 500, 1 << 17
-_ENTRY = np.dtype([("t", "<u8"), ("d", "<u4")])
+#: The windows travel in so many rounds, one part of the buckets each, so that no more of them lie on disk at once.
+ROUNDS = 2
+#: A window and a class of how many sets hold it: the order of windows needs no more.
+_ENTRY = np.dtype([("t", "<u8"), ("d", "u1")])
 
 
 def _sets(batch: pa.RecordBatch, width: int):
@@ -88,8 +91,9 @@ def document_sets(docs: DataFrame, width: int, bits: int = 64) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, n_shingles long, fp long, check long, other long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
 
 
-def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_names: frozenset, bits: int) -> DataFrame:
+def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_names: frozenset, bits: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """Windows dealt to buckets by the first bits of their names, packed: set names, runs, and the last 56 bits.
+    Of all buckets those whose number is `turn` modulo `turns`.
 
     A run is up to 255 windows of one set; a set's windows of one bucket all lie in one row. Hot windows are in rows
     of their own, as numbers in the list, and dealt by the name of the set, so no bucket gets all of one.
@@ -112,6 +116,9 @@ def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_na
             by = np.where(is_hot, mix64(fp.view(np.uint64))[doc], tok)
             bucket = (by >> shift).astype(np.int64) * 2 + is_hot
             tok = np.where(is_hot, at.astype(np.uint64), tok)
+            if turns > 1:
+                mine = (bucket >> 1) % turns == turn
+                tok, doc, bucket = tok[mine], doc[mine], bucket[mine]
             order = np.argsort(bucket, kind="stable")
             tok, doc, bucket = tok[order], doc[order], bucket[order]
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
@@ -172,7 +179,7 @@ def _shared_windows(hot: np.ndarray, sets_of_hot: np.ndarray, buckets: int):
     def packed(name: np.ndarray, owner: np.ndarray, tok: np.ndarray, df: np.ndarray) -> pa.Table:
         order = np.argsort(owner, kind="stable")
         entry = np.empty(len(tok), _ENTRY)
-        entry["t"], entry["d"], owner = tok[order], df[order], owner[order]
+        entry["t"], entry["d"], owner = tok[order], np.minimum(255, 8 * np.log2(df[order])), owner[order]
         edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, np.int64)
         data = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer((edge * _ENTRY.itemsize).astype(np.int64)), pa.py_buffer(entry.tobytes())])
         return pa.table([pa.array(name[owner[edge[:-1]]] if len(owner) else name[:0]), data.cast(pa.binary())], names=["fp", "entries"])
@@ -328,9 +335,14 @@ def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int], bits: int
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = min(MOST_BUCKETS, max(LEAST_TASKS, -(-total // BUCKET_TOKENS)))
     buckets = max(LEAST_BUCKETS, 1 << (tasks - 1).bit_length())
-    blobs = _blobs(d.where("doc_id IS NOT NULL"), width, buckets, hot, shared_names, bits)
-    blobs = blobs.withColumn("task", F.floor(F.col("bucket").cast("long") * tasks / buckets).cast("int"))
-    shared = blobs.repartitionById(tasks, F.col("task")).groupBy("task", "bucket").applyInArrow(_shared_windows(hot, sets_of_hot, buckets), "fp long, entries binary")
+    shared = None
+    for turn in range(ROUNDS):
+        blobs = _blobs(d.where("doc_id IS NOT NULL"), width, buckets, hot, shared_names, bits, turn, ROUNDS)
+        blobs = blobs.withColumn("task", F.floor(F.col("bucket").cast("long") * tasks / buckets).cast("int"))
+        found = blobs.repartitionById(tasks, F.col("task")).groupBy("task", "bucket").applyInArrow(_shared_windows(hot, sets_of_hot, buckets), "fp long, entries binary")
+        found = save(found, "jaccard-shared")
+        shared = found if shared is None else shared.unionByName(found)
+        release(spark)
     sizes = named.groupBy("fp").agg(F.first("n_shingles").alias("n"))
     sets = save(_candidates(shared, sizes, num, den), "jaccard-candidates")
     del shared
@@ -385,8 +397,9 @@ def _labelled(docs: DataFrame, width: int, threshold: tuple[int, int], bits: int
     classes = named.groupBy("fp").agg(F.min("doc_id").alias("first")).join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     classes = save(classes.select("fp", "label", F.coalesce("label", "fp").alias("comp"), "first"), "jaccard-classes")
     # A class that links with no other is its own component; the others meet the least id of theirs.
-    least = classes.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
-    return own, save(classes.join(least, "label", "left").select("fp", "comp", F.coalesce("least", "first").alias("component_id")), "jaccard-components")
+    least = classes.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("component_id"))
+    alone = classes.where("label IS NULL").select("fp", "comp", F.col("first").alias("component_id"))
+    return own, save(alone.unionByName(classes.join(least, "label").select("fp", "comp", "component_id")), "jaccard-components")
 
 
 def _expanded(tested: DataFrame, reach: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
