@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, previous, running
+from . import chains
+from .ordered import CHUNK, previous, running, unused
 
 # Why frames were lost.
 CAUSES = {
@@ -26,18 +27,57 @@ def cause_name(code: Column) -> Column:
     return F.coalesce(F.element_at(known, code.cast("int")), F.format_string("unknown(%d)", code))
 
 
-def coalesced(records: DataFrame, *, keys=(), order: str = "seq", chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+def coalesced(records: DataFrame, *, keys=(), order: str = "seq", chunk: int = CHUNK) -> DataFrame:
     """Loss records(seq, start_frame, frame_count, cause_code) with neighbours joined that share a cause and touch.
 
-    Empty records count for nothing. entry numbers the result from 0; with `most`, entries beyond it are left out.
+    Empty records count for nothing. entry numbers the result from 0. For a ledger with room for `most` entries see capped.
     """
     keys = list(keys)
     r = records.where(F.col("frame_count") > 0)
-    r = previous(r, F.struct((F.col("start_frame") + F.col("frame_count")).alias("end"), F.col("cause_code").alias("cause")), "__p", order=[order], keys=keys, chunk=chunk)
-    joins = F.coalesce((F.col("__p.end") == F.col("start_frame")) & (F.col("__p.cause") == F.col("cause_code")), F.lit(False))
-    r = running(r.withColumn("__new", (~joins).cast("long")), "sum", F.col("__new"), "entry", order=[order], keys=keys, chunk=chunk)
+    (before,) = unused(records.columns, "before")
+    r = previous(r, F.struct((F.col("start_frame") + F.col("frame_count")).alias("end"), F.col("cause_code").alias("cause")), before, order=[order], keys=keys, chunk=chunk)
+    joins = F.coalesce((F.col(f"{before}.end") == F.col("start_frame")) & (F.col(f"{before}.cause") == F.col("cause_code")), F.lit(False))
+    r = running(r, "sum", (~joins).cast("long"), "entry", order=[order], keys=keys, chunk=chunk)
     out = r.groupBy(*keys, (F.col("entry") - 1).alias("entry")).agg(F.min("start_frame").alias("start_frame"), F.sum("frame_count").alias("frame_count"), F.first("cause_code").alias("cause_code"))
-    return out if most is None else out.where(F.col("entry") < most)
+    return out
+
+
+def capped(records: DataFrame, most: int, *, order: str = "seq", chunk: int = CHUNK) -> DataFrame:
+    """A ledger with room for `most` entries: entry, start_frame, frame_count, cause_code, and on every row truncated and
+    dropped_frames (of all records, exactly).
+
+    Up to the last entry it is `coalesced`. From then on a record extends that entry if it begins where the entry ends and has
+    its cause, whatever was turned away between; all others are lost to the list. So the records that extend it form a
+    chain: after each, the next one is the first later record that begins where it ends.
+    """
+    if most < 1:
+        raise ValueError("a ledger has room for one entry at least")
+    r = records.where(F.col("frame_count") > 0).select(F.col(order).cast("long").alias("seq"), F.col("start_frame").cast("long").alias("start_frame"), F.col("frame_count").cast("long").alias("frame_count"), "cause_code")
+    entries = coalesced(r, chunk=chunk)
+    r = previous(r, F.struct((F.col("start_frame") + F.col("frame_count")).alias("end"), F.col("cause_code").alias("cause")), "before", order=["seq"], chunk=chunk)
+    joins = F.coalesce((F.col("before.end") == F.col("start_frame")) & (F.col("before.cause") == F.col("cause_code")), F.lit(False))
+    r = running(r, "sum", (~joins).cast("long"), "entry", order=["seq"], chunk=chunk)
+    r = r.select("seq", "start_frame", "frame_count", "cause_code", (F.col("entry") - 1).alias("entry"))
+    # The chain: the last stored entry's last record, and what comes behind it with its cause.
+    tip = r.where(F.col("entry") == most - 1).agg(F.max("seq").alias("tip"), F.max_by("cause_code", "seq").alias("cause"))
+    late = r.join(F.broadcast(tip)).where((F.col("seq") >= F.col("tip")) & (F.col("cause_code") == F.col("cause")))  # one row
+    ends = late.select("seq", (F.col("start_frame") + F.col("frame_count")).alias("place"), F.lit(1).alias("asks"))
+    begins = late.where("seq > tip").select("seq", F.col("start_frame").alias("place"), F.lit(0).alias("asks"))
+    later = W.partitionBy("place").orderBy("seq", "asks").rowsBetween(1, W.unboundedFollowing)
+    named = ends.unionByName(begins).withColumn("next", F.min(F.when(F.col("asks") == 0, F.col("seq"))).over(later)).where("asks = 1")
+    nodes = named.join(F.broadcast(tip)).select(F.lit("").alias("key"), F.col("seq").alias("node"), "next", (F.col("seq") == F.col("tip")).alias("root"))
+    more = chains.followed(nodes, chunk=chunk).withColumnRenamed("node", "seq")
+    extra = late.where("seq > tip").join(more.select("seq"), "seq").agg(F.coalesce(F.sum("frame_count"), F.lit(0)).alias("extra"), F.count("*").alias("used"))
+    rest = r.where(F.col("entry") >= most).agg(F.count("*").alias("beyond"))
+    whole = r.agg(F.coalesce(F.sum("frame_count"), F.lit(0)).alias("dropped_frames"))
+    out = entries.where(F.col("entry") < most).join(F.broadcast(extra)).join(F.broadcast(rest)).join(F.broadcast(whole))  # one row each
+    longer = F.col("frame_count") + F.when(F.col("entry") == most - 1, F.col("extra")).otherwise(F.lit(0))
+    return out.select("entry", "start_frame", longer.alias("frame_count"), "cause_code", (F.col("beyond") > F.col("used")).alias("truncated"), "dropped_frames")
+
+
+def lost_time(marks: DataFrame) -> DataFrame:
+    """One row of markers(onset, duration): gaps and lost_seconds."""
+    return marks.agg(F.count("*").alias("gaps"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("lost_seconds"))
 
 
 def indexed(ledger: DataFrame, channels: int, rate: float) -> DataFrame:

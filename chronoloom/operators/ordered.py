@@ -15,6 +15,17 @@ CHUNK = 65536
 _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Column names like those given that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def running_all(df: DataFrame, specs: dict[str, tuple[str, Column, bool]], *, order: list[str], keys: list[str] = (), chunk: int = CHUNK, chunk_by: Column | None = None) -> DataFrame:
     """Adds a column for each name: (what, value, before) in specs, all in one pass over chunks.
 

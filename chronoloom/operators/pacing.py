@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, previous, running
+from . import chains
+from .ordered import CHUNK, previous, running, unused
 
 BUCKETS = 64
 
@@ -63,14 +63,16 @@ def buffer_levels(fills: DataFrame, capacity: float, *, order=("seq",), keys=(),
     """Adds level to fills(used): HIGH from 75 %, NORMAL below 25 %; in between HIGH holds on, else ELEVATED."""
     part = F.col("used") / F.lit(float(capacity))
     definite = F.when(part >= 0.75, F.lit("HIGH")).when(part < 0.25, F.lit("NORMAL"))
-    f = running(fills, "last", definite, "__sure", order=list(order), keys=list(keys), chunk=chunk)
-    return f.withColumn("level", F.coalesce(definite, F.when(F.col("__sure") == "HIGH", F.lit("HIGH")).otherwise(F.lit("ELEVATED")))).drop("__sure")
+    (sure,) = unused(fills.columns, "sure")
+    f = running(fills, "last", definite, sure, order=list(order), keys=list(keys), chunk=chunk)
+    return f.withColumn("level", F.coalesce(definite, F.when(F.col(sure) == "HIGH", F.lit("HIGH")).otherwise(F.lit("ELEVATED")))).drop(sure)
 
 
 def level_changes(levels: DataFrame, *, order=("seq",), keys=(), chunk: int = CHUNK) -> DataFrame:
     """Rows whose level differs from the one before; the state before the first is NORMAL."""
-    p = previous(levels, F.col("level"), "__was", order=list(order), keys=list(keys), chunk=chunk)
-    return p.where(F.col("level") != F.coalesce("__was", F.lit("NORMAL"))).drop("__was")
+    (was,) = unused(levels.columns, "was")
+    p = previous(levels, F.col("level"), was, order=list(order), keys=list(keys), chunk=chunk)
+    return p.where(F.col("level") != F.coalesce(was, F.lit("NORMAL"))).drop(was)
 
 
 def playback_segments(commands: DataFrame, *, rate: float, stop_us: int) -> DataFrame:
@@ -86,21 +88,61 @@ def emit_schedule(frames: DataFrame, first: int, rate: float, speed: float, star
     return frames.withColumn("due_us", F.lit(start_us) + F.floor((F.col("frame") - first) * F.lit(1e6) / F.lit(float(rate) * float(speed)) + F.lit(0.5)).cast("long"))
 
 
-def throttled(log: DataFrame, interval_ms: int, *, keys=("event",)) -> DataFrame:
+def throttled(log: DataFrame, interval_ms: int, *, keys=("event",), chunk: int = CHUNK) -> DataFrame:
     """log(event, at_ms): lines at least interval_ms after the last line let through of the same event.
 
-    Greedy, hence sequential per event: rows stream in time order through one running state per event.
+    A line that passes names the next one that does: the first at least interval_ms later. These chains are followed over
+    chunks of time (see chains.followed), so no task gets an event as a whole. Of lines of one event and time one passes;
+    lines without a time don't. interval_ms must be positive.
     """
-
-    def run(batches):
-        last: dict[tuple, int] = {}
-        for pdf in batches:
-            keep = []
-            for *key, at in zip(*(pdf[k] for k in keys), pdf["at_ms"]):
-                ok = tuple(key) not in last or at - last[tuple(key)] >= interval_ms
-                if ok:
-                    last[tuple(key)] = at
-                keep.append(ok)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    return log.repartition(*keys).sortWithinPartitions(*keys, "at_ms").mapInPandas(run, log.schema)
+    if interval_ms <= 0:
+        raise ValueError("the interval must be positive")
+    key, node = unused(log.columns, "key", "node")
+    named = log.where(F.col("at_ms").isNotNull()).withColumns({key: F.to_json(F.struct(*keys)), node: F.col("at_ms").cast("long")})
+    nodes = named.select(F.col(key).alias("key"), F.col(node).alias("node")).distinct()
+    begin = nodes.groupBy("key").agg(F.min("node").alias("begin"))
+    chained = chains.first_from(nodes, F.col("node") + interval_ms, chunk=chunk).join(begin, "key")
+    kept = chains.followed(chained.select("key", "node", "next", (F.col("node") == F.col("begin")).alias("root")), chunk=chunk)
+    kept = kept.select(F.col("key").alias(key), F.col("node").alias(node))
+    return named.join(kept, [key, node], "left_semi").dropDuplicates([key, node]).select(*log.columns)
+
+
+def schedule(wakes: DataFrame, tick_ns: int, rate: float, *, start_ns: int = 0, start_frame: int = 0, catch_up: int = 40, order=("seq",), keys=(), chunk: int = CHUNK) -> DataFrame:
+    """Adds to wake-ups(now_ns) of a scheduler with absolute deadlines what each does: tick (the next one before it), behind,
+    late, emitted, first_frame and frame_count (what it emits), and resync_start and resync_frames (what it gives up, by position).
+
+    A wake-up takes all ticks that are due, so the next tick is the largest number of ticks that was ever due: a running
+    maximum instead of a fold. An early wake-up, or one after the clock went back, does nothing.
+    """
+    per = max(1, math.floor(rate * tick_ns / 1e9 + 0.5))
+    due = F.expr(f"(now_ns - {int(start_ns)} - pmod(now_ns - {int(start_ns)}, {int(tick_ns)})) div {int(tick_ns)}") + 1
+    w = running(wakes, "max", due, "tick", order=list(order), keys=list(keys), before=True, chunk=chunk)
+    w = w.withColumn("tick", F.greatest(F.coalesce("tick", F.lit(0)), F.lit(0)).cast("long"))
+    w = w.withColumn("behind", F.greatest(F.lit(0), due - F.col("tick")).cast("long"))
+    skipped = F.greatest(F.lit(0), F.col("behind") - catch_up)
+    w = w.withColumns({"late": F.greatest(F.lit(0), F.col("behind") - 1), "emitted": F.least(F.col("behind"), F.lit(catch_up)).cast("long"), "resync_frames": (skipped * per).cast("long")})
+    at = F.lit(start_frame) + F.col("tick") * per
+    return w.withColumns({"resync_start": F.when(F.col("resync_frames") > 0, at), "first_frame": F.when(F.col("emitted") > 0, at + F.col("resync_frames")), "frame_count": F.col("emitted") * per})
+
+
+def schedule_totals(scheduled: DataFrame) -> DataFrame:
+    """One row: ticks, frames, late_ticks, resync_count, resync_frames."""
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return scheduled.agg(s("emitted").alias("ticks"), s("frame_count").alias("frames"), s("late").alias("late_ticks"), F.count(F.when(F.col("resync_frames") > 0, 1)).alias("resync_count"), s("resync_frames").alias("resync_frames"))
+
+
+def playback_totals(segments: DataFrame) -> DataFrame:
+    """One row over playback segments(speed, elapsed_us, emitted, expected, bound): sums, the largest deviation, and whether
+    the deviation stays within the summed bounds."""
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    t = segments.agg(F.count("*").alias("segments"), s("elapsed_us").alias("elapsed_us"), s("emitted").alias("emitted"), s("expected").alias("expected"), s("bound").alias("bound"), F.coalesce(F.max(F.abs(F.col("emitted") - F.col("expected"))), F.lit(0)).alias("largest_deviation"), F.max("speed").alias("fastest"))
+    return t.withColumn("deviation", F.col("emitted") - F.col("expected")).withColumn("within", F.abs("deviation") <= F.col("bound"))
+
+
+def pacing_text(report: DataFrame) -> DataFrame:
+    """A pacing_report row as JSON and as lines of text."""
+    lines = F.concat_ws(
+        "\n", F.format_string("elapsed      %.3f s", F.col("elapsed_ns") / F.lit(1e9)), F.format_string("emitted      %d frames", "emitted"),
+        F.format_string("expected     %d frames", "expected"), F.format_string("deviation    %d frames (%.3f ppm)", F.col("deviation"), F.col("deviation_ppm").cast("double")),
+    )
+    return report.withColumns({"json": F.to_json(F.struct(*report.columns)), "text": lines})

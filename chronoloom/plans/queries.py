@@ -274,9 +274,14 @@ def ledger_coalesce(spark, sf_dir):
     return ledger.coalesced(lost(spark, sf_dir))
 
 
-@query("ledger_capped", f"WITH {_COALESCED} SELECT * FROM c WHERE entry < 40")
+@query("ledger_capped", f"WITH {_COALESCED} SELECT *, (SELECT count(*) FROM c) > 40 AS truncated, (SELECT sum(frame_count) FROM l)::BIGINT AS dropped_frames FROM c WHERE entry < 40")
 def ledger_capped(spark, sf_dir):
-    return ledger.coalesced(lost(spark, sf_dir), most=40)
+    return ledger.capped(lost(spark, sf_dir), 40)  # records that come in order of their frames never extend a full ledger
+
+
+@query("lost_time", f"WITH {_COALESCED} SELECT count(*) AS gaps, round(sum(frame_count / 100::DOUBLE), 6) AS lost_seconds FROM c")
+def lost_time(spark, sf_dir):
+    return ledger.lost_time(ledger.markers(ledger.coalesced(lost(spark, sf_dir)), 100)).withColumn("lost_seconds", F.round("lost_seconds", 6))
 
 
 _CAUSES = "CASE cause_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in ledger.CAUSES.items()) + " END"
@@ -454,6 +459,28 @@ def transport_position(spark, sf_dir):
     return lookup.transport_positions(e.select("at_us"), commands, rate=2.0, end_frame=25000, chunk=3_600_000_000)
 
 
+_SCHEDULE = _TICKS + """, u AS (SELECT k AS seq, now_ns, now_ns // 5000000 + 1 AS due FROM k),
+p AS (SELECT *, greatest(0, coalesce(max(due) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS tick FROM u),
+d AS (SELECT *, greatest(0, due - tick) AS behind FROM p)"""
+
+
+@query("scheduled_wakes", f"WITH {_SCHEDULE} SELECT seq, tick, greatest(0, behind - 1) AS late, least(behind, 40) AS emitted, CASE WHEN behind > 0 THEN (tick + greatest(0, behind - 40)) * 20 END AS first_frame, least(behind, 40) * 20 AS frame_count, CASE WHEN behind > 40 THEN tick * 20 END AS resync_start, greatest(0, behind - 40) * 20 AS resync_frames FROM d")
+def scheduled_wakes(spark, sf_dir):
+    s = pacing.schedule(_ticks(spark, sf_dir).withColumnRenamed("k", "seq"), 5_000_000, 4000)
+    return s.select("seq", "tick", "late", "emitted", "first_frame", "frame_count", "resync_start", "resync_frames")
+
+
+@query("schedule_totals", f"WITH {_SCHEDULE} SELECT sum(least(behind, 40))::BIGINT AS ticks, sum(least(behind, 40) * 20)::BIGINT AS frames, sum(greatest(0, behind - 1))::BIGINT AS late_ticks, count(*) FILTER (WHERE behind > 40) AS resync_count, sum(greatest(0, behind - 40) * 20)::BIGINT AS resync_frames FROM d")
+def schedule_totals(spark, sf_dir):
+    return pacing.schedule_totals(pacing.schedule(_ticks(spark, sf_dir).withColumnRenamed("k", "seq"), 5_000_000, 4000))
+
+
+@query("playback_totals", "WITH s AS (SELECT 0.5::DOUBLE + user_id % 4 AS speed, event_id * 7 + 1000 AS elapsed_us, event_id * 3 + user_id % 20 AS emitted, event_id * 3 + 8 AS expected, user_id % 30 AS bound FROM events) SELECT count(*) AS segments, sum(elapsed_us)::BIGINT AS elapsed_us, sum(emitted)::BIGINT AS emitted, sum(expected)::BIGINT AS expected, sum(bound)::BIGINT AS bound, max(abs(emitted - expected)) AS largest_deviation, max(speed) AS fastest, (sum(emitted) - sum(expected))::BIGINT AS deviation, abs(sum(emitted) - sum(expected)) <= sum(bound) AS within FROM s")
+def playback_totals(spark, sf_dir):
+    n, u = F.col("event_id"), F.col("user_id")
+    return pacing.playback_totals(table(spark, sf_dir, "events").select((F.lit(0.5) + u % 4).alias("speed"), (n * 7 + 1000).alias("elapsed_us"), (n * 3 + u % 20).alias("emitted"), (n * 3 + 8).alias("expected"), (u % 30).alias("bound")))
+
+
 @query("playback_segments", f"""WITH {_EVENTS}, c AS (SELECT us AS at_us, event_id % 100 <> 0 AS playing, 0.5::DOUBLE + user_id % 4 AS speed FROM e WHERE event_id % 50 = 0), s AS (SELECT *, lead(at_us) OVER (ORDER BY at_us) AS until_us FROM c)
 SELECT at_us, until_us, speed, until_us - at_us AS elapsed_us, floor((until_us - at_us) / 1e6::DOUBLE * 4000::DOUBLE * speed)::BIGINT AS expected, greatest(1, floor(4000::DOUBLE * speed * 5000000 / 1e9::DOUBLE + 0.5::DOUBLE))::BIGINT AS bound FROM s WHERE playing AND until_us IS NOT NULL""")
 def playback_segments(spark, sf_dir):
