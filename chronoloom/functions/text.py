@@ -26,6 +26,14 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+def frame_at(seconds: Column, rate: float, how: str = "round") -> Column:
+    """The frame of a time: the nearest (round, halves up), the one that is due (floor), or without its fraction (truncate)."""
+    x = seconds.cast("double") * F.lit(float(rate))
+    if how not in ("round", "floor", "truncate"):
+        raise ValueError(f"{how!r} is none of round, floor, truncate")
+    return {"round": half_up(x), "floor": F.floor(x), "truncate": F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))}[how].cast("long")
+
+
 def position(text: Column, rate: float) -> Column:
     """The frame that a position names: '#n', 'm:ss.f', or a number with ms, s, m or h (seconds if none).
 

@@ -93,6 +93,29 @@ def reblocked(frames: DataFrame, frames_per_block: int, frame: str = "frame", *,
     return b.select(*keys, (F.col("__nth") - 1).alias("block_index"), "start_frame", "frame_count", gap.cast("long").alias("preceding_gap"), (F.col("frame_count") < frames_per_block).alias("short"))
 
 
+def resident(frames: DataFrame, frames_per_block: int, frame: str = "frame", *, keys=(), chunk: int = CHUNK) -> DataFrame:
+    """One row (per key): resident_frames, what lies in open segments and no whole block has taken, and the number of these segments.
+
+    Only a segment's end can be short, so that is each segment's remainder of whole blocks; the last segment is open even if
+    nothing of it is left.
+    """
+    keys = list(keys)
+    s = segments(frames, frame, keys=keys, chunk=chunk).groupBy(*keys, "segment").agg(F.count("*").alias("n"))
+    rest = F.col("n") % frames_per_block
+    return s.groupBy(*keys).agg(F.coalesce(F.sum(rest), F.lit(0)).alias("resident_frames"), F.count(F.when(rest > 0, 1)).alias("open_segments"))
+
+
+def wire_totals(sequenced: DataFrame, statistics: DataFrame) -> DataFrame:
+    """wire_statistics per stream, with crc_failures and corrupt_bytes of a decoder's statistics(stream, ...); streams without records have zeros."""
+    count = lambda c: F.count(F.when(c, 1))
+    own = sequenced.groupBy("stream").agg(
+        count(F.col("tail") > 0).alias("blocks"), F.sum("tail").alias("frames"), count(F.col("gap") > 0).alias("gaps"), F.sum("gap").alias("gap_frames"),
+        count(F.col("start_frame") < F.col("expected")).alias("duplicates"), F.sum("overlap").alias("duplicate_frames"),
+    )
+    names = ("blocks", "frames", "gaps", "gap_frames", "duplicates", "duplicate_frames")
+    return statistics.select("stream", "corrupt_bytes", "crc_failures").join(own, "stream", "left").select("stream", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "corrupt_bytes", "crc_failures")
+
+
 def session_runs(events: DataFrame, micros: Column, gap_micros: int, *, keys) -> DataFrame:
     """Sessions of events per key: runs whose neighbours lie at most gap_micros apart. Columns: keys, begin, end, events."""
     e = events.select(*keys, micros.alias("at"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import integer
-from .ordered import CHUNK
+from .ordered import CHUNK, previous, unused
 from .sequence import classified, expected_next
 
 # Exit codes and results.
@@ -99,3 +99,60 @@ def checks(r: DataFrame) -> DataFrame:
 def headline(code: Column) -> Column:
     """The verdict in a word."""
     return F.when(code == PASS, "Passed").when(code == TRUNCATED, "Passed so far").when(code == FAIL, "Failed").otherwise("Could not verify")
+
+
+def place_text(value_index: Column, channel: Column, frame: Column, rate: float) -> Column:
+    """Where a discrepancy is: value, channel, frame, and time to the microsecond."""
+    t = F.format_string("%.6f", frame / F.lit(float(rate)))
+    return F.concat(F.lit("value #"), integer(value_index), F.lit("  (channel "), F.coalesce(channel, F.lit(0)).cast("string"), F.lit(", frame "), integer(frame), F.lit(", t="), t, F.lit("s)"))
+
+
+# How the lines about first discrepancies begin, in their order.
+_FIRST = {"missing": "First missing:    ", "duplicated": "First duplicated: ", "incorrect": "First incorrect:  ", "corrupt": "First corrupt:    "}
+
+
+def detail_lines(firsts: DataFrame, rate: float) -> DataFrame:
+    """line_number, line about the first discrepancy of each class.
+
+    firsts(class, block_index, frame, value_count, value_index, channel, expected, actual, byte_offset) has a row per class at
+    most; channel, expected, actual and byte_offset may be null where they say nothing.
+    """
+    at = place_text(F.col("value_index"), F.col("channel"), F.col("frame"), rate)
+    begin = F.element_at(F.create_map(*[F.lit(x) for kv in _FIRST.items() for x in kv]), F.col("class"))
+    number = lambda c: F.col(c).cast("double").cast("string")
+    pad = F.lit(" " * len(_FIRST["missing"]))
+    lines = (
+        F.when(F.col("class") == "missing", F.array(F.concat(begin, at), F.concat(pad, integer(F.col("value_count")), F.lit(" values"))))
+        .when(F.col("class") == "incorrect", F.array(F.concat(begin, at), F.concat(pad, F.lit("expected "), number("expected"), F.lit(", got "), number("actual"), F.lit(", byte offset "), integer(F.col("byte_offset")))))
+        .when(F.col("class") == "corrupt", F.array(F.concat(begin, F.lit("block #"), F.col("block_index").cast("string"), F.lit(" at byte "), integer(F.col("byte_offset")))))
+        .otherwise(F.array(F.concat(begin, at)))
+    )
+    order = F.array_position(F.array(*map(F.lit, _FIRST)), F.col("class"))
+    return firsts.select(order.alias("o"), F.posexplode(lines).alias("k", "line")).select((F.col("o") * 2 + F.col("k") - 2).cast("int").alias("line_number"), "line")
+
+
+def ledger_line(declared: Column, derived: Column, agrees: Column) -> Column:
+    """What the header's ledger and the gaps found say of each other; null where nothing was lost or nothing was declared."""
+    told = F.concat(F.lit("Drop ledger:      header declares "), integer(declared), F.lit(" dropped values, validator derived "), integer(derived), F.lit(" — "), F.when(agrees, "AGREE").otherwise("DISAGREE: the recording contradicts itself"))
+    return F.when(agrees.isNotNull() & ((declared > 0) | (derived > 0)), told)
+
+
+def summary_line(values: Column, seconds: Column, check_crc: bool = True) -> Column:
+    """How many values were validated in which time."""
+    rate = F.when(seconds > 0, F.floor(values / seconds + 0.5)).otherwise(F.lit(0))
+    return F.concat(F.lit("validated "), integer(values), F.lit(" values in "), F.format_string("%.2f", seconds.cast("double")), F.lit(" s ("), integer(rate), F.lit(" values/s), CRC " + ("on" if check_crc else "off")))
+
+
+def sweep(blocks: DataFrame, *, order=("block_index",), keys=(), chunk: int = CHUNK) -> DataFrame:
+    """One row (per key) about blocks(ok, start_frame, frame_count, payload_ok) read one after the other: blocks, bad_headers, bad_payloads, gaps
+    and gap_frames.
+
+    Unlike the validator, which counts from frame 0, a sweep expects nothing of the first readable block, and of each
+    further one that it begins where the readable block before it ended, wherever that was.
+    """
+    keys = list(keys)
+    (before,) = unused(blocks.columns, "before")
+    b = previous(blocks, F.when(F.col("ok"), F.col("start_frame") + F.col("frame_count")), before, order=list(order), keys=keys, chunk=chunk)
+    ahead = F.when(F.col("ok"), F.greatest(F.lit(0), F.col("start_frame") - F.col(before)))
+    n = lambda c: F.count(F.when(c, 1))
+    return b.groupBy(*keys).agg(F.count("*").alias("blocks"), n(~F.col("ok")).alias("bad_headers"), n(F.col("ok") & ~F.col("payload_ok")).alias("bad_payloads"), n(ahead > 0).alias("gaps"), F.coalesce(F.sum(ahead), F.lit(0)).alias("gap_frames"))

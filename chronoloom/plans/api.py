@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -15,8 +16,9 @@ from ..functions.signal import SIGNAL_NAME
 from ..operators import envelope as env
 from ..operators import ledger as led
 from ..operators import validate as val
-from ..sources import layout
+from ..sources import layout, side
 from ..sources import recording as rec
+from ..sources.files import locate
 
 #: Seconds that one CSV download covers at most.
 CSV_SECONDS = 60
@@ -36,6 +38,12 @@ class OpenRecording:
         self.rate = self.header["sample_rate_exact_hz"]
         self._kept: dict[bool, DataFrame] = {}
 
+    def close(self) -> None:
+        """Lets go of the block rows that validation has kept."""
+        for kept in self._kept.values():
+            kept.unpersist()
+        self._kept.clear()
+
     def table(self, name: str, **options) -> DataFrame:
         return rec.read(self.spark, self.path, name, **options)
 
@@ -171,6 +179,47 @@ class OpenRecording:
         wrong = wrong.where("f IS NOT NULL").select(F.lit("incorrect").alias("class"), "f.*")
         return val.first_of_class(found, C).unionByName(wrong)
 
+    def details(self, check_crc: bool = True) -> DataFrame:
+        """line_number, line: the first discrepancy of each class, and what ledger and gaps say of each other."""
+        h = self.header
+        offset = F.col("byte_offset") + h["block_header_bytes"] + (F.col("first_channel") * F.col("frame_count") + F.col("first_frame") - F.col("start_frame")) * h["bytes_per_value"]
+        firsts = self.first_discrepancies(check_crc)
+        raw = self.table("findings", checkcrc=check_crc).select("block_index", F.col("first_channel").alias("channel"), F.col("expected").cast("float").alias("expected"), "actual", offset.alias("wrong_at"), F.col("byte_offset").alias("block_at"), F.col("incorrect").alias("n"))
+        rows = firsts.join(raw, "block_index", "left")  # four rows at most
+        is_wrong = F.col("class") == "incorrect"
+        rows = rows.select("class", "block_index", "frame", "value_count", "value_index", *[F.when(is_wrong, F.col(c)).alias(c) for c in ("channel", "expected", "actual")], F.when(is_wrong, F.col("wrong_at")).otherwise(F.col("block_at")).alias("byte_offset"))
+        lines = val.detail_lines(rows, self.rate)
+        declared = F.lit(h["dropped_frames_total"] * h["channel_count"]).cast("long")
+        last = self.validate(check_crc).select(F.lit(8).alias("line_number"), val.ledger_line(declared, F.col("missing"), F.col("ledger_agrees")).alias("line")).where("line IS NOT NULL")
+        return lines.unionByName(last)
+
+    def check(self) -> DataFrame:
+        """One row: the sweep over all blocks (validate.sweep), the ledger's frames, and whether the two agree and all is sound."""
+        swept = val.sweep(self.table("findings").withColumn("payload_ok", F.coalesce("payload_ok", F.lit(False))))
+        entries, _ = self.source.ledger()  # at most 65,536
+        stated = int(entries["frame_count"].sum()) if len(entries) else 0
+        s = swept.withColumn("ledger_frames", F.lit(stated).cast("long")).withColumn("agrees", F.col("gap_frames") == F.col("ledger_frames"))
+        return s.withColumn("sound", F.col("agrees") & (F.col("bad_headers") == 0) & (F.col("bad_payloads") == 0))
+
+    def write_sidecar(self, config: side.Config | None = None) -> str:
+        """Writes the sidecar beside the recording, whole or not at all; returns its path. On conflict the header counts."""
+        entries, _ = self.source.ledger()
+        rows = [{"startFrameIndex": int(e["start_frame"]), "frameCount": int(e["frame_count"]), "startValueIndex": int(e["start_frame"]) * self.header["channel_count"], "valueCount": int(e["frame_count"]) * self.header["channel_count"], "startSeconds": int(e["start_frame"]) / self.rate, "durationSeconds": int(e["frame_count"]) / self.rate, "cause": led.CAUSES.get(int(e["cause_code"]), f"unknown({int(e['cause_code'])})")} for e in entries]
+        fs, path = locate(self.path)
+        name = path.removesuffix(rec.SUFFIX) + ".json"
+        with fs.open_output_stream(f"{name}.tmp") as out:
+            out.write((side.sidecar(self.header, rows, config or side.Config()) + "\n").encode())
+        fs.move(f"{name}.tmp", name)
+        return name
+
+    def metadata(self) -> bytes:
+        """The sidecar as it lies there, for download; refused where there is none."""
+        fs, path = locate(self.path)
+        name = path.removesuffix(rec.SUFFIX) + ".json"
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise Refused("the recording has no sidecar")
+        return fs.open_input_stream(name).read()
+
     def hexdump(self) -> list[tuple[int, int, str, str]]:
         return layout.hexdump(self.source.file.read_at(layout.FILE_HEADER, 0))
 

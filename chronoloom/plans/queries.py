@@ -355,6 +355,31 @@ def first_discrepancies(spark, sf_dir):
     return validate.first_of_class(_findings(spark, sf_dir), 4)
 
 
+@query("detail_lines", f"""WITH {_DAMAGED}, z AS (
+  SELECT 1 AS o, 'First missing:    ' AS begin, block_index, expected AS frame, missing_frames * 4 AS n FROM k WHERE missing_frames > 0
+  UNION ALL SELECT 2, 'First duplicated: ', block_index, start_frame, duplicated_frames * 4 FROM k WHERE duplicated_frames > 0
+  UNION ALL SELECT 4, 'First corrupt:    ', block_index, start_frame, corrupt FROM k WHERE corrupt > 0),
+f AS (SELECT *, format('value #{{:,}}  (channel 0, frame {{:,}}, t={{:.6f}}s)', frame * 4, frame, frame / 4000::DOUBLE) AS place FROM z QUALIFY row_number() OVER (PARTITION BY o ORDER BY block_index) = 1)
+SELECT (o * 2 - 2)::INTEGER AS line_number, begin || CASE WHEN o = 4 THEN format('block #{{}} at byte {{:,}}', block_index, 4096 + block_index * 512064) ELSE place END AS line FROM f
+UNION ALL SELECT (o * 2 - 1)::INTEGER, repeat(' ', 18) || format('{{:,}}', n::BIGINT) || ' values' FROM f WHERE o = 1""")
+def detail_lines(spark, sf_dir):
+    firsts = validate.first_of_class(_findings(spark, sf_dir), 4)
+    none = F.lit(None)
+    firsts = firsts.withColumns({"channel": none.cast("int"), "expected": none.cast("float"), "actual": none.cast("float"), "byte_offset": lookup.block_address(F.col("block_index"), 4096, 512064)})
+    return validate.detail_lines(firsts, 4000)
+
+
+@query("sweep_blocks", """WITH b AS (SELECT event_type, event_id AS block_index, user_id % 11 <> 5 AS ok, greatest(0, event_id * 10 + CASE WHEN user_id % 10 = 0 THEN user_id % 7 - 3 ELSE 0 END)::BIGINT AS s, user_id % 40 <> 1 AS payload_ok FROM events),
+r AS (SELECT *, lag(s + 10) OVER (PARTITION BY event_type ORDER BY block_index) AS e FROM b WHERE ok),
+g AS (SELECT event_type, count(*) FILTER (WHERE s > e) AS gaps, coalesce(sum(s - e) FILTER (WHERE s > e), 0)::BIGINT AS gap_frames FROM r GROUP BY event_type)
+SELECT event_type, count(*) AS blocks, count(*) FILTER (WHERE NOT ok) AS bad_headers, count(*) FILTER (WHERE ok AND NOT payload_ok) AS bad_payloads, any_value(gaps) AS gaps, any_value(gap_frames) AS gap_frames FROM b JOIN g USING (event_type) GROUP BY event_type""")
+def sweep_blocks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    shift = F.when(F.col("user_id") % 10 == 0, F.col("user_id") % 7 - 3).otherwise(0)
+    b = e.select("event_type", F.col("event_id").alias("block_index"), (F.col("user_id") % 11 != 5).alias("ok"), F.greatest(F.lit(0), F.col("event_id") * 10 + shift).alias("start_frame"), F.lit(10).cast("long").alias("frame_count"), (F.col("user_id") % 40 != 1).alias("payload_ok"))
+    return validate.sweep(b, keys=["event_type"])
+
+
 @query("first_incorrect", f"WITH {_DENSE}, x AS (SELECT frame // 100 AS block_index, channel, frame, value AS expected, -value AS actual FROM d WHERE (frame * 64 + channel) % 1009 = 700) SELECT block_index, channel, frame, expected, actual, frame * 64 + channel AS value_index FROM x ORDER BY block_index, channel, frame LIMIT 1")
 def first_incorrect(spark, sf_dir):
     d = dense(spark, sf_dir).where((F.col("frame") * 64 + F.col("channel")) % 1009 == 700)
@@ -671,6 +696,28 @@ def wire_records(spark, sf_dir):
     return r.select("stream", "seq", "start_frame", "frame_count", "flags", F.decode("payload", "UTF-8").cast("double").alias("value"))
 
 
+@query("wire_totals", """WITH r AS (SELECT event_type AS stream, event_id AS seq, event_id * 10 AS s, 10 AS n FROM events WHERE user_id % 20 <> 7),
+x AS (SELECT *, coalesce(max(s + n) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) AS e FROM r),
+t AS (SELECT stream, count(*) AS blocks, sum(n)::BIGINT AS frames, count(*) FILTER (WHERE s > e) AS gaps, sum(greatest(0, s - e))::BIGINT AS gap_frames FROM x GROUP BY stream),
+d AS (SELECT event_type AS stream, count(*) FILTER (WHERE user_id % 20 = 7) AS crc_failures FROM events GROUP BY event_type)
+SELECT stream, coalesce(blocks, 0) AS blocks, coalesce(frames, 0) AS frames, coalesce(gaps, 0) AS gaps, coalesce(gap_frames, 0) AS gap_frames, 0::BIGINT AS duplicates, 0::BIGINT AS duplicate_frames, crc_failures FROM d LEFT JOIN t USING (stream)""")
+def wire_totals(spark, sf_dir):
+    found = wire.decode(_wire_chunks(spark, sf_dir), most=1 << 16, span=1 << 19)
+    return sequence.wire_totals(sequence.wire_sequence(found.records, keys=["stream"]), found.statistics).drop("corrupt_bytes")
+
+
+@query("resident_frames", """WITH f AS (SELECT event_type, event_id AS frame FROM events), g AS (SELECT *, frame - row_number() OVER (PARTITION BY event_type ORDER BY frame) AS island FROM f),
+s AS (SELECT event_type, island, count(*) AS n FROM g GROUP BY ALL) SELECT event_type, sum(n % 3)::BIGINT AS resident_frames, count(*) FILTER (WHERE n % 3 > 0) AS open_segments FROM s GROUP BY event_type""")
+def resident_frames(spark, sf_dir):
+    return sequence.resident(table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("frame")), 3, keys=["event_type"])
+
+
+@query("frames_of_times", "SELECT event_id, floor((value - 100) * 250 + 0.5)::BIGINT AS nearest, floor((value - 100) * 250)::BIGINT AS due, trunc((value - 100) * 250)::BIGINT AS cut FROM events")
+def frames_of_times(spark, sf_dir):
+    t = F.col("value") - 100
+    return table(spark, sf_dir, "events").select("event_id", text.frame_at(t, 250).alias("nearest"), text.frame_at(t, 250, "floor").alias("due"), text.frame_at(t, 250, "truncate").alias("cut"))
+
+
 @query("wire_damage", "SELECT event_type AS stream, count(*) FILTER (WHERE user_id % 20 <> 7) AS records, count(*) FILTER (WHERE user_id % 20 = 7) AS crc_failures, count(*) FILTER (WHERE user_id % 20 IN (7, 9)) > 0 AS damaged FROM events GROUP BY event_type")
 def wire_damage(spark, sf_dir):
     chunks = _wire_chunks(spark, sf_dir)
