@@ -104,7 +104,7 @@ def envelope_grid(spark, sf_dir):
 
 @query("envelope_proportional", f"WITH {_DENSE}, t AS (SELECT max(frame) + 1 AS n FROM d) SELECT channel, ((frame + 1) * 7 - 1) // n AS \"column\", min(value) AS lo, max(value) AS hi FROM d, t GROUP BY ALL")
 def envelope_proportional(spark, sf_dir):
-    n = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    n = (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
     return envelope.proportional_envelope(dense(spark, sf_dir), 0, n, 7)
 
 
@@ -510,7 +510,7 @@ def playback_totals(spark, sf_dir):
 SELECT at_us, until_us, speed, until_us - at_us AS elapsed_us, floor((until_us - at_us) / 1e6::DOUBLE * 4000::DOUBLE * speed)::BIGINT AS expected, greatest(1, floor(4000::DOUBLE * speed * 5000000 / 1e9::DOUBLE + 0.5::DOUBLE))::BIGINT AS bound FROM s WHERE playing AND until_us IS NOT NULL""")
 def playback_segments(spark, sf_dir):
     c = events(spark, sf_dir).where("event_id % 50 = 0").select(F.col("us").alias("at_us"), (F.col("event_id") % 100 != 0).alias("playing"), (F.lit(0.5) + F.col("user_id") % 4).alias("speed"))
-    last = c.agg(F.max("at_us")).first()[0]
+    last = c.agg(F.max("at_us")).first()[0] or 0
     return pacing.playback_segments(c, rate=4000, stop_us=last).where("elapsed_us > 0 OR until_us < " + str(last))
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql.types import StructType
@@ -53,6 +54,8 @@ class Recording:
         fs, path = locate(uri)
         self.file = fs.open_input_file(path)
         self.size = self.file.size()
+        #: A local file's bytes; of another store's, what is asked for is read.
+        self.mapped = np.memmap(path, np.uint8, "r") if isinstance(fs, pafs.LocalFileSystem) and self.size else None
         self.header = layout.header_of(self.file.read_at(min(self.size, layout.FILE_HEADER), 0))
         #: Blocks that fill their stride within the file.
         self.whole = max(0, self.size - self.header["header_bytes"]) // self.header["block_stride_bytes"]
@@ -64,6 +67,14 @@ class Recording:
 
     def heads(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         """The headers of blocks first to last - 1, as far as the file has their bytes, and which of them are sound."""
+        if self.mapped is not None:
+            n = max(0, min(last, (self.size - layout.BLOCK_HEADER - self.header["header_bytes"]) // self.header["block_stride_bytes"] + 1) - first) if self.size >= layout.BLOCK_HEADER else 0
+            if not n:
+                return np.empty(0, layout.BLOCK), np.zeros(0, bool)
+            begin = self.mapped[self.offset(first) :]
+            rows = np.lib.stride_tricks.as_strided(begin, (n, layout.BLOCK_HEADER), (self.header["block_stride_bytes"], 1))
+            found = np.ascontiguousarray(rows).view(layout.BLOCK).ravel()
+            return found, layout.sound_blocks(found)
         data = [self.file.read_at(layout.BLOCK_HEADER, self.offset(b)) for b in range(first, last) if self.offset(b) + layout.BLOCK_HEADER <= self.size]
         found = np.frombuffer(b"".join(data), layout.BLOCK)
         return found, layout.sound_blocks(found)
@@ -109,18 +120,41 @@ class Recording:
         return np.flatnonzero(ok & (end > (low or 0)) & (start < (high if high is not None else 1 << 62)))
 
     def find(self, frame: int) -> tuple[int, str, int] | None:
-        """The block of a frame, how it was found and after how many header reads; None beyond the end.
+        """The block of a frame, how it was found and after how many reads; None beyond the end.
 
-        If the block of the undamaged file's closed form holds the frame, one read is enough. Otherwise the headers
-        are read, once, and the first sound block in the file that holds the frame is taken, or the one whose start
-        comes next. Unreadable headers are passed over, and blocks may come in any order.
+        If the block of the undamaged file's closed form holds the frame, one header is enough. Otherwise a binary search
+        over the headers, whose frames ascend in a sound file, finds the block that holds it, or the one behind the gap
+        that the ledger says it is in. Only if neither is there (damage: unreadable headers, blocks in another order) are
+        all headers read, and the first sound block in the file that holds the frame is taken, or the one whose start comes next.
         """
+        count = self.extent["block_count"]
         nominal = frame // self.header["frames_per_block"]
-        head = self.sound(nominal) if 0 <= nominal < self.extent["block_count"] else None
+        head = self.sound(nominal) if 0 <= nominal < count else None
         if head and head["start_frame"] <= frame < head["start_frame"] + head["frame_count"]:
             return nominal, "closed-form", 1
+        reads, low, high = 1, 0, count  # the first block that ends behind the frame lies in low..high
+        seen: dict[int, dict | None] = {}
+        while low < high:
+            mid = (low + high) // 2
+            seen[mid] = head = self.sound(mid)
+            reads += 1
+            if head is None:
+                break
+            if head["start_frame"] + head["frame_count"] > frame:
+                high = mid
+            else:
+                low = mid + 1
+        else:
+            head = seen.get(low) if low < count else None
+            if head and head["start_frame"] <= frame:
+                return low, "binary-search", reads
+            entries, _ = self.ledger()
+            reads += 1
+            lost = (entries["start_frame"] <= frame) & (entries["start_frame"] + entries["frame_count"] > frame)
+            if head and lost.any() and head["start_frame"] == int((entries["start_frame"] + entries["frame_count"])[lost].max()):
+                return low, "after-gap", reads
         found, ok = self.index()
-        reads = len(found)
+        reads += len(found)
         holding = self.overlapping(frame, frame + 1)
         if len(holding):
             return int(holding[0]), "binary-search", reads

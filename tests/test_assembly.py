@@ -107,3 +107,20 @@ def test_index_opens_only_what_is_hit(spark, tmp_path):
         pairs = sorted((r["range_id"], r["path"], r["block_index"]) for r in index.hits(built, ranges, bucket=bucket).collect())
         assert pairs == sorted(set(pairs)) and len(pairs) == 1 + 2 + 1
     assert index.samples(built.where("false"), ranges).count() == 0
+
+
+def test_seek_after_loss_reads_few_headers(tmp_path):
+    path = str(tmp_path / "s.sigb")
+    lost = {f for f in range(6000) if f % 700 in (13, 14, 15)}
+    recording.write_file(path, ((f, np.zeros(1, "<f4")) for f in range(6000) if f not in lost), rate=RATE, frames_per_block=2)
+    r = recording.Recording(path)
+    found, _ = r.index()
+    for frame in [*range(0, 6000, 97), 13, 713, 1415, 5999]:
+        block, how, reads = r.find(frame)
+        start, n = int(found["start_frame"][block]), int(found["frame_count"][block])
+        if frame in lost:
+            assert how == "after-gap" and start - frame in (1, 2, 3)
+        else:
+            assert start <= frame < start + n
+        assert reads <= 15
+    assert r.find(6000) is None and r.find(10**9) is None
