@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import scratch, shared_dir, ship
 
-__all__ = ["parallelism", "prepare", "release", "save", "scratch", "shared_dir", "table", "unused"]
+__all__ = ["parallelism", "prepare", "release", "save", "scratch", "shared_dir", "table", "tidied", "unused"]
 
 #: Rows of one Arrow batch handed to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 1024
@@ -56,5 +58,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that, when the task ends, hands what its worker has freed back to the system: Spark keeps its
+    Python workers for later tasks, and allocators keep freed memory."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)

@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._spark import prepare, release, save, unused
+from ._spark import prepare, release, save, tidied, unused
 from ._text import chunks, mix64, shingle_hashes, string_buffers, word_hashes
 
 #: Windows of one bucket, at most on average; buckets are a power of two of at least LEAST_BUCKETS, tasks at least LEAST_TASKS.
@@ -88,7 +88,7 @@ def document_sets(docs: DataFrame, width: int, bits: int = 64) -> DataFrame:
         if held:
             yield common()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n_shingles long, fp long, check long, other long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
+    return docs.mapInArrow(tidied(run), "kind int, doc_id long, n_shingles long, fp long, check long, other long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
 
 
 def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_names: frozenset, bits: int, turn: int = 0, turns: int = 1) -> DataFrame:
@@ -155,7 +155,7 @@ def _blobs(docs: DataFrame, width: int, buckets: int, hot: np.ndarray, shared_na
         if sets:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, hot boolean, fps binary, counts binary, low binary, high binary")
+    return docs.mapInArrow(tidied(run), "bucket int, hot boolean, fps binary, counts binary, low binary, high binary")
 
 
 def _entries_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def _candidates(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["fp", "n", "own", "prefix", "seed", "tokens"])
 
     grouped = shared.groupBy("fp").agg(F.collect_list("entries").alias("parts")).join(sizes, "fp")
-    return grouped.select("fp", "n", "parts").mapInArrow(run, "fp long, n long, own long, prefix array<long>, seed long, tokens binary")
+    return grouped.select("fp", "n", "parts").mapInArrow(tidied(run), "fp long, n long, own long, prefix array<long>, seed long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, common long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tidied(run), "a long, b long, na long, nb long, common long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare, save
+from ._spark import prepare, save, tidied
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that are units of their own, by length.
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     # A word's surroundings are at most as many as there are toxic training rows.
     merged = [F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")]
-    words = save(once.mapInArrow(count, schema).groupBy("unit").agg(*merged), "toxic-words")
+    words = save(once.mapInArrow(tidied(count), schema).groupBy("unit").agg(*merged), "toxic-words")
     # In the counts of its beginnings a word weighs as the logarithm of its documents does, clean and toxic alike:
     # no word, however frequent, speaks for all that begin like it, and a neutral one leaves them neutral. Decimals
     # make sums that don't depend on their order.
@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 scores.append(own if own > 1 else DRIFT)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["unit", "s"])
 
-    settled_words = {r["unit"]: r["s"] for r in whole.select("unit", "clean", "toxic", "near").mapInArrow(settled, "unit string, s double").collect()}
+    settled_words = {r["unit"]: r["s"] for r in whole.select("unit", "clean", "toxic", "near").mapInArrow(tidied(settled), "unit string, s double").collect()}
     model, unseen = Model(found | settled_words, documents), Model(found, documents)
 
     def scored(batches):
@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     # The clean training texts, scored as new text is, whose words are not settled: at most max_labelled pairs of
     # numbers come back.
-    law = save(once.where("toxic = 0").select("text").mapInArrow(scored, "n double, s double, hit boolean"), "toxic-law")
+    law = save(once.where("toxic = 0").select("text").mapInArrow(tidied(scored), "n double, s double, hit boolean"), "toxic-law")
     hits = {r["s"]: r["n"] for r in law.where("hit").groupBy("s").agg(F.sum("n").alias("n")).collect()}
     model.decay, model.factor = extreme_value_law(hits, sorted((r["n"], r["s"]) for r in law.where("NOT hit AND n > 0").select("n", "s").collect()), [s for s in found.values() if s > 0])
 
@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = [max(0.0, model.together([model.surprise(z, len(s)) for *_, z in segments(s)])) for s in own if s and max(s) > 0]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64())], ["x"])
 
-    mean = once.where("toxic = 1").select("text").mapInArrow(surprising, "x double").agg(F.avg(F.col("x").cast("decimal(20,6)"))).first()[0]
+    mean = once.where("toxic = 1").select("text").mapInArrow(tidied(surprising), "x double").agg(F.avg(F.col("x").cast("decimal(20,6)"))).first()[0]
     model.reach = max(2.0, float(mean or 0))
     return model
 
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             t = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("surprise", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in judged], pa.float64()), pa.array(spans, t)], ["doc_id", "score", "segments"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id long, score double, segments {kind}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(tidied(run), f"doc_id long, score double, segments {kind}")
 
 
 def clean_rows(docs: DataFrame, model: Model, *, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -308,7 +308,7 @@ def clean_rows(docs: DataFrame, model: Model, *, text_col: str = "text", limit:
             keep = [model.judge(t or "")[0] < limit for t in batch.column(name).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
