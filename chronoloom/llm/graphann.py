@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._shards import dealt, first_of_each, matrix, over_shards, placed, shard_count, usable
-from ._spark import prepare
+from ._shards import by_length, counted, dealt, matrix, over_shards, placed, repeated, shard_count, usable
+from ._spark import prepare, save
 
 _FAR = np.float32(3e38)
 #: Nodes that a query's beam holds. On a full shard of 65,536 Gaussian rows of 64 components 160 found 0.84 of the 10 nearest, 448 0.93 and 640 0.946.
@@ -22,11 +22,14 @@ SEARCH_BEAM = 640
 
 
 class Graph:
-    def __init__(self, ids: np.ndarray, points: np.ndarray, *, degree: int = 32, beam: int = 64, alpha: float = 1.2, batch: int = 512):
+    """Vectors, linked; copies says how many rows an id and its vector stand for (1 each by default)."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, copies: np.ndarray | None = None, *, degree: int = 32, beam: int = 64, alpha: float = 1.2, batch: int = 512):
         # Equal vectors are one node: pruning would leave them nothing but each other.
         points, node = np.unique(points, axis=0, return_inverse=True)
         order = np.lexsort((ids, node))
         self.owners, self.exact = ids[order], points
+        self.copies = np.ones(len(ids), np.int64) if copies is None else copies[order]
         self.first = np.concatenate((np.searchsorted(node[order], np.arange(len(points))), [len(ids)]))
         # Scaled by the largest component, so that squares stay within single precision.
         self.scale = float(np.abs(points).max()) or 1.0
@@ -148,7 +151,7 @@ class Graph:
         self.count[rest] += size[np.isin(node, rest)].astype(np.int32)
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, width: int) -> list[tuple[list[int], list[float]]]:
-        """Ids and exact distances of the k nearest found, the query's own id left out."""
+        """Ids and exact distances of the k nearest found, the query's own row (its id and vector, once) left out."""
         out = []
         for a in range(0, len(q), 256):
             ids, _ = self.beam((q[a : a + 256] / self.scale).astype(np.float32), max(width, k + 1))
@@ -156,10 +159,12 @@ class Graph:
                 row = row[row >= 0]
                 d = np.sqrt(((self.exact[row] - q[a + i]) ** 2).sum(1))
                 # Of equal vectors the k + 1 smallest ids suffice for k places beside the query's own.
-                have = [self.owners[self.first[r] : min(self.first[r + 1], self.first[r] + k + 1)] for r in row.tolist()]
-                d, have = np.repeat(d, [len(h) for h in have]), np.concatenate(have)
-                other = have != own[a + i]
-                d, have = d[other], have[other]
+                spans = [slice(self.first[r], min(self.first[r + 1], self.first[r] + k + 1)) for r in row.tolist()]
+                width_of = [s.stop - s.start for s in spans]
+                have, times = (np.concatenate([v[s] for s in spans]) for v in (self.owners, self.copies))
+                itself = np.repeat((self.exact[row] == q[a + i]).all(1), width_of) & (have == own[a + i])
+                times = np.minimum(times - itself, k)
+                d, have = np.repeat(np.repeat(d, width_of), times), np.repeat(have, times)
                 best = np.lexsort((have, d))[:k]
                 out.append((have[best].tolist(), d[best].tolist()))
         return out
@@ -168,18 +173,20 @@ class Graph:
 def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, degree: int = 32, beam: int = 64, alpha: float = 1.2, search_beam: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found (Euclidean) of every row whose id is a multiple of `every`.
 
-    Null ids and unusable or zero vectors take no part; a repeated id counts once (its smallest vector);
-    vectors meet only vectors of their own length; ties go to the smaller id. Every other row is indexed. An empty
-    table, or a query without candidates, gives no rows; further columns don't matter.
+    Null ids and unusable or zero vectors take no part; vectors meet only vectors of their own length; ties go to
+    the smaller id. Every other row is indexed: rows that repeat an id, or an id and its vector, are each a candidate of
+    all others and each ask on their own. An empty table, or a query without candidates, gives no rows; further columns
+    don't matter.
     """
     spark = vectors.sparkSession
     prepare(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     v = v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
+    v = save(counted(v), "graph-rows")
     shards = shard_count(v.count())
 
-    def build(ids, vecs):
-        return {d: Graph(i, x, degree=degree, beam=beam, alpha=alpha) for d, (i, x) in first_of_each(ids, vecs).items()}
+    def build(ids, vecs, copies):
+        return {d: Graph(i, x, n, degree=degree, beam=beam, alpha=alpha) for d, (i, x, n) in by_length(ids, vecs, copies).items()}
 
     def run(batches):
         kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
@@ -194,14 +201,16 @@ def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, degree: int =
                     for i, f in zip(mine, graph.search(np.array([q[i] for i in mine]), qid[mine], k, search_beam)):
                         hits[i] = f
             out = pa.array([[{"vec_id": a, "score": s} for a, s in zip(*h)] for h in hits], kind)
-            return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), out], ["query_id", "q", "hits"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("asked", "vec_id", "many")), out], ["asked", "query_id", "many", "hits"])
 
         yield from over_shards(batches, build, rows)
 
-    # A repeated id asks once, with the vector that counts.
-    asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.size("embedding").alias("n"), "embedding")).alias("m"))
-    asked = asked.select("vec_id", F.col("m.embedding").alias("embedding"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"))
-    stream = dealt(placed(v, shards).withColumn("kind", F.lit(0)).unionByName(asked), shards)
-    found = stream.mapInArrow(run, "query_id long, q array<double>, hits array<struct<vec_id:long,score:double>>").select("query_id", F.inline("hits"))
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # Numbered once and written, so that all shards know a query by the same number.
+    asked = save(v.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.col("copies").alias("many"), F.monotonically_increasing_id().alias("asked")), "graph-queries")
+    asked = asked.withColumns({"copies": F.lit(1).cast("long"), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "kind": F.lit(1)})
+    none = F.lit(None).cast("long")
+    stream = dealt(placed(v, shards).withColumns({"kind": F.lit(0), "many": none, "asked": none}).unionByName(asked), shards)
+    found = stream.mapInArrow(run, "asked long, query_id long, many long, hits array<struct<vec_id:long,score:double>>").select("asked", "query_id", "many", F.inline("hits"))
+    best = W.partitionBy("asked").orderBy("score", "vec_id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return repeated(found, "many").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._shards import dealt, first_of_each, matrix, over_shards, placed, shard_count, usable
+from ._shards import by_length, counted, dealt, matrix, over_shards, placed, repeated, shard_count, usable
 from ._spark import prepare, save
 
 #: Points of a leaf at most.
@@ -23,9 +23,9 @@ LEAF = 128
 
 
 class KDTree:
-    """Points with integer components, for exact inner products."""
+    """Points with integer components, for exact inner products; copies says how many rows a point stands for (1 each by default)."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, copies: np.ndarray | None = None):
         order = np.arange(len(ids))
         self.lo, self.hi, self.left, self.right, self.begin, self.end = [], [], [], [], [], []
         stack = [(0, len(ids), None, False)]
@@ -47,13 +47,15 @@ class KDTree:
                 axis, mid = int(spread.argmax()), (z - a) // 2
                 order[a:z] = here[np.argpartition(block[:, axis], mid)]
                 stack += [(a, a + mid, node, False), (a + mid, z, node, True)]
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.points, self.rows = ids[order], points[order], order
+        self.copies = np.ones(len(ids), np.int64) if copies is None else copies[order]
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
         self.largest = float(np.abs(points).max()) if len(points) else 0.0
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[list[int], list[int]]]:
         """For each query the ids and scores of its k best, none below its floor (NaN: no floor).
 
+        own is the query's own row among those the tree was built of (-1: it is in none), which is no candidate.
         Products and their sums below 2^53 are exact in float64; beyond that Python's integers do the work.
         Scores beyond 64 bits come back as the nearest 64-bit integer.
         """
@@ -83,14 +85,15 @@ class KDTree:
                         heapq.heappush(heap, (-reach, child))
                 continue
             a, z = self.begin[node], self.end[node]
-            ids = self.ids[a:z]
+            ids, times = self.ids[a:z], np.minimum(self.copies[a:z] - (self.rows[a:z] == own), k)
             if exact:
                 score = self.points[a:z] @ q
-                keep = np.flatnonzero((score >= kth) & (ids != own))
+                keep = np.flatnonzero((score >= kth) & (times > 0))
+                keep = np.repeat(keep, times[keep])
                 new = list(zip((-score[keep]).astype(np.int64).tolist(), ids[keep].tolist()))
             else:
                 qi = [int(x) for x in q]
-                new = [(-sum(int(x) * y for x, y in zip(p, qi)), i) for p, i in zip(self.points[a:z].tolist(), ids.tolist()) if i != own]
+                new = [(-sum(int(x) * y for x, y in zip(p, qi)), i) for p, i, n in zip(self.points[a:z].tolist(), ids.tolist(), times.tolist()) for _ in range(n)]
             if new:
                 best = heapq.nsmallest(k, best + new)
                 if len(best) == k:
@@ -98,9 +101,9 @@ class KDTree:
         return [i for _, i in best], [max(-(2**63), min(2**63 - 1, -s)) for s, _ in best]
 
 
-def _build(ids, vectors):
-    by_length = first_of_each(ids, [np.floor(256.0 * v) for v in vectors])
-    return {d: (KDTree(i, x), i, x) for d, (i, x) in by_length.items()}
+def _build(ids, vectors, copies):
+    parts = by_length(ids, [np.floor(256.0 * v) for v in vectors], copies)
+    return {d: (KDTree(i, x, copies=n), i, x, n) for d, (i, x, n) in parts.items()}
 
 
 def _hits(rows: list) -> pa.Array:
@@ -111,57 +114,62 @@ def _hits(rows: list) -> pa.Array:
 def top_inner_products(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of every row whose id is a multiple of `every`.
 
-    Components become floor(256 * x). Null ids and unusable vectors, also those with a component beyond 7e305, take no part; a repeated id counts once
-    (its smallest vector); vectors meet only vectors of their own length; ties go to the smaller id. An empty
-    table, or a query without candidates, gives no rows.
+    Components become floor(256 * x). Null ids and unusable vectors, also those with a component beyond 7e305, take no part; vectors
+    meet only vectors of their own length; ties go to the smaller id. Rows that repeat an id, or an id and its vector, all count:
+    each is a candidate of all others, and each asks on its own. An empty table, or a query without candidates, gives no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     # Where 256 * x overflows, the component has no finite value.
     v = v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & ~F.exists("embedding", lambda x: F.abs(x) > 7e305))
+    v = save(counted(v), "topk-rows")
     shards = shard_count(v.count())
     v = placed(v, shards)
 
     def at_home(batches):
         def rows(index, shard, batch):
-            ids, vecs, hits, kth = [], [], [], []
-            for tree, own, x in index.values():
+            asked, ids, many, vecs, hits, kth = [], [], [], [], [], []
+            for tree, own, x, copies in index.values():
                 mine = np.flatnonzero(own % every == 0)
-                found = tree.search(x[mine], own[mine], k, np.full(len(mine), np.nan))
+                found = tree.search(x[mine], mine, k, np.full(len(mine), np.nan))
                 for i, f in zip(mine, found):
+                    asked.append((shard << 40) + len(asked))
                     ids.append(int(own[i]))
+                    many.append(int(copies[i]))
                     vecs.append(x[i].tolist())
                     hits.append(f)
                     kth.append(f[1][-1] if len(f[1]) == k else None)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.list_(pa.float64())), pa.array([shard] * len(ids), pa.int32()), pa.array(kth, pa.int64()), _hits(hits)], ["query_id", "q", "home", "kth", "hits"])
+            return pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(ids, pa.int64()), pa.array(many, pa.int64()), pa.array(vecs, pa.list_(pa.float64())), pa.array([shard] * len(ids), pa.int32()), pa.array(kth, pa.int64()), _hits(hits)], ["asked", "query_id", "many", "q", "home", "kth", "hits"])
 
         # One closing row per shard asks for the search of its own queries.
         yield from over_shards(batches, _build, rows)
 
-    close = spark.range(shards).select(F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), F.col("id").cast("int").alias("shard"), F.lit(1).alias("kind"))
+    close = spark.range(shards).select(F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), F.lit(1).cast("long").alias("copies"), F.col("id").cast("int").alias("shard"), F.lit(1).alias("kind"))
     stream = dealt(v.withColumn("kind", F.lit(0)).unionByName(close), shards)
-    home = save(stream.mapInArrow(at_home, "query_id long, q array<double>, home int, kth long, hits array<struct<vec_id:long,score:long>>"), "topk-home")
+    home = save(stream.mapInArrow(at_home, "asked long, query_id long, many long, q array<double>, home int, kth long, hits array<struct<vec_id:long,score:long>>"), "topk-home")
 
     def elsewhere(batches):
         def rows(index, shard, batch):
-            qid = batch.column("vec_id").to_numpy(zero_copy_only=False)
             floors = np.array([np.nan if x is None else float(x) for x in batch.column("kth").to_pylist()])
             q = matrix(batch.column("embedding"))
             hits = [([], [])] * len(q)
-            for d, (tree, _, _) in index.items():
+            for d, (tree, *_) in index.items():
                 mine = [i for i in range(len(q)) if len(q[i]) == d]
                 if mine:
-                    for i, f in zip(mine, tree.search(np.array([q[i] for i in mine]), qid[mine], k, floors[mine])):
+                    for i, f in zip(mine, tree.search(np.array([q[i] for i in mine]), np.full(len(mine), -1), k, floors[mine])):
                         hits[i] = f
-            return pa.RecordBatch.from_arrays([batch.column("vec_id"), _hits(hits)], ["query_id", "hits"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("asked", "vec_id", "many")), _hits(hits)], ["asked", "query_id", "many", "hits"])
 
         yield from over_shards(batches, _build, rows)
 
+    # A row's own shard is done: in the others every row is a candidate.
     asked = home.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
-    asked = asked.select(F.col("query_id").alias("vec_id"), F.col("q").alias("embedding"), "shard", F.lit(1).alias("kind"), "kth")
-    stream = dealt(v.withColumns({"kind": F.lit(0), "kth": F.lit(None).cast("long")}).unionByName(asked), shards)
-    far = stream.mapInArrow(elsewhere, "query_id long, hits array<struct<vec_id:long,score:long>>")
-    found = home.select("query_id", "hits").unionByName(far).select("query_id", F.inline("hits"))
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = asked.select(F.col("query_id").alias("vec_id"), F.col("q").alias("embedding"), F.lit(1).cast("long").alias("copies"), "shard", F.lit(1).alias("kind"), "kth", "asked", "many")
+    none = F.lit(None).cast("long")
+    stream = dealt(v.withColumns({"kind": F.lit(0), "kth": none, "asked": none, "many": none}).unionByName(asked), shards)
+    far = stream.mapInArrow(elsewhere, "asked long, query_id long, many long, hits array<struct<vec_id:long,score:long>>")
+    found = home.select("asked", "query_id", "many", "hits").unionByName(far).select("asked", "query_id", "many", F.inline("hits"))
+    best = W.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return repeated(found, "many").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,5 +1,7 @@
 """Top-k and graph search against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,18 +13,16 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute_topk(rows, k, every):
-    best = {}
+    good = []
     for i, v in rows:
         if i is None or v is None or not len(v) or any(x is None or not np.isfinite(x) or abs(x) > 7e305 for x in v):
             continue
-        w = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-        if i not in best or (len(w), w) < (len(best[i]), best[i]):
-            best[i] = w
-    out = set()
-    for q, a in best.items():
+        good.append((i, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
+    out = Counter()
+    for at, (q, a) in enumerate(good):
         if q % every == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in best.items() if i != q and len(b) == len(a))[:k]
-            out |= {(q, r + 1, i, -score) for r, (score, i) in enumerate(s)}
+            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, (i, b) in enumerate(good) if j != at and len(b) == len(a))[:k]
+            out.update((q, r + 1, i, -score) for r, (score, i) in enumerate(s))
     return out
 
 
@@ -32,7 +32,7 @@ def test_topk_with_odd_rows(spark):
     rows += [(None, [1.0] * 8), (3000, None), (3050, []), (3100, [1.0, None] + [0.0] * 6), (3150, [float("nan")] * 8), (3200, [float("inf")] * 8)]
     rows += [(50, rows[50][1]), (100, rows[7][1]), (5000, [0.5, 0.25]), (5050, [0.5, -0.25]), (7, rows[7][1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
-    got = {tuple(r) for r in top_inner_products(df, k=5, every=50).collect()}
+    got = Counter(tuple(r) for r in top_inner_products(df, k=5, every=50).collect())
     assert got == brute_topk(rows, 5, 50)
     assert top_inner_products(df.where("vec_id < 0"), k=5).count() == 0
 
@@ -40,10 +40,25 @@ def test_topk_with_odd_rows(spark):
 def test_topk_ties_and_copies(spark):
     rows = [(i, [1.0, 0.0]) for i in range(120)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA).withColumn("score", F.lit(1))
-    got = {tuple(r) for r in top_inner_products(df, k=5, every=50).collect()}
+    got = Counter(tuple(r) for r in top_inner_products(df, k=5, every=50).collect())
     assert got == brute_topk(rows, 5, 50)
 
 
+def test_rows_of_one_id_all_count(spark):
+    # Two thirds of the rows share an id: some with vectors of their own, and 5,000 the same one.
+    rng = np.random.default_rng(5)
+    rows = [(100, [1.0, 0.5, 0.25])] * 5000 + [(100, rng.standard_normal(3).round(2).tolist()) for _ in range(20)] + [(i, rng.standard_normal(3).round(2).tolist()) for i in range(1, 90)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    few = rows[:8] + rows[5000:]  # more copies than places change nothing but how often they ask
+    want = brute_topk(few, 5, 50)
+    got = Counter(tuple(r) for r in top_inner_products(df, k=5, every=50).collect())
+    assert set(got) == set(want) and sum(got.values()) == 5 * (5020 + 1)
+    near = nearest(df, k=10, every=100).collect()
+    assert len(near) == 10 * 5020 and sum(r["score"] == 0 for r in near) == 50_000
+    pair = spark.createDataFrame([(1, [0.1, 0.2], 0), (1, [0.9, 0.9], 0), (50, [1.0, 1.0], 0)], SCHEMA)
+    assert [tuple(r)[:3] for r in top_inner_products(pair, k=5, every=50).orderBy("rank").collect()] == [(50, 1, 1), (50, 2, 1)]
+
+
 def test_topk_of_huge_doubles(spark):
     rows = [(0, [1e306, 1.0]), (50, [7e305, 1.0]), (51, [-2.0, 0.5]), (52, [1e-300, 3.0])]
     got = top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=50).collect()
@@ -109,16 +124,12 @@ def test_nearest_with_odd_rows(spark):
     rows = [(i, rng.standard_normal(4).round(1).tolist()) for i in range(300)]
     rows += [(None, [1.0] * 4), (300, None), (400, []), (500, [1.0, None, 0.0, 0.0]), (600, [1.0, 2.0]), (601, [1.5, 2.0]), (100, rows[100][1]), (200, [9.0] * 4), (5, rows[6][1])]
     df = spark.createDataFrame([(i, v, -1.0, 7) for i, v in rows], "vec_id long, embedding array<float>, score double, shard int")
-    best = {}
-    for i, v in rows:
-        if i is not None and v and None not in v and any(v):
-            v = [float(np.float32(x)) for x in v]
-            best[i] = min(best.get(i, v), v, key=lambda x: (len(x), x))
-    want = set()
-    for q, a in best.items():
+    good = [(i, [float(np.float32(x)) for x in v]) for i, v in rows if i is not None and v and None not in v and any(v)]
+    want = Counter()
+    for at, (q, a) in enumerate(good):
         if q % 100 == 0:
-            d = sorted((float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())), i) for i, b in best.items() if i != q and len(b) == len(a))[:10]
-            want |= {(q, k + 1, i) for k, (_, i) in enumerate(d)}
-    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, k=10, every=100).collect()}
+            d = sorted((float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())), i) for j, (i, b) in enumerate(good) if j != at and len(b) == len(a))[:10]
+            want.update((q, k + 1, i) for k, (_, i) in enumerate(d))
+    got = Counter((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, k=10, every=100).collect())
     assert got == want
     assert nearest(df.where("vec_id > 9000")).count() == 0 and nearest(df.where("vec_id = 600")).count() == 0
