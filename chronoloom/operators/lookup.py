@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, running
+from .ordered import CHUNK, running, unused
 
 
 def block_address(block: Column, header_bytes: int, stride: int) -> Column:
@@ -80,4 +80,6 @@ def with_siblings(files: DataFrame, pruned: DataFrame) -> DataFrame:
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
+    """The first n rows of each group; Spark keeps n of each before it shuffles."""
+    (nth,) = unused(df.columns, "nth")
+    return df.withColumn(nth, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(nth) <= n).drop(nth)

@@ -6,6 +6,8 @@ carries what the chunks before it add. Only summaries meet in one task per serie
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -31,29 +33,35 @@ def running_all(df: DataFrame, specs: dict[str, tuple[str, Column, bool]], *, or
 
     what: the running max, min, sum, or last non-null of value over `order`; before: up to the row before
     instead of the row itself. order[0] must be an integer key that chunks can be cut by, unless chunk_by gives
-    another non-decreasing one; the rest of `order` breaks ties.
+    another non-decreasing one; the rest of `order` breaks ties. Every row stays, those with a null key or order key too.
     """
     keys, names = list(keys), list(specs)
-    df = df.withColumns({f"__v{i}": specs[n][1] for i, n in enumerate(names)} | {"__chunk": F.floor((F.col(order[0]) if chunk_by is None else chunk_by) / chunk)})
-    prior = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    columns = [c for c in df.columns if c not in names]  # a name that the input has is replaced
+    part, *own = unused([*df.columns, *names], "chunk", *[f"{k}{i}" for k in ("value", "sum", "carry", "local") for i in range(len(names))])
+    v, s, c, here = (own[k * len(names) : (k + 1) * len(names)] for k in range(4))
+    df = df.withColumns({v[i]: specs[n][1] for i, n in enumerate(names)} | {part: F.floor((F.col(order[0]) if chunk_by is None else chunk_by) / chunk)})
+    prior = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     sums, carries, local, both = [], [], {}, {}
     for i, name in enumerate(names):
         what, _, before = specs[name]
-        own = W.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-        v, s, c, here = f"__v{i}", f"__s{i}", f"__c{i}", f"__l{i}"
+        rows = W.partitionBy(*keys, part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
         if what == "last":
-            sums.append(F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(s))
-            carries.append(F.last(s, ignorenulls=True).over(prior).alias(c))
-            local[here] = F.last(v, ignorenulls=True).over(own)
-            both[name] = F.coalesce(F.col(here), F.col(c))
+            sums.append(F.max_by(v[i], F.when(F.col(v[i]).isNotNull(), F.struct(*order))).alias(s[i]))
+            carries.append(F.last(s[i], ignorenulls=True).over(prior).alias(c[i]))
+            local[here[i]] = F.last(v[i], ignorenulls=True).over(rows)
+            both[name] = F.coalesce(F.col(here[i]), F.col(c[i]))
         else:
-            sums.append(_AGG[what](v).alias(s))
-            carries.append(_AGG[what](s).over(prior).alias(c))
-            local[here] = _AGG[what](v).over(own)
-            both[name] = F.coalesce(F.col(here), F.lit(0)) + F.coalesce(F.col(c), F.lit(0)) if what == "sum" else (F.greatest if what == "max" else F.least)(F.col(here), F.col(c))
-    summary = df.groupBy(*keys, "__chunk").agg(*sums).select(*keys, "__chunk", *carries)
-    out = df.withColumns(local).join(summary, [*keys, "__chunk"]).withColumns(both)
-    return out.drop("__chunk", *[f"__{k}{i}" for k in "vcl" for i in range(len(names))])
+            sums.append(_AGG[what](v[i]).alias(s[i]))
+            carries.append(_AGG[what](s[i]).over(prior).alias(c[i]))
+            local[here[i]] = _AGG[what](v[i]).over(rows)
+            both[name] = F.coalesce(F.col(here[i]), F.lit(0)) + F.coalesce(F.col(c[i]), F.lit(0)) if what == "sum" else (F.greatest if what == "max" else F.least)(F.col(here[i]), F.col(c[i]))
+    # A null key is a series of its own and rows without an order key come first, so nulls must meet.
+    summary = df.groupBy(*keys, part).agg(*sums).select(*keys, part, *carries)
+    same = [*keys, part]
+    x, y = df.withColumns(local).alias("x"), summary.alias("y")
+    on = reduce(lambda p, q: p & q, [F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`{k}`")) for k in same])
+    out = x.join(y, on).select("x.*", *[F.col(f"y.`{k}`") for k in c]).withColumns(both)
+    return out.select(*[F.col(f"`{k}`") for k in [*columns, *names]])
 
 
 def running(df: DataFrame, what: str, value: Column, name: str, *, before: bool = False, **where) -> DataFrame:

@@ -75,10 +75,15 @@ def level_changes(levels: DataFrame, *, order=("seq",), keys=(), chunk: int = CH
     return p.where(F.col("level") != F.coalesce(was, F.lit("NORMAL"))).drop(was)
 
 
-def playback_segments(commands: DataFrame, *, rate: float, stop_us: int) -> DataFrame:
-    """Commands(at_us, playing, speed) as segments up to the next command: emitted and expected frames, and the allowed deviation."""
-    order = W.orderBy("at_us")  # a command log is typed by hand
-    c = commands.withColumn("until_us", F.coalesce(F.lead("at_us").over(order), F.lit(stop_us))).where("playing")
+def playback_segments(commands: DataFrame, *, rate: float, stop_us: int, chunk: int = 3_600_000_000) -> DataFrame:
+    """Commands(at_us, playing, speed) as segments up to the next command: emitted and expected frames, and the allowed deviation.
+
+    Of commands at one time, those that stop come first, then slower ones; all but the last last for no time.
+    """
+    # Read backwards, the next command is the last one before.
+    c = commands.select("at_us", "playing", F.col("speed").cast("double").alias("speed"), (-F.col("at_us")).alias("back"), (~F.col("playing")).alias("stops"), (-F.col("speed")).alias("slow"))
+    c = previous(c, F.col("at_us"), "until_us", order=["back", "stops", "slow"], chunk=chunk)
+    c = c.withColumn("until_us", F.coalesce("until_us", F.lit(stop_us))).where("playing")
     c = c.withColumn("elapsed_us", F.col("until_us") - F.col("at_us"))
     return c.withColumns({"expected": F.floor(F.col("elapsed_us") / F.lit(1e6) * F.lit(float(rate)) * F.col("speed")).cast("long"), "bound": frames_per_tick(F.lit(float(rate)) * F.col("speed"), F.lit(5_000_000))}).select("at_us", "until_us", "speed", "elapsed_us", "expected", "bound")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, previous, running, running_all
+from .ordered import CHUNK, previous, running, running_all, unused
 
 
 def expected_next(blocks: DataFrame, frames_per_block: int | Column, *, keys=(), order=("block_index",), chunk: int = CHUNK) -> DataFrame:
@@ -19,11 +19,12 @@ def expected_next(blocks: DataFrame, frames_per_block: int | Column, *, keys=(),
     per = F.lit(frames_per_block) if isinstance(frames_per_block, int) else frames_per_block
     where = {"order": order, "keys": keys, "chunk": chunk}
     nominal = F.when(F.col("ok"), F.lit(0)).otherwise(per).cast("long")
-    b = running_all(blocks, {"__s": ("sum", nominal, False), "__s0": ("sum", nominal, True)}, **where)
-    end = F.when(F.col("ok"), F.col("start_frame") + F.col("frame_count") - F.col("__s"))
-    b = running_all(b, {"__m": ("max", end, False), "__m0": ("max", end, True)}, **where)
+    sums, sums0, most, most0 = unused(blocks.columns, "sums", "sums0", "most", "most0")
+    b = running_all(blocks, {sums: ("sum", nominal, False), sums0: ("sum", nominal, True)}, **where)
+    end = F.when(F.col("ok"), F.col("start_frame") + F.col("frame_count") - F.col(sums))
+    b = running_all(b, {most: ("max", end, False), most0: ("max", end, True)}, **where)
     e = lambda s, m: (F.col(s) + F.greatest(F.lit(0), F.coalesce(m, F.lit(0)))).cast("long")
-    return b.withColumns({"after": e("__s", "__m"), "expected": e("__s0", "__m0")}).drop("__s", "__s0", "__m", "__m0")
+    return b.withColumns({"after": e(sums, most), "expected": e(sums0, most0)}).drop(sums, sums0, most, most0)
 
 
 def classified(blocks: DataFrame) -> DataFrame:
@@ -64,18 +65,20 @@ def wire_statistics(sequenced: DataFrame) -> DataFrame:
 def gaps(frames: DataFrame, frame: str = "frame", *, keys=(), start: int = 0, chunk: int = CHUNK) -> DataFrame:
     """start_frame, frame_count of every run of missing frames before a recorded one, counted from `start`."""
     f = frames.select(*keys, F.col(frame).cast("long").alias("frame"))
-    f = previous(f, F.col("frame") + 1, "__next", order=["frame"], keys=list(keys), chunk=chunk)
-    f = f.withColumn("start_frame", F.coalesce("__next", F.lit(start)).cast("long"))
+    (after,) = unused(f.columns, "after")
+    f = previous(f, F.col("frame") + 1, after, order=["frame"], keys=list(keys), chunk=chunk)
+    f = f.withColumn("start_frame", F.coalesce(after, F.lit(start)).cast("long"))
     return f.where(F.col("frame") > F.col("start_frame")).select(*keys, "start_frame", (F.col("frame") - F.col("start_frame")).alias("frame_count"))
 
 
 def segments(frames: DataFrame, frame: str = "frame", *, keys=(), chunk: int = CHUNK) -> DataFrame:
     """Adds segment (0, 1, ...) and segment_start: maximal runs of consecutive frames."""
     keys = list(keys)
-    f = previous(frames, F.col(frame), "__prev", order=[frame], keys=keys, chunk=chunk)
-    begins = F.col("__prev").isNull() | (F.col(frame) > F.col("__prev") + 1)
-    f = running_all(f.withColumn("__new", begins), {"segment": ("sum", F.col("__new").cast("long"), False), "segment_start": ("last", F.when(F.col("__new"), F.col(frame)), False)}, order=[frame], keys=keys, chunk=chunk)
-    return f.withColumn("segment", F.col("segment") - 1).drop("__prev", "__new")
+    before, new = unused([*frames.columns, "segment", "segment_start"], "before", "new")
+    f = previous(frames, F.col(frame), before, order=[frame], keys=keys, chunk=chunk)
+    begins = F.col(before).isNull() | (F.col(frame) > F.col(before) + 1)
+    f = running_all(f.withColumn(new, begins), {"segment": ("sum", F.col(new).cast("long"), False), "segment_start": ("last", F.when(F.col(new), F.col(frame)), False)}, order=[frame], keys=keys, chunk=chunk)
+    return f.withColumn("segment", F.col("segment") - 1).drop(before, new)
 
 
 def reblocked(frames: DataFrame, frames_per_block: int, frame: str = "frame", *, keys=(), chunk: int = CHUNK) -> DataFrame:
@@ -84,13 +87,14 @@ def reblocked(frames: DataFrame, frames_per_block: int, frame: str = "frame", *,
     Only the last block of a segment can be short.
     """
     keys = list(keys)
-    s = segments(frames, frame, keys=keys, chunk=chunk)
-    s = s.withColumn("__part", F.floor((F.col(frame) - F.col("segment_start")) / frames_per_block))
-    b = s.groupBy(*keys, "segment", "segment_start", "__part").agg(F.min(frame).alias("start_frame"), F.count("*").alias("frame_count"))
+    part, end, nth = unused([*keys, "segment", "segment_start", "start_frame", "frame_count", "end_frame", frame], "part", "end", "nth")
+    s = segments(frames.select(*keys, frame), frame, keys=keys, chunk=chunk)
+    s = s.withColumn(part, F.floor((F.col(frame) - F.col("segment_start")) / frames_per_block))
+    b = s.groupBy(*keys, "segment", "segment_start", part).agg(F.min(frame).alias("start_frame"), F.count("*").alias("frame_count"))
     b = b.withColumn("end_frame", F.col("start_frame") + F.col("frame_count"))
-    b = running_all(b, {"__end": ("last", F.col("end_frame"), True), "__nth": ("sum", F.lit(1).cast("long"), False)}, order=["start_frame"], keys=keys, chunk=chunk)
-    gap = F.when(F.col("__part") == 0, F.col("start_frame") - F.coalesce("__end", F.lit(0))).otherwise(F.lit(0))
-    return b.select(*keys, (F.col("__nth") - 1).alias("block_index"), "start_frame", "frame_count", gap.cast("long").alias("preceding_gap"), (F.col("frame_count") < frames_per_block).alias("short"))
+    b = running_all(b, {end: ("last", F.col("end_frame"), True), nth: ("sum", F.lit(1).cast("long"), False)}, order=["start_frame"], keys=keys, chunk=chunk)
+    gap = F.when(F.col(part) == 0, F.col("start_frame") - F.coalesce(end, F.lit(0))).otherwise(F.lit(0))
+    return b.select(*keys, (F.col(nth) - 1).alias("block_index"), "start_frame", "frame_count", gap.cast("long").alias("preceding_gap"), (F.col("frame_count") < frames_per_block).alias("short"))
 
 
 def resident(frames: DataFrame, frames_per_block: int, frame: str = "frame", *, keys=(), chunk: int = CHUNK) -> DataFrame:
@@ -116,10 +120,17 @@ def wire_totals(sequenced: DataFrame, statistics: DataFrame) -> DataFrame:
     return statistics.select("stream", "corrupt_bytes", "crc_failures").join(own, "stream", "left").select("stream", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "corrupt_bytes", "crc_failures")
 
 
-def session_runs(events: DataFrame, micros: Column, gap_micros: int, *, keys) -> DataFrame:
-    """Sessions of events per key: runs whose neighbours lie at most gap_micros apart. Columns: keys, begin, end, events."""
-    e = events.select(*keys, micros.alias("at"))
-    order = W.partitionBy(*keys).orderBy("at")
-    e = e.withColumn("__new", F.coalesce((F.col("at") - F.lag("at").over(order) > gap_micros).cast("int"), F.lit(0)))
-    e = e.withColumn("__session", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return e.groupBy(*keys, "__session").agg(F.min("at").alias("begin_us"), F.max("at").alias("end_us"), F.count("*").alias("events")).drop("__session")
+def session_runs(events: DataFrame, micros: Column, gap_micros: int, *, keys, chunk_micros: int = 86_400_000_000) -> DataFrame:
+    """Sessions of events per key: runs whose neighbours lie at most gap_micros apart. Columns: keys, begin, end, events.
+
+    Chunks of time are sorted apart, so that no task gets all events of a frequent key; events without a time belong to none.
+    """
+    keys = list(keys)
+    at, before, new, session = unused([*keys, "begin_us", "end_us", "events"], "at", "before", "new", "session")
+    where = {"order": [at], "keys": keys, "chunk": chunk_micros}
+    # Events of one time are one row: their order among each other means nothing.
+    e = events.select(*keys, micros.alias(at)).where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.count("*").alias("events"))
+    e = previous(e, F.col(at), before, **where)
+    e = e.withColumn(new, F.coalesce((F.col(at) - F.col(before) > gap_micros).cast("long"), F.lit(0)))
+    e = running(e, "sum", F.col(new), session, **where)
+    return e.groupBy(*keys, session).agg(F.min(at).alias("begin_us"), F.max(at).alias("end_us"), F.sum("events").alias("events")).drop(session)

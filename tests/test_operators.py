@@ -138,3 +138,37 @@ def test_playback_positions(spark):
     t = spark.createDataFrame([(0,), (1_500_000,), (2_999_999,), (9_000_000,)], "at_us long")
     got = [r["position"] for r in lookup.transport_positions(t, c, rate=1000, end_frame=3000).orderBy("at_us").collect()]
     assert got == [0, 1100, 3000, 7]
+
+
+def test_running_keeps_rows_with_nulls_and_clashing_names(spark):
+    rows = [("a", 1, 5, 0), (None, 1, 7, 0), (None, 9, 8, 0), ("a", None, 2, 0), ("a", 9, 1, 0)]
+    df = spark.createDataFrame(rows, "key string, at long, n long, chunk long").withColumnRenamed("chunk", "value0")
+    got = ordered.running(df.withColumn("chunk", F.lit(3)).withColumn("x.y", F.lit(4)), "sum", F.col("n"), "total", order=["at"], keys=["key"], chunk=4)
+    assert got.columns == ["key", "at", "n", "value0", "chunk", "x.y", "total"]
+    assert {(r["key"], r["at"], r["total"], r["chunk"]) for r in got.collect()} == {("a", None, 2, 3), ("a", 1, 7, 3), ("a", 9, 8, 3), (None, 1, 7, 3), (None, 9, 15, 3)}
+
+
+@pytest.mark.parametrize("chunk", [7, 10_000])
+def test_sessions_of_a_frequent_key(spark, chunk):
+    r = random.Random(chunk)
+    rows = [(r.choice(("hot", "hot", "hot", None, "rare")), r.choice((None, *range(0, 3000, 3)))) for _ in range(300)]
+    want = []
+    for key in ("hot", None, "rare"):
+        run = []
+        for at in sorted(t for k, t in rows if k == key and t is not None):
+            if run and at - run[-1] > 20:
+                want.append((key, run[0], run[-1], len(run)))
+                run = []
+            run.append(at)
+        want.append((key, run[0], run[-1], len(run)))
+    df = spark.createDataFrame(rows, "at string, us long")  # the key is called like a helper
+    got = sequence.session_runs(df, F.col("us"), 20, keys=["at"], chunk_micros=chunk)
+    assert sorted(map(tuple, got.select("at", "begin_us", "end_us", "events").collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("chunk", [5, 10_000])
+def test_playback_segments_over_chunks(spark, chunk):
+    rows = [(10, True, 1.0), (11, False, 1.0), (30, True, 2.0), (30, False, 1.0), (41, True, 0.5)]
+    got = pacing.playback_segments(spark.createDataFrame(rows, "at_us long, playing boolean, speed double"), rate=1e6, stop_us=50, chunk=chunk)
+    assert sorted(map(tuple, got.select("at_us", "until_us", "speed", "expected").collect())) == [(10, 11, 1.0, 1), (30, 41, 2.0, 22), (41, 50, 0.5, 4)]
+    assert pacing.playback_segments(spark.createDataFrame([], "at_us long, playing boolean, speed double"), rate=1e6, stop_us=50).count() == 0
