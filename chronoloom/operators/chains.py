@@ -50,6 +50,18 @@ def _walk(chunk: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": [chunk["key"].iloc[0]] * len(out), "node": out})
 
 
+def width(nodes: DataFrame, *, most: int = 1 << 18, least: int = CHUNK) -> int:
+    """The chunk that fits nodes(key, node): the widest one, by powers of four times `least`, of which none holds more than `most` rows of a key.
+
+    Chunks of `least` numbers are counted once and added up to wider ones; a row per width comes back.
+    """
+    cells = nodes.groupBy("key", F.floor(F.col("node") / least).alias("cell")).agg(F.count("*").alias("n"))
+    cells = cells.select("key", "cell", "n", F.explode(F.sequence(F.lit(0), F.lit(20), F.lit(2))).alias("level"))
+    sums = cells.groupBy("key", "level", F.expr("shiftright(cell, level)").alias("cell")).agg(F.sum("n").alias("n"))
+    fits = [r["level"] for r in sums.groupBy("level").agg(F.max("n").alias("n")).where(F.col("n") <= most).collect()]
+    return least << max(fits, default=0)
+
+
 def followed(rows: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """key, node of the rows on the chains that begin at each key's rows with root true.
 

@@ -93,11 +93,12 @@ def emit_schedule(frames: DataFrame, first: int, rate: float, speed: float, star
     return frames.withColumn("due_us", F.lit(start_us) + F.floor((F.col("frame") - first) * F.lit(1e6) / F.lit(float(rate) * float(speed)) + F.lit(0.5)).cast("long"))
 
 
-def throttled(log: DataFrame, interval_ms: int, *, keys=("event",), chunk: int = CHUNK) -> DataFrame:
+def throttled(log: DataFrame, interval_ms: int, *, keys=("event",), chunk: int | None = None) -> DataFrame:
     """log(event, at_ms): lines at least interval_ms after the last line let through of the same event.
 
     A line that passes names the next one that does: the first at least interval_ms later. These chains are followed over
-    chunks of time (see chains.followed), so no task gets an event as a whole. Of lines of one event and time one passes;
+    chunks of time (see chains.followed), as wide as the log's density allows unless `chunk` says so, and no task gets an event
+    as a whole. Of lines of one event and time one passes;
     lines without a time don't. interval_ms must be positive.
     """
     if interval_ms <= 0:
@@ -105,6 +106,8 @@ def throttled(log: DataFrame, interval_ms: int, *, keys=("event",), chunk: int =
     key, node = unused(log.columns, "key", "node")
     named = log.where(F.col("at_ms").isNotNull()).withColumns({key: F.to_json(F.struct(*keys)), node: F.col("at_ms").cast("long")})
     nodes = named.select(F.col(key).alias("key"), F.col(node).alias("node")).distinct()
+    if chunk is None:
+        chunk = chains.width(nodes)
     begin = nodes.groupBy("key").agg(F.min("node").alias("begin"))
     chained = chains.first_from(nodes, F.col("node") + interval_ms, chunk=chunk).join(begin, "key")
     kept = chains.followed(chained.select("key", "node", "next", (F.col("node") == F.col("begin")).alias("root")), chunk=chunk)

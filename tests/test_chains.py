@@ -120,3 +120,13 @@ def test_playback_totals(spark):
     t = pacing.playback_totals(df).first()
     assert (t["segments"], t["emitted"], t["expected"], t["deviation"], t["largest_deviation"], t["bound"], t["within"]) == (2, 8005, 8000, 5, 15, 60, True)
     assert pacing.playback_totals(df.where("false")).first()["segments"] == 0
+
+
+def test_chunks_are_as_wide_as_the_rows_allow(spark):
+    rows = [("a", 100 + n) for n in range(40)] + [("a", -5000), ("b", 10_000), ("b", 70_000)]
+    nodes = spark.createDataFrame(rows, "key string, node long")
+    assert chains.width(nodes, most=10, least=4) == 4  # 4 numbers a chunk; 16 would hold more than 10
+    assert chains.width(nodes, most=16, least=4) == 16
+    assert chains.width(nodes, most=9, least=16) == 16  # the narrowest, though fuller
+    assert chains.width(nodes, most=100, least=4) == 4 << 20
+    assert chains.width(nodes.limit(0)) == chains.CHUNK
