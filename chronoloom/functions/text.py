@@ -109,17 +109,23 @@ def integer(x: Column) -> Column:
 
 
 def bytes_text(x: Column) -> Column:
-    """Binary units with four decimals; plain bytes without."""
-    out = F.concat(F.format_string("%.4f ", x.cast("double") / F.lit(float(1024 ** (len(BYTE_UNITS) - 1)))), F.lit(BYTE_UNITS[-1]))
-    for k in reversed(range(1, len(BYTE_UNITS) - 1)):
-        out = F.when(x < 1024 ** (k + 1), F.concat(F.format_string("%.4f ", x.cast("double") / F.lit(float(1024**k))), F.lit(BYTE_UNITS[k]))).otherwise(out)
-    return F.when(x < 1024, F.format_string("%d B", x)).otherwise(out)
+    """Binary units with four decimals, rounded from the double's exact value, halves to even; plain bytes without."""
+    n = F.least(x.cast("long"), F.lit(2**63 - 1024)).cast("double").cast("long")  # beyond that a double has no long
+    out = None
+    for k in reversed(range(1, len(BYTE_UNITS))):
+        # format_string rounds the shortest decimal text of a double, so ten-thousandths are counted in integers.
+        low = n.bitwiseAND(F.lit(2 ** (10 * k) - 1)) * 10_000
+        odd = F.shiftright(low, 10 * k).bitwiseAND(F.lit(1))
+        parts = F.shiftright(n, 10 * k) * 10_000 + F.shiftright(low + (2 ** (10 * k - 1) - 1) + odd, 10 * k)
+        own = F.format_string(f"%d.%04d {BYTE_UNITS[k]}", F.call_function("div", parts, F.lit(10_000)), parts % 10_000)
+        out = own if out is None else F.when(x < 1024 ** (k + 1), own).otherwise(out)
+    return F.when(x < 1024, F.format_string("%d B", x)).when(x.isNotNull(), out)
 
 
 def duration(seconds: Column) -> Column:
     """hh:mm:ss.mmm"""
     part = lambda n: F.floor(seconds / n)
-    return F.format_string("%02d:%02d:%06.3f", part(3600), part(60) % 60, seconds.cast("double") % 60.0)
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%06.3f", part(3600), part(60) % 60, seconds.cast("double") % 60.0))
 
 
 def iso_time(nanos: Column) -> Column:
@@ -129,7 +135,7 @@ def iso_time(nanos: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """A decimal with so many places, halves away from zero."""
-    return F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def widened(x: Column) -> Column:

@@ -94,3 +94,16 @@ def test_nine_digits_bring_back_the_float(x):
 def test_nine_digits():
     assert [text.nine_digits(float(np.float32(x))) for x in (0.1, -0.0, 1e-7, 1.5, 1e21)] == ["0.100000001", "0", "1.00000001e-7", "1.5", "1.00000002e+21"]
     assert text.nine_digits(float("nan")) == "NaN"
+
+
+def test_sizes_round_the_exact_value(spark):
+    # Keys whose size lies just beside a half of the last decimal; then halves, edges between units, the largest number, null.
+    sizes = [k * k * 7919 for k in (938992, 2816976, 4610893, 4694960, 6572944, 7062248, 7459009)]
+    cases = dict(zip(sizes, ("6350.3008 TiB", "57152.7076 TiB", "153123.0618 TiB", "158757.5212 TiB", "311164.7416 TiB", "359216.6389 TiB", "400712.3971 TiB")))
+    for n in (1056, 1120, 1023, 1024, 2**20 - 1, 2**20, 2**20 + 2**15, 2**30 - 1, 2**40 + 3 * 2**35, 2**53 + 1, 2**63 - 1):
+        unit = min(4, (n.bit_length() - 1) // 10)
+        cases[n] = f"{n / 1024**unit:.4f} {text.BYTE_UNITS[unit]}" if unit else f"{n} B"
+    df = spark.createDataFrame([(n,) for n in [*cases, -5, None]], "n long")
+    assert [r[0] for r in df.select(text.bytes_text(F.col("n"))).collect()] == [*cases.values(), "-5 B", None]
+    none = spark.sql("SELECT CAST(NULL AS LONG) AS n").select(text.duration(F.col("n")), text.fixed(F.col("n") / 4.0, 6))
+    assert tuple(none.first()) == (None, None)
