@@ -682,12 +682,14 @@ def indexed_ranges(spark, sf_dir):
 
 def _wire_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    records = e.select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), (F.col("event_id") * 10).alias("start_frame"), F.lit(10).alias("frame_count"), F.lit(1).alias("channel_count"), (F.col("user_id") % 2).cast("int").alias("flags"), F.encode(F.col("value").cast("string"), "UTF-8").alias("payload"))
-    sent = wire.encoded(records).join(e.select(F.col("event_id").alias("seq"), "user_id"), "seq")
+    records = e.select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), (F.col("event_id") * 10).alias("start_frame"), F.lit(10).alias("frame_count"), F.lit(1).alias("channel_count"), (F.col("user_id") % 2).cast("int").alias("flags"), F.encode(F.col("value").cast("string"), "UTF-8").alias("payload"), "user_id")
+    sent = wire.encoded(records, keep=("user_id",))
     broken = F.concat(F.expr("substring(data, 1, octet_length(data) - 1)"), F.lit(b"#"))  # no value ends so
     data = F.when(F.col("user_id") % 20 == 7, broken).when(F.col("user_id") % 20 == 9, F.concat(F.lit(b"SGB1junk"), F.col("data"))).otherwise(F.col("data"))
     cut = sent.select("stream", "seq", data.alias("data")).select("stream", "seq", F.posexplode(F.array(F.expr("substring(data, 1, 21)"), F.expr("substring(data, 22, octet_length(data))"))).alias("k", "data"))
-    return cut.select("stream", (F.col("seq") * 2 + F.col("k")).alias("seq"), "data")
+    path = scratch(spark, "wire-sent")  # it is read more than once
+    cut.select("stream", (F.col("seq") * 2 + F.col("k")).alias("seq"), "data").write.parquet(path)
+    return spark.read.schema("stream string, seq long, data binary").parquet(path)
 
 
 @query("wire_records", "SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, event_id * 10 AS start_frame, 10::BIGINT AS frame_count, (user_id % 2)::INTEGER AS flags, value FROM events WHERE user_id % 20 <> 7")

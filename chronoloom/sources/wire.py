@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from ..functions.crc import crc32c
+from ..functions.crc import crc32c, crc32c_many
 from ..operators.ordered import running_all
 from ..shared import scratch, ship
 from . import layout
@@ -31,6 +32,8 @@ RECORDS = "seq long, start_frame long, frame_count long, channel_count int, flag
 MOST_PAYLOAD = 1 << 24
 #: Bytes of a span at least.
 SPAN = 4 << 20
+#: Bytes of records that are encoded or checked at once, about.
+GATHERED = 4 << 20
 
 
 class Marks:
@@ -46,25 +49,36 @@ class Marks:
         whole = np.flatnonzero((raw[: n - 3] == _MAGIC[0]) & (raw[1 : n - 2] == _MAGIC[1]) & (raw[2 : n - 1] == _MAGIC[2]) & (raw[3:] == _MAGIC[3])) if n > 3 else []
         begun = [i for i in range(max(0, n - 3), n) if data[i:] == _MAGIC[: n - i].tobytes()]  # cut off by the end of the buffer
         at = np.concatenate([whole, begun]).astype(np.int64)
-        self.at = at if limit is None else at[at < limit]
-        self.sound, self.failed, self.open = (np.zeros(len(self.at), bool) for _ in range(3))
-        self.ends = np.zeros(len(self.at), np.int64)
-        self.heads: dict[int, dict] = {}
-        for i, a in enumerate(self.at.tolist()):
-            if n - a < layout.WIRE_HEADER:
-                self.open[i] = True
-                continue
-            head = layout.as_dict(np.frombuffer(data, layout.WIRE, 1, a)[0])
-            if head["payload_bytes"] > most or head["header_bytes"] != layout.WIRE_HEADER:
-                continue
-            body = a + layout.WIRE_HEADER
-            self.ends[i] = end = body + head["payload_bytes"]
-            if end > n:
-                self.open[i] = True
-            elif crc32c(data[a : body - 4] + data[body:end]) == head["crc"]:
-                self.sound[i], self.heads[a] = True, head
-            else:
-                self.failed[i] = True
+        self.at = at = at if limit is None else at[at < limit]
+        self.sound, self.failed, self.open = (np.zeros(len(at), bool) for _ in range(3))
+        self.ends = np.zeros(len(at), np.int64)
+        self.heads = np.zeros(len(at), layout.WIRE)
+        told = at + layout.WIRE_HEADER <= n
+        if told.any():
+            self.heads[told] = raw[at[told][:, None] + np.arange(layout.WIRE_HEADER)].view(layout.WIRE)[:, 0]
+        self.open[~told] = True
+        like = np.flatnonzero(told & (self.heads["payload_bytes"] <= most) & (self.heads["header_bytes"] == layout.WIRE_HEADER))
+        self.ends[like] = at[like] + layout.WIRE_HEADER + self.heads["payload_bytes"][like]
+        self.open[like] = self.ends[like] > n
+        like = like[self.ends[like] <= n]
+        right = _checksums(raw, at[like], self.ends[like]) == self.heads["crc"][like]
+        self.sound[like], self.failed[like] = right, ~right
+
+
+def _checksums(raw: np.ndarray, ats: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The checksums of whole records: of all their bytes without the field itself. Short ones are gathered, some at a time."""
+    out = np.zeros(len(ats), np.int64)
+    size = ends - ats - 4
+    for i in np.flatnonzero(size > 8192).tolist():
+        out[i] = crc32c(np.concatenate((raw[ats[i] : ats[i] + layout.WIRE_HEADER - 4], raw[ats[i] + layout.WIRE_HEADER : ends[i]])))
+    short = np.flatnonzero(size <= 8192)
+    for own in np.split(short, np.flatnonzero(np.diff(np.cumsum(size[short]) // GATHERED)) + 1):
+        bounds = np.concatenate(([0], np.cumsum(size[own])))
+        within = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size[own])
+        at = np.repeat(ats[own], size[own]) + within
+        at[within >= layout.WIRE_HEADER - 4] += 4
+        out[own] = crc32c_many(raw[at], bounds)
+    return out
 
 
 class Decoder:
@@ -87,7 +101,7 @@ class Decoder:
                     break
             elif marks.sound[i]:
                 self.corrupt_bytes += a - at
-                yield marks.heads[a], data[a + layout.WIRE_HEADER : int(marks.ends[i])]
+                yield layout.as_dict(marks.heads[i]), data[a + layout.WIRE_HEADER : int(marks.ends[i])]
                 at, waits = int(marks.ends[i]), None
             elif marks.failed[i]:
                 self.crc_failures += 1
@@ -105,10 +119,12 @@ class Decoder:
 
 def _steps(ats: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
     """The span's step function: reading that arrives at or before limits[k] (and behind limits[k - 1]) leaves at exits[k]."""
-    exits = np.empty(len(ats), np.int64)
-    for i in range(len(ats) - 1, -1, -1):
-        j = int(np.searchsorted(ats, ends[i]))
-        exits[i] = exits[j] if j < len(ats) else ends[i]
+    after = np.searchsorted(ats, ends).tolist()
+    exits = ends.tolist()
+    for i in range(len(exits) - 1, -1, -1):
+        if after[i] < len(exits):
+            exits[i] = exits[after[i]]
+    exits = np.array(exits, np.int64)
     last = np.flatnonzero(np.append(exits[1:] != exits[:-1], True)) if len(ats) else np.empty(0, np.int64)
     return ats[last].tolist(), exits[last].tolist()
 
@@ -142,25 +158,34 @@ def _found(pieces: DataFrame, most: int, span: int) -> DataFrame:
             k = np.searchsorted(at, failed, "right") - 1
             failed = failed[(k < 0) | (failed >= ends[np.maximum(k, 0)])]
         limits, exits = _steps(at, ends)
-        out = []
-        for nth, (a, e) in enumerate(zip(at.tolist(), ends.tolist())):
-            h = marks.heads[a - low]
-            out.append({"stream": stream, "span": number, "at": a, "until": e, "nth": nth, "payload": data[a - low + layout.WIRE_HEADER : e - low]} | {k: h[k] for k in ("start_frame", "frame_count", "channel_count", "flags")})
+        heads = marks.heads[marks.sound]
+        values = {"stream": pa.repeat(pa.scalar(stream, pa.string()), len(at)), "span": np.full(len(at), number), "at": at, "until": ends, "nth": np.arange(len(at))}
+        values |= {k: pa.array(heads[k]) for k in ("start_frame", "frame_count", "channel_count", "flags")}
+        values["payload"] = [data[a:e] for a, e in zip((at - low + layout.WIRE_HEADER).tolist(), (ends - low).tolist())]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([_column(values.get(f.name), f.type, len(at)) for f in _ARROW], schema=_ARROW)
         keep = (at.tolist(), ends.tolist()) if overlaps else (None, None)
-        out.append({"stream": stream, "span": number, "limits": limits, "exits": exits, "ats": keep[0], "ends": keep[1], "failed": failed.tolist(), "open": (marks.at[marks.open] + low).tolist(), "bytes": low + len(data)})
-        return out
+        closing = {"stream": stream, "span": number, "limits": limits, "exits": exits, "ats": keep[0], "ends": keep[1], "failed": failed.tolist(), "open": (marks.at[marks.open] + low).tolist(), "bytes": low + len(data)}
+        yield pa.RecordBatch.from_pylist([closing], _ARROW)
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for stream, number, data in zip(batch.column("stream").to_pylist(), batch.column("span").to_pylist(), batch.column("data")):
-                if (stream, number) != now:
+            streams, numbers = batch.column("stream").dictionary_encode(), batch.column("span").to_numpy()
+            codes = streams.indices.fill_null(-1).to_numpy()
+            edges = np.flatnonzero((codes[1:] != codes[:-1]) | (numbers[1:] != numbers[:-1])) + 1
+            raw, offsets = _bytes_of(batch.column("data"))
+            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if a == z:
+                    continue
+                name = (batch.column("stream")[a].as_py(), int(numbers[a]))
+                if name != now:
                     if held:
-                        yield pa.RecordBatch.from_pylist(rows_of(*now, b"".join(held)), _ARROW)
-                    now, held = (stream, number), []
-                held.append(data.as_py())
+                        yield from rows_of(*now, b"".join(held))
+                    now, held = name, []
+                held.append(raw[offsets[a] : offsets[z]].tobytes())
         if held:
-            yield pa.RecordBatch.from_pylist(rows_of(*now, b"".join(held)), _ARROW)
+            yield from rows_of(*now, b"".join(held))
 
     tasks = max(1, pieces.sparkSession.sparkContext.defaultParallelism)
     spread = pieces.repartition(tasks, "stream", "span").sortWithinPartitions("stream", "span", "at")
@@ -171,6 +196,20 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary"
 _ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _FOUND.split(", ")])
 
 
+def _column(values, kind: pa.DataType, n: int) -> pa.Array:
+    if values is None:
+        return pa.nulls(n, kind)
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def _bytes_of(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the offsets of its rows in them; null is empty."""
+    data = data.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, raw = data.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8), offsets
+
+
 def _chain(ats, ends, entry: int) -> list[int]:
     """Of overlapping records, those that reading from `entry` takes."""
     out = []
@@ -190,23 +229,32 @@ def _entered(summaries: DataFrame) -> DataFrame:
         at, out = 0, []
         last = int(pdf["bytes"].max()) if len(pdf) else 0
         for s in pdf.itertuples():
-            entry = at
-            taken = _chain(s.ats, s.ends, entry) if s.ats is not None else None
+            out.append([s.stream, s.span, at, 0])
             k = int(np.searchsorted(np.asarray(s.limits, np.int64), at)) if len(s.limits) else 0
             if k < len(s.limits):
                 at = int(s.exits[k])
-            failed = np.asarray(s.failed, np.int64)
-            failed = failed[failed >= entry]
-            if taken is not None and len(failed):
-                until = dict(zip(s.ats, s.ends))
-                failed = np.array([f for f in failed if not any(a <= f < until[a] for a in taken)], np.int64)
-            out.append([s.stream, s.span, entry, taken, len(failed), 0])
         opens = [q for row in pdf["open"] for q in row if q >= at]
         if out and opens:
-            out[-1][5] = last - min(opens)
-        return pd.DataFrame(out, columns=["stream", "span", "entry", "chosen", "failures", "tail"])
-
-    return summaries.groupBy("stream").applyInPandas(fold, "stream string, span long, entry long, chosen array<long>, failures long, tail long")
+            out[-1][3] = last - min(opens)
+        return pd.DataFrame(out, columns=["stream", "span", "entry", "tail"])
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s in pdf.itertuples():
+                taken = _chain(s.ats, s.ends, s.entry) if s.ats is not None else None
+                failed = np.asarray(s.failed, np.int64)
+                failed = failed[failed >= s.entry]
+                if taken and len(failed):
+                    until = dict(zip(s.ats, s.ends))
+                    k = np.searchsorted(taken, failed, "right") - 1
+                    failed = failed[(k < 0) | (failed >= np.array([until[a] for a in taken])[np.maximum(k, 0)])]
+                out.append([s.stream, s.span, s.entry, taken, len(failed), s.tail])
+            yield pd.DataFrame(out, columns=["stream", "span", "entry", "chosen", "failures", "tail"])
+
+    entries = summaries.select("stream", "span", "limits", "exits", "open", "bytes").groupBy("stream").applyInPandas(fold, "stream string, span long, entry long, tail long")
+    whole = summaries.alias("s").join(entries.alias("e"), F.col("s.stream").eqNullSafe(F.col("e.stream")) & (F.col("s.span") == F.col("e.span")))
+    return whole.select("s.stream", "s.span", "ats", "ends", "failed", "entry", "tail").mapInPandas(told, "stream string, span long, entry long, chosen array<long>, failures long, tail long")
 
 
 class Decoded:
@@ -253,15 +301,28 @@ def decoded(chunks: DataFrame, *, most: int = MOST_PAYLOAD, span: int | None = N
     return decode(chunks, most=most, span=span).records
 
 
-def encoded(records: DataFrame) -> DataFrame:
-    """stream, seq, data: the bytes of records(stream, seq, start_frame, frame_count, channel_count, flags, payload), a record a row."""
+def encoded(records: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """stream, seq, data: the bytes of records(stream, seq, start_frame, frame_count, channel_count, flags, payload), a record a row.
+
+    Columns named in `keep` go along. A null payload is empty; a null in another field, or a number that its field can't hold, is an error.
+    """
     ship(records.sparkSession)
+    kinds = {"start_frame": pa.uint64(), "frame_count": pa.uint32(), "channel_count": pa.uint16(), "flags": pa.uint8()}
 
     def run(batches):
         for b in batches:
-            fields = [b.column(c).to_pylist() for c in ("start_frame", "frame_count", "channel_count", "flags")]
-            data = [layout.wire_bytes(p or b"", start_frame=s, frame_count=n, channel_count=c, flags=f) for p, s, n, c, f in zip(b.column("payload").to_pylist(), *fields)]
-            yield pa.RecordBatch.from_arrays([b.column("stream"), b.column("seq"), pa.array(data, pa.binary())], ["stream", "seq", "data"])
-
-    picked = records.select(F.col("stream").cast("string").alias("stream"), F.col("seq").cast("long").alias("seq"), "start_frame", "frame_count", "channel_count", "flags", "payload")
-    return picked.mapInArrow(run, "stream string, seq long, data binary")
+            raw, offsets = _bytes_of(b.column("payload"))
+            for own in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(offsets[1:] // GATHERED)) + 1):
+                if not len(own):
+                    continue
+                a, z = int(own[0]), int(own[-1]) + 1
+                fields = {c: b.column(c).slice(a, z - a).cast(kind) for c, kind in kinds.items()}
+                if bad := [c for c, v in fields.items() if v.null_count]:
+                    raise ValueError(f"records with null in {bad}")
+                data, ends = layout.wire_many(raw, offsets[a : z + 1], **{c: v.to_numpy() for c, v in fields.items()})
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(a, z - a) for c in ("stream", "seq")] + [data.cast(pa.binary())] + [b.column(c).slice(a, z - a) for c in keep], ["stream", "seq", "data", *keep])
+
+    picked = records.select(F.col("stream").cast("string").alias("stream"), F.col("seq").cast("long").alias("seq"), *kinds, "payload", *keep)
+    schema = StructType([StructField("stream", StringType()), StructField("seq", LongType()), StructField("data", BinaryType()), *[records.schema[c] for c in keep]])
+    return picked.mapInArrow(run, schema)

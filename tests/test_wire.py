@@ -84,3 +84,34 @@ def test_encoded_records_come_back(spark):
     got = sorted(tuple(r) for r in wire.decoded(wire.encoded(records)).collect())
     assert got == sorted((*r[:6], bytes(r[6] or b"")) for r in rows)
     assert wire.decoded(wire.encoded(records.where("false"))).count() == 0
+
+
+def test_many_records_at_once(spark, monkeypatch):
+    sizes = [*range(0, 40), 8163, 8164, 8165, 9000, 0, 20_000, 3]
+    payloads = [np.random.default_rng(k).integers(0, 256, n, np.uint8).tobytes() for k, n in enumerate(sizes)]
+    offsets = np.cumsum([0, *sizes])
+    starts = np.arange(len(sizes)) * 2**40
+    data, ends = layout.wire_many(np.frombuffer(b"".join(payloads), np.uint8), offsets, start_frame=starts)
+    assert [data[a:z].tobytes() for a, z in zip(ends, ends[1:])] == [layout.wire_bytes(p, start_frame=int(s)) for p, s in zip(payloads, starts)]
+    monkeypatch.setattr(wire, "GATHERED", 100)
+    broken = data.copy()
+    broken[ends[[3, 44, 47]] - 1] ^= 1
+    marks = wire.Marks(broken.tobytes(), 1 << 16)
+    own = np.isin(marks.at, ends[:-1])
+    assert np.flatnonzero(marks.failed[own]).tolist() == [2, 43, 46] and marks.sound[own].sum() == len(sizes) - 3
+
+    def alone(_):
+        raise AssertionError("short records are checked together")
+
+    monkeypatch.setattr(wire, "crc32c", alone)
+    assert wire.Marks(b"".join(layout.wire_bytes(b"12345", start_frame=k) for k in range(2000)), 1 << 16).sound.sum() == 2000
+
+
+def test_encoded_keeps_columns_and_refuses_nulls(spark):
+    schema = "stream string, seq long, start_frame long, frame_count long, channel_count int, flags int, payload binary, more double"
+    rows = [("a", 0, 5, 1, 1, 0, bytearray(b"x"), 1.5), ("a", 1, 6, 1, 1, 0, None, None)]
+    got = wire.encoded(spark.createDataFrame(rows, schema), keep=("more",)).orderBy("seq").collect()
+    assert [(bytes(r["data"]), r["more"]) for r in got] == [(layout.wire_bytes(r[6] or b"", start_frame=r[2], frame_count=1, channel_count=1, flags=0), r[7]) for r in rows]
+    for bad in (None, -1):
+        with pytest.raises(Exception):
+            wire.encoded(spark.createDataFrame([("a", 0, bad, 1, 1, 0, None, 0.0)], schema)).collect()
