@@ -24,6 +24,8 @@ from ._text import _SPACE, chunks, mix64, string_buffers, word_hashes
 #: Frequent words and spelling symbols of the network, symbols of a class, widths of a symbol's vector and of the state.
 WORDS, SPELLINGS, CLASS, EMBED, STATE = 1024, 64, 32, 16, 24
 LANES, WINDOW = 256, 32
+#: Lanes in scoring, where they change no result.
+WIDE = 1024
 #: In training, longer documents go in pieces of so many symbols; in scoring the state runs through the whole document.
 STRETCH = 1024
 #: Learning rates of the rounds; a round takes one slice of every group.
@@ -179,6 +181,11 @@ def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: (r.standard_normal(s) * (0.0 if k.endswith("0") else 0.2)).astype(np.float32) for k, s in shape.items()}
 
 
+def _apart(m: np.ndarray) -> np.ndarray:
+    """(N, 3 H) as (3, N, H)."""
+    return np.ascontiguousarray(m.reshape(len(m), 3, -1).transpose(1, 0, 2))
+
+
 class Network:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -187,34 +194,45 @@ class Network:
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
 
     def _forward(self, x, fresh, h, keep):
-        """x (T, B) symbols, fresh (T, B) true where a document begins. Returns states (T, B, H), the last one, and what
-        backpropagation needs: the states before each step, gates, candidates and their recurrent parts."""
+        """x (T, B) symbols, fresh (T, B) true where a document begins. Returns states (T, B, H), the last one, and with
+        `keep` what backpropagation needs: the states before each step, gates and candidates (3, T, B, H), and the candidates'
+        recurrent parts. Each gate has an array of its own, so that a step's numbers lie side by side."""
         H, w = STATE, self.w
         (T, B), kind = x.shape, w["out"].dtype
-        inputs = (w["embed"][x.ravel()] @ w["gates"] + w["gates0"]).reshape(T, B, 3 * H)
-        states, before, inner = (np.empty((T, B, H), kind) for _ in range(3))
-        gates = inputs[:, :, : 2 * H]
-        candidates = inputs[:, :, 2 * H :]
+        # The inputs' part is the same wherever a symbol stands.
+        symbols = x.ravel()
+        few = len(symbols) < len(w["embed"])
+        table = _apart((w["embed"][symbols] if few else w["embed"]) @ w["gates"] + w["gates0"])
+        turn = _apart(w["turn"])
+        table[:2] *= 0.5  # a sigmoid is a tanh of the half
+        turn[:2] *= 0.5
+        gates = (table if few else table.take(symbols, axis=1)).reshape(3, T, B, H)
+        states, u = np.empty((T, B, H), kind), np.empty((3, B, H), kind)
+        before, inner = (np.empty((T if keep else 1, B, H), kind) for _ in range(2))
         begins = fresh.any(1)
         for t in range(T):
-            if begins[t]:
-                h = np.where(fresh[t][:, None], h.dtype.type(0), h)
-            before[t] = h
-            u = h @ w["turn"]
-            zr, n = gates[t], candidates[t]
-            zr += u[:, : 2 * H]
-            zr *= 0.5
+            if keep or begins[t]:
+                own = before[t if keep else 0]
+                own[:] = h
+                if begins[t]:
+                    own[fresh[t]] = 0
+                h = own
+            np.matmul(h, turn, out=u)
+            zr, n = gates[:2, t], gates[2, t]
+            zr += u[:2]
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            inner[t] = u[:, 2 * H :]
-            n += zr[:, H:] * inner[t]
+            if keep:
+                inner[t] = u[2]
+            u[2] *= zr[1]
+            n += u[2]
             np.tanh(n, out=n)
-            h = h - n
-            h *= zr[:, :H]
-            h += n
-            states[t] = h
-        return states, h, (before, gates, candidates, inner)
+            new = np.subtract(h, n, out=states[t])
+            new *= zr[0]
+            new += n
+            h = new
+        return states, h, (before, gates, inner)
 
     def _logits(self, s, y, ds=None):
         """For states s (N, H) and targets y: natural log probabilities. With ds, that takes the gradients of the mean
@@ -222,41 +240,55 @@ class Network:
         w, n = self.w, len(y)
         c = (y // CLASS).astype(np.uint16)  # the end is a class of its own
         order = np.argsort(c, kind="stable")
-        s, y, c = s[order], y[order], c[order]
+        y, c = y[order], c[order]
         edge = np.searchsorted(c, np.arange(_CLASSES + 1))
         every = np.arange(n)
-        p = s @ w["out"]
-        p += w["out0"]
-        p -= p.max(1, keepdims=True)
+        # A column of ones takes the biases into the products. Only differences of scores count, so a row's largest need
+        # not be taken away while none can overflow.
+        s = np.concatenate((s[order], np.ones((n, 1), s.dtype)), axis=1)
+        most = max(1.0, float(s.max(initial=0)), -float(s.min(initial=0)))
+        out1 = np.concatenate((w["out"], (w["out0"] - w["out0"].max())[None]))
+        word1 = np.concatenate((w["word"], (w["word0"] - w["word0"].max(1, keepdims=True))[:, None]), axis=1)
+        safe = max(float(np.abs(m).sum(-2).max()) for m in (out1, word1)) * most < 60
+        ones = np.ones(max(_CLASSES, CLASS), s.dtype)
+
+        def scored(s, m):
+            q = s @ m
+            if not safe:
+                q -= q.max(1, keepdims=True)
+            return q
+
+        p = scored(s, out1)
         lp = p[every, c]
         np.exp(p, out=p)
-        total = p.sum(1, keepdims=True)
-        lp -= np.log(total[:, 0])
+        total = p @ ones[:_CLASSES]
+        lp -= np.log(total)
         g = {}
         if ds is not None:
             scale = p.dtype.type(1 / max(1, n))
-            p *= scale / total
+            p *= (scale / total)[:, None]
             p[every, c] -= scale
-            g = {"out": s.T @ p, "out0": p.sum(0), "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
+            both = s.T @ p
+            g = {"out": both[:-1], "out0": both[-1], "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
             own = p @ w["out"].T
         j = y % CLASS
+        totals = np.ones(n, s.dtype)
         for k in range(_CLASSES - 1):
             a, z = edge[k], edge[k + 1]
             if a == z:
                 continue
-            q = s[a:z] @ w["word"][k]
-            q += w["word0"][k]
-            q -= q.max(1, keepdims=True)
+            q = scored(s[a:z], word1[k])
             at = every[: z - a], j[a:z]
             lp[a:z] += q[at]
             np.exp(q, out=q)
-            total = q.sum(1, keepdims=True)
-            lp[a:z] -= np.log(total[:, 0])
+            total = np.matmul(q, ones[:CLASS], out=totals[a:z])
             if ds is not None:
-                q *= scale / total
+                q *= (scale / total)[:, None]
                 q[at] -= scale
-                g["word"][k], g["word0"][k] = s[a:z].T @ q, q.sum(0)
+                both = s[a:z].T @ q
+                g["word"][k], g["word0"][k] = both[:-1], both[-1]
                 own[a:z] += q @ w["word"][k].T
+        lp -= np.log(totals)
         if ds is not None:
             ds[order] = own
         out = np.empty_like(lp)
@@ -268,7 +300,7 @@ class Network:
         mean loss, the state and the summed log probability."""
         H, w = STATE, self.w
         (T, B), kind = x.shape, w["out"].dtype
-        states, h, (before, gates, candidates, inner) = self._forward(x, fresh, h, True)
+        states, h, (before, gates, inner) = self._forward(x, fresh, h, True)
         begins = fresh.any(1)
         at = np.flatnonzero(live.ravel())
         ds = np.zeros((T * B, H), kind)
@@ -279,35 +311,43 @@ class Network:
         if not whole:
             ds[at] = part
         ds = ds.reshape(T, B, H)
-        dx, du = np.empty((T, B, 3 * H), kind), np.empty((T, B, 3 * H), kind)
-        dh = np.zeros((B, H), kind)
-        turn = np.ascontiguousarray(w["turn"].T)
+        # By candidate, both gates, and the candidate's recurrent part: the first three are the inputs', the last three the states'.
+        d = np.empty((4, T, B, H), kind)
+        dh, back = np.zeros((B, H), kind), np.empty((3, B, H), kind)
+        turn = np.ascontiguousarray(_apart(w["turn"]).transpose(0, 2, 1))
+        one, two = np.empty((B, H), kind), np.empty((B, H), kind)
         for t in range(T - 1, -1, -1):
-            z, r, n, v = gates[t, :, :H], gates[t, :, H:], candidates[t], inner[t]
-            dh = dh + ds[t]
-            d, e = dx[t], du[t]
-            dn = dh * (1 - z)
-            dn *= 1 - n * n
-            dz = before[t] - n
-            dz *= dh
-            dz *= z - z * z
-            d[:, :H], d[:, 2 * H :] = dz, dn
-            d[:, H : 2 * H] = dn * v * (r - r * r)
-            e[:, : 2 * H] = d[:, : 2 * H]
-            np.multiply(dn, r, out=e[:, 2 * H :])
-            dh *= z
-            dh += e @ turn
+            z, r, n = gates[:, t]
+            dn, dz, dr, dv = d[:, t]
+            dh += ds[t]
+            np.multiply(dh, z, out=one)  # what goes on to the state before
+            np.subtract(dh, one, out=dn)
+            np.subtract(before[t], n, out=dz)
+            dz *= one
+            np.subtract(1, z, out=two)
+            dz *= two
+            np.multiply(n, n, out=two)
+            np.subtract(1, two, out=two)
+            dn *= two
+            np.multiply(dn, r, out=dv)
+            np.subtract(1, r, out=dr)
+            dr *= dv
+            dr *= inner[t]
+            np.matmul(d[1:, t], turn, out=back)
+            np.add(one, back[0], out=dh)
+            dh += back[1]
+            dh += back[2]
             if begins[t]:
                 dh[fresh[t]] = 0
-        g["turn"] = before.reshape(-1, H).T @ du.reshape(-1, 3 * H)
-        symbols, dflat = x.ravel().astype(np.uint16), dx.reshape(-1, 3 * H)
-        g["gates"], g["gates0"] = w["embed"][symbols].T @ dflat, dflat.sum(0)
+        d = d.reshape(4, -1, H)
+        g["turn"] = np.concatenate([before.reshape(-1, H).T @ d[k] for k in (1, 2, 3)], axis=1)
         # Each symbol's vector has the sum over the places where it stands.
-        dembed = dflat @ w["gates"].T
-        order = np.argsort(symbols, kind="stable")
-        found, first = np.unique(symbols[order], return_index=True)
-        g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][found] = np.add.reduceat(dembed[order], first)
+        symbols = x.ravel().astype(np.intp)
+        vectors = w["embed"][symbols].T
+        g["gates"] = np.concatenate([vectors @ d[k] for k in (1, 2, 0)], axis=1)
+        g["gates0"] = np.concatenate([d[k].sum(0) for k in (1, 2, 0)])
+        dembed = sum(m @ d[k].T for k, m in zip((1, 2, 0), np.split(w["gates"], 3, axis=1)))
+        g["embed"] = np.stack([np.bincount(symbols, v, len(w["embed"])) for v in dembed], axis=1).astype(kind)
         return g, h, float(lp.sum())
 
     def step(self, g, rate):
@@ -371,7 +411,7 @@ def fit(net: Network, docs: list[np.ndarray], rate: float) -> float:
 def likelihoods(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document's symbols and end."""
     out, h = np.zeros(len(docs)), None
-    for x, y, fresh, owner in _windows(docs):
+    for x, y, fresh, owner in _windows(docs, WIDE):
         h = np.zeros((x.shape[1], STATE), np.float32) if h is None else h[: x.shape[1]]
         states, h, _ = net._forward(x, fresh, h, False)
         at = np.flatnonzero(owner.ravel() >= 0)

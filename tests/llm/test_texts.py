@@ -347,3 +347,27 @@ def test_training_lowers_the_loss():
     for _ in range(15):
         gru.fit(net, docs, 0.02)
     assert gru.likelihoods(net, docs).sum() > before + 100
+
+
+def test_large_scores_and_lanes_change_nothing():
+    r = np.random.default_rng(4)
+    # Weights whose scores a float32 exponential can't hold, and biases far from zero.
+    w = {k: (v * (40 if k in ("out", "word") else 1) + (300 if k in ("out0", "word0") else 0)).astype(np.float32) for k, v in gru.new_weights(5).items()}
+    texts = [r.integers(0, gru._END, n).astype(np.uint16) for n in (0, 3, 40, 70)]
+    got = gru.likelihoods(gru.Network(w), texts)
+    want = [slow_log_probability({k: v.astype(np.float64) - (300 if k in ("out0", "word0") else 0) for k, v in w.items()}, t.tolist()) for t in texts]
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-3)
+
+
+def test_windows_of_training_and_scoring():
+    """Training sees the lanes it always had; scoring has wider ones."""
+    widths = []
+    net, windows = gru.Network(gru.new_weights(3)), gru._windows
+    docs = [np.arange(k % 5, dtype=np.uint16) for k in range(1500)]
+    seen = lambda *a, **k: (widths.append(w[0].shape[1]) or w for w in windows(*a, **k))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(gru, "_windows", seen)
+        gru.fit(net, docs, 0.01)
+        trained, widths[:] = max(widths), []
+        gru.likelihoods(net, docs)
+    assert (trained, max(widths)) == (gru.LANES, gru.WIDE) and gru.WIDE > gru.LANES
